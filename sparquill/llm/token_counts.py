@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -209,7 +210,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
             for part in text_steps(batch, text):
                 col = part.column(text)
                 n = c.counts(col.to_pylist())
-                sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).cast(pa.int64())
+                sizes = pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), sizes, pa.array(n), pa.array(n > limit)], names=[*kept, *new])
 
     return docs.select(*kept, text).mapInArrow(run, schema)
