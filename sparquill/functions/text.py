@@ -87,7 +87,7 @@ def tokens(*values: Column) -> Column:
 
 
 def words(values) -> Column:
-    return F.array(*(F.lit(v) for v in values)).cast("array<string>")
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")") if values else F.array().cast("array<string>")
 
 
 def tokens_without(ignored: Column, *values: Column) -> Column:

@@ -58,16 +58,25 @@ def signal_points(query: Column, item: Column) -> Column:
     return F.when(query.isNull() | item.isNull(), 0).when(~accepts(query, item), 0).when(query == item, same).otherwise(20)
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with new columns that are computed where they stand.
+
+    A generator keeps the optimiser from copying large expressions into later filters
+    and from deriving constraints of every pair of them, which grows without bound.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def prepare_requests(requests: DataFrame) -> DataFrame:
     """Request keys, each computed once: ref, tok, vehicle tokens, taxonomies, signal, groups."""
-    brand = t.tokens(F.col("brand"))
     generic = t.words(lx.GENERIC_VEHICLE)
-    out = requests.withColumn("q_ref", t.normalize_reference(F.col("reference"))).withColumn("q_tok", t.part_tokens(F.col("part_name"), F.col("reference")))
-    out = out.withColumn("q_brand", brand).withColumn("q_line", F.array_except(t.tokens_without(generic, F.col("line")), F.col("q_brand")))
-    out = out.withColumn("q_version", F.array_except(F.array_except(t.tokens_without(generic, F.col("version")), F.col("q_brand")), F.col("q_line")))
-    out = out.withColumn("q_vehicle", F.array_distinct(F.concat("q_brand", "q_line", "q_version")))
-    out = out.withColumn("q_tax", taxonomies(F.col("part_name"), F.col("reference"))).withColumn("q_signal", part_signal(F.col("part_name")))
-    out = out.withColumn("q_year", t.as_int(F.col("year"))).withColumn("q_words", t.tokens(F.col("part_name"))).withColumn("q_title", t.normalize(F.col("part_name")))
+    name, reference = F.col("part_name"), F.col("reference")
+    out = computed(
+        requests, q_ref=t.normalize_reference(reference), q_tok=t.part_tokens(name, reference), q_brand=t.tokens(F.col("brand")), q_line=t.tokens_without(generic, F.col("line")), q_version=t.tokens_without(generic, F.col("version")),
+        q_tax=taxonomies(name, reference), q_signal=part_signal(name), q_year=t.as_int(F.col("year")), q_words=t.tokens(name), q_title=t.normalize(name),
+    )
+    out = out.withColumn("q_line", F.array_except("q_line", "q_brand")).withColumn("q_version", F.array_except(F.array_except("q_version", "q_brand"), "q_line"))
+    out = computed(out, q_vehicle=F.array_distinct(F.concat("q_brand", "q_line", "q_version")))
     if "prefs" not in requests.columns:
         out = out.withColumn("prefs", F.lit(None).cast(PREFS))
     return out
@@ -76,13 +85,12 @@ def prepare_requests(requests: DataFrame) -> DataFrame:
 def prepare_items(items: DataFrame) -> DataFrame:
     shown = [F.col(c) for c in ("title", "category_name", "subcategory_name", "reference", "sku", "code")]
     known = t.words(lx.VEHICLE_BRANDS)
-    own = F.array_intersect(t.tokens(F.col("brand")), known)
-    out = items.withColumn("i_refs", F.array_compact(F.array(*(t.normalize_reference(F.col(c)) for c in ("reference", "sku", "code")))))
-    out = out.withColumn("i_brands", F.when(F.size(own) > 0, own).otherwise(F.array_intersect("tokens", known)))
-    out = out.withColumn("i_title", t.normalize(F.col("title")))
-    out = out.withColumn("i_scoped", (F.size("i_brands") > 0) | F.concat(F.lit(" "), F.col("i_title"), F.lit(" ")).rlike(" modelos? "))
-    out = out.withColumn("i_signal", part_signal(F.col("title"), F.col("category_name"), F.col("subcategory_name"), F.array_join("taxonomies", " ")))
-    return out.withColumn("i_words", t.tokens(*shown)).withColumn("i_years", t.years(t.joined(*shown)))
+    out = computed(
+        items, i_refs=F.array_compact(F.array(*(t.normalize_reference(F.col(c)) for c in ("reference", "sku", "code")))), i_own=F.array_intersect(t.tokens(F.col("brand")), known), i_title=t.normalize(F.col("title")),
+        i_signal=part_signal(F.col("title"), F.col("category_name"), F.col("subcategory_name"), F.array_join("taxonomies", " ")), i_words=t.tokens(*shown), i_years=t.years(t.joined(*shown)),
+    )
+    out = computed(out, i_brands=F.when(F.size("i_own") > 0, F.col("i_own")).otherwise(F.array_intersect("tokens", known))).drop("i_own")
+    return computed(out, i_scoped=(F.size("i_brands") > 0) | F.concat(F.lit(" "), F.col("i_title"), F.lit(" ")).rlike(" modelos? "))
 
 
 def _keys(refs: Column, taxa: Column, words: Column) -> Column:
@@ -143,7 +151,7 @@ def score(pairs: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, title
     none = F.array().cast("array<string>")
     overlap = lambda x: F.size(F.array_intersect(F.col(x), F.col("tokens")))
     flags, notes = conflicts(p("year_tolerance", F.lit(0)))
-    d = pairs.withColumns({
+    d = computed(pairs, **{
         "s_flags": flags,
         "s_notes": notes,
         "s_exact": F.coalesce(F.array_contains("i_refs", F.col("q_ref")), F.lit(False)),
@@ -188,8 +196,8 @@ def score(pairs: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, title
     no_version = scoped & (F.size("q_version") > 0) & brand & line & (F.col("s_version") == 0)
     capped = F.least(added, F.when(no_brand, 10).otherwise(1000), F.when(no_line, 18).otherwise(1000), F.when(no_version, 68).otherwise(1000))
     value = F.when(F.col("s_exact"), 100).when(F.col("s_in_text"), 95).otherwise(capped)
-    for flag, cap in lx.SOFT_CAPS.items():
-        value = F.when(F.array_contains("s_flags", flag), F.least(value, F.lit(cap))).otherwise(value)
+    no_cap = 1000
+    value = F.least(value, *(F.when(F.array_contains("s_flags", flag), cap).otherwise(no_cap) for flag, cap in lx.SOFT_CAPS.items()))
     provider, item_brand = t.normalize(F.col("provider_id")), t.normalize(F.col("brand"))
     listed = lambda x, name: (x != "") & F.array_contains(p(name, none), x)
     liked, avoided = listed(provider, "preferred_providers"), listed(provider, "avoided_providers")
@@ -197,15 +205,11 @@ def score(pairs: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, title
     pick = lambda c, n: F.when(c, n).otherwise(0)
     value = F.greatest(F.lit(0), F.least(F.lit(100), value + pick(liked, 8) - pick(avoided, 20) + pick(b_liked, 5) - pick(b_avoided, 12)))
     strict = p("prefer_exact_reference", F.lit(False)) & F.col("q_ref").isNotNull() & ~F.col("s_exact")
-    value = F.when(strict, F.least(value, F.lit(72))).otherwise(value)
+    value = F.least(value, F.when(strict, 72).otherwise(no_cap))
     kind = lambda ids: F.col("provider_id").isin(*ids) if ids else F.lit(False)
     by_tax = lambda a, b: F.when(F.col("s_tax"), a).otherwise(b)
-    value = (
-        F.when(kind(policy.category_only), F.least(value, by_tax(55, 25)))
-        .when(kind(policy.partial), F.least(value, by_tax(78, 60)))
-        .when(~F.col("s_exact") & F.col("q_ref").isNull(), F.least(value, F.lit(88)))
-        .otherwise(value)
-    )
+    own_cap = F.when(kind(policy.category_only), by_tax(55, 25)).when(kind(policy.partial), by_tax(78, 60)).when(~F.col("s_exact") & F.col("q_ref").isNull(), 88)
+    value = F.least(value, own_cap.otherwise(no_cap))
     shown = t.text("brand")
     said = [
         F.when(liked, F.concat(F.lit("prioriza "), provider, F.lit(" por preferencia del taller"))),
@@ -214,12 +218,12 @@ def score(pairs: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, title
         F.when(b_avoided, F.concat(F.lit("marca "), shown, F.lit(" marcada para evitar"))),
         F.when(strict, F.lit("se prioriza referencia exacta cuando exista")),
     ]
-    d = d.withColumn("score", value.cast("int")).where(F.col("score") >= 20)
+    d = computed(d, score=value.cast("int")).where(F.col("score") >= 20)
     compatible = F.col("s_tax") & (F.col("score") >= 70) & (F.col("s_vehicle") > 0)
     match = F.when(F.col("s_exact"), "exact_reference").when(kind(policy.category_only), MANUAL).when(compatible, "vehicle_compatible").when(F.col("s_tax") & (F.col("score") >= 35), "category_only").otherwise(MANUAL)
-    d = d.withColumn("match_type", match).withColumn("preference_notes", F.array_compact(F.array(*said)))
+    d = computed(d, match_type=match, preference_notes=F.array_compact(F.array(*said)))
     d = d.withColumn("manual", F.coalesce(F.col("manual"), F.lit(False)) | (F.col("match_type") != "exact_reference"))
-    d = d.withColumn("warnings", F.transform("s_flags", lambda x: F.replace(x, F.lit("_"), F.lit(" "))))
+    d = computed(d, warnings=F.transform("s_flags", lambda x: F.replace(x, F.lit("_"), F.lit(" "))))
     return with_state(d, policy).withColumnRenamed("s_flags", "risk_flags").withColumnRenamed("s_notes", "notes")
 
 
@@ -244,8 +248,7 @@ def with_state(d: DataFrame, policy: lx.ProviderPolicy, flags: str = "s_flags")
         .when(partial, " ofrece una coincidencia probable por descripcion y categoria, pero requiere validar su codigo interno (")
         .otherwise(" ofrece una coincidencia parcial por nombre/categoria (")
     )
-    d = d.withColumn("compatibility_state", state).withColumn("compatibility_summary", summary)
-    return d.withColumn("summary", F.concat(t.text("provider_name"), says, F.col("score").cast("string"), F.lit("%).")))
+    return computed(d, compatibility_state=state, compatibility_summary=summary, summary=F.concat(t.text("provider_name"), says, F.col("score").cast("string"), F.lit("%).")))
 
 
 def rank(scored: DataFrame, limit: int = 5) -> DataFrame:

@@ -67,11 +67,12 @@ def fold(records: DataFrame) -> DataFrame:
     number = lambda c, key: F.when(t.as_int(scalar(F.col("value"), key)).isNotNull(), c)
     d = d.select("quote_id", "place", "kind", t.present(F.col("notes"), False).alias("note"), F.struct(t.normalize_ascii(F.col("scope")).alias("scope"), F.nullif(t.normalize_ascii(F.col("scope_key")), F.lit("")).alias("scope_key")).alias("applied"), exact.alias("exact"), number(tolerance, "years").alias("tolerance"), number(options, "count").alias("options"), *(c.alias(n) for n, c in lists.items()))
     g = d.groupBy("quote_id").agg(F.array_sort(F.collect_list(F.struct("place", "kind", "note", "applied", "exact", "tolerance", "options", *lists))).alias("r"))
+    whole = lambda f: F.array_distinct(F.flatten(F.array_compact(F.transform("r", lambda x: x[f]))))
     each = lambda f: F.array_distinct(F.array_compact(F.transform("r", lambda x: x[f])))
     last = lambda f: F.try_element_at(F.array_compact(F.transform("r", lambda x: x[f])), F.lit(-1))
     return g.select(
         "quote_id",
-        *(F.array_distinct(F.flatten(F.array_compact(F.transform("r", lambda x, n=n: x[n])))).alias(n) for n in lists),
+        *(whole(n).alias(n) for n in lists),
         F.coalesce(last("exact"), F.lit(False)).alias("prefer_exact_reference"),
         F.coalesce(last("tolerance"), F.lit(0)).alias("year_tolerance"),
         last("options").alias("max_options"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as t
-from .matching import accepts, part_signal
+from .matching import accepts, computed, part_signal
 
 OPTIONS = 3
 ACCEPT, ACCEPT_CATEGORY_ONLY = 35, 18
@@ -29,7 +29,7 @@ def adjusted(c: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY) -> Dat
     asked = t.tokens(F.col("part_name"), F.col("asked_reference"))
     want = part_signal(F.col("part_name"), F.col("asked_reference"))
     got = part_signal(F.col("title"), F.col("category_name"), F.col("subcategory_name"), F.col("reference"))
-    d = c.withColumn("r_own", own).withColumn("r_want", want).withColumn("r_got", got)
+    d = computed(c, r_own=own, r_want=want, r_got=got)
     shared = lambda x: F.size(F.array_intersect(x, F.col("r_own")))
     up = lambda n, each, most: F.least(n * each, F.lit(most))
     both = F.col("r_want").isNotNull() & F.col("r_got").isNotNull()
@@ -39,7 +39,8 @@ def adjusted(c: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY) -> Dat
     category_only = F.col("provider_id").isin(*policy.category_only) if policy.category_only else F.lit(False)
     value = value - F.when((shared(asked) == 0) & ~category_only, 12).otherwise(0)
     flag = lambda *f: F.arrays_overlap("risk_flags", t.words(f))
-    value = F.when(flag("side_mismatch", "position_mismatch"), 0).when(flag("year_mismatch"), value - 18).otherwise(value)
+    placed = flag("side_mismatch", "position_mismatch")
+    value = value * F.when(placed, 0).otherwise(1) - F.when(~placed & flag("year_mismatch"), 18).otherwise(0)
     provider, brand = t.text("provider_id"), t.normalize(F.col("brand"))
     listed = lambda x, name: (x != "") & F.array_contains(p(name, none), x)
     liked, avoided = listed(provider, "preferred_providers"), listed(provider, "avoided_providers")
@@ -60,7 +61,7 @@ def adjusted(c: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY) -> Dat
     ]
     warned = F.array_compact(F.array(F.when(verdict == "year_scope_warning", F.lit("rag_year_scope_warning"))))
     return (
-        d.withColumn("adjusted_score", F.greatest(F.lit(0), F.least(F.lit(100), value)).cast("int"))
+        computed(d, adjusted_score=F.greatest(F.lit(0), F.least(F.lit(100), value)).cast("int"))
         .withColumn("preference_notes", F.array_distinct(F.concat("preference_notes", F.array_compact(F.array(*says)))))
         .withColumn("risk_flags", F.array_distinct(F.concat("risk_flags", warned)))
         .drop("r_own", "r_want", "r_got")

@@ -13,7 +13,7 @@ from .registry import query
 
 def words_sql(x: str) -> str:
     stop = ", ".join(f"'{w}'" for w in lx.STOPWORDS)
-    return f"list_sort(list_distinct(list_filter(string_split({norm_sql(x)}, ' '), w -> length(w) > 1 AND w NOT IN ({stop}))))"
+    return f"list_sort(list_distinct(list_filter(string_split({norm_sql(x)}, ' '), lambda w: length(w) > 1 AND w NOT IN ({stop}))))"
 
 
 def norm_sql(x: str) -> str:
@@ -78,7 +78,7 @@ def requests(read):
 
 
 _GROUP = lambda x, groups: "CASE " + " ".join(f"WHEN list_has_any({x}, {list(v)}) THEN '{k}'" for k, v in groups.items()) + " END"
-_TAX = lambda x: "list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({norm_sql(x)}, '{'|'.join(w)}') THEN '{k}' END" for k, w in lx.TAXONOMIES.items()) + "], v -> v IS NOT NULL))"
+_TAX = lambda x: "list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({norm_sql(x)}, '{'|'.join(w)}') THEN '{k}' END" for k, w in lx.TAXONOMIES.items()) + "], lambda v: v IS NOT NULL))"
 
 
 def scored_sql() -> str:
@@ -89,16 +89,16 @@ def scored_sql() -> str:
     flags = ", ".join(f"CASE WHEN {_GROUP('q_words', g)} <> {_GROUP('i_words', g)} THEN '{f}' END" for f, g, _ in lx.CONFLICTS)
     return f"""WITH req AS (SELECT p_type AS quote_id, MIN(p_partkey) AS part_id, p_name AS part_name, CASE WHEN MIN(p_partkey) % 3 = 0 THEN 'ref ' || MIN(p_partkey) END AS reference, p_type AS line
   FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY p_name, p_type),
-q AS (SELECT *, NULLIF({ref.format('reference')}, '') AS q_ref, list_filter({words_sql("COALESCE(part_name, '') || ' ' || COALESCE(reference, '')")}, w -> NOT list_contains({generic}, w)) AS q_tok,
-  {words_sql('part_name')} AS q_words, list_filter({words_sql('line')}, w -> NOT list_contains({list(lx.GENERIC_VEHICLE)}, w)) AS q_line, {_TAX("COALESCE(part_name, '') || ' ' || COALESCE(reference, '')")} AS q_tax FROM req),
+q AS (SELECT *, NULLIF({ref.format('reference')}, '') AS q_ref, list_filter({words_sql("COALESCE(part_name, '') || ' ' || COALESCE(reference, '')")}, lambda w: NOT list_contains({generic}, w)) AS q_tok,
+  {words_sql('part_name')} AS q_words, list_filter({words_sql('line')}, lambda w: NOT list_contains({list(lx.GENERIC_VEHICLE)}, w)) AS q_line, {_TAX("COALESCE(part_name, '') || ' ' || COALESCE(reference, '')")} AS q_tax FROM req),
 cat AS (SELECT MIN(p_partkey) AS item_id, 'prov' || (MIN(p_size) % 5) AS provider_id, 'Provider ' || (MIN(p_size) % 5) AS provider_name, {title} AS title, p_type, p_brand AS brand, 'REF-' || MIN(p_partkey) AS i_reference FROM part GROUP BY p_name, p_brand, p_type),
 item AS (SELECT *, {words_sql("title || ' ' || brand")} AS tokens, {words_sql("title || ' ' || p_type || '   ' || i_reference")} AS i_words, {_TAX('title')} AS i_tax,
-  list_filter({words_sql("title || ' ' || brand")}, w -> list_contains({list(lx.VEHICLE_BRANDS)}, w)) AS i_brands, {ref.format('i_reference')} AS i_ref FROM cat),
+  list_filter({words_sql("title || ' ' || brand")}, lambda w: list_contains({list(lx.VEHICLE_BRANDS)}, w)) AS i_brands, {ref.format('i_reference')} AS i_ref FROM cat),
 cand AS (SELECT DISTINCT part_id, item_id FROM (
   SELECT part_id, item_id FROM q JOIN item ON q_ref = i_ref UNION ALL
   SELECT part_id, item_id FROM (SELECT part_id, unnest(list_concat(q_tok, q_line)) AS w FROM q) a JOIN (SELECT item_id, unnest(tokens) AS w FROM item) b ON a.w = b.w UNION ALL
   SELECT part_id, item_id FROM (SELECT part_id, unnest(q_tax) AS x FROM q) a JOIN (SELECT item_id, unnest(i_tax) AS x FROM item) b ON a.x = b.x)),
-p AS (SELECT q.*, item.* EXCLUDE (brand), list_filter([{flags}], f -> f IS NOT NULL) AS risk, COALESCE(q_ref = i_ref, FALSE) AS exact, COALESCE(list_contains(tokens, q_ref), FALSE) AS in_text,
+p AS (SELECT q.*, item.* EXCLUDE (brand), list_filter([{flags}], lambda f: f IS NOT NULL) AS risk, COALESCE(q_ref = i_ref, FALSE) AS exact, COALESCE(list_contains(tokens, q_ref), FALSE) AS in_text,
   list_has_any(q_tax, i_tax) AS tax, len(list_intersect(q_tok, tokens)) AS n_tok, len(list_intersect(q_line, tokens)) AS n_line FROM cand JOIN q USING (part_id) JOIN item USING (item_id)),
 s AS (SELECT *, CASE WHEN exact THEN 100 WHEN in_text THEN 95 ELSE (CASE WHEN tax THEN 30 ELSE 0 END + CAST(round_even(n_tok / len(q_tok) * 45.0, 0) AS INT) + LEAST(n_line * 10, 20) + LEAST(n_line * 3, 9)) END AS base FROM p
   WHERE NOT list_has_any(risk, {list(lx.HARD_FLAGS)}) AND (exact OR in_text OR (len(i_brands) = 0 AND NOT (len(q_tok) > 0 AND n_tok = 0)))),
@@ -143,8 +143,8 @@ def q_title_similarity(read, spark):
 @query(f"""{_RANKED}, reviewed AS (SELECT *, GREATEST(0, LEAST(100, score + LEAST(len(list_intersect(q_line, {words_sql("title || ' ' || p_type || ' ' || i_reference")})) * 7, 14)
    - CASE WHEN len(list_intersect({words_sql("COALESCE(part_name, '') || ' ' || COALESCE(reference, '')")}, {words_sql("title || ' ' || brand_ || ' ' || p_type || '  ' || i_reference")})) = 0 THEN 12 ELSE 0 END)) AS adjusted
    FROM (SELECT ranked.*, cat.brand AS brand_ FROM ranked JOIN cat USING (item_id)) WHERE rank <= 5),
-byprov AS (SELECT *, row_number() OVER (PARTITION BY part_id, provider_id ORDER BY adjusted DESC, match_type = 'exact_reference' DESC, provider_name DESC, title DESC, item_id) AS n FROM reviewed WHERE adjusted >= 35),
-opt AS (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY adjusted DESC, match_type = 'exact_reference' DESC, provider_name DESC, title DESC, item_id) AS o FROM byprov WHERE n = 1)
+byprov AS (SELECT *, row_number() OVER (PARTITION BY part_id, provider_id ORDER BY adjusted DESC, match_type = 'exact_reference' DESC, provider_name DESC, title DESC, item_id) AS pn FROM reviewed WHERE adjusted >= 35),
+opt AS (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY adjusted DESC, match_type = 'exact_reference' DESC, provider_name DESC, title DESC, item_id) AS o FROM byprov WHERE pn = 1)
 SELECT CAST(part_id AS BIGINT) AS part_id, CAST(item_id AS BIGINT) AS item_id, CAST(o AS BIGINT) AS option, CAST(adjusted AS BIGINT) AS adjusted_score, provider_name || ': revision agentica ' ||
   CASE WHEN match_type = 'exact_reference' THEN 'con referencia exacta.' WHEN len(risk) > 0 THEN 'heuristica; validar color o acabado.' WHEN o = 1 THEN 'heuristica; mejor opcion.' ELSE 'heuristica; alternativa util.' END AS comment FROM opt WHERE o <= 3""")
 def q_review_rerank(read, spark):

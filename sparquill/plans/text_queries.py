@@ -23,7 +23,7 @@ def q_normalize_reference(read, spark):
 
 
 @query(f"""SELECT doc_id, CAST(len({words_sql('text')}) AS BIGINT) AS n_tokens, md5(array_to_string({words_sql('text')}, ' ')) AS tokens_md5,
-CAST(len(list_filter(regexp_extract_all({ASCII.format('text')}, '[a-z0-9]+'), w -> length(w) >= 3)) AS BIGINT) AS long_words, md5({norm_sql('text')}) AS norm_md5 FROM documents""")
+CAST(len(list_filter(regexp_extract_all({ASCII.format('text')}, '[a-z0-9]+'), lambda w: length(w) >= 3)) AS BIGINT) AS long_words, md5({norm_sql('text')}) AS norm_md5 FROM documents""")
 def q_tokens(read, spark):
     """Token sets of each document, as counts and digests."""
     own = t.tokens(F.col("text"))
@@ -34,8 +34,8 @@ def q_tokens(read, spark):
 
 @query("""WITH s AS (SELECT o_custkey, MIN(year(o_orderdate) + 10) AS a, MAX(year(o_orderdate) + 8) AS b FROM orders GROUP BY 1),
 x AS (SELECT o_custkey, a, b, CASE WHEN b >= a THEN range(a, b + 1) ELSE range(b, a + 1) END AS swapped, CASE WHEN b >= a THEN range(a, b + 1) ELSE [] END AS plain FROM s)
-SELECT o_custkey, array_to_string(list_sort(list_distinct(list_concat(list_filter([a, b], y -> y BETWEEN 2000 AND 2099), CASE WHEN a BETWEEN 2000 AND 2099 AND b BETWEEN 2000 AND 2099 AND abs(b - a) <= 15 THEN swapped ELSE [] END))), ',') AS matcher,
-array_to_string(list_sort(list_distinct(list_concat(list_filter([a, b], y -> y BETWEEN 2000 AND 2099), CASE WHEN a BETWEEN 2000 AND 2099 AND b BETWEEN 2000 AND 2099 THEN plain ELSE [] END))), ',') AS retrieval FROM x""")
+SELECT o_custkey, array_to_string(list_sort(list_distinct(list_concat(list_filter([a, b], lambda y: y BETWEEN 2000 AND 2099), CASE WHEN a BETWEEN 2000 AND 2099 AND b BETWEEN 2000 AND 2099 AND abs(b - a) <= 15 THEN swapped ELSE [] END))), ',') AS matcher,
+array_to_string(list_sort(list_distinct(list_concat(list_filter([a, b], lambda y: y BETWEEN 2000 AND 2099), CASE WHEN a BETWEEN 2000 AND 2099 AND b BETWEEN 2000 AND 2099 THEN plain ELSE [] END))), ',') AS retrieval FROM x""")
 def q_years(read, spark):
     """Years of texts made from two dates of each customer, by the two rules."""
     d = read("orders").groupBy("o_custkey").agg(F.min(F.year("o_orderdate") + 10).alias("a"), F.max(F.year("o_orderdate") + 8).alias("b"))
@@ -77,9 +77,9 @@ def _searches(read):
     return read("benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", *(F.try_element_at(w, F.lit(i)) for i in (3, 5, 8))).alias("query"))
 
 
-_TERMS = "list_filter(regexp_split_to_array({0}, '[^a-z0-9]+'), w -> w <> '')"
+_TERMS = "list_filter(regexp_split_to_array({0}, '[^a-z0-9]+'), lambda w: w <> '')"
 _HITS = f"""WITH t AS (SELECT item_id, {_TERMS.format(ASCII.format('text'))} AS w FROM benchmark),
-q AS (SELECT item_id, list_distinct(list_filter([w[3], w[5], w[8]], v -> v IS NOT NULL)) AS q FROM t),
+q AS (SELECT item_id, list_distinct(list_filter([w[3], w[5], w[8]], lambda v: v IS NOT NULL)) AS q FROM t),
 d AS (SELECT doc_id, list_distinct({_TERMS.format(ASCII.format('text'))}) AS own FROM documents),
 p AS (SELECT doc_id, unnest(own) AS term FROM d), o AS (SELECT item_id, len(q) AS need, unnest(q) AS term FROM q WHERE len(q) > 0),
 hits AS (SELECT item_id AS query_id, doc_id FROM p JOIN o USING (term) GROUP BY item_id, doc_id, need HAVING COUNT(*) = need)"""
@@ -135,8 +135,8 @@ def q_hybrid(read, spark):
 @query(f"""{_HITS}, f AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS place FROM hits),
 b AS (SELECT item_id AS query_id, w[3] AS ref, w[5] AS vb, w[8] AS vl, w[2] || ' ' || w[4] AS pn FROM t),
 lt AS (SELECT f.query_id, place, ref, {ASCII.format('text')} AS content, b.* EXCLUDE (query_id, ref) FROM f JOIN b USING (query_id) JOIN documents USING (doc_id) WHERE place <= 3),
-o AS (SELECT *, list_filter(list_distinct(regexp_extract_all(content, '[a-z0-9]+')), w -> length(w) >= 3) AS own, list_filter(list_distinct([vb, vl]), w -> length(w) >= 3) AS veh, list_filter(list_distinct(string_split(pn, ' ')), w -> length(w) >= 3) AS prt FROM lt),
-m AS (SELECT query_id, place, CASE WHEN contains(content, ref) AND len(list_intersect(veh, own)) >= 1 THEN 'reference_supported' WHEN len(list_intersect(veh, own)) >= 2 AND len(list_intersect(prt, own)) >= 1 THEN 'vehicle_supported' WHEN len(list_intersect(prt, own)) >= 2 THEN 'generic_support' END AS v FROM o)
+ow AS (SELECT *, list_filter(list_distinct(regexp_extract_all(content, '[a-z0-9]+')), lambda w: length(w) >= 3) AS own, list_filter(list_distinct([vb, vl]), lambda w: length(w) >= 3) AS veh, list_filter(list_distinct(string_split(pn, ' ')), lambda w: length(w) >= 3) AS prt FROM lt),
+m AS (SELECT query_id, place, CASE WHEN contains(content, ref) AND len(list_intersect(veh, own)) >= 1 THEN 'reference_supported' WHEN len(list_intersect(veh, own)) >= 2 AND len(list_intersect(prt, own)) >= 1 THEN 'vehicle_supported' WHEN len(list_intersect(prt, own)) >= 2 THEN 'generic_support' END AS v FROM ow)
 SELECT b.query_id, COALESCE(arg_max(v, place) FILTER (WHERE v IS NOT NULL AND v <> 'generic_support'), CASE WHEN bool_or(v = 'generic_support') THEN 'generic_support' ELSE 'no_evidence' END) AS verdict FROM b LEFT JOIN m USING (query_id) GROUP BY b.query_id""")
 def q_evidence(read, spark):
     """Verdicts of the first three documents of each query, folded in order."""
@@ -187,7 +187,7 @@ def q_quote_key(read, spark):
 
 
 @query("""SELECT event_id, '{' || array_to_string(list_filter(['"id":' || event_id, CASE WHEN event_type <> 'view' THEN '"type":"' || event_type || '"' END, '"flag":' || (CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END),
-CASE WHEN event_type = 'click' THEN '"tags":["click"]' END, CASE WHEN event_type <> 'error' THEN '"inner":{"zero":0}' ELSE '"inner":{"zero":0,"note":"e"}' END], v -> v IS NOT NULL), ',') || '}' AS doc FROM events""")
+CASE WHEN event_type = 'click' THEN '"tags":["click"]' END, CASE WHEN event_type <> 'error' THEN '"inner":{"zero":0}' ELSE '"inner":{"zero":0,"note":"e"}' END], lambda v: v IS NOT NULL), ',') || '}' AS doc FROM events""")
 def q_compact_json(read, spark):
     """Event documents without nulls, blanks and empty lists; zeros and false stay."""
     e = F.col("event_type")

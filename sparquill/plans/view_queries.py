@@ -117,7 +117,7 @@ def q_latest_snapshot(read, spark):
 
 @query("""WITH a AS (SELECT * FROM part WHERE p_size <= 40), b AS (SELECT p_partkey, p_name, CASE WHEN p_size % 7 = 0 THEN 'OTHER' ELSE p_brand END AS p_brand, CASE WHEN p_size % 5 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS p_retailprice FROM part WHERE p_size >= 10)
 SELECT COALESCE(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'added' WHEN a.p_partkey IS NULL THEN 'removed' ELSE 'changed' END AS change,
-CASE WHEN a.p_partkey IS NULL OR b.p_partkey IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN a.p_brand IS DISTINCT FROM b.p_brand THEN 'p_brand' END, CASE WHEN a.p_retailprice IS DISTINCT FROM b.p_retailprice THEN 'p_retailprice' END], v -> v IS NOT NULL), ',') END AS fields
+CASE WHEN a.p_partkey IS NULL OR b.p_partkey IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN a.p_brand IS DISTINCT FROM b.p_brand THEN 'p_brand' END, CASE WHEN a.p_retailprice IS DISTINCT FROM b.p_retailprice THEN 'p_retailprice' END], lambda v: v IS NOT NULL), ',') END AS fields
 FROM a FULL JOIN b ON a.p_partkey = b.p_partkey WHERE a.p_partkey IS NULL OR b.p_partkey IS NULL OR a.p_brand IS DISTINCT FROM b.p_brand OR a.p_retailprice IS DISTINCT FROM b.p_retailprice""")
 def q_snapshot_diff(read, spark):
     """Differences of two overlapping catalogs: by size, one with other brands and prices."""
@@ -183,10 +183,10 @@ _STATES = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'extract
 
 def _states(read):
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "extracted").otherwise("completed")
-    return read("events").select(F.col("event_id").alias("message_id"), status.alias("status"), F.unix_millis("ts").cast("string").alias("internal_date_ms"))
+    return read("events").select(F.col("event_id").alias("message_id"), status.alias("status"), F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("internal_date_ms"))
 
 
-@query(f"""WITH s AS (SELECT event_id AS message_id, {_STATES} AS status, epoch_ms(ts) AS d FROM events) SELECT MAX(d) AS internal_date_ms, arg_max(message_id, (d, message_id)) AS message_id, (SELECT COUNT(*) FROM s WHERE status <> 'completed') AS unfinished FROM s WHERE status = 'completed'""")
+@query(f"""WITH s AS (SELECT event_id AS message_id, {_STATES} AS status, CAST(epoch_us(ts) // 1000 AS BIGINT) AS d FROM events) SELECT MAX(d) AS internal_date_ms, arg_max(message_id, (d, message_id)) AS message_id, (SELECT COUNT(*) FROM s WHERE status <> 'completed') AS unfinished FROM s WHERE status = 'completed'""")
 def q_cursor(read, spark):
     """The cursor of completed messages, and how many are to be tried again."""
     s = _states(read)
