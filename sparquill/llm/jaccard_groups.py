@@ -2,17 +2,18 @@
 
 Texts become sets of hashed word shingles; equal sets become one class. Then
 
-1. *Groups.* Sets that share their smallest hash are dealt into groups of bounded
-   size, where every link is found exactly by counting tokens in common. Members
-   of each component found there meet once more under a second hash, which joins
-   the parts of a large family of near copies. This gives verified links only.
+1. *Groups.* Sets that share their smallest hash form a cluster; so do those that
+   share the smallest of a second hash, where there are many. A cluster is dealt into
+   blocks of bounded size, and every pair of its blocks meets in one task, where each
+   link is found exactly by counting tokens in common. Only links leave a task, at
+   most one for each set, so a family of near copies makes no table of its pairs.
 2. *Matrix.* In one order of all tokens (frequent ones last) two sets that link
    share one of their first ``d + 1`` tokens, d the most that either may miss, and
    if they share them all but few: with a and b the first counts and o the overlap
    that the sizes need, at least min(a - (n_q - o), b - (n_s - o)). Each group, a
-   part of one component, stores the union of its members' first tokens: a row of
+   part of one component and cluster, stores the union of its members' first tokens: a row of
    the matrix for each token and group. A set joined with the matrix counts its
-   tokens in each group of another component; only groups that reach the bound are
+   tokens in each group of another component and cluster; only groups that reach the bound are
    opened, and their members of fitting size are compared whole.
 3. Links of all steps give components by repeated hooking to the smallest id.
 
@@ -38,16 +39,14 @@ from pyspark.sql import functions as F
 from .common import Workspace, as_bytes, lower_ascii, mix, small_batches, text_steps, word_hashes, word_spans
 
 _U = np.uint64
-#: Sets and tokens of one group.
-GROUP_ROWS = 512
-GROUP_TOKENS = 2_000_000
-#: Members of a component that meet again under the second hash.
-EXEMPLARS = 4
+#: Sets and tokens of one block.
+BLOCK_ROWS = 4096
+BLOCK_TOKENS = 1_000_000
+#: Sets that share a second hash from which they are a cluster, too.
+LARGE = 32
 #: Rows of a token from which it counts as frequent, and how many such tokens order the rest.
 FREQUENT = 64
 FREQUENT_MOST = 1 << 17
-#: Clusters whose rows are dealt over several tasks.
-SPREAD_MOST = 1 << 14
 FILTER_BITS = 24
 #: Sets of one component in a group of the matrix.
 MATRIX_GROUP = 64
@@ -214,47 +213,60 @@ def group_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return label
 
 
-def _linked(rows: DataFrame, cluster: str, percent: int, exemplars: bool) -> DataFrame:
-    """Rows dealt by (cluster, salt) and sorted -> doc_id, root, and for some members of a component their set."""
+def clusters_of(reps: DataFrame, key: str, least: int) -> DataFrame:
+    """key, blocks of clusters with ``least`` sets or more."""
+    g = reps.groupBy(key).agg(F.count("*").alias("m"), F.sum("n").alias("t")).where(F.col("m") >= least)
+    return g.select(key, F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("int").alias("blocks"))
 
+
+def compare_clusters(sets: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
+    """a, b: links that join all similar sets of each cluster; token: tokens that are frequent in one.
+
+    A set of block i of g goes to the tasks of all pairs {i, j}; one block is a task of its own.
+    """
+    c = clusters.withColumnRenamed(key, "_key")
+    d = sets.join(c, F.col(key) == F.col("_key"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda j: j != block)
+    pairs = F.transform(others, lambda j: F.least(j, block) * F.col("blocks") + F.greatest(j, block))
+    d = d.withColumn("pair", F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(F.array(F.lit(0).cast("long")))))
+    return d.select(F.col(key).alias("key"), "pair", "doc_id", "tokens")
+
+
+def linked(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         sets: list[np.ndarray] = []
-        seconds: list[int] = []
-        key, tokens = None, 0
+        key = None
 
         def flush() -> Iterator[pa.RecordBatch]:
             if len(ids) < 2:
                 return
             label = group_labels(sets, percent)
-            roots = [ids[x] for x in label.tolist()]
-            count = np.bincount(label, minlength=len(ids))
-            seen: dict[int, int] = {}
-            kept: list[bytes | None] = []
-            for i, x in enumerate(label.tolist()):
-                seen[x] = seen.get(x, 0) + 1
-                kept.append(sets[i].tobytes() if exemplars and count[x] > 1 and seen[x] <= EXEMPLARS else None)
-            keep = [i for i in range(len(ids)) if roots[i] != ids[i] or kept[i] is not None]
-            if keep:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([roots[i] for i in keep], pa.int64()), pa.array([seconds[i] for i in keep], pa.int64()), pa.array([kept[i] for i in keep], pa.binary())], names=["a", "b", "k2", "tokens"])
+            own = np.array(ids, np.int64)
+            link = np.flatnonzero(own[label] != own)
+            frequent = np.zeros(0, np.int64)
+            if len(sets) > FREQUENT:
+                token, count = np.unique(np.concatenate(sets), return_counts=True)
+                frequent = _i64(token[count > FREQUENT])
+            if len(link) or len(frequent):
+                none = lambda n: pa.nulls(n, pa.int64())
+                a, b = (pa.concat_arrays([pa.array(x), none(len(frequent))]) for x in (own[link], own[label[link]]))
+                yield pa.RecordBatch.from_arrays([a, b, pa.concat_arrays([none(len(link)), pa.array(frequent)])], names=["a", "b", "token"])
 
         for batch in batches:
-            keys, salts = batch.column("key").to_pylist(), batch.column("salt").to_pylist()
-            blobs, own, second = batch.column("tokens"), batch.column("doc_id").to_pylist(), batch.column("k2").to_pylist()
+            keys, pairs, own, blobs = batch.column("key").to_pylist(), batch.column("pair").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("tokens")
             for i in range(len(own)):
-                s = np.frombuffer(blobs[i].as_buffer(), _U)
-                if key != (keys[i], salts[i]) or len(ids) >= GROUP_ROWS or tokens + len(s) > GROUP_TOKENS:
+                if key != (keys[i], pairs[i]):
                     yield from flush()
-                    ids, sets, seconds, tokens = [], [], [], 0
-                    key = (keys[i], salts[i])
+                    ids, sets = [], []
+                    key = (keys[i], pairs[i])
                 ids.append(own[i])
-                sets.append(s.copy())
-                seconds.append(second[i])
-                tokens += len(s)
+                sets.append(np.frombuffer(blobs[i].as_buffer(), _U).copy())
         yield from flush()
 
-    dealt = rows.repartition(F.col(cluster), F.col("salt")).sortWithinPartitions(cluster, "salt", "doc_id")
-    return dealt.select(F.col(cluster).alias("key"), "salt", "doc_id", "k2", "tokens").mapInArrow(run, "a long, b long, k2 long, tokens binary")
+    dealt = rows.repartition("key", "pair").sortWithinPartitions("key", "pair", "doc_id")
+    return dealt.mapInArrow(run, "a long, b long, token long")
 
 
 def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -316,7 +328,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, k: in
 def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``: 100 * overlap >= percent * union is a link."""
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
     table = ws.stage(shingle_table(docs, words, percent, doc_id, text), "table")
     some = table.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     same = ["n", "f1", "f2"]
@@ -327,35 +338,23 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     reps = ws.stage(some.join(cls, meets & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", *same]).select("doc_id", "n", "k1", "k2", "keys"), "reps")
 
     # 1. groups
-    clusters = reps.groupBy("k1").agg(F.count("*").alias("m"), F.sum("n").alias("t")).where("m > 1")
-    clusters = ws.stage(clusters, "clusters")
-    fit = lambda m, t: F.greatest(F.ceil(m / GROUP_ROWS), F.ceil(t / GROUP_TOKENS))
-    large = {r.k1: int(r.g) for r in clusters.withColumn("g", fit(F.col("m"), F.col("t"))).where("g > 1").orderBy(F.desc("m"), "k1").limit(SPREAD_MOST).select("k1", "g").collect()}
-    inside = reps.select("doc_id", F.col("k1").alias("c")).join(clusters.select("k1"), F.col("c") == F.col("k1"), "left_semi")
-    found = scan_sets(docs, words, id_filter(inside, "doc_id"), doc_id, text)
-    sent = spark.sparkContext.broadcast(large)
-
-    @F.pandas_udf("int")
-    def salt(key, h):
-        import pandas as pd
-
-        parts = key.map(sent.value).fillna(1).astype("int64")
-        return pd.Series((h.to_numpy().view(np.uint64) % parts.to_numpy().astype(np.uint64)).astype(np.int32))
-
-    salted = found.withColumn("salt", salt("k1", F.xxhash64("doc_id")) if large else F.lit(0))
-    grouped = ws.stage(_linked(salted, "k1", percent, True), "grouped")
-    again = grouped.where(F.col("tokens").isNotNull()).select(F.col("a").alias("doc_id"), "k2", "tokens", F.lit(0).alias("salt"))
-    joined = ws.stage(_linked(again, "k2", percent, False).select("a", "b"), "joined")
+    first, second = (ws.stage(clusters_of(reps, k, least), f"clusters_{k}") for k, least in (("k1", 2), ("k2", LARGE)))
+    inside = reps.select("doc_id", F.col("k1").alias("c")).join(first.select("k1"), F.col("c") == F.col("k1"), "left_semi")
+    grouped = ws.stage(linked(compare_clusters(scan_sets(docs, words, id_filter(inside, "doc_id"), doc_id, text), first, "k1"), percent), "grouped")
+    inside = reps.select("doc_id", F.col("k2").alias("c")).join(second.select("k2"), F.col("c") == F.col("k2"), "left_semi")
+    if second.head(1):
+        more = linked(compare_clusters(scan_sets(docs, words, id_filter(inside, "doc_id"), doc_id, text), second, "k2"), percent)
+        grouped = grouped.unionByName(ws.stage(more, "grouped2"))
     rep_of = lambda e: e.join(member.select(F.col("doc_id").alias("da"), F.col("rep").alias("ra")), F.col("a") == F.col("da")).join(member.select(F.col("doc_id").alias("db"), F.col("rep").alias("rb")), F.col("b") == F.col("db")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    edges = ws.stage(rep_of(grouped.select("a", "b").where("a != b").unionByName(joined)), "edges1")
+    edges = ws.stage(rep_of(grouped.where("a IS NOT NULL").select("a", "b")), "edges1")
     # rows with one id in several classes are one node
     twice = member.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("doc_id").alias("id"))
     edges = edges.unionByName(member.join(twice, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     roots = components(edges, ws, "cc1")
-    ws.drop("grouped", "joined", "clusters")
 
     # 2. matrix
-    near = reps.select("doc_id", "n", "keys").join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), "keys")
+    near = reps.join(second.select(F.col("k2").alias("large")), F.col("k2") == F.col("large"), "left").join(roots, F.col("doc_id") == F.col("node"), "left")
+    near = near.select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), "k1", "large", "keys")
     near = ws.stage(near, "near")
 
     def shared(rows: DataFrame, name: str) -> DataFrame:
@@ -363,25 +362,29 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
         return ws.stage(tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo != hi").select("token", "rows"), name)
 
     live = shared(near, "live1")
-    frequent = np.sort(np.array([r.token for r in live.where(F.col("rows") > FREQUENT).orderBy(F.desc("rows"), "token").limit(FREQUENT_MOST).select("token").collect()], np.int64).view(_U))
+    often = live.where(F.col("rows") > FREQUENT).unionByName(grouped.where("token IS NOT NULL").select("token", F.lit(1 << 40).alias("rows")))
+    often = often.groupBy("token").agg(F.max("rows").alias("rows")).orderBy(F.desc("rows"), "token").limit(FREQUENT_MOST)
+    frequent = np.sort(np.array([r.token for r in often.select("token").collect()], np.int64).view(_U))
     if len(frequent):
         changed = reordered(docs, words, percent, frequent, doc_id, text)
         changed = changed.select(F.col("doc_id").alias("id"), F.col("n").alias("m"), F.col("keys").alias("new")).dropDuplicates(["id", "m"])
-        near = ws.stage(near.join(changed, (F.col("doc_id") == F.col("id")) & (F.col("n") == F.col("m")), "left").select("doc_id", "n", "comp", F.coalesce("new", "keys").alias("keys")), "near2")
+        near = ws.stage(near.join(changed, (F.col("doc_id") == F.col("id")) & (F.col("n") == F.col("m")), "left").select("doc_id", "n", "comp", "k1", "large", F.coalesce("new", "keys").alias("keys")), "near2")
         live = shared(near, "live2")
     sizes = near.groupBy("comp").agg(F.count("*").alias("members")).select(F.col("comp").alias("c"), "members")
     near = near.join(sizes, F.col("comp") == F.col("c")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / MATRIX_GROUP)).cast("int"))
-    rows = near.select("doc_id", "n", "comp", "part", F.explode("keys").alias("token")).join(live.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
+    rows = near.select("doc_id", "n", "comp", "part", "k1", "large", F.explode("keys").alias("token")).join(live.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
     rows = ws.stage(rows, "rows")
-    matrix = rows.groupBy(F.col("token").alias("g_token"), F.col("comp").alias("g_comp"), F.col("part").alias("g_part")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = rows.groupBy(F.col("token").alias("g_token"), F.col("comp").alias("g_comp"), F.col("part").alias("g_part"), F.col("k1").alias("g_k1"), F.col("large").alias("g_large")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = ws.stage(matrix, "matrix")
     n, low, high = F.col("n"), F.greatest("n", "low"), F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
-    met = rows.join(matrix, (F.col("token") == F.col("g_token")) & (F.col("comp") != F.col("g_comp")) & (high >= n) & (F.col("low") * percent <= n * 100))
-    open_groups = met.groupBy("doc_id", "n", "comp", "g_comp", "g_part").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # sets of one cluster have been compared
+    compared = (F.col("k1") != F.col("g_k1")) & F.coalesce(F.col("large") != F.col("g_large"), F.lit(True))
+    met = rows.join(matrix, (F.col("token") == F.col("g_token")) & (F.col("comp") != F.col("g_comp")) & compared & (high >= n) & (F.col("low") * percent <= n * 100))
+    open_groups = met.groupBy("doc_id", "n", "comp", "g_comp", "g_part", "g_k1", F.coalesce("g_large", F.lit(0)).alias("g_large")).agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
     open_groups = open_groups.where(F.col("c") >= tokens_needed(n, low, high, percent))
-    inner = near.select(F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.col("comp").alias("m_comp"), F.col("part").alias("m_part"))
+    inner = near.select(F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.col("comp").alias("m_comp"), F.col("part").alias("m_part"), F.col("k1").alias("m_k1"), F.coalesce("large", F.lit(0)).alias("m_large"))
     fits = (F.col("n_s") * percent <= F.col("n") * 100) & ((F.col("n_s") > F.col("n")) | ((F.col("n_s") == F.col("n")) & (F.col("s") > F.col("doc_id"))))
-    pairs = open_groups.join(inner, (F.col("g_comp") == F.col("m_comp")) & (F.col("g_part") == F.col("m_part")) & fits)
+    pairs = open_groups.join(inner, (F.col("g_comp") == F.col("m_comp")) & (F.col("g_part") == F.col("m_part")) & (F.col("g_k1") == F.col("m_k1")) & (F.col("g_large") == F.col("m_large")) & fits)
     pairs = ws.stage(pairs.select(F.col("doc_id").alias("q"), "s", F.least("comp", "g_comp").alias("ca"), F.greatest("comp", "g_comp").alias("cb"), "c"), "pairs")
     from pyspark.sql import Window
 
@@ -397,7 +400,7 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     if rest.head(1):
         links = links.unionByName(_verified(rest, docs, ws, "v2", words, percent, doc_id, text))
         roots = components(links, ws, "cc3")
-    ws.drop("near", "near2", "rows", "matrix", "live1", "live2", "reps")
+    ws.drop("near", "near2", "rows", "matrix", "live1", "live2", "reps", "grouped", "grouped2")
 
     # 3. every row
     full = table.select("doc_id", "n", "f1", "f2").join(cls, meets, "left")
