@@ -159,9 +159,9 @@ def q_page_title(read, spark):
     return read("pages").select("page_id", pages.title(F.col("html")).alias("title"))
 
 
-@query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href=["'']([^"''#]+)["'']', 1)) AS h, unnest(range(len(regexp_extract_all(html, '(?i)href=["'']([^"''#]+)["'']', 1)))) AS pos FROM pages),
-a AS (SELECT page_id, pos, CASE WHEN regexp_matches(h, '(?i)^https?://') THEN h WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h END AS u FROM (SELECT page_id, url, pos, trim(replace(h, '&amp;', '&')) AS h FROM l)),
-c AS (SELECT page_id, u, MIN(pos) AS pos FROM (SELECT page_id, pos, regexp_replace(u, '#.*$', '') AS u FROM a) WHERE u IS NOT NULL AND NOT regexp_matches(lower(u), '/feed|rss|\\.xml') GROUP BY 1, 2)
+@query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']+)["'']', 1)) AS h, unnest(range(len(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']+)["'']', 1)))) AS pos FROM pages),
+a AS (SELECT page_id, pos, CASE WHEN regexp_matches(h, '(?i)^https?://') THEN h WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h END AS u FROM (SELECT page_id, url, pos, trim(replace(h, '&amp;', '&')) AS h FROM l WHERE NOT starts_with(h, '#') AND NOT regexp_matches(lower(h), '/feed/|\\.rss|\\.xml'))),
+c AS (SELECT page_id, u, MIN(pos) AS pos FROM (SELECT page_id, pos, regexp_replace(u, '#.*$', '') AS u FROM a) WHERE u IS NOT NULL GROUP BY 1, 2)
 SELECT p.page_id, CAST(COUNT(u) AS BIGINT) AS n_links, COALESCE(string_agg(u, ' ' ORDER BY pos), '') AS links FROM pages p LEFT JOIN c USING (page_id) GROUP BY p.page_id""")
 def q_page_links(read, spark):
     """Absolute links of each page, in order."""

@@ -34,8 +34,14 @@ def meta(html: Column, name: str) -> Column:
     return F.coalesce(one, found(html, rf"(?is)<meta[^>]+content=[\"']([^\"']*)[\"'][^>]+(?:property|name)=[\"']{n}[\"']"))
 
 
+#: Addresses of feeds (fixed values).
+FEEDS = ("/feed/", ".rss", ".xml")
+
+
 def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(t.text(html), F.lit("(?i)href=[\"']([^\"'#]+)[\"']"), F.lit(1))
+    """Link values that aren't places of the same page or feeds."""
+    every = F.regexp_extract_all(t.text(html), F.lit("(?i)href\\s*=\\s*[\"']([^\"']+)[\"']"), F.lit(1))
+    return F.filter(every, lambda h: ~h.startswith("#") & ~t.matches_any(h, FEEDS))
 
 
 def absolute(link: Column, base: Column) -> Column:
@@ -56,7 +62,7 @@ def absolute(link: Column, base: Column) -> Column:
 def links(html: Column, base: Column) -> Column:
     """Absolute web addresses of a page in order, each once, without feeds."""
     every = F.transform(hrefs(html), lambda h: t.canonical_url(absolute(h, base)))
-    return F.array_distinct(F.filter(every, lambda u: u.isNotNull() & u.rlike("(?i)^https?://") & ~t.ignored(u)))
+    return F.array_distinct(F.filter(every, lambda u: u.isNotNull() & u.rlike("(?i)^https?://")))
 
 
 def pdf_links(html: Column, base: Column) -> Column:

@@ -41,7 +41,7 @@ CASES = [
     ("other color", {"name": "Bomper negro"}, {"title": "Bomper blanco Mazda CX5"}, None, 20, 60),
     ("other finish", {"name": "Bomper cromado"}, {"title": "Bomper mate Mazda CX5"}, None, 20, 58),
     ("preferred provider", {"name": "Farola"}, {"title": "Farola Mazda CX5"}, {"preferred_providers": ["p1"]}, 70, 100),
-    ("avoided provider", {"name": "Farola"}, {"title": "Farola Mazda CX5"}, {"avoided_providers": ["p1"]}, 20, 80),
+    ("avoided provider", {"name": "Farola completa cromo"}, {"title": "Farola Mazda CX5"}, {"avoided_providers": ["p1"]}, 20, 80),
     ("exact wanted", {"name": "Farola", "reference": "ZZ-9"}, {"title": "Farola Mazda CX5", "reference": "AB1"}, {"prefer_exact_reference": True}, 20, 72),
     ("foreign brand", {"name": "Farola"}, {"title": "Farola Renault CX5"}, None, 0, 0),
     ("line missing", {"name": "Farola"}, {"title": "Farola Mazda BT50"}, None, 0, 18),
@@ -50,11 +50,17 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("case", CASES, ids=[c[0] for c in CASES])
-def test_scores(spark, case):
-    _, ask, item, prefs, low, high = case
-    got = best(spark, ask, item, prefs)
-    assert low <= (got.score if got else 0) <= high
+def test_scores(spark):
+    """All cases as pairs of one table; a case whose pair is rejected has score 0."""
+    empty = {"preferred_providers": [], "avoided_providers": [], "preferred_brands": [], "avoided_brands": [], "prefer_exact_reference": False, "year_tolerance": 0, "max_options": None}
+    asks = [("q", name, a["name"], a.get("reference"), a.get("brand", "Mazda"), a.get("line", "CX5"), a.get("version"), a.get("year"), tuple((empty | (p or {})).values())) for name, a, _, p, _, _ in CASES]
+    asked = matching.prepare_requests(spark.createDataFrame(asks, f"{ASK}, prefs {matching.PREFS}"))
+    held = matching.prepare_items(items(spark, *(i | {"id": name} for name, _, i, _, _, _ in CASES)))
+    asked = asked.withColumnsRenamed({c: f"asked_{c}" for c in held.columns if c in asked.columns})
+    pairs = asked.join(held, F.col("part_id") == F.col("item_id"))
+    got = {r.part_id: r.score for r in matching.score(pairs).select("part_id", "score").collect()}
+    wrong = [(name, got.get(name, 0)) for name, _, _, _, low, high in CASES if not low <= got.get(name, 0) <= high]
+    assert not wrong
 
 
 def test_policy_of_providers(spark):
@@ -67,17 +73,18 @@ def test_policy_of_providers(spark):
 def test_equal_entries_count_once_and_ranks_are_in_order(spark):
     r = spark.createDataFrame([("q", "x", "Farola", None, "Mazda", "CX5", None, None)], ASK)
     rows = [{"title": "Farola Mazda CX5", "provider": "a"}, {"title": "FAROLA mazda cx5", "provider": "a"}, {"title": "Farola Mazda CX5", "provider": "b"}, {"title": "Exploradora Mazda CX5", "provider": "c"}]
-    got = matching.match(r, items(spark, *rows)).orderBy("rank").collect()
+    m = matching.match(r, items(spark, *rows)).cache()
+    got = m.orderBy("rank").collect()
     assert [x["provider_id"] for x in got][:2] == ["b", "a"] and [x["rank"] for x in got] == list(range(1, len(got) + 1)) and len(got) <= 3
-    rep = matching.report(r, matching.match(r, items(spark, *rows))).first()
+    rep = matching.report(r, m).first()
     assert (rep.parts_total, rep.parts_with_matches, rep.provider_hits) == (1, 1, {"b": 1})
-    options = review.review(matching.match(r, items(spark, *rows))).collect()
+    options = review.review(m).collect()
     assert len({o.provider_id for o in options}) == len(options) <= 3 and options[0].comment
 
 
 def test_reviewer_by_indexes(spark):
     r = spark.createDataFrame([("q", "x", "Farola", None, "Mazda", "CX5", None, None)], ASK)
-    c = matching.match(r, items(spark, {"title": "Farola Mazda CX5", "provider": "a"}, {"title": "Farola Mazda CX5", "provider": "b"}))
+    c = matching.match(r, items(spark, {"title": "Farola Mazda CX5", "provider": "a"}, {"title": "Farola Mazda CX5", "provider": "b"}), title_similarity=False).cache()
     answers = spark.createDataFrame([("x", [1, 7, 0])], "part_id string, indexes array<int>")
     got = review.review(c, lambda d: review.chosen_indexes(d, answers)).orderBy("option").collect()
     assert [o.provider_id for o in got] == ["a", "b"]
