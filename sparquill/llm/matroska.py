@@ -113,7 +113,7 @@ class Movie:
     scale: int = 1_000_000
     duration: float | None = None
     tracks: dict[int, dict] = field(default_factory=dict)
-    clusters: list[tuple[int, int]] = field(default_factory=list)
+    clusters: list[tuple[int, int, int]] = field(default_factory=list)
     packets: list[tuple] = field(default_factory=list)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     error: str | None = None
@@ -201,16 +201,16 @@ def _block(m: Movie, data: memoryview, a: int, b: int, time: int, key: bool | No
         at += n
 
 
-def _cluster(m: Movie, data: memoryview, a: int, b: int) -> int:
-    """Reads a cluster; returns where it ends, which an unknown size leaves to its contents."""
+def _cluster(m: Movie, data: memoryview, head: int, a: int, b: int) -> int:
+    """Reads a cluster (of clusters: body, time, start); returns where it ends, which an unknown size leaves to its contents."""
     time = 0
-    m.clusters.append((a, 0))
+    m.clusters.append((a, 0, head))
     for ident, start, body, stop in elements(data, a, b):
         if ident in TOP:
             return start
         if ident == CLUSTER_TIME:
             time = _uint(data, body, stop)
-            m.clusters[-1] = (a, time)
+            m.clusters[-1] = (a, time, head)
         elif ident == SIMPLE_BLOCK:
             _block(m, data, body, stop, time, None)
         elif ident == BLOCK_GROUP:
@@ -226,7 +226,7 @@ def _segment(m: Movie, data: memoryview, a: int, b: int) -> None:
     while at < b:
         ident, _, body, stop = next(elements(data, at, b))
         if ident == CLUSTER:
-            stop = _cluster(m, data, body, stop)
+            stop = _cluster(m, data, at, body, stop)
         elif ident == INFO:
             for i, _, x, y in elements(data, body, stop):
                 if i == TIMESTAMP_SCALE:
@@ -261,7 +261,7 @@ def _segment(m: Movie, data: memoryview, a: int, b: int) -> None:
 
 
 def parse(blob: bytes | memoryview) -> Movie:
-    m, data = Movie(), memoryview(blob)
+    m, data = Movie(), memoryview(blob).cast("B")
     try:
         for ident, _, body, stop in elements(data, 0, len(data)):
             if ident == SEGMENT:
@@ -292,8 +292,8 @@ def packet_table(files: DataFrame, media: str, key: str) -> DataFrame:
             for k, blob in zip(batch.column("_key"), batch.column("_media"), strict=True):
                 m = parse(blob.as_buffer()) if blob.is_valid else Movie()
                 cued = {place for *_, place in m.cues}
-                starts = [a for a, _ in m.clusters]
-                rows = [(p[0], m.tracks.get(p[0], {}).get("codec"), *p[1:], any(0 <= starts[p[2]] - c <= 12 for c in cued) and p[3] == 0 if len(cued) < 64 else True, None) for p in m.packets]
+                starts = [head for *_, head in m.clusters]
+                rows = [(p[0], m.tracks.get(p[0], {}).get("codec"), *p[1:], starts[p[2]] in cued, None) for p in m.packets]
                 rows += [(*[None] * 10, m.error)] if m.error else []
                 if rows:
                     names = ["track", "codec", "timestamp_ns", "cluster", "frame", "offset", "size", "keyframe", "lacing", "cue", "error"]

@@ -12,7 +12,8 @@ KEY = "k"
 
 def feistel(values, moduli, tweak):
     """The network in plain Python."""
-    v, half = list(values), len(values) // 2
+    v = list(values)
+    half = len(v) // 2
     for r in range(pseudonyms.ROUNDS):
         left = r % 2 == 0
         other = v[half:] if left else v[:half]
