@@ -17,6 +17,7 @@ special strings in a text are encoded as the library does by default.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,9 @@ from pyspark.sql import Window
 
 from .common import Workspace, small_batches, text_steps
 
-#: Words that a worker remembers between batches.
-CACHE = 500_000
+#: Words, and their pieces, that a worker remembers between batches.
+CACHE = 300_000
+PIECES = 600_000
 #: Pre-token pattern of the word vocabulary, after its normaliser (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _CONTROL = regex.compile("[\x1c-\x1f]")
@@ -54,25 +56,37 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
         if len(self.words) + len(words) > CACHE:
             self.words.clear()
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > PIECES:
             self.pieces.clear()
-        split: list[tuple[str, list[str]]] = []
-        whole: list[str] = []
+        # lists of texts only: nothing here for the garbage collector to follow
+        alone, alone_low, ended, ended_low, other, whole = [], [], [], [], [], []
         for w in words:
-            if max(w) < "Ā":  # composed, and lower-cased letter by letter
-                split.append((w, WORDS.findall(w.lower())))
-            else:
+            if not (w.isascii() or max(w) < "Ā"):  # not surely composed, or lower-cased letter by letter
                 whole.append(w)
-        new = list({p for _, parts in split for p in parts if p not in self.pieces})
-        self.pieces.update(zip(new, self._library(new), strict=True))
-        for w, parts in split:
-            self.words[w] = self.pieces[parts[0]] if len(parts) == 1 else b"".join([self.pieces[p] for p in parts])
-        self.words.update(zip(whole, self._library(whole), strict=True))
+            elif w.isalpha():
+                alone.append(w)
+                alone_low.append(w.lower())
+            elif w[-1] in ",." and w[:-1].isalpha():
+                ended.append(w)
+                ended_low.append(w[:-1].lower())
+            else:
+                other.append(w)
+        cut = [WORDS.findall(w.lower()) for w in other]
+        pieces = self.pieces
+        new = [p for p in {",", ".", *alone_low, *ended_low, *(p for parts in cut for p in parts)} if p not in pieces]
+        pieces.update(zip(new, self._library(new), strict=True))
+        known = self.words
+        known.update(zip(alone, map(pieces.__getitem__, alone_low), strict=True))
+        for w, low in zip(ended, ended_low, strict=True):
+            known[w] = pieces[low] + pieces[w[-1]]
+        for w, parts in zip(other, cut, strict=True):
+            known[w] = b"".join([pieces[p] for p in parts])
+        known.update(zip(whole, self._library(whole), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
