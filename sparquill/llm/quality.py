@@ -132,7 +132,7 @@ def fit(index: np.ndarray, value: np.ndarray, offsets: np.ndarray, labels: np.nd
     """Logistic loss by AdaGrad over shuffled small batches; the same rows give the same model."""
     rng = np.random.default_rng(seed)
     w = np.zeros(size, np.float32)
-    v = rng.normal(0, 0.02, (size, rank)).astype(np.float32)
+    v = (rng.normal(0, 0.02, (size, rank)) * (len(labels) > 0)).astype(np.float32)
     p = np.clip(labels.mean(), 0.02, 0.98) if len(labels) else 0.5
     m = Machine(float(np.log(p / (1 - p))), w, v)
     gw, gv, gb = np.full(size, 1e-4, np.float32), np.full((size, rank), 1e-4, np.float32), 1e-4
