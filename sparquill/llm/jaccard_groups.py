@@ -300,7 +300,9 @@ def tokens_needed(n: Column, low: Column, high: Column, percent: int) -> Column:
     miss = lambda x: x - F.floor((F.lit(percent) * x + 99) / 100)
     one = miss(n) + 1 - (n - overlap_needed(n, low, percent))
     two = miss(high) + 1 - (high - overlap_needed(n, high, percent))
-    return F.greatest(F.lit(1), F.least(one, two))
+    # rounding makes it rise at some sizes; what it exceeds, without rounding, only falls
+    least = F.floor(F.lit(percent) * (n * 100 - high * percent) / F.lit(100 * (100 + percent))) + 1
+    return F.greatest(F.lit(1), F.least(one, F.when(low == high, two).otherwise(least)))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, k: int, percent: int, doc_id: str, text: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import same_as_sql
 
@@ -126,3 +128,29 @@ def test_near_join_of_edited_copies(spark, monkeypatch, small):
 def test_near_join_of_nothing(spark):
     assert check(spark, [], 5, 80) == []
     assert len(check(spark, [(1, None)], 5, 80)) == 1
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_tokens_needed_holds_for_all_sizes_of_a_group(spark, percent):
+    from pyspark.sql import functions as F
+
+    need = lambda n, x: min(jaccard_groups.missable(n, percent) + 1 - n, jaccard_groups.missable(x, percent) + 1 - x) + -(-percent * (n + x) // (100 + percent))
+    sizes = [(n, low, high) for n in range(1, 121) for low in range(n, n * 100 // percent + 1) for high in range(low, n * 100 // percent + 1)]
+    got = spark.createDataFrame(sizes, "n long, low long, high long").withColumn("c", jaccard_groups.tokens_needed(F.col("n"), F.col("low"), F.col("high"), percent)).collect()
+    assert len(got) == len(sizes)
+    for r in got:
+        assert 1 <= r.c <= max(1, min(need(r.n, x) for x in range(r.low, r.high + 1))), r
+        assert r.low < r.high or r.c == max(1, need(r.n, r.low))
+
+
+@pytest.mark.parametrize(("percent", "n", "x"), [(85, 18, 19), (80, 13, 14), (80, 17, 19)])
+def test_near_join_with_a_group_of_two_sizes(spark, percent, n, x):
+    """q links with s by one first token; s and s2, a token larger, are one group."""
+    words = [f"w{i}" for i in range(60)]
+    hashes = np.concatenate(jaccard_groups.shingles(pa.array(words), 1))
+    words = [words[i] for i in np.argsort(hashes)]
+    o = -(-percent * (n + x) // (100 + percent))
+    only_s, more, both, only_q = words[: x - o], words[x - o], words[x - o + 1 : x + 1], words[x + 1 : x + 1 + n - o]
+    rows = [(1, " ".join(both + only_q)), (2, " ".join(only_s + both)), (3, " ".join([*only_s, more, *both]))]
+    got = check(spark, rows, 1, percent)
+    assert {r.component_id for r in got} == {1}
