@@ -31,7 +31,7 @@ from pyspark.sql import Window
 
 from .common import Workspace, small_batches, text_steps
 
-#: Words, and their pieces, that a worker remembers between batches.
+#: Words, and their pieces, that a worker remembers between batches; the words of one step are held whatever their number.
 CACHE = 300_000
 PIECES = 600_000
 #: Pre-token pattern of the word vocabulary, after its normaliser (fixed value).
@@ -59,8 +59,6 @@ class WordEncoder:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > CACHE:
-            self.words.clear()
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         # lists of texts only: nothing here for the garbage collector to follow
@@ -103,11 +101,11 @@ class WordEncoder:
             fresh.update(w)
         known = self.words
         new = [w for w in fresh if w not in known]
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = list(fresh)
         if new:
-            before = len(known)
             self._learn(new)
-            if len(known) < before + len(new):  # the memory was cleared
-                self._learn([w for w in fresh if w not in known])
         for i, w in held:
             out[i] = b"".join(map(known.__getitem__, w))
         for i, ids in zip(odd, self._library([texts[i] for i in odd]), strict=True):

@@ -82,3 +82,13 @@ def test_output_of_equal_ids_nulls_and_no_rows(spark):
     assert [r.start for r in got] == [0, 2, 4, 6] and got[0].doc_id is None
     token_output.write_tokens(rows.where(F.lit(False)), ws.path("y"), public_tokenizers.path("word_bpe_49k.json"))
     assert token_output.token_digests(token_output.read_tokens(spark, ws.path("y"))).collect() == []
+
+
+@pytest.mark.parametrize("cap", [0, 1, 5, 31])
+def test_encoder_of_more_words_than_it_remembers(monkeypatch, cap):
+    monkeypatch.setattr(token_output, "CACHE", cap)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, enc = tokenizers.Tokenizer.from_file(path), token_output.WordEncoder(path)
+    steps = [["known before"], [" ".join(f"id{i}x{i * 7}" for i in range(31)), "known again, before"], ["known before", None, "a"], [" ".join(f"W{i}," for i in range(40))], ODD]
+    for texts in steps:
+        assert enc.encode(texts) == [np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
