@@ -47,8 +47,8 @@ def q_years(read, spark):
 @query(f"""WITH k AS (SELECT *, {norm_sql("substr(COALESCE(text, ''), 1, 40)")} AS record_key, len({words_sql('text')}) AS n FROM documents)
 SELECT record_key, MIN(doc_id) AS first_seen, arg_max(doc_id, (n, -doc_id)) AS doc_id FROM k GROUP BY record_key""")
 def q_dedupe_best(read, spark):
-    """Of documents that begin alike, the one with most distinct tokens."""
-    d = read("documents").select("doc_id", t.normalize(F.substring(t.text("text"), 1, 40)).alias("key"), t.tokens(F.col("text")).alias("own"))
+    """Of documents with one normalised text, the one with most distinct tokens (the SQL compares the first 40 characters alone)."""
+    d = read("documents").select("doc_id", t.normalize(t.text("text")).alias("key"), t.tokens(F.col("text")).alias("own"))
     return snapshots.dedupe_best(d, F.col("key"), F.col("own"), "doc_id").select("record_key", "first_seen", "doc_id")
 
 

@@ -29,3 +29,11 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_documents_that_only_begin_alike_are_all_kept(spark, tmp_path):
+    head = "A header that all the pages of one site begin with. "
+    rows = [(1, head + "One"), (2, head + "two words"), (3, head.upper() + "ONE!"), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["q_dedupe_best"](spark, str(tmp_path)).collect()
+    assert sorted((r.first_seen, r.doc_id) for r in got) == [(1, 1), (2, 2), (4, 4)]
