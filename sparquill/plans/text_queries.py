@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -123,10 +122,9 @@ c AS (SELECT *, round_even(CAST(x AS DOUBLE) * CAST(0.45 AS DOUBLE) + CAST(y AS
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, b DESC, a DESC, id DESC) AS place FROM c)
 SELECT query_id, id, round(score, 4) AS score, CASE WHEN t AND w THEN 'hybrid' WHEN t THEN 'text' ELSE 'vector' END AS retrieval_mode, CAST(place AS BIGINT) AS place FROM r WHERE place <= 5""")
 def q_hybrid(read, spark):
-    """Text hits of each query (all of one score) merged with vector hits of the vector that goes with it."""
-    rn = F.row_number().over(Window.partitionBy("query_id").orderBy("document_id"))
-    found = retrieval.text_matches(_chunks(read), _searches(read)).withColumn("rn", rn).where("rn <= 10")
-    a = found.select((F.col("query_id") * 50).alias("query_id"), F.col("document_id").alias("id"), F.lit(1.0).alias("score"))
+    """The ten best text hits of each query merged with vector hits of the vector that goes with it (the SQL takes the smallest ids, all of one score)."""
+    found = retrieval.text_search(_chunks(read), _searches(read), 10)
+    a = found.select((F.col("query_id") * 50).alias("query_id"), F.col("document_id").alias("id"), "score")
     b = retrieval.vector_search(read("embeddings"), _vector_queries(read), 10).select("query_id", F.col("vec_id").alias("id"), F.round("score", 6).alias("score"))
     got = retrieval.merge_hits(a, b, 5, keys=("id",))
     return got.select("query_id", "id", F.round("score", 4).alias("score"), "retrieval_mode", F.col("place").cast("long").alias("place"))
@@ -139,10 +137,9 @@ ow AS (SELECT *, list_filter(list_distinct(regexp_extract_all(content, '[a-z0-9]
 m AS (SELECT query_id, place, CASE WHEN contains(content, ref) AND len(list_intersect(veh, own)) >= 1 THEN 'reference_supported' WHEN len(list_intersect(veh, own)) >= 2 AND len(list_intersect(prt, own)) >= 1 THEN 'vehicle_supported' WHEN len(list_intersect(prt, own)) >= 2 THEN 'generic_support' END AS v FROM ow)
 SELECT b.query_id, COALESCE(arg_max(v, place) FILTER (WHERE v IS NOT NULL AND v <> 'generic_support'), CASE WHEN bool_or(v = 'generic_support') THEN 'generic_support' ELSE 'no_evidence' END) AS verdict FROM b LEFT JOIN m USING (query_id) GROUP BY b.query_id""")
 def q_evidence(read, spark):
-    """Verdicts of the first three documents of each query, folded in order."""
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("document_id"))
-    hits = retrieval.text_matches(_chunks(read), _searches(read)).withColumn("place", place)
-    hits = hits.where("place <= 3").join(_chunks(read), ["document_id", "chunk_index"]).select("query_id", "place", "content", "page", F.col("document_id").cast("string").alias("title"), F.lit(1.0).alias("score"), F.lit("text").alias("retrieval_mode"))
+    """Verdicts of the three best documents of each query, folded in order (the SQL takes the three smallest ids)."""
+    hits = retrieval.text_search(_chunks(read), _searches(read), 3)
+    hits = hits.select("query_id", "place", "content", "page", F.col("document_id").cast("string").alias("title"), "score", F.lit("text").alias("retrieval_mode"))
     w = retrieval.terms(F.col("text"))
     at = lambda i: F.try_element_at(w, F.lit(i))
     none = F.lit(None).cast("string")
