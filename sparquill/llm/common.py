@@ -72,6 +72,22 @@ def text_steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> I
         yield batch.slice(first)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches joined, and split, so that each one's texts hold about ``limit`` bytes; a longer text stands alone."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        for part in text_steps(batch, column, limit):
+            n = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and total + n > limit:
+                yield held[0] if len(held) == 1 else pa.concat_batches(held)
+                held, total = [], 0
+            held.append(part)
+            total += n
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after another, and the offsets of each (null: empty)."""
     if column.null_count:

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -91,4 +93,22 @@ def test_encoder_of_more_words_than_it_remembers(monkeypatch, cap):
     lib, enc = tokenizers.Tokenizer.from_file(path), token_output.WordEncoder(path)
     steps = [["known before"], [" ".join(f"id{i}x{i * 7}" for i in range(31)), "known again, before"], ["known before", None, "a"], [" ".join(f"W{i}," for i in range(40))], ODD]
     for texts in steps:
-        assert enc.encode(texts) == [np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        check_encoder(enc, lib, texts)
+
+
+def check_encoder(enc, lib, texts):
+    ids, at = enc.encode(pa.array(texts, pa.string()))
+    got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("step", [1 << 22, 40])
+def test_encoder_equals_the_library_on_random_texts(monkeypatch, step):
+    """Signs whose class, case or composition matters, in any order; also with texts cut into windows."""
+    monkeypatch.setattr(token_output, "STEP_BYTES", step)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, enc = tokenizers.Tokenizer.from_file(path), token_output.WordEncoder(path)
+    signs = [*"''smtdrevlabXYZ019 .,-\n\t\x1c\x85\xa0\xad", "ª", "µ", "º", "²", "½", "×", "÷", "ß", "É", "ÿ", "Þ", "À", "é", "\u0301", "\u030a", "Ā", "İ", "Σ", "你", "\u2003", "\u200b", "😀", "'s", "'re", "'LL", "<|endoftext|>"]
+    pick = random.Random(7)
+    for _ in range(40):
+        check_encoder(enc, lib, ["".join(pick.choices(signs, k=pick.randrange(60))) for _ in range(50)])
