@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import retention, snapshots, store, views
+from ..shared import shared_folder
 from ..streaming import incremental
 from .registry import query
 
@@ -204,17 +205,15 @@ def q_new_keys(read, spark):
 @query("""SELECT user_id, MIN(event_id) AS first_event, COUNT(*) AS events FROM events GROUP BY user_id""")
 def q_stream_dedupe(read, spark):
     """Events as a stream of files: each id once by an idempotent sink, then counted; equals the batch."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sparquill-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     e = read("events").select("event_id", "user_id", "ts")
-    e.write.parquet(f"{root}/in/a")
-    # everything lands a second time
-    e.write.parquet(f"{root}/in/b")
-    sink = incremental.idempotent_append(spark, f"{root}/out", ["event_id"])
-    q = incremental.run_stream(spark, f"{root}/in/*", e.schema, sink, f"{root}/checkpoint", ["event_id"], None)
+    # three files, each of which comes in a batch of its own; the second repeats half of the first, the third all
+    for name, part in (("a", e.where("event_id % 2 = 0")), ("b", e.where("event_id % 4 <> 2")), ("c", e)):
+        part.coalesce(1).write.parquet(f"{root}/in/{name}")
+    sink = incremental.idempotent_append(spark, f"{root}/out", ["event_id"], buckets=8)
+    q = incremental.run_stream(spark, f"{root}/in/*", e.schema, sink, f"{root}/checkpoint", ["event_id"], None, files_per_batch=1)
     q.awaitTermination()
-    got = spark.read.parquet(f"{root}/out")
+    got = incremental.appended(spark, f"{root}/out")
     return got.groupBy("user_id").agg(F.min("event_id").alias("first_event"), F.count("*").alias("events"))

@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import exists
+
 
 def new_keys(current: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't known yet."""
@@ -52,33 +54,58 @@ def changed(files: DataFrame, before: DataFrame) -> DataFrame:
     return d.select(F.coalesce("path", "p").alias("path"), change.alias("change")).where(F.col("change").isNotNull())
 
 
-def run_stream(spark: SparkSession, source: str, schema, process: Callable[[DataFrame, int], None], checkpoint: str, keys: list[str], watermark: tuple[str, str] | None = None, once: bool = True, every: str = "2 seconds", fmt: str = "parquet"):
+def run_stream(spark: SparkSession, source: str, schema, process: Callable[[DataFrame, int], None], checkpoint: str, keys: list[str], watermark: tuple[str, str] | None = None, once: bool = True, every: str = "2 seconds", fmt: str = "parquet", files_per_batch: int | None = None):
     """A file stream, each key once, to ``process(batch, number)``.
 
     With a watermark (time column, delay) the state of seen keys is bounded; without,
     ``process`` must skip known keys itself (``new_keys``), as tables of processed keys
     outlive any stream. ``once`` takes what is there and stops.
     """
-    stream = spark.readStream.format(fmt).schema(schema).load(source)
+    reader = spark.readStream.format(fmt).schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.load(source)
     if watermark:
         stream = stream.withWatermark(*watermark).dropDuplicatesWithinWatermark(keys)
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def idempotent_append(spark: SparkSession, target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A sink that appends rows whose keys the target lacks, each once."""
+BUCKETS = 256
+
+
+def idempotent_append(spark: SparkSession, target: str, keys: list[str], stream: str = "stream", buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A sink that appends rows whose keys the target lacks, each once.
+
+    A batch writes to a folder of its own, named by ``stream`` (one name for each
+    checkpoint that writes to the target) and the batch's number. Spark runs a batch
+    again if it stopped before its commit: then the batch's earlier rows don't count
+    as known, and the folder is written anew with all of them. Rows lie in buckets of
+    their keys' hash, so a batch reads known keys of its own buckets only. Null keys
+    are equal to each other.
+    """
 
     def process(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(keys)
-        fs = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
-            rows = rows.join(spark.read.parquet(target).select(*keys), keys, "left_anti")
-        # a batch has a folder of its own: written again after a failure, it takes its own place
-        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        rows = batch.dropDuplicates(keys).withColumn("_bucket", bucket)
+        if exists(spark, target):
+            known = spark.read.option("basePath", target).parquet(target)
+            known = known.where((F.col("_stream") != stream) | (F.col("_batch") != number))
+            mine = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
+            known = known.where(F.col("_bucket").isin(mine)).select(F.col("_bucket").alias("_known"), *(F.col(k).alias(f"_known_{k}") for k in keys))
+            same = F.col("_bucket") == F.col("_known")
+            for k in keys:
+                same &= F.col(k).eqNullSafe(F.col(f"_known_{k}"))
+            rows = rows.join(known, same, "left_anti")
+        rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{target}/_stream={stream}/_batch={number}")
 
     return process
 
 
+def appended(spark: SparkSession, target: str) -> DataFrame:
+    """What such a sink wrote, without its own columns."""
+    return spark.read.option("basePath", target).parquet(target).drop("_stream", "_batch", "_bucket")
+
+
 def poll_line(cursor_date: Column, processed: Column, failed: Column, seconds: int) -> Column:
     return F.format_string("cursor=%s processed=%d failed=%d next=%ds", F.coalesce(cursor_date.cast("string"), F.lit("-")), processed, failed, F.lit(seconds))
