@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
+
 #: Bytes of text that one numpy step holds, whatever the size of an Arrow batch.
 STEP_BYTES = 4 << 20
 #: Rows that the JVM hands to Python at once; very long texts then stay within memory.
@@ -28,20 +29,24 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-class Workspace:
-    """Staged tables in the folder that all executors share.
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each behind as many underscores as no column has in any case of letters."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, a
-    single machine) a temporary one is made.
-    """
+
+class Workspace:
+    """Staged tables in the folder that all executors share (``shared_folder``)."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = tempfile.mkdtemp(prefix="sparquill-")
-            spark.sparkContext.setCheckpointDir(base)
-        self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

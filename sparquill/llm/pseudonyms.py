@@ -6,14 +6,26 @@ becomes a vector of numbers with a modulus each: digits mod 10, letters mod 26,
 octets mod 256, a date two numbers mod 270 (72,900 days from 1900-01-01), parts of
 a social security number by their ranges. Rounds of an unbalanced Feistel network
 add to one half what a keyed hash of the other half says, so every format is
-permuted onto itself: the result is valid, keeps length, separators and letter
-case, and equal values get equal pseudonyms in all documents. Check digits are
-computed anew.
+permuted onto itself: the result is valid, keeps length (but for octets of an
+address), separators and letter case, and equal values get equal pseudonyms in all documents. Check digits are
+computed anew. What is permuted is the bare value: separators take no part, so a
+card, an IBAN or a phone number has one pseudonym in all notations, with or without
+its country code, and a date one in all its forms.
+
+Candidates: mail addresses; phones after + or with a bracketed area code, and ten
+digits parted by - or . whose area is no less than 200 (a 1 may stand before them);
+IPv4; dates as year-month-day with - or /, day.month.year and day/month/year, or
+month/day/year where that is the only valid reading; social security numbers with
+hyphens; cards; IBANs in capitals; secrets of 32 to 64 hexadecimal digits of one case
+and keys with the prefixes in ``KEYS``. Digits without form (a bare ten-digit number,
+a social security number without hyphens) stay: nothing tells them from others.
 
 Defined results: a null or empty text stays as it is; candidates that aren't valid
 and all other text stay as they are; a value that stands glued to word characters
 isn't a candidate; of a mail address the part before @ is permuted and letters
-outside a-z stay. Other columns pass through; repeated rows get equal texts.
+outside a-z stay. A month-first date stays month-first. Other columns pass through
+whatever their names, but for ``found``, which is replaced; repeated rows get equal
+texts; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,21 +33,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 8
 DAYS = 270 * 270
 EPOCH = "1900-01-01"
 
-_EDGE, _STOP = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+_STOP = r"(?![\p{L}\p{N}_])"
+#: Prefixes of keys, which stay, and the form of what follows (fixed values).
+KEYS = {"(?:AKIA|ASIA)": "[0-9A-Z]{16}", "gh[opsu]_": "[0-9A-Za-z]{36,}", "sk-": "[0-9A-Za-z_-]{20,}", "xox[abprs]-": "[0-9A-Za-z-]{10,}", "AIza": "[0-9A-Za-z_-]{35}", "glpat-": "[0-9A-Za-z_-]{20,}"}
+_HEX = r"[0-9a-f]{32,64}|[0-9A-F]{32,64}"
+#: Country codes of the international numbering plan: one digit, two, or any three (fixed values).
+_COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Kind of value and the form of its candidates, in the order they are tried.
 FORMS = {
     "email": r"[\p{L}\p{N}._%+-]*[\p{L}\p{N}_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|(?:1-)?[2-9]\d{2}-\d{3}-\d{4}|(?:1\.)?[2-9]\d{2}\.\d{3}\.\d{4}",
     "ip": r"(?:\d{1,3}\.){3}\d{1,3}(?!\.\d)",
-    "date": r"\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4}",
+    "date": r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./]\d{2}[./]\d{4}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "card": r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?",
-    "secret": r"[0-9a-f]{32,64}|[0-9A-F]{32,64}",
+    "secret": "|".join([_HEX, *(a + b for a, b in KEYS.items())]),
 }
 KINDS = tuple(FORMS)
 
@@ -113,10 +132,10 @@ def _letters(s: Column, key: str, tweak: str, hexadecimal: bool = False) -> Colu
     return _once(_chars(s), back)
 
 
-def _refill(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits replaced, in order."""
-    place = F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: F.when(F.substring(shape, i, F.lit(1)).rlike(r"^\d$"), F.length(_digits(F.substring(shape, F.lit(1), i)))))
-    return _once(digits, lambda d: F.array_join(F.zip_with(_chars(shape), place, lambda c, p: F.when(p.isNull(), c).otherwise(F.substring(d, p, F.lit(1)))), ""))
+def _refill(shape: Column, filling: Column, places: str = "0-9") -> Column:
+    """``shape`` with its digits (or what ``places`` says) replaced, in order."""
+    place = F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: F.when(F.substring(shape, i, F.lit(1)).rlike(f"^[{places}]$"), F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), f"[^{places}]", ""))))
+    return _once(filling, lambda d: F.array_join(F.zip_with(_chars(shape), place, lambda c, p: F.when(p.isNull(), c).otherwise(F.substring(d, p, F.lit(1)))), ""))
 
 
 def _numbers(d: Column, key: str, tweak: str) -> Column:
@@ -164,14 +183,16 @@ def iban_valid(s: Column) -> Column:
 
 
 def _iban(s: Column, key: str) -> Column:
+    """The country stays; all else of the bare value is permuted, then parted as it was."""
+    bare = F.replace(s, F.lit(" "), F.lit(""))
     country = F.substring(s, F.lit(1), F.lit(2))
-    rest = _letters(F.substring(s, F.lit(5), F.length(s)), key, "iban")
+    rest = _letters(F.substring(bare, F.lit(5), F.length(bare)), key, "iban")
 
     def close(r: Column) -> Column:
-        check = 98 - _mod97(F.concat(F.replace(r, F.lit(" "), F.lit("")), country, F.lit("00")))
+        check = 98 - _mod97(F.concat(r, country, F.lit("00")))
         return F.concat(country, F.lpad(check.cast("string"), 2, "0"), r)
 
-    return _once(rest, close)
+    return _refill(s, _once(rest, close), "0-9A-Z")
 
 
 def ip_valid(s: Column) -> Column:
@@ -183,14 +204,28 @@ def _ip(s: Column, key: str) -> Column:
     return F.array_join(F.transform(permute(o, F.array(*[F.lit(256)] * 4), key, F.lit("ip")), lambda x: x.cast("string")), ".")
 
 
+def _parts(s: Column, *places: int) -> Column:
+    """A date of its year, month and day, each where it stands in the text."""
+    year, month, day = places
+    return F.try_to_date(F.concat_ws("-", F.substring(s, year, 4), F.substring(s, month, 2), F.substring(s, day, 2)), "yyyy-MM-dd")
+
+
+def _year_first(s: Column) -> Column:
+    return F.substring(s, 5, 1).isin("-", "/")
+
+
+def _month_first(s: Column) -> Column:
+    """Whether only this reading of month/day/year makes a date."""
+    return ~_year_first(s) & (F.substring(s, 3, 1) == "/") & _parts(s, 7, 4, 1).isNull()
+
+
 def _date(s: Column) -> Column:
-    iso = F.when(F.substring(s, 5, 1) == "-", s).otherwise(F.concat_ws("-", F.substring(s, 7, 4), F.substring(s, 4, 2), F.substring(s, 1, 2)))
-    return F.try_to_date(iso, "yyyy-MM-dd")
+    return F.when(_year_first(s), _parts(s, 1, 6, 9)).otherwise(F.coalesce(_parts(s, 7, 4, 1), F.when(F.substring(s, 3, 1) == "/", _parts(s, 7, 1, 4))))
 
 
 def date_valid(s: Column) -> Column:
-    same = F.substring(s, 3, 1) == F.substring(s, 6, 1)
-    return _date(s).isNotNull() & (_date(s) >= F.lit("1000-01-01").cast("date")) & ((F.substring(s, 5, 1) == "-") | same)
+    same = F.when(_year_first(s), F.substring(s, 5, 1) == F.substring(s, 8, 1)).otherwise(F.substring(s, 3, 1) == F.substring(s, 6, 1))
+    return _date(s).isNotNull() & (_date(s) >= F.lit("1000-01-01").cast("date")) & same
 
 
 def _other_date(s: Column, key: str) -> Column:
@@ -200,9 +235,9 @@ def _other_date(s: Column, key: str) -> Column:
 
     def put(p: Column) -> Column:
         new = F.date_add(F.lit(EPOCH).cast("date"), block * DAYS + F.element_at(p, 1) * 270 + F.element_at(p, 2))
-        sep = F.substring(s, 3, 1)
-        dmy = F.concat(F.date_format(new, "dd"), sep, F.date_format(new, "MM"), sep, F.date_format(new, "yyyy"))
-        return F.when(F.substring(s, 5, 1) == "-", F.date_format(new, "yyyy-MM-dd")).otherwise(dmy)
+        y, m, d = (F.date_format(new, x) for x in ("yyyy", "MM", "dd"))
+        sep = F.when(_year_first(s), F.substring(s, 5, 1)).otherwise(F.substring(s, 3, 1))
+        return F.when(_year_first(s), F.concat(y, sep, m, sep, d)).when(_month_first(s), F.concat(m, sep, d, sep, y)).otherwise(F.concat(d, sep, m, sep, y))
 
     return _once(permute(pair, F.array(F.lit(270), F.lit(270)), key, F.concat(F.lit("date"), block.cast("string"))), put)
 
@@ -233,15 +268,33 @@ def phone_valid(s: Column) -> Column:
 
 
 def _phone(s: Column, key: str) -> Column:
-    """The country code stays; the national number is permuted, whatever its separators."""
-    code = F.regexp_extract(s, r"^\+\d{1,3}(?=[ .(-])", 0)
-    rest = F.substring(s, F.length(code) + 1, F.length(s))
-    return F.concat(code, _refill(rest, _numbers(_digits(rest), key, "phone")))
+    """The country code stays; the national number is permuted, whatever its separators.
+
+    In ten digits of the American plan the first of area and of exchange stays below 2
+    or stays above 1, so what is a number there remains one.
+    """
+    bare = _digits(s)
+    country = F.when(s.startswith("+"), F.regexp_extract(bare, _COUNTRY, 0)).when(s.rlike(r"^1[-.]"), "1").otherwise("")
+
+    def number(d: Column) -> Column:
+        american = (F.length(d) == 10) & country.isin("", "1")
+        least = lambda c, i: F.when(american & i.isin(0, 3) & (c >= 2), 2).otherwise(0)
+        digits = F.transform(_chars(d), lambda c: c.cast("int"))
+        moduli = F.transform(digits, lambda c, i: F.when(american & i.isin(0, 3), F.when(c >= 2, 8).otherwise(2)).otherwise(10))
+        new = permute(F.transform(digits, lambda c, i: c - least(c, i)), moduli, key, F.lit("phone"))
+        return F.array_join(F.zip_with(new, F.transform(digits, least), lambda x, y: (x + y).cast("string")), "")
+
+    return _refill(s, F.concat(country, _once(F.substring(bare, F.length(country) + 1, F.length(bare)), number)))
+
+
+def _secret(s: Column, key: str) -> Column:
+    prefix = F.regexp_extract(s, f"^(?:{'|'.join(KEYS)})", 0)
+    return F.when(s.rlike(f"^(?:{_HEX})$"), _letters(s, key, "secret", True)).otherwise(F.concat(prefix, _letters(F.substring(s, F.length(prefix) + 1, F.length(s)), key, "secret")))
 
 
 def kind_of(s: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     """The kind of a candidate, null if it isn't valid."""
-    valid = {"email": F.lit(True), "phone": phone_valid(s), "ip": ip_valid(s), "date": date_valid(s), "ssn": ssn_valid(s), "card": card_valid(s), "iban": iban_valid(s), "secret": s.rlike("[0-9]") & s.rlike("[a-fA-F]")}
+    valid = {"email": F.lit(True), "phone": phone_valid(s), "ip": ip_valid(s), "date": date_valid(s), "ssn": ssn_valid(s), "card": card_valid(s), "iban": iban_valid(s), "secret": s.rlike("[0-9]") & s.rlike("[a-zA-Z]")}
     out = F
     for k in kinds:
         test = s.rlike(f"^(?:{FORMS[k]})$")
@@ -250,7 +303,7 @@ def kind_of(s: Column, kinds: tuple[str, ...] = KINDS) -> Column:
 
 
 def pseudonym(s: Column, kind: Column, key: str, kinds: tuple[str, ...] = KINDS) -> Column:
-    make = {"email": _email, "phone": _phone, "ip": _ip, "date": _other_date, "ssn": _ssn, "card": _card, "iban": _iban, "secret": lambda s, k: _letters(s, k, "secret", True)}
+    make = {"email": _email, "phone": _phone, "ip": _ip, "date": _other_date, "ssn": _ssn, "card": _card, "iban": _iban, "secret": _secret}
     out = F
     for k in kinds:
         out = out.when(kind == k, make[k](s, key))
@@ -260,13 +313,14 @@ def pseudonym(s: Column, kind: Column, key: str, kinds: tuple[str, ...] = KINDS)
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Rows of ``docs`` with ``text`` changed and ``found``: for each valid value its kind, in order."""
     pattern = _pattern(kinds)
-    taken = [c for c in docs.columns if c != "found"]
-    hits = docs.select(*taken).withColumn("_hits", F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
-    marked = hits.withColumn("_kinds", F.transform("_hits", lambda s: kind_of(s, kinds)))
-    new = F.zip_with("_hits", "_kinds", lambda s, k: F.when(k.isNull(), s).otherwise(pseudonym(s, k, key, kinds)))
+    taken = [c for c in docs.columns if c.lower() != "found"]
+    values, named = fresh(docs.columns, "hits", "kinds")
+    hits = docs.select(*taken).withColumn(values, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
+    marked = hits.withColumn(named, F.transform(values, lambda s: kind_of(s, kinds)))
+    new = F.zip_with(values, named, lambda s, k: F.when(k.isNull(), s).otherwise(pseudonym(s, k, key, kinds)))
     # gaps and values take turns; the pattern finds the same places in both
     gaps = F.split(F.col(text), pattern, -1)
     whole = F.array_join(F.zip_with(gaps, new, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
-    changed = F.when(F.exists("_kinds", lambda k: k.isNotNull()), whole).otherwise(F.col(text))
-    found = F.array_compact(F.coalesce("_kinds", F.array().cast("array<string>")))
+    changed = F.when(F.exists(named, lambda k: k.isNotNull()), whole).otherwise(F.col(text))
+    found = F.array_compact(F.coalesce(named, F.array().cast("array<string>")))
     return marked.withColumn(text, changed).withColumn("found", found).select(*taken, "found")

@@ -1,6 +1,8 @@
 import datetime
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,7 +54,8 @@ def test_values_keep_their_formats_and_stay_linked(spark):
     assert mail.split("@")[0] == "".join(chr(97 + v) if c.isalpha() else str(v) if c.isdigit() else c for c, v in zip("ana.55", feistel([0, 13, 0, 0, 5, 5], [26, 26, 26, 1, 10, 10], "email"), strict=True))
     a, b = re.findall(r"\(\d{3}\) \d{3}-\d{4}", got[2].text)
     assert a == b and got[2].text.startswith("call +1 ")
-    assert re.sub(r"\D", "", a) == "".join(map(str, feistel([0, 1, 7, 5, 5, 5, 7, 7, 1, 3], [10] * 10, "phone")))
+    want = feistel([0, 1, 7, 5 - 2, 5, 5, 7, 7, 1, 3], [2, 10, 10, 8, 10, 10, 10, 10, 10, 10], "phone")
+    assert re.sub(r"\D", "", a) == "".join(str(v + 2 * (i == 3)) for i, v in enumerate(want))
     one, two = re.findall(r"4[\d ]{15,18}(?=[,.])", got[3].text)
     assert luhn(one) and one == two.replace(" ", "") and got[3].found == ["card", "card"]
     assert one[1:15] == "".join(map(str, feistel(map(int, "92934838514630"), [10] * 14, "card")))
@@ -105,3 +108,80 @@ def test_documents(spark):
             seen += 1
             assert v not in r.text, v
     assert seen > 5
+
+
+#: Notations of one value of each kind, and of another that must get another pseudonym.
+NOTATIONS = {
+    "phone": (["+1 555 223 4567", "+15552234567", "+1-555-223-4567", "+1 (555) 223-4567", "(555) 223-4567", "(555)2234567", "555-223-4567", "555.223.4567", "1-555-223-4567", "1.555.223.4567"], ["555-223-4568", "(556) 223-4567"]),
+    "phone of another country": (["+49 89 1234 5678", "+498912345678", "+49-89-1234-5678", "+49 8912 345678"], ["+49 89 1234 5679", "+4989123456780"]),
+    "iban": (["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"], ["GB82 WEST 1234 5698 7654 32"]),
+    "card": (["4929348385146306", "4929 3483 8514 6306", "4929-3483-8514-6306"], ["5425233430109903"]),
+    "date": (["2024-12-25", "2024/12/25", "25/12/2024", "25.12.2024", "12/25/2024"], ["2024-12-26", "12/24/2024"]),
+}
+
+
+def test_one_value_has_one_pseudonym_in_every_notation(spark):
+    texts = [(k, same, v) for k, both in NOTATIONS.items() for same, vs in zip((True, False), both, strict=True) for v in vs]
+    got = change(spark, [f"so {v}, and again ({v})." for _, _, v in texts])
+    bare = {}
+    for i, (kind, same, v) in enumerate(texts):
+        new = re.fullmatch(r"so (.*), and again \((.*)\)\.", got[i].text)
+        assert len(got[i].found) == 2 and new[1] == new[2] != v, (v, got[i].text)
+        assert re.sub(r"[0-9]", "9", re.sub("[A-Z]", "A", new[1])) == re.sub(r"[0-9]", "9", re.sub("[A-Z]", "A", v))
+        if kind == "date":
+            form = "%Y-%m-%d" if v[4] == "-" else "%Y/%m/%d" if v[4] == "/" else "%m/%d/%Y" if v in ("12/25/2024", "12/24/2024") else "%d.%m.%Y" if v[2] == "." else "%d/%m/%Y"
+            value = datetime.datetime.strptime(new[1], form)
+        else:
+            value = re.sub("[^0-9A-Z]", "", new[1])[-10 if kind == "phone" else None :]
+        if kind == "phone":
+            assert value[0] in "23456789" and value[3] in "23456789"
+        bare.setdefault((kind, same), set()).add(value)
+    for kind, (one, others) in NOTATIONS.items():
+        assert len(bare[kind, True]) == 1 and len(bare[kind, False]) == len(others) and not bare[kind, True] & bare[kind, False], kind
+
+
+def test_recall_and_precision_by_kind(spark):
+    """Random values of each kind are all found; near misses of each are left."""
+    pick = random.Random(5)
+    digits = lambda n: "".join(pick.choices("0123456789", k=n))
+    text = lambda n: "".join(pick.choices(string.ascii_letters + string.digits, k=n - 2)) + "a1"
+
+    def card(prefix, n):
+        body = prefix + digits(n - 1 - len(prefix))
+        return next(body + str(c) for c in range(10) if luhn(body + str(c)))
+
+    def iban(country, n):
+        body = digits(n)
+        return country + f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}" + body
+
+    day = lambda: datetime.date(1950, 1, 1) + datetime.timedelta(pick.randrange(30_000))
+    right = {
+        "email": lambda: f"{text(6)}.{digits(2)}@{text(5)}.example.org",
+        "phone": lambda: pick.choice(["+1 ({0}) {1}-{2}", "({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "+1{0}{1}{2}"]).format(pick.randrange(200, 1000), digits(3), digits(4)),
+        "ip": lambda: ".".join(str(pick.randrange(256)) for _ in range(4)),
+        "date": lambda: day().strftime(pick.choice(["%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y", "%Y/%m/%d", "%m/%d/%Y"])),
+        "ssn": lambda: f"{pick.choice([pick.randrange(1, 666), pick.randrange(667, 900)]):03d}-{pick.randrange(1, 100):02d}-{pick.randrange(1, 10_000):04d}",
+        "card": lambda: card(*pick.choice([("4", 16), ("51", 16), ("37", 15), ("6011", 16), ("30", 14)])),
+        "iban": lambda: iban(*pick.choice([("DE", 18), ("NL", 14), ("FR", 23)])),
+        "secret": lambda: pick.choice([lambda: "a1" + "".join(pick.choices("0123456789abcdef", k=38)), lambda: "AKIA" + "Z9" + "".join(pick.choices(string.ascii_uppercase + string.digits, k=14)), lambda: "sk-" + text(40), lambda: "ghp_" + text(36), lambda: "AIza" + text(35), lambda: "xoxb-" + text(20)])(),
+    }
+    wrong = {
+        "phone": ["155-223-4567", "555-2234567", "5552234567", "555-223.4567"], "ip": ["256.1.1.1", "1.2.3"], "date": ["2024-13-01", "31/02/2001", "13/13/2001", "02/30.2001"], "ssn": ["666-12-3456", "900-12-3456"],
+        "card": ["4929348385146307"], "iban": ["DE89370400440532013001"], "secret": ["a" * 40, "sk-short", "g" * 40, "AKIA123"], "email": ["a@b", "@x.org"],
+    }
+    rows = [(k, v) for k, make in right.items() for v in (make() for _ in range(60))]
+    got = change(spark, [f"See {v}; then." for _, v in rows])
+    hit = dict.fromkeys(right, 0)
+    for i, (k, v) in enumerate(rows):
+        hit[k] += got[i].found == [k] and v not in got[i].text and (k == "ip" or len(got[i].text) == len(f"See {v}; then."))
+    assert hit == dict.fromkeys(right, 60)
+    near = [v for vs in wrong.values() for v in vs]
+    got = change(spark, [f"See {v}; then." for v in near])
+    assert [got[i].found for i in range(len(near))] == [[]] * len(near)
+
+
+def test_column_names_and_no_rows(spark):
+    d = spark.createDataFrame([(1, "call 555-223-4567", "own", "mine", "x")], "doc_id int, text string, hits string, _kinds string, Found string")
+    r = pseudonyms.pseudonymise(d.withColumnRenamed("_kinds", "kinds"), KEY).first()
+    assert (r.hits, r.kinds, r.found) == ("own", "mine", ["phone"]) and r.text != "call 555-223-4567"
+    assert pseudonyms.pseudonymise(d.limit(0), KEY).collect() == []
