@@ -125,26 +125,30 @@ def queries() -> dict:
 def _share(inner: str, parent: str, path: str, level: str) -> str:
     """One level of the budget tree in SQL, from a relation with ``above``, ``capacity`` and ``weight``."""
     part = f"PARTITION BY {parent}" if parent else ""
-    return f"""SELECT {path}, CASE WHEN weight > 0 THEN CAST(LEAST(capacity, FLOOR(weight * GREATEST(COALESCE(lvl, 0.0), 0.0))) AS BIGINT) ELSE 0 END AS budget
-  FROM (SELECT *, MAX(CASE WHEN w > 0 THEN CAST(above - c AS DOUBLE) / w END) OVER ({part}) AS lvl
-    FROM (SELECT *, COALESCE(SUM(capacity) OVER ({part} ORDER BY capacity / weight, {level} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c,
-        SUM(weight) OVER ({part} ORDER BY capacity / weight, {level} NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w FROM ({inner}) x) y) z"""
+    by = f"ORDER BY {level} NULLS FIRST"
+    return f"""SELECT {path}, CAST(filled + CASE WHEN filled < capacity AND SUM(CASE WHEN filled < capacity THEN 1 ELSE 0 END) OVER ({part} {by} ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS BIGINT) AS budget
+  FROM (SELECT *, LEAST(above, SUM(capacity) OVER ({part})) - SUM(filled) OVER ({part}) AS rest
+    FROM (SELECT *, CASE WHEN weight > 0 AND mark.den > 0 THEN LEAST(CAST(capacity AS HUGEINT), CAST(weight AS HUGEINT) * mark.num // mark.den) ELSE 0 END AS filled
+      FROM (SELECT *, arg_max({{'num': num, 'den': den}}, CASE WHEN den > 0 THEN CAST(num AS DOUBLE) / CAST(den AS DOUBLE) END) OVER ({part}) AS mark
+        FROM (SELECT *, GREATEST(0, above - COALESCE(SUM(capacity) OVER ({part} ORDER BY ratio, {level} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS num,
+            SUM(weight) OVER ({part} ORDER BY ratio, {level} NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS den
+          FROM (SELECT *, CASE WHEN weight > 0 THEN CAST(capacity AS DOUBLE) / weight ELSE CAST('inf' AS DOUBLE) END AS ratio FROM ({inner}) x) y) z) u) v) t"""
 
 
-def _weight(level: str) -> str:
-    cases = " ".join(f"WHEN '{k}' THEN {int(v * mixing.UNIT)}" for k, v in WEIGHTS.get(level, {}).items())
-    return f"CAST(CASE {level} {cases} ELSE {mixing.UNIT} END AS BIGINT)" if cases else f"CAST({mixing.UNIT} AS BIGINT)"
+def mixing_sql(weights: dict[str, dict[str, float]] = WEIGHTS, epochs: int = MAX_EPOCHS, total: str = "(SELECT SUM(n_tokens) FROM sizes)") -> str:
+    def weight(level: str, column: str) -> str:
+        cases = " ".join(f"WHEN '{k}' THEN {int(v * mixing.UNIT)}" for k, v in weights.get(level, {}).items())
+        return f"CAST(CASE {column} {cases} ELSE {mixing.UNIT} END AS BIGINT)" if cases else f"CAST({mixing.UNIT} AS BIGINT)"
 
-
-def mixing_sql() -> str:
     n = "regexp_extract(source, '([0-9]*)[^0-9]*$', 1)"
-    l1 = _share(f"SELECT domain, SUM(tokens) * {MAX_EPOCHS} AS capacity, (SELECT SUM(n_tokens) FROM sizes) AS above, {_weight('domain')} AS weight FROM leaves GROUP BY domain", "", "domain", "domain")
-    l2 = _share(f"SELECT l.domain, l.lang, b.budget AS above, SUM(tokens) * {MAX_EPOCHS} AS capacity, {_weight('lang').replace('CASE lang', 'CASE l.lang')} AS weight FROM leaves l JOIN b1 b ON l.domain IS NOT DISTINCT FROM b.domain GROUP BY l.domain, l.lang, b.budget", "domain", "domain, lang", "lang")
-    l3 = _share(f"SELECT l.domain, l.lang, l.source, b.budget AS above, tokens * {MAX_EPOCHS} AS capacity, {_weight('source')} AS weight FROM leaves l JOIN b2 b ON l.domain IS NOT DISTINCT FROM b.domain AND l.lang IS NOT DISTINCT FROM b.lang", "domain, lang", "domain, lang, source", "source")
+    l1 = _share(f"SELECT domain, SUM(capacity) AS capacity, {total} AS above, {weight('domain', 'domain')} AS weight FROM leaves GROUP BY domain", "", "domain", "domain")
+    l2 = _share(f"SELECT l.domain, l.lang, b.budget AS above, SUM(capacity) AS capacity, {weight('lang', 'l.lang')} AS weight FROM leaves l JOIN b1 b ON l.domain IS NOT DISTINCT FROM b.domain GROUP BY l.domain, l.lang, b.budget", "domain", "domain, lang", "lang")
+    l3 = _share(f"SELECT l.domain, l.lang, l.source, b.budget AS above, capacity, {weight('source', 'l.source')} AS weight FROM leaves l JOIN b2 b ON l.domain IS NOT DISTINCT FROM b.domain AND l.lang IS NOT DISTINCT FROM b.lang", "domain, lang", "domain, lang, source", "source")
+    positive = " AND ".join(f"{weight(c, c)} > 0" for c in LEVELS)
     return f"""WITH sizes AS (
   SELECT doc_id, CASE WHEN right({n}, 1) IN ('0','1','2','3') THEN 'web' WHEN right({n}, 1) IN ('4','5','6') THEN 'books' WHEN right({n}, 1) IN ('7','8','9') THEN 'forum' ELSE 'other' END AS domain,
     lang, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
-leaves AS (SELECT domain, lang, source, CAST(SUM(n_tokens) AS BIGINT) AS tokens FROM sizes GROUP BY ALL),
+leaves AS (SELECT domain, lang, source, CAST(SUM(n_tokens) AS BIGINT) AS tokens, CAST(CASE WHEN {positive} THEN SUM(n_tokens) * {epochs} ELSE 0 END AS BIGINT) AS capacity FROM sizes GROUP BY domain, lang, source),
 b1 AS ({l1}), b2 AS ({l2}), b3 AS ({l3}),
 plan AS (SELECT b3.*, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS full_epochs, tokens FROM b3 JOIN leaves l ON b3.domain IS NOT DISTINCT FROM l.domain AND b3.lang IS NOT DISTINCT FROM l.lang AND b3.source IS NOT DISTINCT FROM l.source),
 placed AS (SELECT s.*, full_epochs, budget - full_epochs * tokens AS rest,

@@ -1,3 +1,4 @@
+import fractions
 import hashlib
 
 import numpy as np
@@ -17,37 +18,67 @@ def test_mixing_equals_sql(spark):
     assert same_as_sql(spark, queries.op5_mixing, queries.oracle_sql()["op5_mixing"], "/root/testdata/sf0.01") > 500
 
 
-def brute_budgets(tree, total, epochs, weights):
-    """Leaf budgets by filling siblings one after another, from the root."""
-    out = {}
+def token_by_token(tree, total, epochs, weights):
+    """Leaf budgets by pouring: at each parent, token after token goes to the child with room that is emptiest for its weight."""
+    out = dict.fromkeys(tree, 0)
+    room = lambda prefix: sum(v * epochs for leaf, v in tree.items() if leaf[: len(prefix)] == prefix and all(weights[d].get(x, 1.0) > 0 for d, x in enumerate(leaf)))
 
-    def share(prefix, above):
+    def pour(prefix, amount):
         depth = len(prefix)
         if depth == 3:
-            out[prefix] = above
+            out[prefix] = amount
             return
-        kids = sorted({leaf[depth] for leaf in tree if leaf[:depth] == prefix})
-        cap = {k: sum(v * epochs for leaf, v in tree.items() if leaf[: depth + 1] == (*prefix, k)) for k in kids}
-        w = {k: weights[depth].get(k, 1.0) for k in kids}
-        level, left, open_ = 0.0, above, sorted((k for k in kids if w[k] > 0), key=lambda k: cap[k] / w[k])
-        for i, k in enumerate(open_):
-            level = max(level, left / sum(w[x] for x in open_[i:]))
-            left -= cap[k]
+        kids = sorted({leaf[: depth + 1] for leaf in tree if leaf[:depth] == prefix})
+        got, weight, most = dict.fromkeys(kids, 0), {k: weights[depth].get(k[-1], 1.0) for k in kids}, {k: room(k) for k in kids}
+        for _ in range(amount):
+            some = [k for k in kids if weight[k] > 0 and got[k] < most[k]]
+            if not some:
+                break
+            got[min(some, key=lambda k: (fractions.Fraction(got[k] + 1) / fractions.Fraction(weight[k]), k))] += 1
         for k in kids:
-            share((*prefix, k), int(min(cap[k], w[k] * level + 1e-6)) if w[k] > 0 else 0)
+            pour(k, got[k])
 
-    share((), total)
+    pour((), total)
     return out
 
 
-def test_shortages_go_to_siblings_first(spark):
-    tree = {("a", "x", "1"): 10, ("a", "x", "2"): 1000, ("a", "y", "1"): 50, ("b", "x", "1"): 5000, ("c", "z", "9"): 7}
-    weights = [{"a": 2.0, "b": 1.0, "c": 0.0}, {"x": 1.0, "y": 1.0}, {}]
-    leaves = spark.createDataFrame([(*k, v) for k, v in tree.items()], "d string, l string, s string, tokens long")
-    for total in (0, 100, 900, 3000, 100_000):
-        got = mixing.budgets(leaves, ["d", "l", "s"], total, 2, dict(zip("dls", weights, strict=True))).collect()
-        want = brute_budgets(tree, total, 2, weights)
-        assert all(abs(r.budget - want[r.d, r.l, r.s]) <= 1 for r in got), total
+TREE = {("a", "x", "1"): 10, ("a", "x", "2"): 300, ("a", "y", "1"): 50, ("b", "x", "1"): 700, ("b", "z", "3"): 40, ("c", "z", "9"): 7, ("d", "z", "1"): 90}
+
+
+@pytest.mark.parametrize("weights", [[{"a": 2.0, "b": 1.0, "c": 0.0}, {"x": 1.0, "y": 1.0}, {}], [{}, {"z": 0.0, "x": 3.0}, {"2": 0.0}], [{"a": 0.5, "d": 7.0}, {}, {"1": 0.0}], [{}, {}, {}]])
+def test_shortages_go_to_siblings_first_and_no_token_is_lost(spark, weights):
+    leaves = spark.createDataFrame([(*k, v) for k, v in TREE.items()], "capacity string, weight string, s string, tokens long")
+    levels = ["capacity", "weight", "s"]
+    most = sum(v * 2 for k, v in TREE.items() if all(weights[d].get(x, 1.0) > 0 for d, x in enumerate(k)))
+    for total in (0, 1, 100, 901, 1501, 100_000):
+        got = {tuple(r)[:3]: r.budget for r in mixing.budgets(leaves, levels, total, 2, dict(zip(levels, weights, strict=True))).collect()}
+        want = token_by_token(TREE, total, 2, weights)
+        assert sum(got.values()) == min(total, most)
+        # which sibling gets a token that can't be divided is free on each of the levels
+        assert all(abs(got[k] - want[k]) <= 3 for k in TREE), (total, got, want)
+        assert all(got[k] == 0 for k in TREE if any(weights[d].get(x, 1.0) == 0 for d, x in enumerate(k)))
+
+
+def test_mixing_with_zero_weights_equals_sql(spark, tmp_path):
+    """A whole domain has a language of weight 0 alone; a sibling takes what it can't."""
+    rows = [(i, "w " * (1 + i % 11), ["en", "xx", None, "de"][i % 4], ["s1", "s5", None, "s9"][i // 4 % 4]) for i in range(800)] + [(900 + i, "v " * 9, "xx", "s7") for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for weights, total in (({"lang": {"xx": 0.0, "de": 3.0}, "domain": {"forum": 5.0}}, 2000), ({"domain": {"web": 0.0}, "source": {"s5": 0.0}}, 2500)):
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        sizes = docs.select("doc_id", queries.domain(F.col("source")).alias("domain"), "lang", "source", mixing.words(F.col("text")).alias("n_tokens"))
+        got = mixing.mix(sizes, queries.LEVELS, total, 2, weights)
+        import duckdb
+
+        want = duckdb.connect().execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'").execute(queries.mixing_sql(weights, 2, str(total))).fetchall()
+        rows = [tuple(r) for r in got.select("doc_id", "domain", "lang", "source", "n_tokens", "copies").collect()]
+        assert sorted(map(repr, rows)) == sorted(map(repr, want)) and abs(sum(r[4] * r[5] for r in rows) - total) < 60
+
+
+def test_columns_of_any_name_pass_through_mixing(spark):
+    names = ["rest", "full", "last", "cut_range", "cut_start", "key", "row", "l0", "_l0", "n", "id", "base", "copies", "range", "a.b"]
+    d = spark.createDataFrame([(i, "x", 5 + i % 3, *names) for i in range(50)], "doc_id long, domain string, n_tokens long, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mix(d, ["domain"], 100, 1, {}).collect()
+    assert got and all(tuple(r)[3:-1] == tuple(n for n in names if n != "copies") and r.copies == 1 for r in got)
 
 
 def test_prefixes_of_seeded_epochs(spark):
