@@ -1,7 +1,8 @@
 """Token counts by rank-synchronous merging of ragged arrays.
 
-Pre-tokens of a batch are distinct byte sequences in one flat array of symbols.
-In each round every sequence finds its lowest-rank pair and merges all its
+The bytes of a step of texts are cut into pre-tokens by whole arrays: classes of
+characters, and the places where the vocabulary's pattern begins a new piece. Distinct
+pieces are byte sequences in one flat array of symbols. In each round every sequence finds its lowest-rank pair and merges all its
 occurrences at once, left to right; sequences without a pair left are done and
 leave the array. The number of symbols that survive is the number of tokens.
 This equals one-at-a-time merging because every symbol has one merge that makes
@@ -17,6 +18,7 @@ counted one by one.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +28,79 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches, text_steps
+from .common import as_bytes, gathered, small_batches
 
-#: The fixed pattern of byte-level pre-tokenisation.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int32(2**31 - 1)
-#: Distinct pre-tokens that a worker remembers between batches.
-CACHE = 400_000
-#: Characters of one window of a long text.
-WINDOW = 1 << 20
+#: Distinct pre-tokens that a worker remembers between steps; those of one step are held whatever their number.
+CACHE = 800_000
+#: Bytes of one window of a long text.
+WINDOW = 4 << 20
+OTHER, SPACE, LETTER, NUMBER = range(4)
+_CUT = re.compile(rb"(?<=[!-~])[\t-\r ]")
+
+
+def character_classes() -> np.ndarray:
+    """The class of each character, by its code."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    text = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        out[[ord(c) for c in regex.findall(pattern, text)]] = kind
+    return out
+
+
+def pre_tokens(data: np.ndarray, at: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the bytes of texts that start at ``at``; a piece ends where the next begins.
+
+    Pieces are, in this order at each place: a contraction in small letters; a run of
+    letters, of numbers or of other signs, with one blank before it; white space up to
+    the last character before something else; white space.
+    """
+    n = len(data)
+    cls = classes[data]
+    leads = np.flatnonzero(data >= 0xC0)
+    if len(leads):
+        more = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
+        first = more[leads]
+        width = 2 + (first >= 0xE0) + (first >= 0xF0)
+        code = first & np.array([0, 0, 31, 15, 7], np.int32)[width]
+        for k in (1, 2, 3):
+            code = np.where(width > k, (code << 6) | (more[leads + k] & 63), code)
+        kind = classes[code]
+        cls[leads] = kind
+        for k in (1, 2, 3):
+            far = width > k
+            cls[leads[far] + k] = kind[far]
+    cut = np.zeros(n + 1, bool)
+    cut[at] = cut[0] = cut[n] = True
+    start = cut[:n].copy()
+    start[1:] |= cls[1:] != cls[:-1]
+    run = np.flatnonzero(start)
+    # a blank before a run belongs to it; any other white space there stands alone
+    after = run[(cls[run] != SPACE) & ~cut[run]]
+    after = after[cls[after - 1] == SPACE]
+    blank = data[after - 1] == 32
+    start[after[blank]] = False
+    start[after[blank] - 1] = True
+    last = after[~blank] - 1
+    for _ in range(2):
+        last = np.where((data[last] & 0xC0) == 0x80, last - 1, last)
+    start[last] = True
+    quote = np.flatnonzero(data == 39)
+    # a run of signs that begins with its quote begins with a contraction
+    quote = quote[start[quote]]
+    if len(quote):
+        more = np.concatenate([data, np.zeros(2, np.uint8)])
+        a, b = more[quote + 1], more[quote + 2]
+        joined = ~cut[quote + 1]
+        one = joined & np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        two = joined & ~cut[np.minimum(quote + 2, n)] & (((a == 114) & (b == 101)) | ((a == 118) & (b == 101)) | ((a == 108) & (b == 108)))
+        for hit, k in ((one, 2), (two, 3)):
+            start[quote[hit] + 1] = False
+            then = quote[hit] + k
+            then = then[then < n]
+            # a run of letters goes on; before anything else a piece has its start
+            start[then[cls[then] == LETTER]] = True
+    return np.flatnonzero(start)
 
 
 class PairTable:
@@ -94,8 +160,8 @@ class MergeCounter:
         special = [t["content"] for t in spec.get("added_tokens") or []]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.marks = special
-        self.pattern = regex.compile(PATTERN)
-        self.known: dict[str, int] = {}
+        self.classes = character_classes()
+        self.known: dict[bytes, int] = {}
 
     def merge_counts(self, words: list[bytes]) -> np.ndarray:
         """Symbols that survive in each sequence."""
@@ -136,52 +202,48 @@ class MergeCounter:
                     symbols, owner, size = symbols[~np.repeat(single, size)], owner[~single], size[~single]
         return out
 
-    def _pieces(self, text: str) -> Iterator[str]:
-        """Windows of a text, cut where white space follows something else."""
-        at = 0
-        while len(text) - at > WINDOW:
-            cut = at + WINDOW
-            while cut < len(text) and not (text[cut].isspace() and not text[cut - 1].isspace()):
-                cut += 1
-            yield text[at:cut]
-            at = cut
-        yield text[at:]
-
-    def counts(self, texts: list[str | None]) -> np.ndarray:
-        total = np.zeros(len(texts), np.int64)
-        pending: list[tuple[int, list[str]]] = []
-        held = 0
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            parts = [text]
-            if self.special and any(m in text for m in self.marks):
-                parts = self.special.split(text)
-                total[i] += len(parts) - 1
-            for part in parts:
-                for piece in self._pieces(part):
-                    pending.append((i, words := self.pattern.findall(piece)))
-                    held += len(words)
-                    if held > 1_000_000:
-                        self._settle(pending, total)
-                        pending, held = [], 0
-        self._settle(pending, total)
-        return total
-
-    def _settle(self, pending: list[tuple[int, list[str]]], total: np.ndarray) -> None:
+    def _plain(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of texts without special strings."""
+        data, at = as_bytes(texts)
+        total = np.zeros(len(at), np.int64)
+        a = 0
+        while a < len(data):
+            # a longer text is cut where white space follows something else: a piece begins there
+            cut = _CUT.search(data, a + WINDOW) if len(data) - a > WINDOW else None
+            b = cut.start() if cut else len(data)
+            own = np.searchsorted(at, [a, b])
+            begin = pre_tokens(data[a:b], at[own[0] : own[1]] - a, self.classes)
+            pieces = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(np.append(begin, b - a).astype(np.int32)), pa.py_buffer(data[a:b])]).dictionary_encode()
+            n = np.concatenate([[0], np.cumsum(self._counts_of(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()])])
+            # tokens before each text, those before the window included
+            total[own[0] :] += n[np.searchsorted(begin, np.clip(at[own[0] :] - a, 0, b - a))]
+            a = b
+        return np.diff(total)
+
+    def _counts_of(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        fresh: set[str] = set()
-        for _, words in pending:
-            fresh.update(words)
-        new = [w for w in fresh if w not in known]
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = list(fresh)
+            new = words
         if new:
-            known.update(zip(new, self.merge_counts([w.encode() for w in new]).tolist(), strict=True))
-        get = known.__getitem__
-        for i, words in pending:
-            total[i] += sum(map(get, words))
+            known.update(zip(new, self.merge_counts(new).tolist(), strict=True))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text; null is empty."""
+        special = pa.array(np.zeros(len(texts), bool))
+        for m in self.marks:
+            special = pc.or_(special, pc.fill_null(pc.match_substring(texts, m), False))
+        odd = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+        if not len(odd):
+            return self._plain(texts)
+        parts = [self.special.split(t) for t in texts.take(pa.array(odd)).to_pylist()]
+        out = self._plain(pc.if_else(special, pa.scalar("", texts.type), texts))
+        own = self._plain(pa.array([p for ps in parts for p in ps], texts.type))
+        sizes = [len(ps) for ps in parts]
+        out[odd] = np.add.reduceat(own, np.cumsum([0, *sizes[:-1]])) + np.array(sizes) - 1
+        return out
 
 
 _COUNTERS: dict[str, MergeCounter] = {}
@@ -206,11 +268,10 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(vocabulary)
-        for batch in batches:
-            for part in text_steps(batch, text):
-                col = part.column(text)
-                n = c.counts(col.to_pylist())
-                sizes = pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), sizes, pa.array(n), pa.array(n > limit)], names=[*kept, *new])
+        for step in gathered(batches, text):
+            col = step.column(text)
+            n = c.counts(col)
+            sizes = pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(step.column(k) for k in kept), sizes, pa.array(n), pa.array(n > limit)], names=[*kept, *new])
 
     return docs.select(*kept, text).mapInArrow(run, schema)

@@ -44,7 +44,20 @@ def test_counts_equal_the_library_on_all_documents(spark, byte_library):
 def test_windows_of_long_texts(byte_library, monkeypatch):
     monkeypatch.setattr(token_counts, "WINDOW", 50)
     text = "word  another\n\nline of text's end   " * 40 + "y" * 500
-    assert token_counts.MergeCounter(public_tokenizers.path("byte_bpe_50k.json")).counts([text])[0] == len(byte_library.encode(text))
+    assert token_counts.MergeCounter(public_tokenizers.path("byte_bpe_50k.json")).counts(pa.array([text, None, text])).tolist() == [len(byte_library.encode(text)), 0, len(byte_library.encode(text))]
+
+
+@pytest.mark.parametrize("cap", [5, 800_000])
+@pytest.mark.parametrize("window", [1 << 22, 40])
+def test_counts_equal_the_library_on_random_texts(byte_library, monkeypatch, window, cap):
+    monkeypatch.setattr(token_counts, "WINDOW", window)
+    monkeypatch.setattr(token_counts, "CACHE", cap)
+    own = token_counts.MergeCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    signs = [*"''stmdrelvabXY019 .,-  \n\t\x1c\x85\xa0\xad", "ª", "²", "½", "×", "É", "é", "\u0301", "Σ", "你好", "\u2003", "\u3000", "\u200b", "😀", "𝟘", "٣", "'s", "'re", "'LL", "'ll", " 't", "<|endoftext|>"]
+    pick = random.Random(7)
+    for _ in range(40):
+        some = ["".join(pick.choices(signs, k=pick.randrange(60))) for _ in range(50)]
+        assert own.counts(pa.array(some)).tolist() == [len(byte_library.encode(t, add_special_tokens=False)) for t in some]
 
 
 def test_counts_of_an_empty_table(spark):
