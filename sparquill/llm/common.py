@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -42,11 +43,23 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 
 
 class Workspace:
-    """Staged tables in the folder that all executors share (``shared_folder``)."""
+    """Staged tables in the folder that all executors share (``shared_folder``).
+
+    A result may read them until the session ends, when Hadoop removes the folder;
+    ``close`` removes it at once.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        fs, at = self._at(self.root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _OPEN.append(self)
+
+    def _at(self, path: str) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -58,10 +71,28 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Remove staged tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            fs, at = self._at(self.path(name))
+            fs.delete(at, True)
+
+    def close(self) -> None:
+        fs, at = self._at(self.root)
+        fs.delete(at, True)
+
+
+_OPEN: list[Workspace] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Workspaces made inside are removed at the end: for steps whose result is written there."""
+    before = len(_OPEN)
+    try:
+        yield
+    finally:
+        for ws in _OPEN[before:]:
+            ws.close()
+        del _OPEN[before:]
 
 
 def text_steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

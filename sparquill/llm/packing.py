@@ -7,13 +7,13 @@ it: cost(length) / min(length, tokens still to place) over all permitted lengths
 that hold the piece. At the end every bin shrinks to the shortest permitted length
 that holds its contents.
 
-Rows are dealt by a hash of their id into shards of about ``SHARD_ROWS`` documents;
-a shard is packed in windows of at most ``WINDOW`` pieces, so memory is bounded
+Rows are dealt by a hash of their id and length into shards of about ``SHARD_ROWS``
+documents, each to the task of its number; a shard is packed in windows of at most ``WINDOW`` pieces, so memory is bounded
 whatever its size. Only ids and lengths shuffle.
 
 Defined results: a document without tokens has one empty piece in no bin (bin_id and
-capacity null); null ids are dealt like an id of their own; repeated rows are packed
-one by one. Empty tables give empty results.
+capacity null); a null count is 0; null ids are dealt like an id of their own; repeated
+rows are packed one by one; other columns aren't read. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches  # noqa: F401
-
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 SHARD_ROWS = 16_384
 WINDOW = 65_536
@@ -129,7 +127,7 @@ def pack_documents(sizes: DataFrame, lengths: Sequence[int] = LENGTHS, doc_id: s
         yield from flush()
 
     rows = sizes.select(F.col(doc_id).alias("id"), F.coalesce(F.col(n_tokens), F.lit(0)).cast("long").alias("n"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "n"), F.lit(shards)).cast("int"))
     tasks = max(1, min(shards, 20_000))
-    dealt = rows.repartition(tasks, "shard").sortWithinPartitions("shard", F.desc("n"), "id")
+    dealt = rows.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", F.desc("n"), "id")
     return dealt.mapInArrow(run, schema)

@@ -9,7 +9,8 @@ symbol-laden words, repeated words and lines, lengths) as buckets, and numeric
 metadata columns as logarithmic buckets. The whole text is read.
 
 The model is fitted on at most ``sample`` labelled rows, those with the smallest
-hash of their id: a bound of this operator, not of the corpus. All rows are scored.
+hash of their id, whose features together have at most ``sample_bytes``: bounds of
+this operator, not of the corpus. All rows are scored.
 
 Defined results: a null or empty text has no words and is scored by its structure
 buckets; without any labelled row every score is 0.5; a null metadata value has no
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, lower_ascii, mix, small_batches, text_steps, word_hashes, word_spans
+from .common import Workspace, as_bytes, lower_ascii, mix, small_batches, text_steps, word_hashes, word_spans
 
 WORD_BITS = 15
 STATS = 16
@@ -37,6 +38,8 @@ META_BUCKETS = 40
 #: Weight of a structure bucket beside the unit length of the words together.
 STAT_VALUE = 0.4
 SAMPLE = 6000
+#: Bytes of features that come to the driver; one row has at most 8 for each slot of the model.
+SAMPLE_BYTES = 64 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -176,8 +179,8 @@ def model_size(metadata: list[str]) -> int:
     return (1 << WORD_BITS) + STATS * BUCKETS + len(metadata) * META_BUCKETS
 
 
-def train(docs: DataFrame, labels: DataFrame, metadata: list[str], doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Machine:
-    """Fit on at most ``sample`` labelled rows that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, metadata: list[str], doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Machine:
+    """Fit on at most ``sample`` labelled rows that aren't held out, and of them on the first that have ``sample_bytes``."""
     spark = docs.sparkSession
     small_batches(spark)
     known = (
@@ -198,7 +201,13 @@ def train(docs: DataFrame, labels: DataFrame, metadata: list[str], doc_id: str =
     # the broadcast side has ``sample`` rows of two numbers at most
     rows = docs.select(F.col(doc_id).alias("_id"), text, *metadata).join(F.broadcast(known), "_id")
     id_type = docs.schema[doc_id].dataType.simpleString()
-    got = rows.mapInArrow(run, f"id {id_type}, label int, i binary, v binary").orderBy("id", F.xxhash64("i", "v")).limit(sample).collect()
+    ws = Workspace(spark, "quality")
+    made = ws.stage(rows.mapInArrow(run, f"id {id_type}, label int, i binary, v binary"), "features")
+    order = [F.xxhash64("id"), F.col("id"), F.xxhash64("i", "v")]
+    size = made.select((F.octet_length("i") + F.octet_length("v")).alias("b"), *(c.alias(f"k{n}") for n, c in enumerate(order))).orderBy("k0", "k1", "k2").limit(sample).collect()
+    fit_in = int(np.searchsorted(np.cumsum([r.b for r in size]), sample_bytes, side="right"))
+    got = sorted(made.orderBy(*order).limit(fit_in).collect(), key=lambda r: (r.id, r.i, r.v))
+    ws.close()
     index = np.frombuffer(b"".join(r.i for r in got), np.int32)
     value = np.frombuffer(b"".join(r.v for r in got), np.float32)
     at = np.zeros(len(got) + 1, np.int64)

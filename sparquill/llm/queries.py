@@ -59,7 +59,10 @@ def domain(source) -> F.Column:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A budget of all tokens there are, in the target weights, from at most two epochs of each source."""
+    """A budget of all tokens there are, in the target weights, from at most two epochs of each source.
+
+    Tokens are words here, so that SQL can count them too; the pipeline mixes counts of the vocabulary.
+    """
     ws = Workspace(spark, "op5")
     docs = table(spark, sf_dir, "documents")
     sizes = ws.stage(docs.select("doc_id", domain(F.col("source")).alias("domain"), "lang", "source", mixing.words(F.col("text")).alias("n_tokens")), "sizes")
@@ -107,9 +110,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark, "op9")
-    sizes = ws.stage(table(spark, sf_dir, "documents").select("doc_id", mixing.words(F.col("text")).alias("n_tokens")), "sizes")
-    return packing.pack_documents(sizes)
+    """Lengths are tokens of the byte-level vocabulary."""
+    counts = op1_token_counts(spark, sf_dir).select("doc_id", "n_tokens")
+    return packing.pack_documents(Workspace(spark, "op9").stage(counts, "sizes"))
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import fractions
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -8,9 +9,10 @@ from conftest import same_as_sql
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
-from sparquill.llm import mixing, packing, quality, queries
+from sparquill.llm import mixing, packing, quality, queries, token_counts
 from sparquill.llm.common import Workspace
 
 
@@ -150,7 +152,7 @@ def check_pieces(rows, sizes):
 
 def test_packing_of_all_documents(spark):
     sf = "/root/testdata/sf0.01"
-    sizes = {r.doc_id: r.n for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", mixing.words(F.col("text")).alias("n")).collect()}
+    sizes = {r.doc_id: r.n_tokens for r in queries.op1_token_counts(spark, sf).collect()}
     bins = check_pieces(queries.op9_packing(spark, sf).collect(), sizes)
     assert sum(sizes.values()) / sum(b[0][2] for b in bins.values()) > 0.95
 
@@ -215,32 +217,87 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert a.bias == b.bias and (a.weights == b.weights).all()
 
 
-def test_pipeline_stages(spark):
-    """Each stage against a plain version over its own input."""
+def plain_stages(spark, sf, kept):
+    """Each stage's input and output against plain Python."""
     from test_dedup_and_near import brute
 
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, ws, kept = docs.columns, Workspace(spark, "t"), []
+    tokens = token_counts.MergeCounter(queries.vocabulary("byte_bpe_50k.json"))
+    n_tokens = lambda rows: tokens.counts(pa.array([r.text for r in rows], pa.string())).tolist()
+    same = lambda a, b: sorted(map(repr, a)) == sorted(map(repr, b))
+    a, b = kept["quality"]
+    model = quality.train(spark.createDataFrame(a, spark.read.parquet(f"{sf}/documents.parquet").schema), spark.read.parquet(f"{sf}/labels.parquet"), queries.METADATA)
+    chars = np.array([np.nan if r.n_chars is None else r.n_chars for r in a], float)
+    score = model.score(*quality.features(pa.array([r.text for r in a], pa.string()), [chars]))
+    assert same(b, [r for r, s in zip(a, score, strict=True) if s >= queries.ACCEPT])
+    a, b = kept["exact_dedup"]
+    first = {}
+    for r in sorted(a, key=lambda r: (r.doc_id is None, r.doc_id)):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), r)
+    assert same(b, first.values())
+    a, b = kept["near_dedup"]
+    want = brute([(r.doc_id, r.text) for r in a if r.doc_id is not None], 5, 80)
+    assert same(b, [r for r in a if r.doc_id is None or want[r.doc_id][1] == r.doc_id])
+    a, b = kept["mixing"]
+    tree, place = {}, lambda r: (plain_domain(r.source), r.lang, r.source)
+    rows = list(zip(a, n_tokens(a), strict=True))
+    for r, n in rows:
+        tree[place(r)] = tree.get(place(r), 0) + n
+    budget = {tuple(x)[:3]: x.budget for x in mixing.budgets(spark.createDataFrame([(*k, v) for k, v in tree.items()], "domain string, lang string, source string, tokens long"), queries.LEVELS, sum(tree.values()), queries.MAX_EPOCHS, queries.WEIGHTS).collect()}
+    want = []
+    for leaf, tokens_there in tree.items():
+        full, rest = divmod(budget[leaf], tokens_there) if tokens_there else (0, 0)
+        at = 0
+        for r, n in sorted((x for x in rows if place(x[0]) == leaf), key=lambda x: hashlib.md5(f"mix:{full}:{'null' if x[0].doc_id is None else x[0].doc_id}".encode()).hexdigest()):
+            want += [r] * (full + (rest > 0 and 2 * (rest - at) >= n))
+            at += n
+    assert same(b, want) and abs(sum(n_tokens(b)) - sum(tree.values())) <= len(tree) * max(n for _, n in rows)
+    a, b = kept["packing"]
+    check_pieces(b, {})
+    placed = {}
+    for r in b:
+        placed[r.doc_id] = placed.get(r.doc_id, 0) + r.n_tokens
+    want = {}
+    for r, n in zip(a, n_tokens(a), strict=True):
+        want[r.doc_id] = want.get(r.doc_id, 0) + n
+    assert placed == want
+
+
+def plain_domain(source):
+    number = re.split(r"\D+", source or "")[-1]
+    return {"0": "web", "1": "web", "2": "web", "3": "web", "4": "books", "5": "books", "6": "books"}.get(number[-1:], "forum" if number else "other")
+
+
+def stages(spark, docs, sf):
+    columns, ws, kept = docs.columns, Workspace(spark, "t"), {}
     for name, stage in corpus_pipeline.STAGES:
         before = docs.collect()
         docs = ws.stage(stage(spark, docs, sf), name)
-        kept.append((name, before, docs.collect()))
+        kept[name] = (before, docs.collect())
         assert name == "packing" or docs.columns == columns
-    by = {name: (a, b) for name, a, b in kept}
-    a, b = by["exact_dedup"]
-    first = {}
-    for r in sorted(a, key=lambda r: r.doc_id):
-        first.setdefault(" ".join(f"x{r.text}x".replace("\t", " ").replace("\n", " ").split(" ")), r.doc_id)
-    assert len(b) <= len(first) and {r.doc_id for r in b} <= set(first.values())
-    a, b = by["near_dedup"]
-    want = brute([(r.doc_id, r.text) for r in a], 5, 80)
-    assert sorted(r.doc_id for r in b) == sorted(i for i, (_, root) in want.items() if i == root)
-    a, b = by["mixing"]
-    assert {r.doc_id for r in b} <= {r.doc_id for r in a} and b
-    a, b = by["packing"]
-    words = sum(len([w for w in r.text.replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w]) for r in a)
-    assert sum(r.n_tokens for r in b) == words
+    return kept
+
+
+def test_pipeline_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    kept = stages(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    plain_stages(spark, sf, kept)
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, kept["packing"][1]))
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, columns with the names that stages use."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ["score", "copies", "_id", "_copies", "row", "rest", "h", "n_tokens", "hits"]
+    some = [tuple(r) for r in docs.limit(40).collect()]
+    some += some[:5] + [(5001, None, None, None, None), (None, some[7][1] + " end", "en", "src1", 9), (None, "", None, "src2", 0), (5002, "", "de", None, 0), (5002, some[3][1], "en", "src3", 10), (5003, "word another thing here now " * 30_000, "en", "src1", 810_000)]
+    wide = T.StructType([*docs.schema, *(T.StructField(n, T.StringType()) for n in names)])
+    kept = stages(spark, spark.createDataFrame([(*r, *names) for r in some], wide), sf)
+    assert all(len(b) > 0 for _, b in kept.values())
+    assert all(r.hits == "hits" and r.copies == "copies" for r in kept["mixing"][1])
+    a, b = kept["exact_dedup"]
+    assert len(b) == len({re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in a})
 
 
 @pytest.mark.parametrize("name", ["documents", "labels"])
