@@ -29,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 RANGES = 4096
 UNIT = 1_000_000
 
@@ -103,19 +105,21 @@ def _order_key(seed: str, epoch: Column, doc_id: Column) -> Column:
 def mix(sizes: DataFrame, levels: list[str], total: int, max_epochs: int, weight_of: dict[str, dict[str, float]], seed: str = "mix", default_weight: float = 1.0) -> DataFrame:
     """Rows of ``sizes`` (doc_id, n_tokens, levels; more pass through) with ``copies``, those with none left out.
 
-    ``sizes`` should be a staged table: it is read four times.
+    ``sizes`` should be a staged table: it is read four times. Tables with a row for
+    each leaf are staged between the steps, so the plan stays small.
     """
+    ws = Workspace(sizes.sparkSession, "mixing")
     path = [f"l{i}" for i in range(len(levels))]
     # the caller's columns travel in one struct, so none of them can clash with a name in here
     kept = F.struct(*(F.col(f"`{c}`") for c in sizes.columns if c.lower() != "copies")).alias("row")
     rows = sizes.select(kept, *(F.col(c).alias(p) for c, p in zip(levels, path, strict=True)), F.col("doc_id").alias("id"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n"))
-    leaves = rows.groupBy(*path).agg(F.sum("n").alias("tokens"))
+    leaves = ws.stage(rows.groupBy(*path).agg(F.sum("n").alias("tokens")), "leaves")
     plan = budgets(leaves, path, total, max_epochs, {p: weight_of.get(c, {}) for c, p in zip(levels, path, strict=True)}, default_weight)
     plan = plan.withColumn("full", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0).cast("long")).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens"))
     beside = [f"_{p}" for p in path]
     aside = lambda d, *columns: d.select(*(F.col(p).alias(b) for p, b in zip(path, beside, strict=True)), *columns)
     # the leaf table has a row for each leaf; Spark broadcasts it where its size allows
-    rows = rows.join(aside(plan, "full", "rest"), _same(path, beside)).drop(*beside).withColumn("key", _order_key(seed, F.col("full"), F.col("id"))).withColumn("base", F.lit(0).cast("long"))
+    rows = rows.join(ws.stage(aside(plan, "full", "rest"), "plan"), _same(path, beside)).drop(*beside).withColumn("key", _order_key(seed, F.col("full"), F.col("id"))).withColumn("base", F.lit(0).cast("long"))
     out = []
     for level in range(2):
         # the first range that reaches the budget is cut; of those before it all documents are in
@@ -125,7 +129,7 @@ def mix(sizes: DataFrame, levels: list[str], total: int, max_epochs: int, weight
         sums = sums.withColumn("start", F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("start") < F.col("rest"))
         cut = F.when(F.col("start") + F.col("n") > F.col("rest"), F.struct("range", "start"))
         edge = sums.groupBy(*path).agg(F.max("range").alias("last"), F.max(cut).alias("cut"))
-        rows = rows.join(aside(edge, "last", "cut"), _same(path, beside), "left").drop(*beside).withColumn("at_edge", F.coalesce(digits == F.col("cut.range"), F.lit(False)))
+        rows = rows.join(ws.stage(aside(edge, "last", "cut"), f"edge{level}"), _same(path, beside), "left").drop(*beside).withColumn("at_edge", F.coalesce(digits == F.col("cut.range"), F.lit(False)))
         sure = rows.where(~F.col("at_edge"))
         out.append(sure.select("row", (F.col("full") + F.coalesce(digits <= F.col("last"), F.lit(False)).cast("long")).alias("copies")))
         rows = rows.where("at_edge").withColumn("base", F.col("cut.start")).drop("last", "cut", "at_edge")
