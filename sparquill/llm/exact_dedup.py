@@ -1,16 +1,19 @@
 """Exact deduplication by two passes over Bloom filters.
 
-Pass one sets the bits of every text's hash in a Bloom filter and, where they were
-all set before, in a second one: the filter of possibly repeated hashes. It is
-built in parts, each for a range of hashes. Pass two probes the second filter:
-texts outside it are unique and pass straight through; only the others shuffle, as
-digests, and meet by their SHA-256.
-
-The filter that is sent to the executors has at most ``max_filter_bytes``: larger
-ones are folded in halves, which sends more rows through the shuffle and changes
-no result. Groups of equal texts are counted with partial sums; the few largest
-ones reach their rows by a table of at most ``HOT`` rows, so a group with a third
-of all rows isn't in one task.
+Pass one: each task makes two bitmaps of its texts' hashes, the bits that are set
+(``once``) and those that repeated hashes set (``twice``). Bitmaps merge by
+``twice |= later.twice | once & later.once`` and ``once |= later.once``, in any order,
+so no hash is shuffled: tasks send their bitmaps in slices, compressed, and each
+slice is merged by a task of its own. Pass two probes the merged ``twice``: a text
+with a bit outside it is unique and passes straight through; only the others shuffle,
+as digests, and meet by their SHA-256.
+
+A unique row takes the other way only if other rows set both its bits: with
+``BITS_PER_ROW`` bits for each row about one in seventy does. The filter that is sent to the executors has at most ``max_filter_bytes``;
+beyond, its bits serve more rows, which sends more digests through the shuffle and
+changes no result. Groups of equal texts are counted with partial sums; the few
+largest ones reach their rows by a table of at most ``HOT`` rows, so a group with a
+third of all rows isn't in one task.
 
 Defined results: a null text equals an empty one; texts are equal after runs of
 ASCII white space become one space, not trimmed. Of equal texts the row with the
@@ -20,6 +23,8 @@ tables give empty results. Names of other columns don't matter.
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix
+from .common import Workspace, fresh, mix
 
-PROBES = 4
+PROBES = 2
 BITS_PER_ROW = 16
-MAX_FILTER_BYTES = 32 << 20
-#: Hashes in one part of the filter.
-PART_ROWS = 1 << 19
-#: Hashes that a task settles at once.
+MAX_FILTER_BYTES = 64 << 20
+#: Bits of one slice of the filter.
+SLICE_BITS = 1 << 22
+#: Hashes from which a task makes its bitmaps at once.
 LOCAL_ROWS = 1 << 20
 HOT = 1024
 HOT_ROWS = 10_000
@@ -53,26 +58,50 @@ def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def _pack(places: np.ndarray) -> bytes:
+    """A sparse bitmap: the gaps between its bits, compressed."""
+    return zlib.compress(np.diff(places, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), "<u4"), dtype=np.int64)
+
+
+def bitmaps(hashes: np.ndarray, bits: int, width: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Slices of ``width`` bits of both bitmaps of some hashes: slice, once, twice."""
+    own, count = np.unique(hashes, return_counts=True)
+    both = [np.unique(_positions(h, bits)) for h in (own, own[count > 1])]
+    edges = np.arange(0, bits + 1, width)
+    cuts = [np.searchsorted(x, edges) for x in both]
+    for k in np.flatnonzero(np.diff(cuts[0])):
+        once, twice = (x[c[k] : c[k + 1]] - edges[k] for x, c in zip(both, cuts, strict=True))
+        yield int(k), _pack(once), _pack(twice)
+
+
+def merged(slices: Iterator[tuple[bytes, bytes]], width: int) -> np.ndarray:
+    """``twice`` of one slice, from those of all tasks."""
+    once, twice = np.zeros(width, bool), np.zeros(width, bool)
+    for a, b in slices:
+        a = _unpack(a)
+        twice[a[once[a]]] = True
+        twice[_unpack(b)] = True
+        once[a] = True
+    return np.packbits(twice, bitorder="little")
+
+
 def repeated_filter(digests: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> np.ndarray:
-    """Pass one over the column ``h`` (long)."""
-    rows = digests.count()
-    parts = 1 << max(0, int(np.ceil(np.log2(max(1, rows) / PART_ROWS))))
-    bits = 1 << int(np.ceil(np.log2(max(1024, min(rows, PART_ROWS) * BITS_PER_ROW))))
-    size = bits // 8
-    while parts > 1 and size * parts > max_filter_bytes:  # folded: parts share their bits
-        size //= 2
-        if size * 8 < 1024:
-            raise ValueError("more rows than the filter's bound can index; raise max_filter_bytes")
+    """Pass one over the column ``h`` (long): the bytes of ``twice``."""
+    most = 1 << max(10, (max_filter_bytes * 8).bit_length() - 1)
+    bits = min(most, 1 << max(10, (max(1, digests.count()) * BITS_PER_ROW - 1).bit_length()))
+    width = min(bits, SLICE_BITS)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each hash of a task once, with a flag if it came twice: hot hashes don't shuffle row by row."""
         held: list[np.ndarray] = []
         count = 0
 
-        def settle():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            part = ((h.view(np.uint64) >> np.uint64(40)).astype(np.int64) % parts).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(part), pa.array(h), pa.array(n > 1)], names=["part", "h", "twice"])
+        def settle() -> pa.RecordBatch:
+            k, once, twice = zip(*bitmaps(np.concatenate(held), bits, width), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["slice", "once", "twice"])
 
         for batch in batches:
             held.append(batch.column("h").to_numpy())
@@ -83,48 +112,30 @@ def repeated_filter(digests: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES
         if count:
             yield settle()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            part, hashes, twice = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "h", "twice"))
-            for p in np.unique(part):
-                once, again = held.setdefault(int(p), (np.zeros(bits, bool), np.zeros(bits, bool)))
-                mine = part == p
-                own, back, count = np.unique(hashes[mine], return_inverse=True, return_counts=True)
-                more = count > 1
-                more[back[twice[mine]]] = True
-                at = _positions(own, bits)
-                more |= once[at].all(1)
-                once[at] = True
-                again[at[more]] = True
-        for p, (_, again) in held.items():
-            packed = np.packbits(again, bitorder="little")
-            while len(packed) > size:
-                half = len(packed) // 2
-                packed = packed[:half] | packed[half:]
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["part", "bits"])
-
-    seen = digests.select("h").mapInArrow(local, "part int, h long, twice boolean")
-    got = seen.repartition(parts, "part").mapInArrow(run, "part int, bits binary").collect()
-    out = np.zeros((parts, size), np.uint8)
-    for r in got:
-        out[r.part] |= np.frombuffer(r.bits, np.uint8)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((k, a.as_py(), b.as_py()) for batch in batches for k, a, b in zip(batch.column("slice").to_pylist(), batch.column("once"), batch.column("twice"), strict=True))
+        for k, group in itertools.groupby(rows, lambda r: r[0]):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([merged(((a, b) for _, a, b in group), width).tobytes()], pa.binary())], names=["slice", "bits"])
+
+    made = digests.select("h").mapInArrow(local, "slice int, once binary, twice binary")
+    dealt = made.repartitionById(bits // width, "slice").sortWithinPartitions("slice")
+    out = np.zeros(bits // 8, np.uint8)
+    for r in dealt.mapInArrow(merge, "slice int, bits binary").collect():  # at most ``max_filter_bytes``
+        out[r.slice * width // 8 : (r.slice + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def probe(digests: DataFrame, table: np.ndarray, out: str = "maybe", of: str = "h") -> DataFrame:
+def probe(digests: DataFrame, twice: np.ndarray, out: str = "maybe", of: str = "h") -> DataFrame:
     """Pass two: ``digests`` with a flag for rows whose hash is possibly repeated."""
-    sent = digests.sparkSession.sparkContext.broadcast(table)
+    sent = digests.sparkSession.sparkContext.broadcast(twice)
 
     @F.pandas_udf("boolean")
     def hit(h):
         import pandas as pd
 
         bits = sent.value
-        x = h.to_numpy(np.int64)
-        part = (x.view(np.uint64) >> np.uint64(40)).astype(np.int64) % len(bits)
-        at = _positions(x, bits.shape[1] * 8)
-        return pd.Series(((bits[part[:, None], at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1))
+        at = _positions(h.to_numpy(np.int64), len(bits) * 8)
+        return pd.Series(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool).all(1))
 
     return digests.withColumn(out, hit(of))
 
@@ -153,13 +164,14 @@ def decisions(docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str
 
 def deduplicate(docs: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, whole. Texts of rows outside the filter never shuffle."""
-    sha = F.unhex(F.sha2(normalised(F.col(text)).cast("binary"), 256))
-    digests = ws.stage(docs.select(F.col(doc_id).alias("id"), sha.alias("sha")), "ids").withColumn("h", F.xxhash64("sha"))
-    table = repeated_filter(digests, max_filter_bytes)
-    maybe = probe(digests, table).where("maybe")
-    groups = ws.stage(maybe.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id")).alias("first")), "winners")
-    keep = groups.select(F.col("sha").alias("_g"), F.col("first.id").alias("_keep"))
-    rows = probe(docs.withColumn("_sha", sha).withColumn("_h", F.xxhash64("_sha")), table, "_maybe", "_h")
+    made = F.unhex(F.sha2(normalised(F.col(text)).cast("binary"), 256))
+    digests = ws.stage(docs.select(F.col(doc_id).alias("id"), made.alias("sha")), "ids").withColumn("h", F.xxhash64("sha"))
+    twice = repeated_filter(digests, max_filter_bytes)
+    groups = ws.stage(probe(digests, twice).where("maybe").groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id")).alias("first")), "winners")
+    ws.drop("ids")
+    sha, h, maybe, group, keep = fresh(docs.columns, "sha", "h", "maybe", "group", "keep")
+    winners = groups.select(F.col("sha").alias(group), F.col("first.id").alias(keep))
+    rows = probe(docs.withColumn(sha, made).withColumn(h, F.xxhash64(sha)), twice, maybe, h)
     # the key has the id too: rows of one large group of copies are dealt over all tasks
-    met = rows.where("_maybe").join(keep, (F.col("_sha") == F.col("_g")) & F.col(doc_id).eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["_sha", doc_id])
-    return rows.where(~F.col("_maybe")).unionByName(met).select(*docs.columns)
+    met = rows.where(maybe).join(winners, (F.col(sha) == F.col(group)) & F.col(doc_id).eqNullSafe(F.col(keep)), "left_semi").dropDuplicates([sha, doc_id])
+    return rows.where(~F.col(maybe)).unionByName(met).select(*docs.columns)

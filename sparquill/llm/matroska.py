@@ -5,9 +5,12 @@ simple blocks and block groups, undoes Xiph, EBML and fixed-size lacing, and rea
 cues. It gives one packet for each frame, with track, timestamp in nanoseconds and
 byte range. ``mux`` writes payloads as 8-bit PCM in clusters of laced blocks.
 
-Defined results: a null value has no packets; a damaged file gives the packets
-before the damage and says where it is in ``error``; an empty payload can't be
-muxed as a block and gives a file without clusters.
+Defined results: a null or empty value has no packets; a damaged file gives the packets
+before the damage and says where it is in ``error``, and so does one with numbers that
+a packet table can't hold (tracks beyond 31 bits, times beyond 63 bits of nanoseconds);
+an empty payload can't be muxed as a block and gives a file without clusters. Repeated
+rows give their packets each. The key may have any name; packet columns of that name
+begin with an underscore.
 """
 
 from __future__ import annotations
@@ -16,10 +19,13 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
-from .common import small_batches
+from .common import fresh, small_batches
 
 # Fixed values of the format (element ids).
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -196,6 +202,8 @@ def _block(m: Movie, data: memoryview, a: int, b: int, time: int, key: bool | No
     at, sizes = lace_sizes(data, at + 3, b, flags & 6)
     each = m.tracks.get(track, {}).get("default_duration") or 0
     stamp = (time + rel) * m.scale
+    if track >= 1 << 31 or max(abs(stamp), abs(stamp + len(sizes) * each)) >= 1 << 63:
+        raise Damage(f"the block at byte {a} has a track or a time out of range")
     for k, n in enumerate(sizes):
         m.packets.append((track, stamp + k * each, len(m.clusters) - 1, k, at, n, bool(flags & 0x80) if key is None else key, LACINGS[flags & 6]))
         at += n
@@ -271,34 +279,42 @@ def parse(blob: bytes | memoryview) -> Movie:
     return m
 
 
+def packet_rows(m: Movie) -> list[tuple]:
+    """The packets of a file as rows of the packet table, without ``error``."""
+    cued = {place for *_, place in m.cues}
+    starts = [head for *_, head in m.clusters]
+    return [(p[0], m.tracks.get(p[0], {}).get("codec"), *p[1:], starts[p[2]] in cued) for p in m.packets]
+
+
+def payload(blob: bytes, rows: list[tuple], track: int = 1) -> bytes:
+    """The byte ranges of a track's packets, in order of their timestamps."""
+    own = sorted((r for r in rows if r[0] == track), key=lambda r: (r[2], r[5]))
+    return b"".join(blob[r[5] : r[5] + r[6]] for r in own)
+
+
 def payload_of(blob: bytes, m: Movie, track: int = 1) -> bytes:
-    """The frames of a track in order of their timestamps."""
-    own = sorted((p for p in m.packets if p[0] == track), key=lambda p: (p[1], p[4]))
-    return b"".join(blob[p[4] : p[4] + p[5]] for p in own)
+    return payload(blob, packet_rows(m), track)
 
 
-PACKETS = "track int, codec string, timestamp_ns long, cluster int, frame int, offset long, size long, keyframe boolean, lacing string, cue boolean, error string"
+PACKETS = {
+    "track": pa.int32(), "codec": pa.string(), "timestamp_ns": pa.int64(), "cluster": pa.int32(), "frame": pa.int32(), "offset": pa.int64(), "size": pa.int64(), "keyframe": pa.bool_(), "lacing": pa.string(), "cue": pa.bool_(), "error": pa.string()
+}
 
 
 def packet_table(files: DataFrame, media: str, key: str) -> DataFrame:
     """One row for each packet of each binary value, and one with ``error`` for each damaged value."""
     small_batches(files.sparkSession)
-    key_type = files.schema[key].dataType.simpleString()
-
-    def run(batches):
-        import pyarrow as pa
+    names = fresh([key], *PACKETS)
+    kinds = [T.StructField(n, from_arrow_type(t)) for n, t in zip(names, PACKETS.values(), strict=True)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, blob in zip(batch.column("_key"), batch.column("_media"), strict=True):
                 m = parse(blob.as_buffer()) if blob.is_valid else Movie()
-                cued = {place for *_, place in m.cues}
-                starts = [head for *_, head in m.clusters]
-                rows = [(p[0], m.tracks.get(p[0], {}).get("codec"), *p[1:], starts[p[2]] in cued, None) for p in m.packets]
-                rows += [(*[None] * 10, m.error)] if m.error else []
+                rows = [(*r, None) for r in packet_rows(m)]
+                rows += [(*[None] * (len(PACKETS) - 1), m.error)] if m.error else []
                 if rows:
-                    names = ["track", "codec", "timestamp_ns", "cluster", "frame", "offset", "size", "keyframe", "lacing", "cue", "error"]
-                    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.string()]
-                    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PACKETS.values(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), batch.column("_key").type), *cols], names=[key, *names])
 
-    return files.select(F.col(key).alias("_key"), F.col(media).alias("_media")).mapInArrow(run, f"`{key}` {key_type}, {PACKETS}")
+    return files.select(F.col(key).alias("_key"), F.col(media).alias("_media")).mapInArrow(run, T.StructType([T.StructField(key, files.schema[key].dataType), *kinds]))

@@ -94,9 +94,11 @@ def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
                     movie = matroska.parse(media)
                     if movie.error:
                         raise ValueError(movie.error)
-                    back = matroska.payload_of(media, movie)
-                    last = movie.packets[-1]
-                    feature = f"tracks={len(movie.tracks)};clusters={len(movie.clusters)};packets={len(movie.packets)};cues={len(movie.cues)};last_ns={last[1]};last_bytes={last[5]};lacing={','.join(sorted({p[7] for p in movie.packets}))};sum={sum(back)}"
+                    packets = matroska.packet_rows(movie)
+                    back = matroska.payload(media, packets)
+                    _, codec, last_ns, *_ = packets[-1]
+                    cued = sum(p[9] for p in packets)
+                    feature = f"tracks={len(movie.tracks)};codec={codec};clusters={len(movie.clusters)};packets={len(packets)};cues={len(movie.cues)};cued={cued};last_ns={last_ns};last_bytes={packets[-1][6]};lacing={','.join(sorted({p[8] for p in packets}))};sum={sum(back)}"
                     rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import same_as_sql
+from pyspark.sql import functions as F
 
 from sparquill.llm import exact_dedup, jaccard_groups, queries
 from sparquill.llm.common import Workspace
@@ -27,13 +28,44 @@ def test_exact_dedup_of_odd_rows(spark, monkeypatch):
     assert exact_dedup.deduplicate(docs.limit(0), Workspace(spark, "t")).collect() == []
 
 
-def test_folded_filter_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "PART_ROWS", 64)
+@pytest.mark.parametrize("limit", [128, 1024, 1 << 20])
+def test_bound_of_the_filter_changes_nothing(spark, monkeypatch, limit):
+    monkeypatch.setattr(exact_dedup, "LOCAL_ROWS", 50)
+    monkeypatch.setattr(exact_dedup, "SLICE_BITS", 512)
     docs = spark.createDataFrame([(i, f"t{i % 400}") for i in range(500)], "doc_id long, text string")
-    got = exact_dedup.decisions(docs, Workspace(spark, "t"), max_filter_bytes=2048).collect()
+    got = exact_dedup.decisions(docs, Workspace(spark, "t"), max_filter_bytes=limit).collect()
     assert sum(r.kept for r in got) == 400 and sum(r.group_size == 2 for r in got) == 200
 
 
+def test_filter_holds_all_repeated_hashes_and_few_others(spark):
+    rows = spark.range(0, 40_000, 1, 7).select(F.xxhash64(F.when(F.col("id") < 36_000, F.col("id")).otherwise(F.col("id") % 1000)).alias("h"), "id")
+    got = exact_dedup.probe(rows, exact_dedup.repeated_filter(rows)).collect()
+    flagged = {r.id for r in got if r.maybe}
+    assert flagged >= set(range(1000)) | set(range(36_000, 40_000))
+    assert len(flagged) - 5000 < 35_000 / 50
+
+
+def test_bitmaps_merge_in_any_order():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 3000, 200) for _ in range(6)]
+    made = [list(exact_dedup.bitmaps(p, 4096, 4096)) for p in parts]
+    want = None
+    for order in (range(6), reversed(range(6)), (3, 1, 5, 0, 2, 4)):
+        got = exact_dedup.merged(iter([(a, b) for i in order for _, a, b in made[i]]), 4096)
+        want = got if want is None else want
+        assert (got == want).all()
+    values, count = np.unique(np.concatenate(parts), return_counts=True)
+    at = exact_dedup._positions(values[count > 1], 4096)
+    assert ((want[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all()
+
+
+def test_names_of_columns_in_exact_dedup(spark):
+    names = ["h", "_h", "sha", "_sha", "maybe", "group", "keep", "_maybe"]
+    docs = spark.createDataFrame([(i, f"t{i % 3}", *names) for i in range(9)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = exact_dedup.deduplicate(docs, Workspace(spark, "t")).collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2] and all(tuple(r)[2:] == tuple(names) for r in got)
+
+
 def brute(rows, k, percent):
     """Component of each id, by comparing all pairs."""
     sets = {}
@@ -132,8 +164,6 @@ def test_near_join_of_nothing(spark):
 
 @pytest.mark.parametrize("percent", [80, 85])
 def test_tokens_needed_holds_for_all_sizes_of_a_group(spark, percent):
-    from pyspark.sql import functions as F
-
     need = lambda n, x: min(jaccard_groups.missable(n, percent) + 1 - n, jaccard_groups.missable(x, percent) + 1 - x) + -(-percent * (n + x) // (100 + percent))
     sizes = [(n, low, high) for n in range(1, 121) for low in range(n, n * 100 // percent + 1) for high in range(low, n * 100 // percent + 1)]
     got = spark.createDataFrame(sizes, "n long, low long, high long").withColumn("c", jaccard_groups.tokens_needed(F.col("n"), F.col("low"), F.col("high"), percent)).collect()

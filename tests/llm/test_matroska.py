@@ -68,6 +68,23 @@ def test_packet_table(spark):
     assert m.packet_table(files.limit(0), "media", "id").collect() == []
 
 
+def test_numbers_out_of_range_are_damage(spark):
+    frame = lambda track, time: m.element(m.CLUSTER, m.number(m.CLUSTER_TIME, time) + m.element(m.SIMPLE_BLOCK, m.size_vint(track) + struct.pack(">hB", 0, 0x80) + b"frame"))
+    whole = lambda scale, *clusters: m.element(m.SEGMENT, m.element(m.INFO, m.number(m.TIMESTAMP_SCALE, scale)) + b"".join(clusters))
+    odd = [whole(1, frame(1, 5), frame(1 << 40, 0)), whole(1 << 62, frame(1, 1), frame(1, 1 << 40)), whole(1, frame((1 << 31) - 1, (1 << 63) - 1)), whole(1 << 63, frame(1, 0), frame(1, 1))]
+    files = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(odd)], "track int, media binary")
+    rows = m.packet_table(files, "media", "track").collect()
+    assert {r.track: bool(r.error) for r in rows if r.error} == {0: True, 1: True, 3: True}
+    assert sorted((r.track, r._track, r.timestamp_ns) for r in rows if r.size) == [(0, 1, 5), (1, 1, 1 << 62), (2, (1 << 31) - 1, (1 << 63) - 1), (3, 1, 0)]
+
+
+def test_key_of_any_name(spark):
+    for name in ("track", "error", "_key", "media", "Size"):
+        files = spark.createDataFrame([("k", bytearray(m.mux(b"q" * 70)))], f"`{name}` string, {'blob' if name == 'media' else 'media'} binary")
+        rows = m.packet_table(files, files.columns[1], name).collect()
+        assert rows and all(r[0] == "k" for r in rows) and len(set(c.lower() for c in rows[0].asDict())) == 12
+
+
 def test_query_equals_plain_python(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
