@@ -22,11 +22,12 @@ BRANDS = ["Mazda", "Kia", "Renault", "Chevrolet"]
 LINES = ["CX5", "Rio", "Logan", "Spark GT", "Modelo"]
 VERSIONS = ["Sport Grand", "Life", None]
 YEARS = ["2012", "2018", None, "2030"]
+LIMIT = 40
 POLICY = lx.ProviderPolicy(category_only=("prov4",), partial=("prov3",))
 #: Preferences of quotes q1 to q3; q0 has none.
 PREFERENCES = {
-    "q1": {"preferred_providers": ["prov1"], "avoided_providers": ["prov2"], "preferred_brands": [], "avoided_brands": [], "prefer_exact_reference": False, "year_tolerance": 0, "max_options": None},
-    "q2": {"preferred_providers": [], "avoided_providers": [], "preferred_brands": ["mazda"], "avoided_brands": ["kia"], "prefer_exact_reference": False, "year_tolerance": 2, "max_options": None},
+    "q1": {"preferred_providers": ["prov1"], "avoided_providers": ["prov2"], "preferred_brands": [], "avoided_brands": ["kia"], "prefer_exact_reference": False, "year_tolerance": 0, "max_options": None},
+    "q2": {"preferred_providers": [], "avoided_providers": [], "preferred_brands": ["renault"], "avoided_brands": [], "prefer_exact_reference": False, "year_tolerance": 2, "max_options": None},
     "q3": {"preferred_providers": [], "avoided_providers": ["prov0"], "preferred_brands": [], "avoided_brands": [], "prefer_exact_reference": True, "year_tolerance": 0, "max_options": 2},
 }
 
@@ -125,7 +126,7 @@ scored AS (SELECT *, CASE WHEN exact THEN 'exact_reference' WHEN provider_id = '
   FROM (SELECT *, LEAST(GREATEST(0, LEAST(100, capped + CASE WHEN liked THEN 8 ELSE 0 END - CASE WHEN avoided THEN 20 ELSE 0 END + CASE WHEN b_liked THEN 5 ELSE 0 END - CASE WHEN b_avoided THEN 12 ELSE 0 END)), CASE WHEN strict THEN 72 ELSE 1000 END,
     CASE WHEN provider_id = 'prov4' THEN CASE WHEN tax THEN 55 ELSE 25 END WHEN provider_id = 'prov3' THEN CASE WHEN tax THEN 78 ELSE 60 END WHEN NOT exact AND q_ref IS NULL THEN 88 ELSE 1000 END) AS score FROM liked) WHERE score >= 20),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY part_id, provider_id, {norm_sql('title')}, COALESCE(i_ref, '') ORDER BY score DESC, match_type = 'exact_reference' DESC, provider_name DESC, title DESC, item_id) AS n FROM scored),
-ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY score DESC, match_type = 'exact_reference' DESC, provider_name DESC, title DESC, item_id) AS rank FROM firsts WHERE n = 1) WHERE rank <= 12 AND rank <= {_prefs_sql('max_options', '12')})"""
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY score DESC, match_type = 'exact_reference' DESC, provider_name DESC, title DESC, item_id) AS rank FROM firsts WHERE n = 1) WHERE rank <= {LIMIT} AND rank <= {_prefs_sql('max_options', str(LIMIT))})"""
 
 
 _MANUAL_SQL = "match_type <> 'exact_reference'"
@@ -134,7 +135,7 @@ _SAYS_SQL = """CASE WHEN provider_id = 'prov4' THEN ' no expone referencia exact
 
 
 def matched(read):
-    return matching.match(requests(read), items(read), 12, POLICY, title_similarity=False)
+    return matching.match(requests(read), items(read), LIMIT, POLICY, title_similarity=False)
 
 
 @query(f"""{scored_sql()} SELECT CAST(part_id AS BIGINT) AS part_id, CAST(item_id AS BIGINT) AS item_id, CAST(rank AS BIGINT) AS rank, CAST(score AS BIGINT) AS score, match_type, array_to_string(risk, ',') AS risk_flags, array_to_string(said, ';') AS preference_notes,
@@ -142,7 +143,7 @@ CASE WHEN len(risk) > 0 THEN 'warning' WHEN provider_id = 'prov4' OR {_MANUAL_SQ
 CASE WHEN len(risk) > 0 THEN replace(risk[1], '_', ' ') WHEN match_type = 'exact_reference' THEN 'referencia exacta visible' WHEN provider_id = 'prov4' THEN 'coincidencia por familia o categoria; validar manualmente' WHEN len(said) > 0 THEN said[1] WHEN {_MANUAL_SQL} THEN 'informacion insuficiente; requiere validacion manual' ELSE '' END AS compatibility_summary,
 provider_name || {_SAYS_SQL} || score || '%).' AS summary FROM ranked""")
 def q_rule_score_full(read, spark):
-    """The twelve best items of each request, with all rules, preferences and provider policies."""
+    """The best items of each request, with all rules, preferences and provider policies."""
     m = matched(read)
     return m.select("part_id", "item_id", F.col("rank").cast("long").alias("rank"), F.col("score").cast("long").alias("score"), "match_type", F.array_join("risk_flags", ",").alias("risk_flags"), F.array_join("preference_notes", ";").alias("preference_notes"), F.col("compatibility_state").alias("state"), "compatibility_summary", "summary")
 
