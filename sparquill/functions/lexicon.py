@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-# Results of matching depend on each of them.
+# Results of matching depend on each of them. Where order has no effect (sets of
+# words, vehicles' brands, taxonomies, whose labels come sorted) entries stand in order of the alphabet.
 
 STOPWORDS = ("a", "al", "con", "de", "del", "el", "en", "la", "las", "los", "para", "por", "sin", "un", "una", "y")
 

@@ -346,3 +346,28 @@ def ignored(x: Column, keywords=()) -> Column:
 
 def query_parameter(url: Column, name: str) -> Column:
     return F.nullif(F.trim(F.url_decode(F.try_parse_url(url, F.lit("QUERY"), F.lit(name)))), F.lit(""))
+
+
+def query_url(url: Column, parameters: dict[str, Column]) -> Column:
+    """An address with the given query parameters; those that are null or blank are left out."""
+    pairs = [F.when(_said(v), F.concat(F.lit(f"{k}="), F.replace(F.url_encode(v), F.lit("+"), F.lit("%20")))) for k, v in parameters.items()]
+    said = F.array_join(F.array_compact(F.array(*pairs)), "&")
+    bare = F.regexp_replace(text(url), "#.*$", "")
+    joint = F.when(bare.contains("?"), F.when(bare.rlike("[?&]$"), "").otherwise("&")).otherwise("?")
+    return F.when(said != "", F.concat(bare, joint, said)).otherwise(bare)
+
+
+def _said(x: Column) -> Column:
+    return F.coalesce(F.trim(x) != "", F.lit(False))
+
+
+def sender_query(address: str, day: Column) -> Column:
+    """A mail search for a sender; with a day for that day alone (from it, before the next)."""
+    span = F.concat(F.lit(" after:"), F.date_format(day, "yyyy/MM/dd"), F.lit(" before:"), F.date_format(F.date_add(day, 1), "yyyy/MM/dd"))
+    return F.concat(F.lit(f"from:{address}"), F.coalesce(span, F.lit("")))
+
+
+def escape_html(x: Column) -> Column:
+    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        x = F.replace(x, F.lit(c), F.lit(name))
+    return x

@@ -126,3 +126,16 @@ def part_summary(options: DataFrame) -> DataFrame:
     g = options.groupBy("part_id").agg(F.array_sort(F.collect_list(row)).alias("o"))
     top = F.element_at("o", 1)
     return g.select("part_id", F.size("o").alias("options"), top["provider_id"].alias("top_provider"), top["adjusted_score"].alias("top_score"), top["match_type"].alias("top_match_type"), F.slice(F.array_distinct(F.flatten(F.transform("o", lambda x: x["notes"]))), 1, 2).alias("notes"))
+
+
+def option_fields(options: DataFrame) -> DataFrame:
+    """Reviewed options as they are put out: rank, reviewed score, states and notes, evidence where there is some."""
+    has = "evidence" in options.columns
+    rag = lambda f: F.col(f"evidence.{f}") if has else F.lit(None).cast("string")
+    out = {
+        "rank": F.col("option"), "provider_id": F.col("provider_id"), "provider_name": F.col("provider_name"), "score_percent": F.col("adjusted_score"), "match_type": F.col("match_type"), "product_name": F.col("title"), "detail_url": F.col("detail_url"),
+        "reference": F.col("reference"), "sku": F.col("sku"), "brand": F.col("brand"), "category_name": F.col("category_name"), "subcategory_name": F.col("subcategory_name"), "requires_manual_confirmation": F.coalesce(F.col("manual"), F.lit(False)),
+        "compatibility_state": F.col("compatibility_state"), "compatibility_summary": F.col("compatibility_summary"), "compatibility_warnings": F.col("warnings"), "agentic_comment": F.col("comment"), "explanation_source": F.col("explanation_source"),
+        "risk_flags": F.col("risk_flags"), "preference_notes": F.col("preference_notes"), "rag_verdict": rag("verdict"), "rag_summary": rag("summary"),
+    }
+    return options.select("part_id", F.struct(*(c.alias(n) for n, c in out.items())).alias("match"))

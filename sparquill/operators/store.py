@@ -14,17 +14,55 @@ from pyspark.sql import types as T
 from ..functions import text as t
 
 # Fields of stored documents, in order.
+SPEC_FIELDS = ("provider_id", "display_name", "snapshot_date")
 MATCH_FIELDS = (
-    "provider_id", "provider_name", "score_percent", "match_type", "product_name", "reference", "sku", "brand", "category_name", "subcategory_name",
-    "detail_url", "risk_flags", "compatibility_warnings", "preference_notes", "compatibility_state", "compatibility_summary", "operational_note",
+    "provider_id", "provider_name", "score_percent", "match_type", "detail_url", "product_name", "reference", "sku", "brand", "category_name", "subcategory_name", "risk_flags",
+    "compatibility_warnings", "preference_notes", "compatibility_state", "compatibility_summary", "operational_note",
 )
-PART_FIELDS = ("part_name", "requested_reference", "quantity", "requested_taxonomies", "best_score_percent", "best_match_type", "best_provider_id")
-SUMMARY_FIELDS = ("parts_total", "parts_with_matches", "exact_reference_matches", "partial_matches")
-SPEC_FIELDS = ("provider_id", "display_name", "snapshot_date")
+SUMMARY_FIELDS = ("parts_total", "parts_with_matches", "exact_reference_matches", "provider_hits")
+PART_FIELDS = ("part_name", "requested_reference", "quantity", "best_score_percent", "best_match_type", "best_provider_id")
+QUOTE_PART_FIELDS = ("name", "reference", "quantity", "unit_gross_price", "delivery_days", "discount", "quality", "total_value", "reference_validation_text", "raw_status")
+QUOTE_FIELDS = (
+    "load_status", "retries_used", "aviso_id", "fecha_aviso", "marca", "linea", "version", "ano", "placa", "vin", "taller_entrega", "nombre_comercial", "nit", "ciudad", "direccion", "telefono", "email",
+    "repuestos_count", "total_cotizacion", "repuestos_cotizados",
+)
+OPTION_FIELDS = (
+    "rank", "provider_id", "provider_name", "score_percent", "match_type", "product_name", "detail_url", "reference", "brand", "category_name", "compatibility_state", "compatibility_summary",
+    "compatibility_warnings", "preference_notes", "risk_flags", "agentic_comment",
+)
+REVIEW_SUMMARY_FIELDS = ("parts_reviewed", "parts_with_agentic_matches", "provider_hits")
+REVIEW_PART_FIELDS = ("part_name", "requested_reference", "top_provider_id", "top_score_percent", "review_status", "risk_notes", "preference_notes")
 SOURCE_FIELDS = ("gmail_id", "message_id", "internal_date_ms", "received_at", "sender", "subject")
 STORED_MATCHES = 3
 # End of the fixed values.
 
+#: A shape: names of fields, or (name, shape of the field, number of entries kept or None).
+PART = (*PART_FIELDS, ("matches", MATCH_FIELDS, STORED_MATCHES))
+MATCHING = ("generated_at", ("summary", SUMMARY_FIELDS, None), ("provider_specs", SPEC_FIELDS, None), "preferences", ("parts", PART, None))
+QUOTE = (*QUOTE_FIELDS, ("parts", QUOTE_PART_FIELDS, None), "warnings")
+REVIEW_PART = (*REVIEW_PART_FIELDS, ("selected_matches", OPTION_FIELDS, None))
+REVIEW = ("generated_at", "review_mode", ("summary", REVIEW_SUMMARY_FIELDS, None), ("parts", REVIEW_PART, None))
+PAYLOAD = ("generated_at", "quote_key", ("source", SOURCE_FIELDS, None), "quote_url_masked", ("orbika", QUOTE, None), ("supplier_matching", MATCHING, None), ("agentic_supplier_matching", REVIEW, None))
+
+
+def project(x: Column, kind: T.DataType, shape: tuple, keep: int | None = None) -> Column:
+    """A value cut to a shape, at every depth: of structs the fields that both have, of arrays each entry (the first ``keep``)."""
+    if isinstance(kind, T.ArrayType):
+        entries = F.slice(x, 1, keep) if keep else x
+        return F.transform(entries, lambda v: project(v, kind.elementType, shape))
+    fields = []
+    for f in shape:
+        name, inner, most = f if isinstance(f, tuple) else (f, None, None)
+        if name in kind.names:
+            fields.append((project(x.getField(name), kind[name].dataType, inner, most) if inner else x.getField(name)).alias(name))
+    return F.when(x.isNotNull(), F.struct(*fields))
+
+
+def stored(df: DataFrame, column: str, shape: tuple = PAYLOAD) -> Column:
+    """A column as the JSON text that is stored: cut to its shape, then compacted."""
+    cut = project(F.col(column), df.schema[column].dataType, shape)
+    return F.to_json(compact(cut, df.select(cut.alias("x")).schema["x"].dataType))
+
 
 def compact(x: Column, kind: T.DataType) -> Column:
     """A value without nulls, blank texts and empty lists or objects, at every depth; 0 and false stay.
@@ -50,18 +88,6 @@ def compact_json(df: DataFrame, column: str) -> Column:
     return F.to_json(compact(F.col(column), df.schema[column].dataType))
 
 
-def pick(x: Column, kind: T.StructType, fields) -> Column:
-    """The named fields of a struct, those that it has."""
-    return F.struct(*(x.getField(f).alias(f) for f in fields if f in kind.names))
-
-
-def stored_part(x: Column, kind: T.StructType) -> Column:
-    """A part of a stored report: its fields and its first three matches, each with its stored fields."""
-    match_kind = kind["matches"].dataType.elementType
-    matches = F.transform(F.slice(x["matches"], 1, STORED_MATCHES), lambda m: pick(m, match_kind, MATCH_FIELDS))
-    return F.struct(*(x.getField(f).alias(f) for f in PART_FIELDS if f in kind.names), matches.alias("matches"))
-
-
 def key(*parts: Column) -> Column:
     """A surrogate key from a natural one."""
     return F.sha2(F.to_json(F.struct(*(p.cast("string").alias(f"k{i}") for i, p in enumerate(parts))), {"ignoreNullFields": "false"}).cast("binary"), 256)
@@ -175,3 +201,36 @@ def ordered_matches(matches: DataFrame, by: str = "part_key") -> DataFrame:
     order = Window.partitionBy(by).orderBy(F.asc_nulls_last("rank"), F.desc("score_percent"), "match_key")
     d = matches.withColumn("place", F.row_number().over(order))
     return d.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("place", "match_key", "provider_id", "score_percent"))).alias("matches"))
+
+
+def summaries(rows: DataFrame) -> DataFrame:
+    """Rows of quotes as a list shows them: fallbacks for missing times, 0 for missing counts."""
+    count = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c)
+    when = lambda x: F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss")
+    return rows.select(
+        "quote_key", t.text("path").alias("path"), when(F.coalesce("processed_at", "updated_at")).alias("generated_at"), when(F.col("received_at")).alias("received_at"), "subject", "load_status",
+        *(count(c) for c in ("parts_total", "parts_with_matches", "exact_reference_matches", "parts_with_options")),
+    )
+
+
+def match_payload(matches: DataFrame, columns: list[str], raw: str = "raw") -> Column:
+    """The raw JSON of a match (a flat object) under the table's columns, which win even when they are null."""
+    own = F.from_json(F.col(raw), "map<string,string>")
+    over = F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*(F.col(c).cast("string") for c in columns)))
+    return F.map_concat(F.map_filter(F.coalesce(own, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, _: ~k.isin(*columns)), over)
+
+
+def numbered(x: Column) -> Column:
+    """A decimal as text: whole numbers without a point, others without zeros at the end."""
+    return F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+def touched(df: DataFrame, now: Column | None = None) -> DataFrame:
+    """Rows with the time of their change."""
+    return df.withColumn("updated_at", F.current_timestamp() if now is None else now)
+
+
+def rerun(stored: DataFrame, keys: DataFrame, by: str, process) -> DataFrame:
+    """Stored rows of which the asked ones are processed again; a key that isn't there is an error."""
+    again = process(require_keys(stored, keys, by))
+    return replace_children(stored, again.select(*stored.columns), keys, by)

@@ -114,3 +114,27 @@ def write_snapshot(products: DataFrame, root: str) -> None:
 
 def summary_text(counts: dict[str, int], title: str) -> str:
     return "\n".join([f"# {title}", "", *(f"- {k.replace('_', ' ')}: {v}" for k, v in counts.items())]) + "\n"
+
+
+def envelope(provider_id: str, provider_name: str, snapshot_date: str, products: DataFrame, notes: Column) -> DataFrame:
+    """One row that describes a snapshot: its provider, date, number of products, and notes, each once."""
+    said = F.array_distinct(F.filter(F.transform(notes, lambda x: F.trim(x)), lambda x: x != ""))
+    return products.agg(F.count("*").alias("products_count")).select(F.lit(provider_id).alias("provider_id"), F.lit(provider_name).alias("provider_name"), F.lit(snapshot_date).alias("snapshot_date"), said.alias("notes"), "products_count")
+
+
+def write_bundle(products: DataFrame, differences: DataFrame, about: DataFrame, root: str, title: str) -> str:
+    """A snapshot's folder: its envelope, products (JSON lines and CSV), differences and a summary; returns the folder.
+
+    ``about`` is its ``envelope``. Products are lines, not one document, so that a catalog of any size is written by all tasks.
+    """
+    head = about.first()
+    at = f"{root.rstrip('/')}/{head.provider_id}/snapshots/{head.snapshot_date}"
+    write_documents(about, f"{at}/envelope.json")
+    write_documents(products, f"{at}/extracted.json")
+    write_csv(products, f"{at}/products.csv")
+    write_documents(differences, f"{at}/diff.json")
+    changes = {r["change"]: r["count"] for r in differences.groupBy("change").count().collect()}  # three kinds
+    counts = {"products": head.products_count} | {k: changes.get(k, 0) for k in ("added", "removed", "changed")}
+    spark = products.sparkSession
+    spark.createDataFrame([(summary_text(counts, title),)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/summary.md")
+    return at

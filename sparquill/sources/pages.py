@@ -332,6 +332,11 @@ def anchors(html: Column) -> Column:
     return F.transform(whole, lambda a: F.struct(t.unescape_html(attribute(F.regexp_extract(a, "(?is)^<a[^>]*>", 0), "href")).alias("href"), t.strip_html(a).alias("text"), attribute(F.regexp_extract(a, "(?is)^<a[^>]*>", 0), "title").alias("title"), attribute(F.regexp_extract(a, "(?is)^<a[^>]*>", 0), "aria-label").alias("aria_label")))
 
 
+def anchor_excerpt(anchor: Column) -> Column:
+    """An anchor (href, text) for a log: the query of its address hidden, markup escaped."""
+    return F.concat(F.lit('<a href="'), t.escape_html(t.mask_query(anchor["href"])), F.lit('">'), t.escape_html(t.text(anchor["text"])), F.lit("</a>"))
+
+
 def is_quote_url(url: Column, quote_host: str, path: str) -> Column:
     """http(s), exactly this host and path, and a query."""
     part = lambda p: F.coalesce(F.try_parse_url(url, F.lit(p)), F.lit(""))
