@@ -24,6 +24,9 @@ MANUAL = "manual_confirmation_required"
 PREFS = "struct<preferred_providers:array<string>,avoided_providers:array<string>,preferred_brands:array<string>,avoided_brands:array<string>,prefer_exact_reference:boolean,year_tolerance:int,max_options:int>"
 
 
+PREF_FIELDS = ("preferred_providers", "avoided_providers", "preferred_brands", "avoided_brands", "prefer_exact_reference", "year_tolerance", "max_options")
+
+
 def taxonomies(*values: Column) -> Column:
     """Labels with a keyword anywhere in the normalised text, sorted; a keyword inside a longer word counts."""
     hay = t.normalize(t.joined(*values))
@@ -79,7 +82,8 @@ def prepare_requests(requests: DataFrame) -> DataFrame:
     out = computed(out, q_vehicle=F.array_distinct(F.concat("q_brand", "q_line", "q_version")))
     if "prefs" not in requests.columns:
         out = out.withColumn("prefs", F.lit(None).cast(PREFS))
-    return out
+    # each preference as a column of its own: pruning of nested fields fails over the windows of later steps
+    return computed(out, **{f"prefs_{f}": F.col(f"prefs.{f}") for f in PREF_FIELDS}).drop("prefs")
 
 
 def prepare_items(items: DataFrame) -> DataFrame:
@@ -147,7 +151,7 @@ def _points(count: Column, each: int, most: int) -> Column:
 
 def score(pairs: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, title_similarity: bool = True) -> DataFrame:
     """Pairs (prepared request and item columns) with score, match_type, flags, notes and preference_notes."""
-    p = lambda name, empty: F.coalesce(F.col(f"prefs.{name}"), empty)
+    p = lambda name, empty: F.coalesce(F.col(f"prefs_{name}"), empty)
     none = F.array().cast("array<string>")
     overlap = lambda x: F.size(F.array_intersect(F.col(x), F.col("tokens")))
     flags, notes = conflicts(p("year_tolerance", F.lit(0)))
@@ -261,7 +265,7 @@ def rank(scored: DataFrame, limit: int = 5) -> DataFrame:
     same = Window.partitionBy("part_id", t.text("provider_id"), t.normalize(F.col("title")), blank("reference"), blank("sku"), blank("code")).orderBy(*order)
     first = scored.withColumn("_n", F.row_number().over(same)).where(F.col("_n") == 1)
     best = Window.partitionBy("part_id").orderBy(*order)
-    most = F.least(F.lit(limit), F.coalesce(F.col("prefs.max_options"), F.lit(limit)))
+    most = F.least(F.lit(limit), F.coalesce(F.col("prefs_max_options"), F.lit(limit)))
     return first.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= limit) & (F.col("rank") <= most)).drop("_n")
 
 

@@ -6,11 +6,15 @@ on terms (text) or in blocks (vectors), so many queries cost one pass.
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
+from ..shared import shared_folder
 
 MAX_CHARS, OVERLAP = 1400, 180
 BREAK = 0.65
@@ -92,17 +96,17 @@ def cover_density():
 
         def one(w, q):
             q = set(q)
-            at = [(i, x) for i, x in enumerate(w) if x in q]
-            last: dict = {}
-            total, begin_before = 0.0, -1
-            for i, x in at:
-                last[x] = i
-                if len(last) == len(q):
-                    begin = min(last.values())
-                    if begin > begin_before:
-                        inside = sum(begin <= j <= i for j, _ in at)
-                        total += 0.1 / (1 + (i - begin + 1 - inside))
-                        begin_before = begin
+            last: dict = {}  # place in the text and among the terms of each term's last occurrence
+            total, begin_before, n = 0.0, -1, 0
+            for i, x in enumerate(w):
+                if x in q:
+                    last[x] = (i, n)
+                    if len(last) == len(q):
+                        begin, first = min(last.values())
+                        if begin > begin_before:
+                            total += 0.1 / (1 + (i - begin) - (n - first))
+                            begin_before = begin
+                    n += 1
             return total
 
         return pd.Series([one(w, q) for w, q in zip(words, query, strict=True)])
@@ -111,9 +115,9 @@ def cover_density():
 
 
 def text_search(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """The best chunks of each query by cover density; ties by document, page and place."""
+    """The best chunks of each query by cover density (to nine places, so sums in another order are equal); ties by document, page and place."""
     met = text_matches(chunks, queries).join(chunks, ["document_id", "chunk_index"]).join(queries, "query_id")
-    ranked = met.withColumn("score", cover_density()(terms(F.col("content")), F.array_distinct(terms(F.col("query")))))
+    ranked = met.withColumn("score", F.round(cover_density()(terms(F.col("content")), F.array_distinct(terms(F.col("query")))), 9))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "page", "chunk_index")
     return ranked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).drop("query")
 
@@ -126,19 +130,76 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, limit: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+#: Queries that one scan of the vectors answers.
+QUERY_BLOCK = 4096
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, limit: int, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, key, score: exact cosine of each query (query_id, q) with every vector of its length; best first.
 
-    A stated set of queries goes against all rows. The queries are joined as a side
-    that Spark broadcasts only within its size limit; the norm of a vector is
-    computed once. Null vectors and zero vectors have no score.
+    A stated set of queries goes against all rows in blocks: the driver holds ``block``
+    queries at a time and sends them to all tasks, which keep their own best rows of
+    each query, so a block's shuffle has at most ``limit`` rows for each query and
+    task. The results of several blocks are written to the shared folder one by one.
+    Null, empty and zero vectors have no score; ties go to the smaller key.
     """
-    v = vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v")).withColumn("_n", norm(F.col("_v"))).where("_n > 0").withColumn("_d", F.size("_v"))
-    q = queries.select("query_id", F.col("q").alias("_q")).withColumn("_m", norm(F.col("_q"))).where("_m > 0").withColumn("_e", F.size("_q"))
-    met = v.join(q, F.col("_d") == F.col("_e"))
-    scored = met.withColumn("score", dot(F.col("_v"), F.col("_q")) / (F.col("_n") * F.col("_m")))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("query_id", key, "score", "place")
+    spark = vectors.sparkSession
+    types = {f.name: f.dataType for f in [*vectors.schema, *queries.schema]}
+    schema = T.StructType([T.StructField("query_id", types["query_id"]), T.StructField(key, types[key]), T.StructField("score", T.DoubleType())])
+    rows = vectors.where(F.size(vector) > 0).select(F.col(key).alias("_k"), F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+
+    def answers(some: list) -> DataFrame:
+        found = rows.mapInPandas(_nearest(spark.sparkContext.broadcast(some), limit, key), schema)
+        return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", key, "score", "place")
+
+    asked = iter(queries.where(F.size("q") > 0).select("query_id", F.transform("q", lambda x: x.cast("double")).alias("q")).toLocalIterator())
+    some = [tuple(r) for r in itertools.islice(asked, block)]
+    more = [tuple(r) for r in itertools.islice(asked, block)]
+    if not more:
+        return answers(some)
+    at = f"{shared_folder(spark)}/nearest-{uuid.uuid4().hex}"
+    while some:
+        answers(some).write.mode("append").parquet(at)
+        some, more = more, [tuple(r) for r in itertools.islice(asked, block)]
+    return spark.read.parquet(at)
+
+
+def _nearest(sent, limit: int, key: str):
+    """The rows of a task that are among its nearest to each query of a block."""
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        by_length: dict = {}
+        for query_id, q in sent.value:
+            v = np.asarray(q, float)
+            n = np.sqrt((v * v).sum())
+            if len(v) and n > 0:
+                by_length.setdefault(len(v), []).append((query_id, v / n))
+        stacked = {k: ([i for i, _ in v], np.stack([x for _, x in v])) for k, v in by_length.items()}
+        best: dict = {}
+        for frame in frames:
+            length = frame["_v"].map(len)
+            for k, part in frame.groupby(length):
+                if k not in stacked:
+                    continue
+                names, q = stacked[k]
+                v = np.stack(part["_v"].to_numpy())
+                n = np.sqrt((v * v).sum(1))
+                keys, v = part["_k"].to_numpy()[n > 0], v[n > 0] / n[n > 0, None]
+                # scores to twelve places: the order of sums makes no ties
+                score = np.round(v @ q.T, 12)
+                for j, name in enumerate(names):
+                    own = pd.DataFrame({"query_id": name, key: keys, "score": score[:, j]})
+                    own = pd.concat([best[name], own]) if name in best else own
+                    best[name] = own.sort_values(["score", key], ascending=[False, True]).head(limit)
+        for own in best.values():
+            if len(own):
+                yield own
+
+    return run
 
 
 def ivf_index(vectors: DataFrame, cells: int = 100, vector: str = "embedding", seed: int = 7, sample: int = 20_000):
@@ -156,9 +217,8 @@ def ivf_search(model, indexed: DataFrame, queries: DataFrame, limit: int, probes
     """As ``vector_search``, within the ``probes`` cells nearest to each query."""
     spark = indexed.sparkSession
     centers = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cell int, center array<double>")
-    near = queries.join(F.broadcast(centers)).withColumn("s", dot(F.col("q"), F.col("center")) / (norm(F.col("q")) * norm(F.col("center"))))
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "cell"))).where(F.col("n") <= probes)
-    met = indexed.join(near.select("query_id", "q", "cell"), "cell")
+    near = vector_search(centers, queries, probes, "cell", "center").join(queries, "query_id")
+    met = indexed.join(near.select("query_id", "q", F.col("cell").cast("int").alias("cell")), "cell")
     scored = met.withColumn("score", dot(F.col(vector), F.col("q")) / (norm(F.col(vector)) * norm(F.col("q"))))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("query_id", key, "score", "place")

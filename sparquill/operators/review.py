@@ -22,7 +22,7 @@ ACCEPT, ACCEPT_CATEGORY_ONLY = 35, 18
 
 def adjusted(c: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY) -> DataFrame:
     """Candidates with ``adjusted_score`` (0 to 100) and the notes and flags that review adds."""
-    p = lambda name, empty: F.coalesce(F.col(f"prefs.{name}"), empty)
+    p = lambda name, empty: F.coalesce(F.col(f"prefs_{name}"), empty)
     none = F.array().cast("array<string>")
     shown = [F.col(x) for x in ("title", "brand", "category_name", "subcategory_name", "reference", "sku")]
     own = t.tokens(*shown)
@@ -138,4 +138,4 @@ def option_fields(options: DataFrame) -> DataFrame:
         "compatibility_state": F.col("compatibility_state"), "compatibility_summary": F.col("compatibility_summary"), "compatibility_warnings": F.col("warnings"), "agentic_comment": F.col("comment"), "explanation_source": F.col("explanation_source"),
         "risk_flags": F.col("risk_flags"), "preference_notes": F.col("preference_notes"), "rag_verdict": rag("verdict"), "rag_summary": rag("summary"),
     }
-    return options.select("part_id", F.struct(*(c.alias(n) for n, c in out.items())).alias("match"))
+    return options.select("part_id", *(c.alias(n) for n, c in out.items()))

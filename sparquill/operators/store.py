@@ -156,13 +156,13 @@ def related_parts(parts: DataFrame, others: DataFrame, name: str = "name") -> Da
 
 
 def review_matches(reviews: DataFrame, matches: DataFrame) -> DataFrame:
-    """Reviews with the key of their match: by (rank, provider, product, reference, url), else the first of (provider, product)."""
+    """Reviews with the key of their match: by (rank, provider, product, reference, url), else the first of (provider, product) by rank and key."""
     exact_keys = ["rank", "provider_id", "product_name", "reference", "detail_url"]
     m = matches.select(F.col("part_key").alias("_part"), F.col("match_key").alias("_exact"), *(F.col(c).alias(f"_{c}") for c in exact_keys))
     on = F.col("part_key") == F.col("_part")
     for c in exact_keys:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    first = matches.groupBy(F.col("part_key").alias("_part2"), F.col("provider_id").alias("_p2"), F.col("product_name").alias("_n2")).agg(F.min_by("match_key", "rank").alias("_first"))
+    first = matches.groupBy(F.col("part_key").alias("_part2"), F.col("provider_id").alias("_p2"), F.col("product_name").alias("_n2")).agg(F.min_by("match_key", F.struct("rank", "match_key")).alias("_first"))
     d = reviews.join(m, on, "left").drop("_part", *(f"_{c}" for c in exact_keys))
     d = d.join(first, (F.col("part_key") == F.col("_part2")) & (F.col("provider_id") == F.col("_p2")) & (F.col("product_name") == F.col("_n2")), "left")
     return d.withColumn("match_key", F.coalesce("_exact", "_first")).drop("_exact", "_first", "_part2", "_p2", "_n2")

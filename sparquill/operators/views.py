@@ -71,9 +71,9 @@ def daily(quotes: DataFrame, date: Column, fields: list[str], specs: Column | No
     return quotes.groupBy(date.alias("day")).agg(F.count("*").alias("quotes"), F.array_sort(F.collect_list(row)).alias("summaries"), *more)
 
 
-def latest_by(df: DataFrame, by: str, order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
+def latest_by(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """The row of each group with the greatest values of ``order``; partial aggregation sends one row for each group and task."""
+    return df.groupBy(by).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_r")).select("_r.*")
 
 
 def detail(quote: DataFrame, parts: DataFrame, matches: DataFrame, reviews: DataFrame) -> DataFrame:

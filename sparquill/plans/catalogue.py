@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import matching_queries, source_queries, text_queries, value_queries, vehicle_queries, view_queries  # noqa: F401
+from . import matching_queries, source_queries, store_queries, text_queries, value_queries, vehicle_queries, view_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

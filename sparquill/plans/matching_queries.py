@@ -55,8 +55,8 @@ def matching_share():
 
 
 def catalog(read):
-    """One item for each distinct name, brand and type of part, from a provider named by its size."""
-    p = read("part").groupBy("p_name", "p_brand", "p_type").agg(F.min("p_partkey").alias("k"), F.min("p_size").alias("size"))
+    """Every part is an item, from a provider named by its size."""
+    p = read("part").select("p_name", "p_brand", "p_type", F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))
     title = F.concat_ws(" ", "p_name", "p_type")
     return p.select(
         F.col("k").alias("item_id"), F.concat(F.lit("prov"), (F.col("size") % 5).cast("string")).alias("provider_id"), F.concat(F.lit("Provider "), (F.col("size") % 5).cast("string")).alias("provider_name"),
@@ -67,7 +67,7 @@ def catalog(read):
 
 
 def requests(read):
-    """A request for each distinct name and type of the parts sold, in a quote for each type; every third asks by reference."""
+    """A request for each distinct name and type of the parts sold (equal requests have equal answers), in a quote for each type; every third asks by reference."""
     sold_parts = read("part").join(read("lineitem").select("l_partkey").distinct(), F.col("p_partkey") == F.col("l_partkey"), "left_semi")
     p = sold_parts.groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("k"))
     none = F.lit(None).cast("string")
@@ -91,7 +91,7 @@ def scored_sql() -> str:
   FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY p_name, p_type),
 q AS (SELECT *, NULLIF({ref.format('reference')}, '') AS q_ref, list_filter({words_sql("COALESCE(part_name, '') || ' ' || COALESCE(reference, '')")}, lambda w: NOT list_contains({generic}, w)) AS q_tok,
   {words_sql('part_name')} AS q_words, list_filter({words_sql('line')}, lambda w: NOT list_contains({list(lx.GENERIC_VEHICLE)}, w)) AS q_line, {_TAX("COALESCE(part_name, '') || ' ' || COALESCE(reference, '')")} AS q_tax FROM req),
-cat AS (SELECT MIN(p_partkey) AS item_id, 'prov' || (MIN(p_size) % 5) AS provider_id, 'Provider ' || (MIN(p_size) % 5) AS provider_name, {title} AS title, p_type, p_brand AS brand, 'REF-' || MIN(p_partkey) AS i_reference FROM part GROUP BY p_name, p_brand, p_type),
+cat AS (SELECT p_partkey AS item_id, 'prov' || (p_size % 5) AS provider_id, 'Provider ' || (p_size % 5) AS provider_name, {title} AS title, p_type, p_brand AS brand, 'REF-' || p_partkey AS i_reference FROM part),
 item AS (SELECT *, {words_sql("title || ' ' || brand")} AS tokens, {words_sql("title || ' ' || p_type || '   ' || i_reference")} AS i_words, {_TAX('title')} AS i_tax,
   list_filter({words_sql("title || ' ' || brand")}, lambda w: list_contains({list(lx.VEHICLE_BRANDS)}, w)) AS i_brands, {ref.format('i_reference')} AS i_ref FROM cat),
 cand AS (SELECT DISTINCT part_id, item_id FROM (

@@ -43,11 +43,11 @@ def q_years(read, spark):
     return d.select("o_custkey", show(t.years(F.col("x"))).alias("matcher"), show(t.years(F.col("x"), False, None)).alias("retrieval"))
 
 
-@query(f"""WITH k AS (SELECT *, {norm_sql("substr(COALESCE(text, ''), 1, 40)")} AS record_key, len({words_sql('text')}) AS n FROM documents)
+@query(f"""WITH k AS (SELECT *, md5({norm_sql('text')}) AS record_key, len({words_sql('text')}) AS n FROM documents)
 SELECT record_key, MIN(doc_id) AS first_seen, arg_max(doc_id, (n, -doc_id)) AS doc_id FROM k GROUP BY record_key""")
 def q_dedupe_best(read, spark):
-    """Of documents with one normalised text, the one with most distinct tokens (the SQL compares the first 40 characters alone)."""
-    d = read("documents").select("doc_id", t.normalize(t.text("text")).alias("key"), t.tokens(F.col("text")).alias("own"))
+    """Of documents with one normalised whole text, the one with most distinct tokens; digests stand for the texts."""
+    d = read("documents").select("doc_id", F.md5(t.normalize(F.col("text")).cast("binary")).alias("key"), t.tokens(F.col("text")).alias("own"))
     return snapshots.dedupe_best(d, F.col("key"), F.col("own"), "doc_id").select("record_key", "first_seen", "doc_id")
 
 
@@ -90,7 +90,17 @@ def q_text_search(read, spark):
     return retrieval.text_matches(_chunks(read), _searches(read)).select("query_id", F.col("document_id").alias("doc_id"))
 
 
-@query()
+#: Cover density of the matches: the last place of each of the (at most three) terms at each occurrence gives the covers.
+_RANK = f"""{_HITS}, dw AS (SELECT h.query_id, h.doc_id, q.q, {_TERMS.format(ASCII.format('text'))} AS w FROM hits h JOIN q ON h.query_id = q.item_id JOIN documents USING (doc_id)),
+un AS (SELECT query_id, doc_id, q, unnest(w) AS term, unnest(range(len(w))) AS pos FROM dw), oc AS (SELECT query_id, doc_id, len(q) AS need, pos, list_position(q, term) AS ti FROM un WHERE list_contains(q, term)),
+la AS (SELECT *, row_number() OVER o AS rn, MAX(CASE WHEN ti = 1 THEN pos END) OVER o AS l1, MAX(CASE WHEN ti = 2 THEN pos END) OVER o AS l2, MAX(CASE WHEN ti = 3 THEN pos END) OVER o AS l3 FROM oc WINDOW o AS (PARTITION BY query_id, doc_id ORDER BY pos)),
+be AS (SELECT *, CASE WHEN l1 IS NULL OR (need > 1 AND l2 IS NULL) OR (need > 2 AND l3 IS NULL) THEN NULL ELSE LEAST(l1, CASE WHEN need > 1 THEN l2 ELSE l1 END, CASE WHEN need > 2 THEN l3 ELSE l1 END) END AS begin_ FROM la),
+co AS (SELECT *, COALESCE(MAX(begin_) OVER (PARTITION BY query_id, doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM be),
+sc AS (SELECT c.query_id, c.doc_id, round(SUM(CAST(0.1 AS DOUBLE) / (1 + (c.pos - c.begin_) - (c.rn - f.rn))), 9) AS score FROM co c JOIN la f ON c.query_id = f.query_id AND c.doc_id = f.doc_id AND c.begin_ = f.pos WHERE c.begin_ > c.before GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM sc)"""
+
+
+@query(f"{_RANK} SELECT query_id, doc_id, round(score, 6) AS score, CAST(place AS BIGINT) AS place FROM ranked WHERE place <= 5")
 def q_text_rank(read, spark):
     """The five best documents of each query by cover density."""
     got = retrieval.text_search(_chunks(read), _searches(read), 5)
@@ -113,8 +123,8 @@ def q_vector_topk(read, spark):
     return got.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
-@query(f"""{_HITS.replace('WITH', 'WITH ' + _COSINE.replace('vec_id % 50 = 0', 'vec_id % 50 = 0') + ',', 1)},
-tx AS (SELECT query_id * 50 AS query_id, doc_id AS id, 1.0 AS s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rn FROM hits) WHERE rn <= 10),
+@query(f"""{_RANK.replace('WITH', 'WITH ' + _COSINE + ',', 1)},
+tx AS (SELECT query_id * 50 AS query_id, doc_id AS id, score AS s FROM ranked WHERE place <= 10),
 vx AS (SELECT query_id, vec_id AS id, GREATEST(round(score, 6), 0.0) AS s FROM vr WHERE place <= 10),
 j AS (SELECT COALESCE(tx.query_id, vx.query_id) AS query_id, COALESCE(tx.id, vx.id) AS id, COALESCE(tx.s, 0.0) AS a, COALESCE(vx.s, 0.0) AS b, tx.id IS NOT NULL AS t, vx.id IS NOT NULL AS w FROM tx FULL JOIN vx ON tx.query_id = vx.query_id AND tx.id = vx.id),
 n AS (SELECT *, CASE WHEN MAX(a) OVER q > 0 THEN CAST(a AS DOUBLE) / MAX(a) OVER q ELSE 0.0 END AS x, CASE WHEN MAX(b) OVER q > 0 THEN CAST(b AS DOUBLE) / MAX(b) OVER q ELSE 0.0 END AS y FROM j WINDOW q AS (PARTITION BY query_id)),
@@ -122,7 +132,7 @@ c AS (SELECT *, round_even(CAST(x AS DOUBLE) * CAST(0.45 AS DOUBLE) + CAST(y AS
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, b DESC, a DESC, id DESC) AS place FROM c)
 SELECT query_id, id, round(score, 4) AS score, CASE WHEN t AND w THEN 'hybrid' WHEN t THEN 'text' ELSE 'vector' END AS retrieval_mode, CAST(place AS BIGINT) AS place FROM r WHERE place <= 5""")
 def q_hybrid(read, spark):
-    """The ten best text hits of each query merged with vector hits of the vector that goes with it (the SQL takes the smallest ids, all of one score)."""
+    """The ten best text hits of each query merged with vector hits of the vector that goes with it."""
     found = retrieval.text_search(_chunks(read), _searches(read), 10)
     a = found.select((F.col("query_id") * 50).alias("query_id"), F.col("document_id").alias("id"), "score")
     b = retrieval.vector_search(read("embeddings"), _vector_queries(read), 10).select("query_id", F.col("vec_id").alias("id"), F.round("score", 6).alias("score"))
@@ -130,14 +140,14 @@ def q_hybrid(read, spark):
     return got.select("query_id", "id", F.round("score", 4).alias("score"), "retrieval_mode", F.col("place").cast("long").alias("place"))
 
 
-@query(f"""{_HITS}, f AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS place FROM hits),
+@query(f"""{_RANK}, f AS (SELECT query_id, doc_id, place FROM ranked),
 b AS (SELECT item_id AS query_id, w[3] AS ref, w[5] AS vb, w[8] AS vl, w[2] || ' ' || w[4] AS pn FROM t),
 lt AS (SELECT f.query_id, place, ref, {ASCII.format('text')} AS content, b.* EXCLUDE (query_id, ref) FROM f JOIN b USING (query_id) JOIN documents USING (doc_id) WHERE place <= 3),
 ow AS (SELECT *, list_filter(list_distinct(regexp_extract_all(content, '[a-z0-9]+')), lambda w: length(w) >= 3) AS own, list_filter(list_distinct([vb, vl]), lambda w: length(w) >= 3) AS veh, list_filter(list_distinct(string_split(pn, ' ')), lambda w: length(w) >= 3) AS prt FROM lt),
 m AS (SELECT query_id, place, CASE WHEN contains(content, ref) AND len(list_intersect(veh, own)) >= 1 THEN 'reference_supported' WHEN len(list_intersect(veh, own)) >= 2 AND len(list_intersect(prt, own)) >= 1 THEN 'vehicle_supported' WHEN len(list_intersect(prt, own)) >= 2 THEN 'generic_support' END AS v FROM ow)
 SELECT b.query_id, COALESCE(arg_max(v, place) FILTER (WHERE v IS NOT NULL AND v <> 'generic_support'), CASE WHEN bool_or(v = 'generic_support') THEN 'generic_support' ELSE 'no_evidence' END) AS verdict FROM b LEFT JOIN m USING (query_id) GROUP BY b.query_id""")
 def q_evidence(read, spark):
-    """Verdicts of the three best documents of each query, folded in order (the SQL takes the three smallest ids)."""
+    """Verdicts of the three best documents of each query, folded in order."""
     hits = retrieval.text_search(_chunks(read), _searches(read), 3)
     hits = hits.select("query_id", "place", "content", "page", F.col("document_id").cast("string").alias("title"), "score", F.lit("text").alias("retrieval_mode"))
     w = retrieval.terms(F.col("text"))

@@ -101,9 +101,8 @@ def q_daily_report(read, spark):
 
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
 def q_latest_review(read, spark):
-    """The newest event of each user, by partial aggregation."""
-    e = read("events")
-    return e.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("r")).select("user_id", "r.*")
+    """The newest event of each user."""
+    return views.latest_by(read("events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("""WITH s AS (SELECT user_id AS provider_id, strftime(ts, '%Y-%m-%d') || CASE WHEN event_type = 'view' THEN '-full' ELSE '' END AS snapshot, event_id AS path FROM events)
@@ -129,12 +128,12 @@ def q_snapshot_diff(read, spark):
     return d.withColumn("fields", F.array_join("fields", ","))
 
 
-@query("""WITH a AS (SELECT conv_id AS quote_id, turn AS pos, lower(substr(text, 1, 12)) AS name FROM conversations WHERE role = 'user'), b AS (SELECT conv_id AS quote_id, turn - 1 AS pos, lower(substr(text, 1, 12)) AS name FROM conversations WHERE role <> 'user'),
+@query("""WITH a AS (SELECT conv_id AS quote_id, turn AS pos, text AS name FROM conversations WHERE role = 'user'), b AS (SELECT conv_id AS quote_id, turn - 1 AS pos, text AS name FROM conversations WHERE role <> 'user'),
 n AS (SELECT quote_id, nm, MIN(pos) AS f FROM (SELECT *, NULLIF(lower(trim(regexp_replace(regexp_replace(strip_accents(name), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g'))), '') AS nm FROM b) WHERE nm IS NOT NULL GROUP BY 1, 2)
 SELECT a.quote_id, a.pos, COALESCE(b.pos, n.f) AS other_pos FROM (SELECT *, NULLIF(lower(trim(regexp_replace(regexp_replace(strip_accents(name), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g'))), '') AS nm FROM a) a LEFT JOIN b ON a.quote_id = b.quote_id AND a.pos = b.pos LEFT JOIN n ON a.quote_id = n.quote_id AND a.nm = n.nm""")
 def q_positional_join(read, spark):
-    """User turns with the turn in their place, else the first that begins alike."""
-    c = read("conversations").withColumn("name", F.lower(F.substring("text", 1, 12)))
+    """User turns with the turn in their place, else the first with their whole text."""
+    c = read("conversations").withColumn("name", F.col("text"))
     a = c.where("role = 'user'").select(F.col("conv_id").alias("quote_id"), F.col("turn").alias("pos"), "name")
     b = c.where("role <> 'user'").select(F.col("conv_id").alias("quote_id"), (F.col("turn") - 1).alias("pos"), "name")
     return store.related_parts(a, b).select("quote_id", "pos", "other_pos")
@@ -195,11 +194,12 @@ def q_cursor(read, spark):
     return incremental.cursor(s).crossJoin(todo)
 
 
-@query("""SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15' EXCEPT SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-15'""")
+@query("""SELECT DISTINCT user_id, event_type, hour(ts) AS hour FROM events WHERE ts >= TIMESTAMP '2024-01-15' EXCEPT SELECT DISTINCT user_id, event_type, hour(ts) FROM events WHERE ts < TIMESTAMP '2024-01-15'""")
 def q_new_keys(read, spark):
-    """Pairs of user and type that the second half of the month brought."""
-    e = read("events").select("user_id", "event_type", "ts", F.concat_ws("-", "user_id", "event_type").alias("key"))
-    return incremental.new_keys(e.where("ts >= TIMESTAMP '2024-01-15'"), e.where("ts < TIMESTAMP '2024-01-15'"), "key").select("user_id", "event_type").distinct()
+    """User, type and hour of day that only the second half of the month brought together."""
+    hour = F.hour(F.col("ts").cast("timestamp")).cast("long")
+    e = read("events").select("user_id", "event_type", hour.alias("hour"), "ts", F.concat_ws("-", "user_id", "event_type", hour).alias("key"))
+    return incremental.new_keys(e.where("ts >= TIMESTAMP '2024-01-15'"), e.where("ts < TIMESTAMP '2024-01-15'"), "key").select("user_id", "event_type", "hour").distinct()
 
 
 @query("""SELECT user_id, MIN(event_id) AS first_event, COUNT(*) AS events FROM events GROUP BY user_id""")
