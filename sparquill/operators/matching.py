@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as t
+from ..shared import staged
 
 MANUAL = "manual_confirmation_required"
 PREFS = "struct<preferred_providers:array<string>,avoided_providers:array<string>,preferred_brands:array<string>,avoided_brands:array<string>,prefer_exact_reference:boolean,year_tolerance:int,max_options:int>"
@@ -78,6 +79,7 @@ def prepare_requests(requests: DataFrame) -> DataFrame:
         requests, q_ref=t.normalize_reference(reference), q_tok=t.part_tokens(name, reference), q_brand=t.tokens(F.col("brand")), q_line=t.tokens_without(generic, F.col("line")), q_version=t.tokens_without(generic, F.col("version")),
         q_tax=taxonomies(name, reference), q_signal=part_signal(name), q_year=t.as_int(F.col("year")), q_words=t.tokens(name), q_title=t.normalize(name),
     )
+    out = computed(out, q_groups=_groups("q_words"))
     out = out.withColumn("q_line", F.array_except("q_line", "q_brand")).withColumn("q_version", F.array_except(F.array_except("q_version", "q_brand"), "q_line"))
     out = computed(out, q_vehicle=F.array_distinct(F.concat("q_brand", "q_line", "q_version")))
     if "prefs" not in requests.columns:
@@ -93,10 +95,19 @@ def prepare_items(items: DataFrame) -> DataFrame:
         items, i_refs=F.array_compact(F.array(*(t.normalize_reference(F.col(c)) for c in ("reference", "sku", "code")))), i_own=F.array_intersect(t.tokens(F.col("brand")), known), i_title=t.normalize(F.col("title")),
         i_signal=part_signal(F.col("title"), F.col("category_name"), F.col("subcategory_name"), F.array_join("taxonomies", " ")), i_words=t.tokens(*shown), i_years=t.years(t.joined(*shown)),
     )
-    out = computed(out, i_brands=F.when(F.size("i_own") > 0, F.col("i_own")).otherwise(F.array_intersect("tokens", known))).drop("i_own")
+    blank = lambda c: F.coalesce(t.normalize_reference(F.col(c)), F.lit(""))
+    out = computed(
+        out, i_brands=F.when(F.size("i_own") > 0, F.col("i_own")).otherwise(F.array_intersect("tokens", known)), i_groups=_groups("i_words"), i_provider=t.normalize(F.col("provider_id")), i_brand=t.normalize(F.col("brand")),
+        i_same=F.concat_ws("|", t.text("provider_id"), "i_title", blank("reference"), blank("sku"), blank("code")),
+    ).drop("i_own")
     return computed(out, i_scoped=(F.size("i_brands") > 0) | F.concat(F.lit(" "), F.col("i_title"), F.lit(" ")).rlike(" modelos? "))
 
 
+def _groups(words: str) -> Column:
+    """The label of each kind of conflict that some words name, in order."""
+    return F.array(*(t.token_group(F.col(words), groups) for _, groups, _ in lx.CONFLICTS))
+
+
 def _keys(refs: Column, taxa: Column, words: Column) -> Column:
     pair = lambda kind, x: F.transform(x, lambda v: F.concat(F.lit(kind), v))
     return F.array_distinct(F.concat(pair("r:", refs), pair("x:", taxa), pair("t:", words)))
@@ -131,9 +142,9 @@ def similarity():
 def conflicts(tolerance: Column) -> tuple[Column, Column]:
     """Risk flags and notes of a pair, in order."""
     flags, notes = [], []
-    for flag, groups, note in lx.CONFLICTS:
-        mine, other = t.token_group(F.col("q_words"), groups), t.token_group(F.col("i_words"), groups)
-        clash = mine.isNotNull() & other.isNotNull() & (mine != other)
+    for i, (flag, _, note) in enumerate(lx.CONFLICTS, 1):
+        # false where either side names none
+        clash = F.element_at("q_groups", i) != F.element_at("i_groups", i)
         flags.append(F.when(clash, flag))
         notes.append(F.when(clash, note))
     years = F.col("i_years")
@@ -149,15 +160,26 @@ def _points(count: Column, each: int, most: int) -> Column:
     return F.least(count * each, F.lit(most))
 
 
-def score(pairs: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, title_similarity: bool = True) -> DataFrame:
-    """Pairs (prepared request and item columns) with score, match_type, flags, notes and preference_notes."""
+#: What ranks need of a scored pair.
+RANKED = ["part_id", "item_id", "score", "match_type", "provider_name", "title", "i_same", "prefs_max_options"]
+
+
+def score(pairs: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, title_similarity: bool = True, texts: bool = True) -> DataFrame:
+    """Pairs (prepared request and item columns) with score, match_type, risk_flags, notes and preference_notes; rejected ones left out.
+
+    Without ``texts`` pairs have the columns that ranks need and no others.
+    """
     p = lambda name, empty: F.coalesce(F.col(f"prefs_{name}"), empty)
     none = F.array().cast("array<string>")
     overlap = lambda x: F.size(F.array_intersect(F.col(x), F.col("tokens")))
+    # what is cheap to see goes first: a side, a place or a presentation that differs
+    for i, (flag, _, _) in enumerate(lx.CONFLICTS, 1):
+        if flag in lx.HARD_FLAGS:
+            pairs = pairs.where(~F.coalesce(F.element_at("q_groups", i) != F.element_at("i_groups", i), F.lit(False)))
     flags, notes = conflicts(p("year_tolerance", F.lit(0)))
     d = computed(pairs, **{
         "s_flags": flags,
-        "s_notes": notes,
+        **({"s_notes": notes} if texts else {}),
         "s_exact": F.coalesce(F.array_contains("i_refs", F.col("q_ref")), F.lit(False)),
         "s_in_text": F.coalesce(F.array_contains("tokens", F.col("q_ref")), F.lit(False)),
         "s_tax": F.arrays_overlap("q_tax", "taxonomies"),
@@ -172,9 +194,8 @@ def score(pairs: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, title
     direct = F.col("s_exact") | F.col("s_in_text")
     clash = F.coalesce(F.col("q_signal").isNotNull() & F.col("i_signal").isNotNull() & ~accepts(F.col("q_signal"), F.col("i_signal")), F.lit(False))
     stray = (F.size("q_tok") > 0) & (F.col("s_tok") == 0) & (F.coalesce(F.col("provider_type"), F.lit("")) != "category_only") & (F.col("s_signal") <= 0)
-    hard = F.arrays_overlap("s_flags", t.words(lx.HARD_FLAGS))
     # rejections before the similarity of titles is computed
-    d = d.where(~hard & (direct | ~(F.col("s_foreign") | clash | stray)))
+    d = d.where(direct | ~(F.col("s_foreign") | clash | stray))
     if title_similarity:
         texts = d.where(~direct).select("q_title", "i_title").distinct().withColumn("ratio", similarity()("q_title", "i_title"))
         texts = texts.select(F.col("q_title").alias("qt"), F.col("i_title").alias("it"), "ratio")
@@ -202,7 +223,7 @@ def score(pairs: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, title
     value = F.when(F.col("s_exact"), 100).when(F.col("s_in_text"), 95).otherwise(capped)
     no_cap = 1000
     value = F.least(value, *(F.when(F.array_contains("s_flags", flag), cap).otherwise(no_cap) for flag, cap in lx.SOFT_CAPS.items()))
-    provider, item_brand = t.normalize(F.col("provider_id")), t.normalize(F.col("brand"))
+    provider, item_brand = F.col("i_provider"), F.col("i_brand")
     listed = lambda x, name: (x != "") & F.array_contains(p(name, none), x)
     liked, avoided = listed(provider, "preferred_providers"), listed(provider, "avoided_providers")
     b_liked, b_avoided = listed(item_brand, "preferred_brands"), listed(item_brand, "avoided_brands")
@@ -225,14 +246,15 @@ def score(pairs: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, title
     d = computed(d, score=value.cast("int")).where(F.col("score") >= 20)
     compatible = F.col("s_tax") & (F.col("score") >= 70) & (F.col("s_vehicle") > 0)
     match = F.when(F.col("s_exact"), "exact_reference").when(kind(policy.category_only), MANUAL).when(compatible, "vehicle_compatible").when(F.col("s_tax") & (F.col("score") >= 35), "category_only").otherwise(MANUAL)
+    if not texts:
+        return d.withColumn("match_type", match).select(*RANKED)
     d = computed(d, match_type=match, preference_notes=F.array_compact(F.array(*said)))
-    d = d.withColumn("manual", F.coalesce(F.col("manual"), F.lit(False)) | (F.col("match_type") != "exact_reference"))
-    d = computed(d, warnings=F.transform("s_flags", lambda x: F.replace(x, F.lit("_"), F.lit(" "))))
-    return with_state(d, policy).withColumnRenamed("s_flags", "risk_flags").withColumnRenamed("s_notes", "notes")
+    return d.withColumn("manual", F.coalesce(F.col("manual"), F.lit(False)) | (F.col("match_type") != "exact_reference")).withColumnsRenamed({"s_flags": "risk_flags", "s_notes": "notes"})
 
 
-def with_state(d: DataFrame, policy: lx.ProviderPolicy, flags: str = "s_flags") -> DataFrame:
-    """compatibility_state, compatibility_summary and summary of scored pairs."""
+def with_state(d: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, flags: str = "risk_flags") -> DataFrame:
+    """warnings, compatibility_state, compatibility_summary and summary of ranked pairs."""
+    d = computed(d, warnings=F.transform(flags, lambda x: F.replace(x, F.lit("_"), F.lit(" "))))
     kind = F.col("provider_id").isin(*policy.category_only) if policy.category_only else F.lit(False)
     state = F.when(F.arrays_overlap(flags, t.words(lx.HARD_FLAGS)), "incompatible").when(F.size(flags) > 0, "warning").when(kind | F.col("manual"), "insufficient_information").otherwise("compatible")
     summary = (
@@ -261,8 +283,7 @@ def rank(scored: DataFrame, limit: int = 5) -> DataFrame:
     All keys descend, so that ties prefer the last name; item_id breaks full ties.
     """
     order = [F.desc("score"), F.desc(F.col("match_type") == "exact_reference"), F.desc("provider_name"), F.desc("title"), F.asc("item_id")]
-    blank = lambda c: F.coalesce(t.normalize_reference(F.col(c)), F.lit(""))
-    same = Window.partitionBy("part_id", t.text("provider_id"), t.normalize(F.col("title")), blank("reference"), blank("sku"), blank("code")).orderBy(*order)
+    same = Window.partitionBy("part_id", "i_same").orderBy(*order)
     first = scored.withColumn("_n", F.row_number().over(same)).where(F.col("_n") == 1)
     best = Window.partitionBy("part_id").orderBy(*order)
     most = F.least(F.lit(limit), F.coalesce(F.col("prefs_max_options"), F.lit(limit)))
@@ -270,12 +291,19 @@ def rank(scored: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def match(requests: DataFrame, items: DataFrame, limit: int = 5, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, title_similarity: bool = True) -> DataFrame:
-    """Ranked matches of all requests."""
-    asked, held = prepare_requests(requests), prepare_items(items)
+    """Ranked matches of all requests; texts about a pair are made for ranked ones only.
+
+    The prepared sides are staged: candidates and scores read them, each its own columns.
+    All pairs are scored for their ranks alone, which shuffles a few narrow columns; the
+    ranked ones are scored once more for all that is said about them.
+    """
+    asked, held = staged(prepare_requests(requests), "asked"), staged(prepare_items(items), "held")
     clash = [c for c in held.columns if c in asked.columns]
     asked = asked.withColumnsRenamed({c: f"asked_{c}" for c in clash})
     found = candidates(asked.withColumnsRenamed({f"asked_{c}": c for c in clash}), held)
-    return rank(score(found.join(asked, "part_id").join(held, "item_id"), policy, title_similarity), limit)
+    whole = lambda pairs: pairs.join(asked, "part_id").join(held, "item_id")
+    best = rank(score(whole(found), policy, title_similarity, texts=False), limit).select("part_id", "item_id", "rank")
+    return with_state(score(whole(staged(best, "ranked")), policy, title_similarity), policy)
 
 
 def report(requests: DataFrame, matches: DataFrame, by: str = "quote_id") -> DataFrame:
