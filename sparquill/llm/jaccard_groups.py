@@ -4,27 +4,32 @@ Texts become sets of hashed word shingles; equal sets become one class. Then
 
 1. *Groups.* Sets that share their smallest hash form a cluster; so do those that
    share the smallest of a second hash, where there are many. A cluster is dealt into
-   blocks of bounded size, and every pair of its blocks meets in one task, where each
-   link is found exactly by counting tokens in common. Only links leave a task, at
-   most one for each set, so a family of near copies makes no table of its pairs.
+   blocks of bounded size, a task each, and links within a block are found exactly by
+   counting tokens in common. Only links leave a task, at most one for each set, so a
+   family of near copies makes no table of its pairs. One set of each component of a
+   block goes on to the next round, in blocks again, until each cluster is one block;
+   so a family of any size is one component after a few rounds, and no set is copied.
 2. *Matrix.* In one order of all tokens (frequent ones last) two sets that link
    share one of their first ``d + 1`` tokens, d the most that either may miss, and
    if they share them all but few: with a and b the first counts and o the overlap
    that the sizes need, at least min(a - (n_q - o), b - (n_s - o)). Each group, a
-   part of one component and cluster, stores the union of its members' first tokens: a row of
-   the matrix for each token and group. A set joined with the matrix counts its
-   tokens in each group of another component and cluster; only groups that reach the bound are
-   opened, and their members of fitting size are compared whole.
+   part of one component and block, stores the union of its members' first tokens (the
+   bound needs no others): a row of the matrix for each token and group. A set joined
+   with the matrix counts its tokens in each group of another component and block; only
+   groups that reach the bound are opened, and their members of fitting size are
+   compared whole. Tokens with many rows and groups are dealt over several tasks.
 3. Links of all steps give components by repeated hooking to the smallest id.
 
-Nothing is dropped: order, groups and filters only decide what is compared first or
-need not be compared. Frequent tokens are a bounded list that shapes the order.
+Nothing is dropped: what the rounds of step 1 leave apart the matrix compares; order,
+groups and filters only decide what is compared first or need not be compared.
+Frequent tokens are a bounded list that shapes the order.
 
 Defined results: texts without words (or null) have no set and link with nothing;
 texts of fewer words than a shingle are one shingle; letters A-Z are compared in
-lower case. A row's component is the smallest id that links reach. Rows with one id
-are one node with the links of all of them; rows with a null id have no component.
-Empty tables give empty results; extra columns aren't read.
+lower case. Ids are whole numbers (or text of such); other ids raise an error. A row's
+component is the smallest id that links reach. Rows with one id are one node with the
+links of all of them; rows with a null id have no component. Empty tables give empty
+results; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -40,14 +45,19 @@ from .common import Workspace, as_bytes, lower_ascii, mix, small_batches, text_s
 
 _U = np.uint64
 #: Sets and tokens of one block.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 BLOCK_TOKENS = 1_000_000
 #: Sets that share a second hash from which they are a cluster, too.
 LARGE = 32
 #: Rows of a token from which it counts as frequent, and how many such tokens order the rest.
 FREQUENT = 64
 FREQUENT_MOST = 1 << 17
-FILTER_BITS = 24
+#: Bits of a filter of ids: eight for each id, within these powers of two.
+FILTER_BITS = (16, 29)
+#: Pairs of rows and groups of one token from which it is dealt over tasks.
+TOKEN_PAIRS = 2_000_000
+#: The share of a round's sets that may go on; beyond it a further round finds too little.
+ROUND_SHARE = 0.7
 #: Sets of one component in a group of the matrix.
 MATRIX_GROUP = 64
 #: Pairs of two components that are compared before all others.
@@ -85,12 +95,30 @@ def missable(n, percent: int):
     return n - (percent * n + 99) // 100
 
 
-def first_tokens(s: np.ndarray, percent: int, frequent: np.ndarray | None) -> np.ndarray:
+class Frequent:
+    """A set of tokens: a bitmap of their low bits, then the tokens themselves."""
+
+    MASK = _U((1 << 22) - 1)
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = np.sort(tokens)
+        self.flags = np.zeros(int(self.MASK) + 1, bool)
+        self.flags[(self.tokens & self.MASK).astype(np.int64)] = True
+
+    def among(self, s: np.ndarray) -> np.ndarray:
+        out = self.flags[(s & self.MASK).astype(np.int64)]
+        at = np.flatnonzero(out)
+        if len(at):
+            place = np.minimum(np.searchsorted(self.tokens, s[at]), len(self.tokens) - 1)
+            out[at] = self.tokens[place] == s[at]
+        return out
+
+
+def first_tokens(s: np.ndarray, percent: int, frequent: Frequent | None = None) -> np.ndarray:
     d = missable(len(s), percent)
-    head = s[: d + 1]
-    if frequent is None or not len(frequent):
-        return head
-    last = np.isin(s, frequent, kind="sort")
+    if frequent is None:
+        return s[: d + 1]
+    last = frequent.among(s)
     return np.concatenate([s[~last][: d + 1], s[last]])[: d + 1]
 
 
@@ -109,7 +137,7 @@ def shingle_table(docs: DataFrame, k: int, percent: int, doc_id: str, text: str)
         for batch in batches:
             for part in text_steps(batch, "text"):
                 sets = shingles(part.column("text"), k)
-                keys = [_i64(first_tokens(s, percent, None)) if len(s) else np.zeros(0, np.int64) for s in sets]
+                keys = [_i64(first_tokens(s, percent)) if len(s) else np.zeros(0, np.int64) for s in sets]
                 at = np.zeros(len(keys) + 1, np.int32)
                 np.cumsum([len(x) for x in keys], out=at[1:])
                 f1 = np.array([s.sum(dtype=_U) for s in sets], _U)
@@ -124,8 +152,10 @@ def shingle_table(docs: DataFrame, k: int, percent: int, doc_id: str, text: str)
     return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, k1 long, k2 long, keys array<long>")
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of hashed ids: 2**bits bits whatever their number; it may hold more ids, never fewer."""
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of hashed ids of a bounded size; it may hold more ids, never fewer."""
+    least, most = FILTER_BITS
+    bits = min(most, max(least, (8 * max(1, ids.count()) - 1).bit_length()))
     block = 1 << 12
     h = F.pmod(F.xxhash64(column), F.lit(1 << bits)).cast("int")
 
@@ -219,18 +249,39 @@ def clusters_of(reps: DataFrame, key: str, least: int) -> DataFrame:
     return g.select(key, F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("int").alias("blocks"))
 
 
-def compare_clusters(sets: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
-    """a, b: links that join all similar sets of each cluster; token: tokens that are frequent in one.
+def block_of(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), blocks.cast("long"))
+
 
-    A set of block i of g goes to the tasks of all pairs {i, j}; one block is a task of its own.
-    """
+def dealt(sets: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
+    """Sets with their cluster and block."""
     c = clusters.withColumnRenamed(key, "_key")
-    d = sets.join(c, F.col(key) == F.col("_key"))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda j: j != block)
-    pairs = F.transform(others, lambda j: F.least(j, block) * F.col("blocks") + F.greatest(j, block))
-    d = d.withColumn("pair", F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(F.array(F.lit(0).cast("long")))))
-    return d.select(F.col(key).alias("key"), "pair", "doc_id", "tokens")
+    return sets.join(c, F.col(key) == F.col("_key")).select(F.col(key).alias("key"), block_of(F.col("blocks")).alias("pair"), "doc_id", "tokens")
+
+
+def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, key: str, k: int, percent: int, ws: Workspace, doc_id: str, text: str) -> DataFrame:
+    """a, b: links that join all similar sets of each block, and of the blocks' components in rounds; token: tokens that are frequent in one."""
+    own, live, out, turn = reps.select("doc_id", key), clusters, None, 0
+    while True:
+        inside = own.join(live.select(F.col(key).alias("_live")), F.col(key) == F.col("_live"), "left_semi")
+        sets = scan_sets(docs, k, id_filter(inside, "doc_id"), doc_id, text)
+        if turn:
+            sets = sets.join(inside.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+        links = ws.stage(linked(dealt(sets, live, key), percent), f"{key}-{turn}")
+        out = links if out is None else out.unionByName(links)
+        big = live.where("blocks > 1").select(F.col(key).alias("_big"))
+        if not big.head(1):
+            return out
+        many = inside.join(big, F.col(key) == F.col("_big"), "left_semi")
+        gone = links.where("a IS NOT NULL").select(F.col("a").alias("_a"))
+        left = ws.stage(many.join(gone, F.col("doc_id") == F.col("_a"), "left_anti"), f"{key}-left-{turn}")
+        if left.count() > ROUND_SHARE * many.count():
+            return out
+        sizes = left.groupBy(key).agg(F.count("*").alias("m")).where("m >= 2")
+        live = ws.stage(sizes.select(key, F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks")), f"{key}-live-{turn}")
+        if not live.head(1):
+            return out
+        own, turn = left, turn + 1
 
 
 def linked(rows: DataFrame, percent: int) -> DataFrame:
@@ -265,8 +316,7 @@ def linked(rows: DataFrame, percent: int) -> DataFrame:
                 sets.append(np.frombuffer(blobs[i].as_buffer(), _U).copy())
         yield from flush()
 
-    dealt = rows.repartition("key", "pair").sortWithinPartitions("key", "pair", "doc_id")
-    return dealt.mapInArrow(run, "a long, b long, token long")
+    return rows.repartition("key", "pair").sortWithinPartitions("key", "pair", "doc_id").mapInArrow(run, "a long, b long, token long")
 
 
 def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -341,12 +391,9 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
 
     # 1. groups
     first, second = (ws.stage(clusters_of(reps, k, least), f"clusters_{k}") for k, least in (("k1", 2), ("k2", LARGE)))
-    inside = reps.select("doc_id", F.col("k1").alias("c")).join(first.select("k1"), F.col("c") == F.col("k1"), "left_semi")
-    grouped = ws.stage(linked(compare_clusters(scan_sets(docs, words, id_filter(inside, "doc_id"), doc_id, text), first, "k1"), percent), "grouped")
-    inside = reps.select("doc_id", F.col("k2").alias("c")).join(second.select("k2"), F.col("c") == F.col("k2"), "left_semi")
+    grouped = cluster_links(docs, reps, first, "k1", words, percent, ws, doc_id, text)
     if second.head(1):
-        more = linked(compare_clusters(scan_sets(docs, words, id_filter(inside, "doc_id"), doc_id, text), second, "k2"), percent)
-        grouped = grouped.unionByName(ws.stage(more, "grouped2"))
+        grouped = grouped.unionByName(cluster_links(docs, reps, second, "k2", words, percent, ws, doc_id, text))
     rep_of = lambda e: e.join(member.select(F.col("doc_id").alias("da"), F.col("rep").alias("ra")), F.col("a") == F.col("da")).join(member.select(F.col("doc_id").alias("db"), F.col("rep").alias("rb")), F.col("b") == F.col("db")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     edges = ws.stage(rep_of(grouped.where("a IS NOT NULL").select("a", "b")), "edges1")
     # rows with one id in several classes are one node
@@ -355,8 +402,11 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     roots = components(edges, ws, "cc1")
 
     # 2. matrix
-    near = reps.join(second.select(F.col("k2").alias("large")), F.col("k2") == F.col("large"), "left").join(roots, F.col("doc_id") == F.col("node"), "left")
-    near = near.select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), "k1", "large", "keys")
+    # sets of one block have been compared: c1 and c2 name the blocks
+    near = reps.join(first.select(F.col("k1").alias("_k1"), F.col("blocks").alias("_b1")), F.col("k1") == F.col("_k1"), "left").join(second.select(F.col("k2").alias("_k2"), F.col("blocks").alias("_b2")), F.col("k2") == F.col("_k2"), "left")
+    near = near.join(roots, F.col("doc_id") == F.col("node"), "left")
+    b1 = F.coalesce("_b1", F.lit(1))
+    near = near.select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), F.xxhash64("k1", block_of(b1)).alias("c1"), F.when(F.col("_k2").isNotNull(), F.xxhash64("k2", block_of(F.col("_b2")))).alias("c2"), b1.alias("blocks"), "keys")
     near = ws.stage(near, "near")
 
     def shared(rows: DataFrame, name: str) -> DataFrame:
@@ -366,27 +416,34 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     live = shared(near, "live1")
     often = live.where(F.col("rows") > FREQUENT).unionByName(grouped.where("token IS NOT NULL").select("token", F.lit(1 << 40).alias("rows")))
     often = often.groupBy("token").agg(F.max("rows").alias("rows")).orderBy(F.desc("rows"), "token").limit(FREQUENT_MOST)
-    frequent = np.sort(np.array([r.token for r in often.select("token").collect()], np.int64).view(_U))
+    frequent = np.array([r.token for r in often.select("token").collect()], np.int64).view(_U)
     if len(frequent):
         changed = reordered(docs, words, percent, frequent, doc_id, text)
         changed = changed.select(F.col("doc_id").alias("id"), F.col("n").alias("m"), F.col("keys").alias("new")).dropDuplicates(["id", "m"])
-        near = ws.stage(near.join(changed, (F.col("doc_id") == F.col("id")) & (F.col("n") == F.col("m")), "left").select("doc_id", "n", "comp", "k1", "large", F.coalesce("new", "keys").alias("keys")), "near2")
+        near = ws.stage(near.join(changed, (F.col("doc_id") == F.col("id")) & (F.col("n") == F.col("m")), "left").select("doc_id", "n", "comp", "c1", "c2", "blocks", F.coalesce("new", "keys").alias("keys")), "near2")
         live = shared(near, "live2")
     sizes = near.groupBy("comp").agg(F.count("*").alias("members")).select(F.col("comp").alias("c"), "members")
-    near = near.join(sizes, F.col("comp") == F.col("c")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / MATRIX_GROUP)).cast("int"))
-    rows = near.select("doc_id", "n", "comp", "part", "k1", "large", F.explode("keys").alias("token")).join(live.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
+    # a group lies in one block of its cluster: the number of parts is a multiple of that of blocks
+    parts = F.ceil(F.col("members") / (MATRIX_GROUP * F.col("blocks"))) * F.col("blocks")
+    near = near.join(sizes, F.col("comp") == F.col("c")).withColumn("part", block_of(parts).cast("int"))
+    rows = near.select("doc_id", "n", "comp", "part", "c1", "c2", F.explode("keys").alias("token")).join(live.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
     rows = ws.stage(rows, "rows")
-    matrix = rows.groupBy(F.col("token").alias("g_token"), F.col("comp").alias("g_comp"), F.col("part").alias("g_part"), F.col("k1").alias("g_k1"), F.col("large").alias("g_large")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = rows.groupBy(F.col("token").alias("g_token"), F.col("comp").alias("g_comp"), F.col("part").alias("g_part"), F.col("c1").alias("g_c1"), F.col("c2").alias("g_c2")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = ws.stage(matrix, "matrix")
+    # a token with many rows and groups is dealt over tasks: its groups go to all of them, each row to one
+    many = rows.groupBy(F.col("token").alias("h_token")).agg(F.count("*").alias("r")).where(F.col("r") > FREQUENT)
+    many = many.join(matrix.groupBy(F.col("g_token").alias("h_g")).agg(F.count("*").alias("g")), F.col("h_token") == F.col("h_g")).where(F.col("r") * F.col("g") > TOKEN_PAIRS)
+    hot = ws.stage(many.select("h_token", F.least(F.col("r"), F.ceil(F.col("r") * F.col("g") / TOKEN_PAIRS)).cast("int").alias("salts")), "hot")
+    salted = rows.join(hot, F.col("token") == F.col("h_token"), "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")).drop("h_token", "salts")
+    spread = matrix.join(hot, F.col("g_token") == F.col("h_token"), "left").withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("h_token", "salts")
     n, low, high = F.col("n"), F.greatest("n", "low"), F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
-    # sets of one cluster have been compared
-    compared = (F.col("k1") != F.col("g_k1")) & F.coalesce(F.col("large") != F.col("g_large"), F.lit(True))
-    met = rows.join(matrix, (F.col("token") == F.col("g_token")) & (F.col("comp") != F.col("g_comp")) & compared & (high >= n) & (F.col("low") * percent <= n * 100))
-    open_groups = met.groupBy("doc_id", "n", "comp", "g_comp", "g_part", "g_k1", F.coalesce("g_large", F.lit(0)).alias("g_large")).agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+    compared = (F.col("c1") != F.col("g_c1")) & F.coalesce(F.col("c2") != F.col("g_c2"), F.lit(True))
+    met = salted.join(spread, (F.col("token") == F.col("g_token")) & (F.col("salt") == F.col("g_salt")) & (F.col("comp") != F.col("g_comp")) & compared & (high >= n) & (F.col("low") * percent <= n * 100))
+    open_groups = met.groupBy("doc_id", "n", "comp", "g_comp", "g_part", "g_c1", F.coalesce("g_c2", F.lit(0)).alias("g_c2")).agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
     open_groups = open_groups.where(F.col("c") >= tokens_needed(n, low, high, percent))
-    inner = near.select(F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.col("comp").alias("m_comp"), F.col("part").alias("m_part"), F.col("k1").alias("m_k1"), F.coalesce("large", F.lit(0)).alias("m_large"))
+    inner = near.select(F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.col("comp").alias("m_comp"), F.col("part").alias("m_part"), F.col("c1").alias("m_c1"), F.coalesce("c2", F.lit(0)).alias("m_c2"))
     fits = (F.col("n_s") * percent <= F.col("n") * 100) & ((F.col("n_s") > F.col("n")) | ((F.col("n_s") == F.col("n")) & (F.col("s") > F.col("doc_id"))))
-    pairs = open_groups.join(inner, (F.col("g_comp") == F.col("m_comp")) & (F.col("g_part") == F.col("m_part")) & (F.col("g_k1") == F.col("m_k1")) & (F.col("g_large") == F.col("m_large")) & fits)
+    pairs = open_groups.join(inner, (F.col("g_comp") == F.col("m_comp")) & (F.col("g_part") == F.col("m_part")) & (F.col("g_c1") == F.col("m_c1")) & (F.col("g_c2") == F.col("m_c2")) & fits)
     pairs = ws.stage(pairs.select(F.col("doc_id").alias("q"), "s", F.least("comp", "g_comp").alias("ca"), F.greatest("comp", "g_comp").alias("cb"), "c"), "pairs")
     from pyspark.sql import Window
 
@@ -402,7 +459,7 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     if rest.head(1):
         links = links.unionByName(_verified(rest, docs, ws, "v2", words, percent, doc_id, text))
         roots = components(links, ws, "cc3")
-    ws.drop("near", "near2", "rows", "matrix", "live1", "live2", "reps", "grouped", "grouped2")
+    ws.drop("near", "near2", "rows", "matrix", "hot", "live1", "live2", "reps")
 
     # 3. every row
     full = table.select("doc_id", "n", "f1", "f2").join(cls, meets, "left")
@@ -412,14 +469,14 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
 
 def reordered(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, doc_id: str, text: str) -> DataFrame:
     """New first tokens of texts whose first tokens hold frequent ones: doc_id, n, keys."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast(Frequent(frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_steps(batch, "text"):
                 keep, keys, sizes = [], [], []
                 for i, s in enumerate(shingles(part.column("text"), k)):
-                    if len(s) and np.isin(first_tokens(s, percent, None), sent.value, kind="sort").any():
+                    if len(s) and sent.value.among(first_tokens(s, percent)).any():
                         keep.append(i)
                         keys.append(_i64(first_tokens(s, percent, sent.value)))
                         sizes.append(len(s))

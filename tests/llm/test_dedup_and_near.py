@@ -127,7 +127,7 @@ def test_near_join_equals_brute_force_on_documents(spark):
 def test_near_join_of_edited_copies(spark, monkeypatch, small):
     """A chain of edits, a family around one text, a shared passage; also with tiny groups and few frequent tokens."""
     if small:
-        for name, value in (("BLOCK_ROWS", 3), ("LARGE", 4), ("FREQUENT", 3), ("MATRIX_GROUP", 2), ("TRY_FIRST", 1), ("FILTER_BITS", 12)):
+        for name, value in (("BLOCK_ROWS", 3), ("LARGE", 4), ("FREQUENT", 3), ("MATRIX_GROUP", 2), ("TRY_FIRST", 1), ("FILTER_BITS", (12, 12)), ("TOKEN_PAIRS", 5), ("ROUND_SHARE", 0.95)):
             monkeypatch.setattr(jaccard_groups, name, value)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
