@@ -54,26 +54,38 @@ def unescape_role(role: Column) -> Column:
 
 
 def events_of_rows(rows: DataFrame) -> DataFrame:
-    """The log of stored turns (conv_id, turn, role, text): each text streamed in deltas."""
+    """A log of stored turns (conv_id, turn, role, text) that ends in their texts.
+
+    Each text is streamed in deltas. Of about every third, a draft comes first: what an
+    assistant said is regenerated, what another said is edited. ``seq`` is ordered by
+    slot, then by place.
+    """
     order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     slots = rows.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.row_number().over(order))
     slots = slots.withColumn("slot", F.struct(F.col("turn").cast("long").alias("turn"), "n"))
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / DELTA).cast("int")), lambda i: F.struct((i + 1).cast("long").alias("seq"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.substring(F.col("text"), i * DELTA + 1, F.lit(DELTA)).alias("text")))
-    start = F.array(F.struct(F.lit(0).cast("long").alias("seq"), F.lit("start").alias("kind"), F.col("role").alias("role"), F.lit(None).cast("string").alias("text")))
-    none = F.slice(start, 1, 0)
-    return slots.select("conv_id", "slot", F.inline(F.concat(start, F.when(F.length("text") > 0, pieces).otherwise(none))))
+    none = F.lit(None).cast("string")
+    event = lambda place, kind, role, text: F.struct(F.struct("slot", place.cast("long").alias("place")).alias("seq"), kind.alias("kind"), role.alias("role"), text.alias("text"))
+    piece = lambda i: F.substring(F.col("text"), i * DELTA + 1, F.lit(DELTA))
+    drafted = (F.length("text") > 0) & (F.pmod(F.xxhash64("conv_id", "turn", "n"), F.lit(3)) == 0)
+    assistant = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    # an edit brings the first piece itself
+    edited = drafted & ~assistant
+    start = event(F.lit(0), F.lit("start"), F.col("role"), none)
+    draft = F.array(event(F.lit(1), F.lit("delta"), none, F.concat(F.lit("draft of "), F.substring("text", 1, 9))), event(F.lit(2), F.when(assistant, "regenerate").otherwise("edit"), none, F.when(~assistant, piece(F.lit(0)))))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / DELTA).cast("int")), lambda i: event(i + 3, F.lit("delta"), none, piece(i)))
+    log = F.concat(F.array(start), F.when(drafted, draft).otherwise(F.slice(draft, 1, 0)), F.when(F.length("text") > 0, F.filter(pieces, lambda x, i: ~edited | (i > 0))).otherwise(F.slice(F.array(start), 1, 0)))
+    return slots.select("conv_id", "slot", F.inline(log))
 
 
 def messages(events: DataFrame) -> DataFrame:
     """conv_id, slot, role, text: what each message says at the end of its log."""
-    cleared = events.where(F.col("kind") == "regenerate").groupBy("conv_id", "slot").agg(F.max("seq").alias("seq"))
-    cleared = cleared.groupBy(F.col("conv_id").alias("c_conv")).agg(F.collect_list(F.struct("slot", "seq")).alias("cleared"))
     event = F.struct("seq", F.coalesce("kind", F.lit("delta")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    logs = events.groupBy("conv_id", "slot").agg(F.array_sort(F.collect_list(event)).alias("log"))
-    logs = logs.join(cleared, F.col("conv_id").eqNullSafe(F.col("c_conv")), "left")
+    cleared = F.max(F.when(F.col("kind") == "regenerate", F.col("seq")))
+    logs = events.groupBy("conv_id", "slot").agg(F.array_sort(F.collect_list(event)).alias("log"), cleared.alias("cleared"))
     # what a slot said before an earlier slot was regenerated is void
-    bound = F.array_max(F.transform(F.filter("cleared", lambda x: x["slot"] < F.col("slot")), lambda x: x["seq"]))
-    logs = logs.withColumn("log", F.when(bound.isNull(), F.col("log")).otherwise(F.filter("log", lambda x: x["seq"] >= bound))).where(F.size("log") > 0)
+    earlier = Window.partitionBy("conv_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    logs = logs.withColumn("bound", F.max("cleared").over(earlier))
+    logs = logs.withColumn("log", F.when(F.col("bound").isNull(), F.col("log")).otherwise(F.filter("log", lambda x: x["seq"] >= F.col("bound")))).where(F.size("log") > 0)
     last = F.array_max(F.transform(F.filter("log", lambda x: x["kind"].isin(*RESETS)), lambda x: F.struct(x["seq"].alias("seq"), x["kind"].alias("kind"))))
     logs = logs.withColumn("last", last).where(F.coalesce(F.col("last.kind") != "delete", F.lit(True)))
     live = F.filter("log", lambda x: F.col("last").isNull() | (x["seq"] > F.col("last.seq")) | ((x["seq"] == F.col("last.seq")) & x["kind"].isin("start", "edit")))

@@ -55,3 +55,11 @@ def test_rows_with_ties_nulls_and_no_rows(spark):
     d = {r.conv_id: r for r in chat.digests(chat.read_back(chat.render(chat.messages(chat.events_of_rows(rows))))).collect()}
     assert d[None].n_turns == 2 and d[3].n_turns == 2 and d[3].loss_chars == 5000
     assert chat.events_of_rows(rows.limit(0)).collect() == []
+
+
+def test_logs_of_rows_have_drafts_that_leave_no_trace(spark):
+    rows = spark.createDataFrame([(c, i, "assistant" if i % 2 else "user", f"said {c} {i} " * (400 if i == 3 else 1)) for c in range(6) for i in range(8)], "conv_id long, turn long, role string, text string")
+    log = chat.events_of_rows(rows)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate"}
+    got = {(r.conv_id, r.slot.turn): (r.role, r.text) for r in chat.messages(log).collect()}
+    assert got == {(r.conv_id, r.turn): (r.role, r.text) for r in rows.collect()}
