@@ -272,3 +272,86 @@ def test_sink_keeps_all_rows_whatever_is_replayed(spark, tmp_path):
     # the checkpoint of another stream counts its batches from 0, too
     incremental.idempotent_append(spark, target, ["a", "b"], stream="other", buckets=4)(table([(1, "x", 2), (9, "y", 2)]), 0)
     assert stored() == sorted([*want, repr(table([(9, "y", 2)]).first())])
+
+
+def test_vector_search_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3 if i % 5 else 4).tolist()) for i in range(60)] + [(60, None), (61, []), (62, [0.0, 0.0, 0.0]), (63, [1.0, 2.0, 3.0]), (64, [2.0, 4.0, 6.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    q = v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    want = {}
+    for i, x in rows:
+        if i % 3 == 0 and x and any(x):
+            cos = [(-round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 12), j) for j, y in rows if y and any(y) and len(y) == len(x)]
+            want[i] = [j for _, j in sorted(cos)[:4]]
+    for block in (4096, 3):
+        got = {}
+        for r in retrieval.vector_search(v, q, 4, block=block).orderBy("query_id", "place").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == want
+    assert retrieval.vector_search(v, q.limit(0), 4).collect() == [] and retrieval.vector_search(v.limit(0), q, 4).collect() == []
+
+
+def test_cover_density_counts_shortest_spans(spark):
+    d = spark.createDataFrame([(["a", "x", "b", "a", "y", "z", "b"], ["a", "b"]), (["a"], ["a"]), (["a", "a"], ["a", "b"]), ([], ["a"])], "w array<string>, q array<string>")
+    got = [r[0] for r in d.select(retrieval.cover_density()("w", "q")).collect()]
+    # covers a x b, b a and a y z b
+    assert got == pytest.approx([0.1 / 2 + 0.1 + 0.1 / 3, 0.1, 0, 0])
+
+
+def test_embeddings_are_all_or_nothing_for_a_document(spark):
+    from sparquill.operators import embedding
+
+    chunks = spark.createDataFrame([("d1", 0, "one two"), ("d1", 1, None), ("d2", 0, "fine"), ("d2", 1, "bad"), (None, 0, "x")], "document_id string, chunk_index int, content string").coalesce(1)
+
+    def model(texts):
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return embedding.hashed_words(4)(texts)
+
+    got = {(r.document_id, r.chunk_index): r for r in embedding.embed_chunks(chunks, model, "m", 4, batch=1).collect()}
+    assert sum(x * x for x in got["d1", 0].embedding) == pytest.approx(1) and got["d1", 1].embedding == [0.0] * 4 and got[None, 0].embedding_model == "m"
+    assert got["d2", 0].embedding is None and got["d2", 0].warning == got["d2", 1].warning == "no embeddings: no"
+    wrong = embedding.embed_chunks(chunks, embedding.hashed_words(3), "m", 4).collect()
+    assert all(r.embedding is None and "not 4" in r.warning for r in wrong)
+    assert embedding.embed(["x"], lambda t: [[3.0, 4.0]] if t == ["query: x"] else [], 2, "query", True).tolist() == [[0.6, 0.8]]
+
+
+def test_state_survives_and_passes_are_repeatable(spark, tmp_path):
+    from sparquill.streaming import state
+
+    store_ = state.StateStore(spark, f"{tmp_path}/state")
+    assert store_.load().version == 0 and store_.claim("a") and not store_.claim("a")
+    store_.release("a")
+    assert store_.claim("a")
+    found = spark.createDataFrame([("m1", "5", "extracted", ["https://q/1", "https://q/1", "x"]), ("m2", None, "link_not_found", [])], "message_id string, internal_date_ms string, extraction_status string, quote_urls array<string>")
+    valid = lambda u: F.col("url").startswith("https://q/")
+    done = lambda q: q.select("quote_key", F.lit("processed").alias("status"), F.lit(None).cast("string").alias("error"))
+
+    def broken(q):
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        state.process_once(found, store_, broken, valid)
+    half = store_.load()
+    assert half.stage == "processing" and half.messages.where("status = 'in_progress'").count() == 2
+    assert state.process_once(found, store_, done, valid) == {"messages_seen": 2, "messages_with_quotes": 1, "quotes_processed": 1, "quotes_failed": 0, "quotes_skipped": 1}
+    now = store_.load()
+    assert now.stage == state.IDLE and {r.status for r in now.quotes.collect()} == {"processed", "invalid_quote_url"} and state.cursor(now).first().message_id == "m1"
+    assert state.process_once(found, store_, done, valid)["messages_seen"] == 0
+    assert state.process_once(found.limit(0), store_, done, valid, reprocess=True)["quotes_processed"] == 0
+
+
+def test_cards_without_content_are_none(spark):
+    from sparquill.sources import cards
+
+    rows = [(1, "Agotado\n$1.000"), (2, None), (3, "Solo una linea bastante larga para ser titulo"), (4, "Marca: ACME\nACME\nACME"), (5, "BOSCH\nKIT\nFreno de disco delantero con todo")]
+    d = spark.createDataFrame([(i, "https://h.com/l", x, None, None) for i, x in rows], "card_id int, seed_url string, text string, links array<string>, images array<string>")
+    got = {r.card_id: r for r in cards.card_records(d, "h.com").collect()}
+    assert set(got) == {3, 4, 5}
+    assert (got[3].title, got[3].brand) == ("Solo una linea bastante larga para ser titulo", None)
+    assert (got[4].title, got[4].brand) == ("ACME", "ACME")
+    # the second line looks like a brand, too, so the title is the third
+    assert (got[5].title, got[5].brand) == ("Freno de disco delantero con todo", "BOSCH")
