@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -75,3 +76,27 @@ def embed_chunks(chunks: DataFrame, model: Model, name: str, dimensions: int, by
     d = made.join(bad, F.col(by).eqNullSafe(F.col("_bad")) & F.col("_why").isNotNull(), "left")
     whole = F.col("_why").isNull()
     return d.select(*chunks.columns, F.when(whole, F.col("embedding")).alias("embedding"), F.when(whole, F.lit(name)).alias("embedding_model"), F.col("_why").alias("warning"))
+
+
+@dataclass(frozen=True)
+class Config:
+    provider: str
+    model: str
+    dimensions: int
+    batch: int = BATCH
+
+
+#: Defaults of the settings (fixed values).
+PROVIDER, MODEL, DIMENSIONS = "local", "intfloat/multilingual-e5-small", 384
+
+
+def config(settings: dict[str, str]) -> Config | None:
+    """The model that settings name, none where vectors are switched off or the provider isn't known or has no key."""
+    said = lambda k, default: (settings.get(k) or default).strip()
+    if said("vector_search_enabled", "true").lower() in ("0", "false", "no", "off"):
+        return None
+    provider = said("provider", PROVIDER).lower()
+    if provider not in ("local", "remote") or (provider == "remote" and not said("api_key", "")):
+        return None
+    number = lambda k, default: int(said(k, str(default))) if said(k, str(default)).isdigit() else default
+    return Config(provider, said("model", MODEL), number("dimensions", DIMENSIONS), max(1, number("batch", BATCH)))

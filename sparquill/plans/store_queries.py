@@ -300,3 +300,52 @@ def q_scopes(read, spark):
     raw = F.when(k % 4 == 0, '{"providers":["A"," b "]}').when(k % 2 == 0, '["a","B",""]').otherwise('"Solo"')
     one = F.when(k % 4 == 0, '{"enabled":true}').when(k % 2 == 0, "true").otherwise('"false"')
     return read("nation").select(k.alias("quote_id"), F.array_join(said, ",").alias("scopes"), F.array_join(preferences.values(raw, ("provider_id", "provider_ids", "providers")), ",").alias("listed"), preferences.scalar(one, "enabled").alias("scalar"))
+
+
+@query(f"""{vehicle_queries._reviewed_sql()}, m AS (SELECT DISTINCT quote_id, part_id FROM ranked), o AS (SELECT DISTINCT quote_id, part_id FROM r)
+SELECT 'matching' AS what, 'completed' AS status, COUNT(*) AS n FROM ranked UNION ALL SELECT 'review', 'completed', COUNT(*) FROM r UNION ALL SELECT 'report', 'completed', (SELECT COUNT(DISTINCT quote_id) FROM req) UNION ALL SELECT 'sync', 'skipped', NULL
+UNION ALL SELECT 'quotes seen', 'summary', (SELECT COUNT(DISTINCT quote_id) FROM req) UNION ALL SELECT 'quotes with provider', 'summary', (SELECT COUNT(DISTINCT quote_id) FROM m) UNION ALL SELECT 'quotes with agentic', 'summary', (SELECT COUNT(DISTINCT quote_id) FROM o)
+UNION ALL SELECT 'broken', 'failed', NULL UNION ALL SELECT 'after', 'not_run', NULL""")
+def q_refresh(read, spark):
+    """A refresh of matches, reviews and reports as a job of steps, its summary, and a job with a step that fails."""
+    from ..operators import jobs, matching
+
+    asked = vehicle_queries.requests(read)
+    steps = [
+        jobs.Step("matching", lambda d: vehicle_queries.matched(read)),
+        jobs.Step("review", lambda d: review.review(d["matching"], policy=vehicle_queries.POLICY)),
+        jobs.Step("report", lambda d: matching.report(asked, d["matching"]).join(asked.join(d["review"].select("part_id").distinct(), "part_id").groupBy("quote_id").agg(F.count("*").alias("parts_with_options")), "quote_id", "left")),
+        jobs.Step("sync", lambda d: d["report"], enabled=False),
+    ]
+    root = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    run = jobs.refresh(spark, steps, root)
+    assert run.status == "completed"
+    s = jobs.read_summary(run.tables["report"])
+    summary = s.select(F.expr("stack(3, 'quotes seen', quotes_seen, 'quotes with provider', quotes_with_provider, 'quotes with agentic', quotes_with_agentic) AS (what, n)")).select("what", F.lit("summary").alias("status"), "n")
+    broken = jobs.refresh(spark, [jobs.Step("broken", lambda d: d["nothing"]), jobs.Step("after", lambda d: d["broken"])], root)
+    rows = run.table(spark).unionByName(broken.table(spark)).select(F.col("step").alias("what"), "status", F.col("rows").alias("n"))
+    return rows.unionByName(summary)
+
+
+@query("""WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events), u AS (SELECT 'https://q.example.com/' || (k % 13) AS url, MIN(CASE WHEN event_type = 'click' THEN event_id ELSE 1000000000 + event_id END) AS place FROM e WHERE event_type IN ('click', 'signup') GROUP BY 1)
+SELECT 'imported' AS what, COUNT(*) FILTER (WHERE k % 4 = 0) AS n, '' AS said FROM e UNION ALL SELECT 'updated', COUNT(*) FILTER (WHERE k % 4 = 1), '' FROM e UNION ALL SELECT 'skipped', COUNT(*) FILTER (WHERE k % 4 = 2), '' FROM e UNION ALL SELECT 'failed', COUNT(*) FILTER (WHERE k % 4 = 3), '' FROM e
+UNION ALL SELECT 'warnings', COUNT(*) FILTER (WHERE k % 4 = 3), (SELECT string_agg(w, ',' ORDER BY w) FROM (SELECT 'e' || event_id || ': bad' AS w FROM e WHERE k % 4 = 3 ORDER BY w LIMIT 50)) FROM e
+UNION ALL SELECT 'urls', COUNT(*), string_agg(url, ',' ORDER BY place) FROM u UNION ALL SELECT 'trace', COUNT(*), '{"k":' || MAX(k) || '}' FROM e WHERE event_type = 'error'""")
+def q_load_counters(read, spark):
+    """What a load did, its first warnings; addresses given by hand and by records, in order; details of a trace."""
+    from ..operators import jobs
+
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = read("events").select("event_id", "event_type", k.alias("k"))
+    outcome = F.element_at(t.words(("imported", "updated", "skipped", "failed")), F.col("k") % 4 + 1)
+    c = jobs.load_counters(e.select(F.concat(F.lit("e"), _s("event_id")).alias("source"), outcome.alias("outcome"), F.when(F.col("k") % 4 == 3, "bad").alias("warning")))
+    none = F.lit("")
+    names = ("imported", "updated", "skipped", "failed", "warnings")
+    rows = c.select(F.inline(F.array(*(F.struct(F.lit(n).alias("what"), F.col(n).alias("n"), (F.array_join("warning_messages", ",") if n == "warnings" else none).alias("said")) for n in names))))
+    url = F.concat(F.lit(" https://q.example.com/"), (F.col("k") % 13).cast("string"), F.lit(" "))
+    given = e.where("event_type = 'click'").select(F.col("event_id").alias("pos"), url.alias("url"))
+    records = e.select(F.col("event_id").alias("pos"), F.when(F.col("event_type") == "signup", "extracted").otherwise("sender_mismatch").alias("extraction_status"), url.alias("quote_url"))
+    asked = jobs.asked_urls(given, records).agg(F.array_sort(F.collect_list(F.struct("place", "url"))).alias("u"))
+    asked = asked.select(F.lit("urls").alias("what"), F.size("u").cast("long").alias("n"), F.array_join(F.transform("u", lambda x: x["url"]), ",").alias("said"))
+    traced = e.where("event_type = 'error'").select(F.col("k"), jobs.trace("error", F.lit("m"), F.lit("2024-01-01").cast("timestamp"), k=F.col("k")).alias("x")).agg(F.count("x").alias("n"), F.max_by("x.details", "k").alias("said"))
+    return rows.unionByName(asked).unionByName(traced.select(F.lit("trace").alias("what"), "n", "said"))

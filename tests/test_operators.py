@@ -355,3 +355,34 @@ def test_cards_without_content_are_none(spark):
     assert (got[4].title, got[4].brand) == ("ACME", "ACME")
     # the second line looks like a brand, too, so the title is the third
     assert (got[5].title, got[5].brand) == ("Freno de disco delantero con todo", "BOSCH")
+
+
+def test_settings_and_outputs():
+    from sparquill.operators import embedding, jobs
+
+    assert embedding.config({}) == embedding.Config("local", embedding.MODEL, 384, 24)
+    assert embedding.config({"provider": " Local ", "model": "m", "dimensions": "8", "batch": "0"}) == embedding.Config("local", "m", 8, 1)
+    assert embedding.config({"provider": "remote"}) is None and embedding.config({"provider": "remote", "api_key": "k"}).provider == "remote"
+    assert embedding.config({"provider": "odd"}) is None and embedding.config({"vector_search_enabled": "no"}) is None
+    assert jobs.outputs("minimal", "q", "r") == {"quotes": "q", "reports": "r", "traces": None, "snapshots": None}
+    assert jobs.outputs("standard", "q", "r", root="o")["traces"] == "o/traces" and jobs.outputs("debug", "q", "r", "t")["snapshots"] == "output/snapshots"
+    with pytest.raises(ValueError):
+        jobs.outputs("odd", "q", "r")
+
+
+def test_hits_are_shown(spark):
+    from sparquill.operators import jobs
+
+    d = spark.createDataFrame([("t", 3, 0.123456, None, "1.5", "x" * 400, "vector"), ("u", None, None, 0.0, None, None, None)], "title string, page int, score double, text_score double, vector_score string, content string, retrieval_mode string")
+    got = [json.loads(r[0]) for r in d.select(jobs.shown_hits(d)).collect()]
+    assert got[0] == {"title": "t", "page_span": "3", "score": 0.1235, "text_score": 0.0, "vector_score": 1.5, "retrieval_mode": "vector", "excerpt": "x" * 320}
+    assert got[1]["page_span"] == "n/a" and got[1]["retrieval_mode"] == "text" and got[1]["excerpt"] == ""
+
+
+def test_entry_hides_no_error(monkeypatch):
+    import __spark_entry__
+
+    monkeypatch.setattr(__spark_entry__, "_there", lambda module: module != "corpus_pipeline")
+    assert "pipeline" not in __spark_entry__.queries()
+    monkeypatch.setattr(__spark_entry__, "_there", lambda module: False)
+    assert not [q for q in __spark_entry__.queries() if q.startswith("op")]
