@@ -6,9 +6,11 @@ Texts become sets of hashed word shingles; equal sets become one class. Then
    share the smallest of a second hash, where there are many. A cluster is dealt into
    blocks of bounded size, a task each, and links within a block are found exactly by
    counting tokens in common. Only links leave a task, at most one for each set, so a
-   family of near copies makes no table of its pairs. One set of each component of a
-   block goes on to the next round, in blocks again, until each cluster is one block;
-   so a family of any size is one component after a few rounds, and no set is copied.
+   family of near copies makes no table of its pairs. In a cluster of several blocks
+   most sets of a block are one component; the others, and a few of its own, then meet
+   all sets of all blocks. That copies few sets, joins the blocks of a family of any
+   size, and compares the others with their whole cluster; where it would copy many
+   sets, the cluster is left to step 2.
 2. *Matrix.* In one order of all tokens (frequent ones last) two sets that link
    share one of their first ``d + 1`` tokens, d the most that either may miss, and
    if they share them all but few: with a and b the first counts and o the overlap
@@ -20,7 +22,7 @@ Texts become sets of hashed word shingles; equal sets become one class. Then
    compared whole. Tokens with many rows and groups are dealt over several tasks.
 3. Links of all steps give components by repeated hooking to the smallest id.
 
-Nothing is dropped: what the rounds of step 1 leave apart the matrix compares; order,
+Nothing is dropped: pairs that step 1 doesn't compare are left to the matrix; order,
 groups and filters only decide what is compared first or need not be compared.
 Frequent tokens are a bounded list that shapes the order.
 
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, as_bytes, lower_ascii, mix, small_batches, text_steps, word_hashes, word_spans
@@ -52,12 +54,14 @@ LARGE = 32
 #: Rows of a token from which it counts as frequent, and how many such tokens order the rest.
 FREQUENT = 64
 FREQUENT_MOST = 1 << 17
-#: Bits of a filter of ids: eight for each id, within these powers of two.
-FILTER_BITS = (16, 29)
+#: Bits of a filter of ids: four or more for each id, within these powers of two.
+FILTER_BITS = (16, 28)
 #: Pairs of rows and groups of one token from which it is dealt over tasks.
 TOKEN_PAIRS = 2_000_000
-#: The share of a round's sets that may go on; beyond it a further round finds too little.
-ROUND_SHARE = 0.7
+#: Sets of the main component of a block that meet the other blocks.
+SCOUTS = 16
+#: Copies that sets may have for it, for each set of their cluster.
+COPIES = 2
 #: Sets of one component in a group of the matrix.
 MATRIX_GROUP = 64
 #: Pairs of two components that are compared before all others.
@@ -155,7 +159,7 @@ def shingle_table(docs: DataFrame, k: int, percent: int, doc_id: str, text: str)
 def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     """A bitmap of hashed ids of a bounded size; it may hold more ids, never fewer."""
     least, most = FILTER_BITS
-    bits = min(most, max(least, (8 * max(1, ids.count()) - 1).bit_length()))
+    bits = min(most, max(least, (4 * max(1, ids.count()) - 1).bit_length()))
     block = 1 << 12
     h = F.pmod(F.xxhash64(column), F.lit(1 << bits)).cast("int")
 
@@ -249,39 +253,38 @@ def clusters_of(reps: DataFrame, key: str, least: int) -> DataFrame:
     return g.select(key, F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("int").alias("blocks"))
 
 
-def block_of(blocks: Column) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), blocks.cast("long"))
-
-
-def dealt(sets: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
-    """Sets with their cluster and block."""
-    c = clusters.withColumnRenamed(key, "_key")
-    return sets.join(c, F.col(key) == F.col("_key")).select(F.col(key).alias("key"), block_of(F.col("blocks")).alias("pair"), "doc_id", "tokens")
-
-
-def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, key: str, k: int, percent: int, ws: Workspace, doc_id: str, text: str) -> DataFrame:
-    """a, b: links that join all similar sets of each block, and of the blocks' components in rounds; token: tokens that are frequent in one."""
-    own, live, out, turn = reps.select("doc_id", key), clusters, None, 0
-    while True:
-        inside = own.join(live.select(F.col(key).alias("_live")), F.col(key) == F.col("_live"), "left_semi")
-        sets = scan_sets(docs, k, id_filter(inside, "doc_id"), doc_id, text)
-        if turn:
-            sets = sets.join(inside.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
-        links = ws.stage(linked(dealt(sets, live, key), percent), f"{key}-{turn}")
-        out = links if out is None else out.unionByName(links)
-        big = live.where("blocks > 1").select(F.col(key).alias("_big"))
-        if not big.head(1):
-            return out
-        many = inside.join(big, F.col(key) == F.col("_big"), "left_semi")
-        gone = links.where("a IS NOT NULL").select(F.col("a").alias("_a"))
-        left = ws.stage(many.join(gone, F.col("doc_id") == F.col("_a"), "left_anti"), f"{key}-left-{turn}")
-        if left.count() > ROUND_SHARE * many.count():
-            return out
-        sizes = left.groupBy(key).agg(F.count("*").alias("m")).where("m >= 2")
-        live = ws.stage(sizes.select(key, F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks")), f"{key}-live-{turn}")
-        if not live.head(1):
-            return out
-        own, turn = left, turn + 1
+def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, key: str, k: int, percent: int, ws: Workspace, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """a, b: links that join similar sets of one cluster; token: tokens that are frequent in one.
+
+    And ``all``, the sets (doc_id) that were compared with their whole cluster. Sets of
+    one block were compared with each other.
+    """
+    own = reps.select(F.col("doc_id").alias("id"), F.col(key).alias("key")).join(clusters.withColumnRenamed(key, "_key"), F.col("key") == F.col("_key"))
+    own = ws.stage(own.select("id", "key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).alias("block")), f"{key}-own")
+
+    def compared(some: DataFrame, name: str) -> DataFrame:
+        sets = scan_sets(docs, k, id_filter(some, "id"), doc_id, text)
+        at = some.select("id", "key", "pair")
+        met = sets.join(at, (F.col("doc_id") == F.col("id")) & (F.col(key) == F.col("key"))).select("key", "pair", "doc_id", "tokens")
+        return ws.stage(linked(met, percent), name)
+
+    out = compared(own.withColumn("pair", F.col("block")), f"{key}-blocks")
+    big = own.where("blocks > 1")
+    if not big.head(1):
+        return out, own.select(F.col("id").alias("doc_id")).where(F.lit(False))
+    links = out.where("a IS NOT NULL").select("a", F.col("b").alias("root"))
+    big = ws.stage(big.join(links, F.col("id") == F.col("a"), "left").select("id", "key", "blocks", "block", F.coalesce("root", "id").alias("root")), f"{key}-big")
+    sizes = big.groupBy("key", "block", "root").agg(F.count("*").alias("m"))
+    main = sizes.groupBy(F.col("key").alias("m_key"), F.col("block").alias("m_block")).agg(F.max_by("root", F.struct("m", "root")).alias("main"))
+    order = Window.partitionBy("key", "block", "root").orderBy(F.xxhash64("id", F.lit(3)))
+    roles = big.join(main, (F.col("key") == F.col("m_key")) & (F.col("block") == F.col("m_block"))).withColumn("place", F.row_number().over(order))
+    roles = ws.stage(roles.select("id", "key", "blocks", "block", ((F.col("root") != F.col("main")) | (F.col("place") <= SCOUTS)).alias("moves")), f"{key}-roles")
+    load = roles.groupBy(F.col("key").alias("l_key")).agg(F.count("*").alias("m"), F.count(F.when(F.col("moves"), 1)).alias("n"), F.first("blocks").alias("b")).where(F.col("n") * (F.col("b") - 1) <= F.col("m") * COPIES)
+    chosen = ws.stage(roles.join(load.select("l_key"), F.col("key") == F.col("l_key"), "left_semi"), f"{key}-chosen")
+    if not chosen.head(1):
+        return out, own.select(F.col("id").alias("doc_id")).where(F.lit(False))
+    places = F.when(F.col("moves"), F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).otherwise(F.array("block"))
+    return out.unionByName(compared(chosen.withColumn("pair", F.explode(places)), f"{key}-across")), chosen.where("moves").select(F.col("id").alias("doc_id"))
 
 
 def linked(rows: DataFrame, percent: int) -> DataFrame:
@@ -391,9 +394,11 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
 
     # 1. groups
     first, second = (ws.stage(clusters_of(reps, k, least), f"clusters_{k}") for k, least in (("k1", 2), ("k2", LARGE)))
-    grouped = cluster_links(docs, reps, first, "k1", words, percent, ws, doc_id, text)
+    grouped, all1 = cluster_links(docs, reps, first, "k1", words, percent, ws, doc_id, text)
+    all2 = all1.where(F.lit(False))
     if second.head(1):
-        grouped = grouped.unionByName(cluster_links(docs, reps, second, "k2", words, percent, ws, doc_id, text))
+        more, all2 = cluster_links(docs, reps, second, "k2", words, percent, ws, doc_id, text)
+        grouped = grouped.unionByName(more)
     rep_of = lambda e: e.join(member.select(F.col("doc_id").alias("da"), F.col("rep").alias("ra")), F.col("a") == F.col("da")).join(member.select(F.col("doc_id").alias("db"), F.col("rep").alias("rb")), F.col("b") == F.col("db")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     edges = ws.stage(rep_of(grouped.where("a IS NOT NULL").select("a", "b")), "edges1")
     # rows with one id in several classes are one node
@@ -402,13 +407,18 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     roots = components(edges, ws, "cc1")
 
     # 2. matrix
-    # sets of one block have been compared: c1 and c2 name the blocks
+    # c1 and c2 name the blocks of a set, all1 and all2 say that it was compared with its whole cluster
     near = reps.join(first.select(F.col("k1").alias("_k1"), F.col("blocks").alias("_b1")), F.col("k1") == F.col("_k1"), "left").join(second.select(F.col("k2").alias("_k2"), F.col("blocks").alias("_b2")), F.col("k2") == F.col("_k2"), "left")
     near = near.join(roots, F.col("doc_id") == F.col("node"), "left")
+    for name, some in (("all1", all1), ("all2", all2)):
+        near = near.join(some.select(F.col("doc_id").alias(f"{name}_id")).distinct(), F.col("doc_id") == F.col(f"{name}_id"), "left").withColumn(name, F.col(f"{name}_id").isNotNull())
     b1 = F.coalesce("_b1", F.lit(1))
-    near = near.select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), F.xxhash64("k1", block_of(b1)).alias("c1"), F.when(F.col("_k2").isNotNull(), F.xxhash64("k2", block_of(F.col("_b2")))).alias("c2"), b1.alias("blocks"), "keys")
+    block = lambda blocks: F.pmod(F.xxhash64("doc_id"), blocks.cast("long"))
+    near = near.select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), "k1", F.xxhash64("k1", block(b1)).alias("c1"), "all1", F.coalesce("_k2", F.lit(0)).alias("k2"), F.when(F.col("_k2").isNotNull(), F.xxhash64("k2", block(F.col("_b2")))).alias("c2"), "all2", b1.alias("blocks"), "keys")
     near = ws.stage(near, "near")
 
+    marks = ["k1", "c1", "all1", "k2", "c2", "all2"]
+
     def shared(rows: DataFrame, name: str) -> DataFrame:
         tokens = rows.select("comp", F.explode("keys").alias("token"))
         return ws.stage(tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo != hi").select("token", "rows"), name)
@@ -420,15 +430,15 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     if len(frequent):
         changed = reordered(docs, words, percent, frequent, doc_id, text)
         changed = changed.select(F.col("doc_id").alias("id"), F.col("n").alias("m"), F.col("keys").alias("new")).dropDuplicates(["id", "m"])
-        near = ws.stage(near.join(changed, (F.col("doc_id") == F.col("id")) & (F.col("n") == F.col("m")), "left").select("doc_id", "n", "comp", "c1", "c2", "blocks", F.coalesce("new", "keys").alias("keys")), "near2")
+        near = ws.stage(near.join(changed, (F.col("doc_id") == F.col("id")) & (F.col("n") == F.col("m")), "left").select("doc_id", "n", "comp", *marks, "blocks", F.coalesce("new", "keys").alias("keys")), "near2")
         live = shared(near, "live2")
     sizes = near.groupBy("comp").agg(F.count("*").alias("members")).select(F.col("comp").alias("c"), "members")
     # a group lies in one block of its cluster: the number of parts is a multiple of that of blocks
     parts = F.ceil(F.col("members") / (MATRIX_GROUP * F.col("blocks"))) * F.col("blocks")
-    near = near.join(sizes, F.col("comp") == F.col("c")).withColumn("part", block_of(parts).cast("int"))
-    rows = near.select("doc_id", "n", "comp", "part", "c1", "c2", F.explode("keys").alias("token")).join(live.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
+    near = near.join(sizes, F.col("comp") == F.col("c")).withColumn("part", block(parts).cast("int"))
+    rows = near.select("doc_id", "n", "comp", "part", *marks, F.explode("keys").alias("token")).join(live.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
     rows = ws.stage(rows, "rows")
-    matrix = rows.groupBy(F.col("token").alias("g_token"), F.col("comp").alias("g_comp"), F.col("part").alias("g_part"), F.col("c1").alias("g_c1"), F.col("c2").alias("g_c2")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = rows.groupBy(F.col("token").alias("g_token"), F.col("comp").alias("g_comp"), F.col("part").alias("g_part"), *(F.col(c).alias(f"g_{c}") for c in marks)).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = ws.stage(matrix, "matrix")
     # a token with many rows and groups is dealt over tasks: its groups go to all of them, each row to one
     many = rows.groupBy(F.col("token").alias("h_token")).agg(F.count("*").alias("r")).where(F.col("r") > FREQUENT)
@@ -437,16 +447,16 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     salted = rows.join(hot, F.col("token") == F.col("h_token"), "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")).drop("h_token", "salts")
     spread = matrix.join(hot, F.col("g_token") == F.col("h_token"), "left").withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("h_token", "salts")
     n, low, high = F.col("n"), F.greatest("n", "low"), F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
-    compared = (F.col("c1") != F.col("g_c1")) & F.coalesce(F.col("c2") != F.col("g_c2"), F.lit(True))
-    met = salted.join(spread, (F.col("token") == F.col("g_token")) & (F.col("salt") == F.col("g_salt")) & (F.col("comp") != F.col("g_comp")) & compared & (high >= n) & (F.col("low") * percent <= n * 100))
-    open_groups = met.groupBy("doc_id", "n", "comp", "g_comp", "g_part", "g_c1", F.coalesce("g_c2", F.lit(0)).alias("g_c2")).agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+    in_block = lambda i: F.coalesce(F.col(f"c{i}") == F.col(f"g_c{i}"), F.lit(False))
+    in_cluster = lambda i: F.coalesce((F.col(f"k{i}") == F.col(f"g_k{i}")) & (F.col(f"all{i}") | F.col(f"g_all{i}")), F.lit(False))
+    compared = in_block(1) | in_block(2) | in_cluster(1) | in_cluster(2)
+    met = salted.join(spread, (F.col("token") == F.col("g_token")) & (F.col("salt") == F.col("g_salt")) & (F.col("comp") != F.col("g_comp")) & ~compared & (high >= n) & (F.col("low") * percent <= n * 100))
+    open_groups = met.groupBy("doc_id", "n", "comp", "g_comp", "g_part", "g_c1", "g_all1", F.coalesce("g_c2", F.lit(0)).alias("g_c2"), "g_all2").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
     open_groups = open_groups.where(F.col("c") >= tokens_needed(n, low, high, percent))
-    inner = near.select(F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.col("comp").alias("m_comp"), F.col("part").alias("m_part"), F.col("c1").alias("m_c1"), F.coalesce("c2", F.lit(0)).alias("m_c2"))
+    inner = near.select(F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.col("comp").alias("m_comp"), F.col("part").alias("m_part"), F.col("c1").alias("m_c1"), F.coalesce("c2", F.lit(0)).alias("m_c2"), F.col("all1").alias("m_all1"), F.col("all2").alias("m_all2"))
     fits = (F.col("n_s") * percent <= F.col("n") * 100) & ((F.col("n_s") > F.col("n")) | ((F.col("n_s") == F.col("n")) & (F.col("s") > F.col("doc_id"))))
-    pairs = open_groups.join(inner, (F.col("g_comp") == F.col("m_comp")) & (F.col("g_part") == F.col("m_part")) & (F.col("g_c1") == F.col("m_c1")) & (F.col("g_c2") == F.col("m_c2")) & fits)
+    pairs = open_groups.join(inner, (F.col("g_comp") == F.col("m_comp")) & (F.col("g_part") == F.col("m_part")) & (F.col("g_c1") == F.col("m_c1")) & (F.col("g_c2") == F.col("m_c2")) & (F.col("g_all1") == F.col("m_all1")) & (F.col("g_all2") == F.col("m_all2")) & fits)
     pairs = ws.stage(pairs.select(F.col("doc_id").alias("q"), "s", F.least("comp", "g_comp").alias("ca"), F.greatest("comp", "g_comp").alias("cb"), "c"), "pairs")
-    from pyspark.sql import Window
-
     best = Window.partitionBy("ca", "cb").orderBy(F.desc("c"), "q", "s")
     tried = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= TRY_FIRST)
     tried = ws.stage(tried.select("q", "s"), "tried")

@@ -123,11 +123,29 @@ def test_near_join_equals_brute_force_on_documents(spark):
     assert all(got[i][0] in want[i][0] and got[i][1] == want[i][1] for i in want)
 
 
+@pytest.mark.parametrize("copies", [0, 2, 50])
+def test_near_join_of_a_family_in_many_blocks(spark, monkeypatch, copies):
+    """A family whose members link with its first text, and only some with each other; many sets meet the other blocks, or none do."""
+    for name, value in (("BLOCK_ROWS", 8), ("LARGE", 5), ("SCOUTS", 2), ("COPIES", copies), ("MATRIX_GROUP", 4)):
+        monkeypatch.setattr(jaccard_groups, name, value)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 90):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 3, 6])):
+            w[rng.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    got = check(spark, rows, 5, 80)
+    assert len({r.component_id for r in got}) > 1 and sum(r.component_id == 0 for r in got) > 40
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_near_join_of_edited_copies(spark, monkeypatch, small):
     """A chain of edits, a family around one text, a shared passage; also with tiny groups and few frequent tokens."""
     if small:
-        for name, value in (("BLOCK_ROWS", 3), ("LARGE", 4), ("FREQUENT", 3), ("MATRIX_GROUP", 2), ("TRY_FIRST", 1), ("FILTER_BITS", (12, 12)), ("TOKEN_PAIRS", 5), ("ROUND_SHARE", 0.95)):
+        for name, value in (("BLOCK_ROWS", 3), ("LARGE", 4), ("FREQUENT", 3), ("MATRIX_GROUP", 2), ("TRY_FIRST", 1), ("FILTER_BITS", (12, 12)), ("TOKEN_PAIRS", 5), ("SCOUTS", 1), ("COPIES", 9)):
             monkeypatch.setattr(jaccard_groups, name, value)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
