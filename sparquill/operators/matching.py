@@ -113,17 +113,28 @@ def _keys(refs: Column, taxa: Column, words: Column) -> Column:
     return F.array_distinct(F.concat(pair("r:", refs), pair("x:", taxa), pair("t:", words)))
 
 
+#: Items of one key from which it is dealt over several tasks.
+HOT_ITEMS = 50_000
+
+
 def candidates(requests: DataFrame, items: DataFrame) -> DataFrame:
     """part_id, item_id: requests and items with a reference, taxonomy or token in common, each pair once.
 
-    Only ids and keys shuffle. Frequent tokens make large groups, which adaptive
-    execution splits; none is dropped, as that would change the candidates.
+    Only ids and keys shuffle. A key with many items is split: its items are dealt by
+    their ids, and its requests go to each share. None is dropped, as that would
+    change the candidates.
     """
     refs = F.array_compact(F.array("q_ref"))
     years = F.array_compact(F.array(F.when(F.length(F.col("year").cast("string")) > 1, F.col("year").cast("string"))))
     asked = requests.select("part_id", F.explode(_keys(refs, F.col("q_tax"), F.concat("q_tok", "q_vehicle", years))).alias("key"))
     held = items.select("item_id", F.explode(_keys(F.col("i_refs"), F.col("taxonomies"), F.col("tokens"))).alias("key"))
-    return asked.join(held, "key").select("part_id", "item_id").distinct()
+    hot = held.groupBy(F.col("key").alias("_hot")).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ITEMS)
+    hot = staged(hot.select("_hot", F.ceil(F.col("n") / HOT_ITEMS).alias("shares")), "hot_keys")
+    shares = F.coalesce("shares", F.lit(1))
+    meets = F.col("key") == F.col("_hot")
+    asked = asked.join(hot, meets, "left").select("part_id", "key", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
+    held = held.join(hot, meets, "left").select("item_id", "key", F.pmod(F.xxhash64("item_id"), shares).alias("share"))
+    return asked.join(held, ["key", "share"]).select("part_id", "item_id").distinct()
 
 
 def similarity():

@@ -386,3 +386,15 @@ def test_entry_hides_no_error(monkeypatch):
     assert "pipeline" not in __spark_entry__.queries()
     monkeypatch.setattr(__spark_entry__, "_there", lambda module: False)
     assert not [q for q in __spark_entry__.queries() if q.startswith("op")]
+
+
+def test_candidates_of_hot_keys_are_the_same(spark, monkeypatch):
+    asks = [("q", str(i), f"Farola {'negra' if i % 2 else 'kit'} {i}", None, "Mazda", "CX5", None, "2015" if i % 3 else None) for i in range(12)]
+    asked = matching.prepare_requests(spark.createDataFrame(asks, ASK))
+    held = matching.prepare_items(items(spark, *({"title": f"Farola {'negra' if i % 4 else 'base'} {i}", "brand": "Mazda"} for i in range(30)), {"title": "Otra cosa"}))
+    pairs = lambda: sorted(tuple(r) for r in matching.candidates(asked, held).collect())
+    want = pairs()
+    assert len(want) == 12 * 30
+    for least in (1, 3, 20):
+        monkeypatch.setattr(matching, "HOT_ITEMS", least)
+        assert pairs() == want
