@@ -213,3 +213,43 @@ def q_catalog_items(read, spark):
     word = F.when(F.col("provider_type") != "category_only", F.concat(F.lit("tok"), F.regexp_extract("title", r"(\d+)$", 1))).when(F.col("title").startswith("Familia"), "familia").when(F.col("title").startswith("Otro"), "otro").when(F.col("reference").isNotNull(), "linea").otherwise(F.element_at(F.split("title", " "), 1))
     row = ["provider_id", "provider_name", "provider_type", "title", "category_name", "brand", "reference", "sku", "code", "detail_url"]
     return got.select(*row, F.array_contains("tokens", word).alias("has_word"), "manual", F.array_join("notes", "|").alias("notes")).groupBy(*row, "has_word", "manual", "notes").agg(F.count("*").alias("n"))
+
+
+@query("""WITH x AS (SELECT s_suppkey AS k, n_nationkey AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT 'u' || k AS url, CASE WHEN k % 3 = 0 THEN 'detail ' || k ELSE 'listing ' || k END AS title, CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN 'brand ' || n WHEN k % 5 = 0 THEN 'listed' END AS brand, CASE WHEN k % 3 = 0 AND k % 4 <> 0 THEN 'about ' || k END AS description,
+concat_ws(',', CASE WHEN NOT (k % 3 = 0 AND k % 2 = 0) AND k % 5 <> 0 THEN 'missing_brand' END, CASE WHEN NOT (k % 3 = 0 AND k % 4 <> 0) THEN 'missing_description' END) AS warnings FROM x""")
+def q_enriched(read, spark):
+    """Records of listings with what their own pages say, where they have one; what neither says is named."""
+    k = F.col("s_suppkey")
+    listed = read("supplier").select(F.concat(F.lit("u"), k.cast("string")).alias("url"), F.concat(F.lit("listing "), k.cast("string")).alias("title"), F.when(k % 5 == 0, "listed").alias("brand"), F.lit(None).cast("string").alias("description"))
+    html = F.concat(
+        F.lit("<h1>detail "), k.cast("string"), F.lit("</h1><table><tr><th>Marca</th><td>"), F.when(k % 2 == 0, F.concat(F.lit("brand "), _s("s_nationkey"))).otherwise(" "), F.lit("</td></tr></table>"),
+        F.when(k % 4 != 0, F.concat(F.lit('<meta name="description" content="about '), k.cast("string"), F.lit('">'))).otherwise(""),
+    )
+    own = read("supplier").where(k % 3 == 0).select(F.concat(F.lit("u"), k.cast("string")).alias("url"), html.alias("html"))
+    detail = own.select("url", pages.title(F.col("html")).alias("title"), t.present(F.try_element_at(pages.labelled_rows(F.col("html")), F.lit("Marca")), False).alias("brand"), pages.meta(F.col("html"), "description").alias("description"))
+    return pages.enriched(listed, detail, ["title", "brand", "description"]).withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query("""WITH x AS (SELECT n_nationkey AS k, lower(n_name) AS n FROM nation)
+SELECT k AS page_id, 'https://d.example.com/servicios/' || n || '|https://d.example.com/servicios/frenos' AS services, 'Kia ' || k AS brand_pages, CASE WHEN k % 2 = 0 THEN 'https://d.example.com/categorias/a?page=2' ELSE '' END AS categories, 'frenos de disco|' || replace(n, '_', ' ') AS families,
+CASE WHEN k % 2 = 0 THEN 'b' || k || '|c' ELSE 'c' END AS entries, CASE k % 3 WHEN 0 THEN 'brakes' WHEN 1 THEN 'filters' ELSE 'manual_review' END AS taxonomy, 'exact_reference|high|false' AS match_type FROM x""")
+def q_link_families(read, spark):
+    """Links of pages by what they lead to: services, brands, categories of this host; entry addresses of a snapshot."""
+    k, n = F.col("n_nationkey"), F.lower("n_name")
+    html = F.concat(
+        F.lit('<a href="/servicios/'), n, F.lit('">uno</a><a href="/servicios/frenos#x">dos</a><a href="/servicios/'), n, F.lit('">tres</a><a href="/marcas/kia-'), k.cast("string"), F.lit('">Kia '), k.cast("string"),
+        F.lit('</a><a href="/contacto">Otro</a><a href="https://elsewhere.example.com/categorias/z">z</a><a href="/categorias/a?'), F.when(k % 2 == 0, "page=2").otherwise("order=asc"), F.lit('">cat</a>'),
+    )
+    links = pages.links(html, F.lit("https://d.example.com/"))
+    mine = lambda u: t.same_host(u, "d.example.com")
+    services = F.filter(links, lambda u: mine(u) & t.matches_any(u, ("/servicios/",)))
+    cats = F.filter(links, lambda u: mine(u) & u.contains("/categorias/") & (~u.contains("?") | u.contains("page=")))
+    brands = F.transform(F.filter(pages.anchors(html), lambda a: pages.first_keyword(F.concat_ws(" ", a["text"], a["href"]), {"kia": "Kia", "mazda": "Mazda"}).isNotNull()), lambda a: a["text"])
+    families = F.transform(F.array(F.lit("https://d.example.com/servicios/frenos-de-disco"), F.concat(F.lit("https://d.example.com/servicios/"), n)), lambda u: t.slug_words(F.regexp_replace(u, "^.*/servicios/", "")))
+    entries = F.array_distinct(F.filter(F.flatten(F.array(F.array(F.when(k % 2 == 0, F.concat(F.lit("b"), k.cast("string")))), F.array(F.lit("c"), F.lit(" "), F.lit("c")))), lambda u: F.coalesce(F.trim(u) != "", F.lit(False))))
+    kind = pages.catalog_match_type(F.lit("R1"), F.lit("modelo"))
+    return read("nation").select(
+        k.alias("page_id"), F.array_join(services, "|").alias("services"), F.array_join(brands, "|").alias("brand_pages"), F.array_join(cats, "|").alias("categories"), F.array_join(families, "|").alias("families"), F.array_join(entries, "|").alias("entries"),
+        pages.first_keyword(F.element_at(t.words(("Frenos ABS", "Filtro", "x")), (k % 3 + 1).cast("int")), {"freno": "brakes", "filtro": "filters"}, "manual_review").alias("taxonomy"), F.concat_ws("|", kind["match_type"], kind["confidence"], kind["requires_manual_confirmation"].cast("string")).alias("match_type"),
+    )

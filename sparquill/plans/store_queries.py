@@ -349,3 +349,40 @@ def q_load_counters(read, spark):
     asked = asked.select(F.lit("urls").alias("what"), F.size("u").cast("long").alias("n"), F.array_join(F.transform("u", lambda x: x["url"]), ",").alias("said"))
     traced = e.where("event_type = 'error'").select(F.col("k"), jobs.trace("error", F.lit("m"), F.lit("2024-01-01").cast("timestamp"), k=F.col("k")).alias("x")).agg(F.count("x").alias("n"), F.max_by("x.details", "k").alias("said"))
     return rows.unionByName(asked).unionByName(traced.select(F.lit("trace").alias("what"), "n", "said"))
+
+
+@query("""WITH f AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 10 = 7 THEN 'failed' WHEN c_custkey % 3 = 0 THEN 'imported' WHEN c_custkey % 3 = 1 THEN 'skipped' ELSE 'updated' END AS o FROM customer),
+c AS (SELECT k, o, CASE WHEN o IN ('imported', 'updated') THEN 2 ELSE CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END END AS chunks FROM f)
+SELECT 'imported' AS what, COUNT(*) FILTER (WHERE o = 'imported') AS n FROM f UNION ALL SELECT 'updated', COUNT(*) FILTER (WHERE o = 'updated') FROM f UNION ALL SELECT 'skipped', COUNT(*) FILTER (WHERE o = 'skipped') FROM f UNION ALL SELECT 'failed', COUNT(*) FILTER (WHERE o = 'failed') FROM f
+UNION ALL SELECT 'documents', COUNT(*) FILTER (WHERE o <> 'failed' OR k % 3 <> 0) FROM f UNION ALL SELECT 'chunks', CAST(SUM(chunks) AS BIGINT) FROM c UNION ALL SELECT 'new chunks', CAST(SUM(CASE WHEN o IN ('imported', 'updated') THEN 2 ELSE 0 END) AS BIGINT) FROM c UNION ALL SELECT 'dry run documents', COUNT(*) FILTER (WHERE k % 3 <> 0) FROM f
+UNION ALL SELECT 'again skipped', COUNT(*) FILTER (WHERE o <> 'failed') FROM f""")
+def q_ingest(read, spark):
+    """Documents of two pages ingested over a store: new, changed, unchanged and broken ones; a dry run; a second run."""
+    from ..operators import ingest
+    from ..shared import staged
+
+    k, s = F.col("c_custkey"), _s("c_custkey")
+    page = lambda n: F.struct(F.lit(n).alias("page"), F.concat(F.lit(f"page {n} of "), F.col("c_name")).alias("text"))
+    files = staged(read("customer").select(s.alias("path"), F.sha2(F.col("c_name").cast("binary"), 256).alias("sha256"), F.col("c_name").alias("title"), F.array(page(1), page(2), F.struct(F.lit(3).alias("page"), F.lit(" ").alias("text"))).alias("pages"), F.when(k % 10 == 7, "damaged").alias("error")), "files")
+    old = read("customer").where(k % 3 != 0)
+    docs = old.select(s.alias("path"), F.when(k % 3 == 1, F.sha2(F.col("c_name").cast("binary"), 256)).otherwise("old").alias("sha256"), F.col("c_name").alias("title"))
+    chunks = old.select(s.alias("path"), F.lit(0).alias("chunk_index"), F.lit(1).alias("page"), F.lit("stored").alias("content"))
+    dry, got = ingest.ingest(files, docs, chunks, dry_run=True), ingest.ingest(files, docs, chunks)
+    stored_docs, stored_chunks = staged(got.documents, "documents"), staged(got.chunks, "chunks")
+    again = ingest.ingest(files, stored_docs, stored_chunks)
+    count = lambda d, name: d.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    rows = got.counters.select(F.expr("stack(4, 'imported', imported, 'updated', updated, 'skipped', skipped, 'failed', failed) AS (what, n)"))
+    for d in (count(stored_docs, "documents"), count(stored_chunks, "chunks"), count(stored_chunks.where("content LIKE 'page _ of %'"), "new chunks"), count(dry.documents, "dry run documents"), again.counters.select(F.lit("again skipped").alias("what"), F.col("skipped").alias("n"))):
+        rows = rows.unionByName(d)
+    return rows
+
+
+@query(f"""{vehicle_queries.scored_sql()}, ans AS (SELECT part_id, unnest([2, 0, 99, 2]) AS ix, unnest([0, 1, 2, 3]) AS choice FROM (SELECT DISTINCT part_id FROM ranked) WHERE part_id % 2 = 0),
+chosen AS (SELECT r.part_id, r.item_id, r.provider_id, r.provider_name, r.score, ans.choice, row_number() OVER (PARTITION BY r.part_id, r.provider_id ORDER BY ans.choice, r.item_id) AS pn FROM ranked r JOIN ans ON r.part_id = ans.part_id AND r.rank = ans.ix + 1 WHERE ans.choice < 3 AND r.score >= CASE WHEN r.provider_id = 'prov4' THEN {review.ACCEPT_CATEGORY_ONLY} ELSE {review.ACCEPT} END)
+SELECT CAST(part_id AS BIGINT) AS part_id, CAST(item_id AS BIGINT) AS item_id, CAST(score AS BIGINT) AS adjusted_score, CAST(row_number() OVER (PARTITION BY part_id ORDER BY choice, item_id) AS BIGINT) AS option FROM chosen WHERE pn = 1""")
+def q_model_review(read, spark):
+    """A model's answers choose and order the options: positions out of range don't count, nor do those beyond three."""
+    m = vehicle_queries.matched(read)
+    answers = read("nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("part_id"), F.array(F.lit(2), F.lit(0), F.lit(99), F.lit(2)).alias("indexes"))
+    got = review.review(m, lambda c: review.chosen_indexes(c, answers), policy=vehicle_queries.POLICY)
+    return got.select("part_id", "item_id", F.col("adjusted_score").cast("long").alias("adjusted_score"), F.col("option").cast("long").alias("option"))
