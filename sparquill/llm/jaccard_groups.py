@@ -47,7 +47,7 @@ from .common import Workspace, as_bytes, lower_ascii, mix, small_batches, text_s
 
 _U = np.uint64
 #: Sets and tokens of one block.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
 BLOCK_TOKENS = 1_000_000
 #: Sets that share a second hash from which they are a cluster, too.
 LARGE = 32
