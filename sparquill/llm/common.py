@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 from collections.abc import Iterator
 
@@ -42,6 +43,9 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+_SCRATCH: contextvars.ContextVar[list | None] = contextvars.ContextVar("scratch", default=None)
+
+
 class Workspace:
     """Staged tables in the folder that all executors share (``shared_folder``).
 
@@ -55,7 +59,9 @@ class Workspace:
         fs, at = self._at(self.root)
         fs.mkdirs(at)
         fs.deleteOnExit(at)
-        _OPEN.append(self)
+        held = _SCRATCH.get()
+        if held is not None:
+            held.append(self)
 
     def _at(self, path: str) -> tuple:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -80,19 +86,17 @@ class Workspace:
         fs.delete(at, True)
 
 
-_OPEN: list[Workspace] = []
-
-
 @contextlib.contextmanager
 def scratch() -> Iterator[None]:
-    """Workspaces made inside are removed at the end: for steps whose result is written there."""
-    before = len(_OPEN)
+    """Workspaces that this thread makes inside are removed at the end: for steps whose result is written there."""
+    held: list[Workspace] = []
+    token = _SCRATCH.set(held)
     try:
         yield
     finally:
-        for ws in _OPEN[before:]:
+        _SCRATCH.reset(token)
+        for ws in held:
             ws.close()
-        del _OPEN[before:]
 
 
 def text_steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

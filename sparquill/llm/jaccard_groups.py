@@ -253,38 +253,39 @@ def clusters_of(reps: DataFrame, key: str, least: int) -> DataFrame:
     return g.select(key, F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("int").alias("blocks"))
 
 
-def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, key: str, k: int, percent: int, ws: Workspace, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+def block_of(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), blocks.cast("long"))
+
+
+def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, key: str, k: int, percent: int, ws: Workspace, doc_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
     """a, b: links that join similar sets of one cluster; token: tokens that are frequent in one.
 
-    And ``all``, the sets (doc_id) that were compared with their whole cluster. Sets of
-    one block were compared with each other.
+    And the sets (doc_id) that were compared with their whole cluster, none if no
+    cluster has several blocks. Sets of one block were compared with each other.
     """
-    own = reps.select(F.col("doc_id").alias("id"), F.col(key).alias("key")).join(clusters.withColumnRenamed(key, "_key"), F.col("key") == F.col("_key"))
-    own = ws.stage(own.select("id", "key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).alias("block")), f"{key}-own")
-
-    def compared(some: DataFrame, name: str) -> DataFrame:
-        sets = scan_sets(docs, k, id_filter(some, "id"), doc_id, text)
-        at = some.select("id", "key", "pair")
-        met = sets.join(at, (F.col("doc_id") == F.col("id")) & (F.col(key) == F.col("key"))).select("key", "pair", "doc_id", "tokens")
-        return ws.stage(linked(met, percent), name)
-
-    out = compared(own.withColumn("pair", F.col("block")), f"{key}-blocks")
-    big = own.where("blocks > 1")
-    if not big.head(1):
-        return out, own.select(F.col("id").alias("doc_id")).where(F.lit(False))
+    c = clusters.withColumnRenamed(key, "_key")
+    own = reps.select("doc_id", F.col(key).alias("key")).join(c, F.col("key") == F.col("_key")).select("doc_id", "key", "blocks")
+    sets = scan_sets(docs, k, id_filter(own, "doc_id"), doc_id, text).join(c, F.col(key) == F.col("_key"))
+    out = ws.stage(linked(sets.select(F.col(key).alias("key"), block_of(F.col("blocks")).alias("pair"), "doc_id", "tokens"), percent), f"{key}-blocks")
+    if not clusters.where("blocks > 1").head(1):
+        return out, None
     links = out.where("a IS NOT NULL").select("a", F.col("b").alias("root"))
-    big = ws.stage(big.join(links, F.col("id") == F.col("a"), "left").select("id", "key", "blocks", "block", F.coalesce("root", "id").alias("root")), f"{key}-big")
+    big = own.where("blocks > 1").join(links, F.col("doc_id") == F.col("a"), "left")
+    big = ws.stage(big.select("doc_id", "key", "blocks", block_of(F.col("blocks")).alias("block"), F.coalesce("root", "doc_id").alias("root")), f"{key}-big")
     sizes = big.groupBy("key", "block", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy(F.col("key").alias("m_key"), F.col("block").alias("m_block")).agg(F.max_by("root", F.struct("m", "root")).alias("main"))
-    order = Window.partitionBy("key", "block", "root").orderBy(F.xxhash64("id", F.lit(3)))
+    order = Window.partitionBy("key", "block", "root").orderBy(F.xxhash64("doc_id", F.lit(3)))
     roles = big.join(main, (F.col("key") == F.col("m_key")) & (F.col("block") == F.col("m_block"))).withColumn("place", F.row_number().over(order))
-    roles = ws.stage(roles.select("id", "key", "blocks", "block", ((F.col("root") != F.col("main")) | (F.col("place") <= SCOUTS)).alias("moves")), f"{key}-roles")
+    roles = ws.stage(roles.select("doc_id", "key", "blocks", "block", ((F.col("root") != F.col("main")) | (F.col("place") <= SCOUTS)).alias("moves")), f"{key}-roles")
     load = roles.groupBy(F.col("key").alias("l_key")).agg(F.count("*").alias("m"), F.count(F.when(F.col("moves"), 1)).alias("n"), F.first("blocks").alias("b")).where(F.col("n") * (F.col("b") - 1) <= F.col("m") * COPIES)
     chosen = ws.stage(roles.join(load.select("l_key"), F.col("key") == F.col("l_key"), "left_semi"), f"{key}-chosen")
     if not chosen.head(1):
-        return out, own.select(F.col("id").alias("doc_id")).where(F.lit(False))
+        return out, None
     places = F.when(F.col("moves"), F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).otherwise(F.array("block"))
-    return out.unionByName(compared(chosen.withColumn("pair", F.explode(places)), f"{key}-across")), chosen.where("moves").select(F.col("id").alias("doc_id"))
+    at = chosen.select(F.col("doc_id").alias("id"), "key", F.explode(places).alias("pair"))
+    sets = scan_sets(docs, k, id_filter(chosen, "doc_id"), doc_id, text)
+    met = sets.join(at, (F.col("doc_id") == F.col("id")) & (F.col(key) == F.col("key"))).select("key", "pair", "doc_id", "tokens")
+    return out.unionByName(ws.stage(linked(met, percent), f"{key}-across")), chosen.where("moves").select("doc_id").distinct()
 
 
 def linked(rows: DataFrame, percent: int) -> DataFrame:
@@ -395,7 +396,7 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     # 1. groups
     first, second = (ws.stage(clusters_of(reps, k, least), f"clusters_{k}") for k, least in (("k1", 2), ("k2", LARGE)))
     grouped, all1 = cluster_links(docs, reps, first, "k1", words, percent, ws, doc_id, text)
-    all2 = all1.where(F.lit(False))
+    all2 = None
     if second.head(1):
         more, all2 = cluster_links(docs, reps, second, "k2", words, percent, ws, doc_id, text)
         grouped = grouped.unionByName(more)
@@ -407,17 +408,17 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     roots = components(edges, ws, "cc1")
 
     # 2. matrix
-    # c1 and c2 name the blocks of a set, all1 and all2 say that it was compared with its whole cluster
+    # c1 and c2 name the blocks of a set; k1 and k2 its clusters of several blocks; whole says with which of these (bits) it was compared
     near = reps.join(first.select(F.col("k1").alias("_k1"), F.col("blocks").alias("_b1")), F.col("k1") == F.col("_k1"), "left").join(second.select(F.col("k2").alias("_k2"), F.col("blocks").alias("_b2")), F.col("k2") == F.col("_k2"), "left")
-    near = near.join(roots, F.col("doc_id") == F.col("node"), "left")
-    for name, some in (("all1", all1), ("all2", all2)):
-        near = near.join(some.select(F.col("doc_id").alias(f"{name}_id")).distinct(), F.col("doc_id") == F.col(f"{name}_id"), "left").withColumn(name, F.col(f"{name}_id").isNotNull())
+    near = near.join(roots, F.col("doc_id") == F.col("node"), "left").withColumn("whole", F.lit(0))
+    for bit, some in ((1, all1), (2, all2)):
+        if some is not None:
+            near = near.join(some.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left").withColumn("whole", F.col("whole") + F.when(F.col("_id").isNotNull(), bit).otherwise(0)).drop("_id")
     b1 = F.coalesce("_b1", F.lit(1))
-    block = lambda blocks: F.pmod(F.xxhash64("doc_id"), blocks.cast("long"))
-    near = near.select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), "k1", F.xxhash64("k1", block(b1)).alias("c1"), "all1", F.coalesce("_k2", F.lit(0)).alias("k2"), F.when(F.col("_k2").isNotNull(), F.xxhash64("k2", block(F.col("_b2")))).alias("c2"), "all2", b1.alias("blocks"), "keys")
+    near = near.select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), F.when(F.col("_b1") > 1, F.col("k1")).alias("k1"), F.xxhash64("k1", block_of(b1)).alias("c1"), F.when(F.col("_b2") > 1, F.col("k2")).alias("k2"), F.when(F.col("_k2").isNotNull(), F.xxhash64("k2", block_of(F.col("_b2")))).alias("c2"), "whole", b1.alias("blocks"), "keys")
     near = ws.stage(near, "near")
 
-    marks = ["k1", "c1", "all1", "k2", "c2", "all2"]
+    marks = ["k1", "c1", "k2", "c2", "whole"]
 
     def shared(rows: DataFrame, name: str) -> DataFrame:
         tokens = rows.select("comp", F.explode("keys").alias("token"))
@@ -435,11 +436,14 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     sizes = near.groupBy("comp").agg(F.count("*").alias("members")).select(F.col("comp").alias("c"), "members")
     # a group lies in one block of its cluster: the number of parts is a multiple of that of blocks
     parts = F.ceil(F.col("members") / (MATRIX_GROUP * F.col("blocks"))) * F.col("blocks")
-    near = near.join(sizes, F.col("comp") == F.col("c")).withColumn("part", block(parts).cast("int"))
-    rows = near.select("doc_id", "n", "comp", "part", *marks, F.explode("keys").alias("token")).join(live.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
+    near = near.join(sizes, F.col("comp") == F.col("c")).withColumn("part", block_of(parts).cast("int"))
+    # a group by its hash: if two had one, both would be opened together
+    near = near.withColumn("gid", F.xxhash64("comp", "part", *marks))
+    rows = near.select("doc_id", "n", "comp", "gid", *marks, F.explode("keys").alias("token")).join(live.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
     rows = ws.stage(rows, "rows")
-    matrix = rows.groupBy(F.col("token").alias("g_token"), F.col("comp").alias("g_comp"), F.col("part").alias("g_part"), *(F.col(c).alias(f"g_{c}") for c in marks)).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = rows.groupBy(F.col("token").alias("g_token"), "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), *(F.first(c).alias(f"g_{c}") for c in ("comp", *marks)))
     matrix = ws.stage(matrix, "matrix")
+    rows = rows.drop("gid")
     # a token with many rows and groups is dealt over tasks: its groups go to all of them, each row to one
     many = rows.groupBy(F.col("token").alias("h_token")).agg(F.count("*").alias("r")).where(F.col("r") > FREQUENT)
     many = many.join(matrix.groupBy(F.col("g_token").alias("h_g")).agg(F.count("*").alias("g")), F.col("h_token") == F.col("h_g")).where(F.col("r") * F.col("g") > TOKEN_PAIRS)
@@ -448,14 +452,14 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     spread = matrix.join(hot, F.col("g_token") == F.col("h_token"), "left").withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("h_token", "salts")
     n, low, high = F.col("n"), F.greatest("n", "low"), F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
     in_block = lambda i: F.coalesce(F.col(f"c{i}") == F.col(f"g_c{i}"), F.lit(False))
-    in_cluster = lambda i: F.coalesce((F.col(f"k{i}") == F.col(f"g_k{i}")) & (F.col(f"all{i}") | F.col(f"g_all{i}")), F.lit(False))
+    in_cluster = lambda i: F.coalesce((F.col(f"k{i}") == F.col(f"g_k{i}")) & (F.col("whole").bitwiseOR(F.col("g_whole")).bitwiseAND(i) != 0), F.lit(False))
     compared = in_block(1) | in_block(2) | in_cluster(1) | in_cluster(2)
     met = salted.join(spread, (F.col("token") == F.col("g_token")) & (F.col("salt") == F.col("g_salt")) & (F.col("comp") != F.col("g_comp")) & ~compared & (high >= n) & (F.col("low") * percent <= n * 100))
-    open_groups = met.groupBy("doc_id", "n", "comp", "g_comp", "g_part", "g_c1", "g_all1", F.coalesce("g_c2", F.lit(0)).alias("g_c2"), "g_all2").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+    open_groups = met.groupBy("doc_id", "n", "comp", "gid").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
     open_groups = open_groups.where(F.col("c") >= tokens_needed(n, low, high, percent))
-    inner = near.select(F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.col("comp").alias("m_comp"), F.col("part").alias("m_part"), F.col("c1").alias("m_c1"), F.coalesce("c2", F.lit(0)).alias("m_c2"), F.col("all1").alias("m_all1"), F.col("all2").alias("m_all2"))
+    inner = near.select(F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.col("comp").alias("g_comp"), F.col("gid").alias("m_gid"))
     fits = (F.col("n_s") * percent <= F.col("n") * 100) & ((F.col("n_s") > F.col("n")) | ((F.col("n_s") == F.col("n")) & (F.col("s") > F.col("doc_id"))))
-    pairs = open_groups.join(inner, (F.col("g_comp") == F.col("m_comp")) & (F.col("g_part") == F.col("m_part")) & (F.col("g_c1") == F.col("m_c1")) & (F.col("g_c2") == F.col("m_c2")) & (F.col("g_all1") == F.col("m_all1")) & (F.col("g_all2") == F.col("m_all2")) & fits)
+    pairs = open_groups.join(inner, (F.col("gid") == F.col("m_gid")) & (F.col("comp") != F.col("g_comp")) & fits)
     pairs = ws.stage(pairs.select(F.col("doc_id").alias("q"), "s", F.least("comp", "g_comp").alias("ca"), F.greatest("comp", "g_comp").alias("cb"), "c"), "pairs")
     best = Window.partitionBy("ca", "cb").orderBy(F.desc("c"), "q", "s")
     tried = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= TRY_FIRST)
