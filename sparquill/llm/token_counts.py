@@ -32,7 +32,7 @@ from .common import as_bytes, gathered, small_batches
 
 NONE = np.int32(2**31 - 1)
 #: Distinct pre-tokens that a worker remembers between steps; those of one step are held whatever their number.
-CACHE = 800_000
+CACHE = 400_000
 #: Bytes of one window of a long text.
 WINDOW = 4 << 20
 OTHER, SPACE, LETTER, NUMBER = range(4)

@@ -33,7 +33,7 @@ from pyspark.sql import Window
 from .common import STEP_BYTES, Workspace, as_bytes, gathered, small_batches  # noqa: F401
 
 #: Pieces that a worker remembers between steps; the pieces of one step are held whatever their number.
-CACHE = 800_000
+CACHE = 500_000
 SPACE, LETTER, NUMBER, OTHER, WHOLE = range(5)
 
 
