@@ -379,10 +379,12 @@ def test_hits_are_shown(spark):
     assert got[1]["page_span"] == "n/a" and got[1]["retrieval_mode"] == "text" and got[1]["excerpt"] == ""
 
 
-def test_entry_hides_no_error(monkeypatch):
+def test_entry_takes_what_is_there(monkeypatch):
     import __spark_entry__
 
-    monkeypatch.setattr(__spark_entry__, "_there", lambda module: module != "corpus_pipeline")
+    there = __spark_entry__._there
+    assert there("sparquill.plans.catalogue") and not there("sparquill.nothing") and not there("nothing.at.all")
+    monkeypatch.setattr(__spark_entry__, "_there", lambda module: module != "corpus_pipeline" and there(module))
     assert "pipeline" not in __spark_entry__.queries()
     monkeypatch.setattr(__spark_entry__, "_there", lambda module: False)
     assert not [q for q in __spark_entry__.queries() if q.startswith("op")]
