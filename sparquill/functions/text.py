@@ -41,9 +41,11 @@ def text(x) -> Column:
 
 def fold(x: Column) -> Column:
     """Accents removed (compatibility decomposition without combining marks), Latin letters."""
+    out = x
     for c in "ĲĳǄǅǆǇǈǉǊǋǌ":  # digraphs; other characters of several parts aren't letters
-        x = F.replace(x, F.lit(c), F.lit(_SEVERAL[c]))
-    return F.translate(x, _FROM, _TO)
+        out = F.replace(out, F.lit(c), F.lit(_SEVERAL[c]))
+    # most texts have nothing to fold
+    return F.when(F.octet_length(x) == F.length(x), x).otherwise(F.translate(out, _FROM, _TO))
 
 
 def exact_fold() -> Column:
