@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard_groups, matroska, mixing, packing, pseudonyms, quality, token_counts, token_output
+from . import chat, exact_dedup, jaccard_groups, matroska, merkle, mixing, packing, pseudonyms, quality, token_counts, token_output, vector_codes
 from .common import Workspace, small_batches, table, text_steps
 
 #: The score from which a text stays.
@@ -123,8 +123,20 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(token_output.read_tokens(spark, ws.path("tokens")))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # a decimal, as the largest long has a successor, too
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.manifest(docs, Workspace(spark, "op12"), ["doc_id", "source", "lang", "n_chars", "text"], {"n_chars": more}, changed)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), Workspace(spark, "op13"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality, op3_pseudonyms, op4_jaccard_join, op5_mixing, op6_chat, op7_matroska, op8_exact_dedup, op9_packing, op10_token_output)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality, op3_pseudonyms, op4_jaccard_join, op5_mixing, op6_chat, op7_matroska, op8_exact_dedup, op9_packing, op10_token_output, op12_merkle, op13_vector_codes)}
 
 
 def _share(inner: str, parent: str, path: str, level: str) -> str:
@@ -162,6 +174,56 @@ placed AS (SELECT s.*, full_epochs, budget - full_epochs * tokens AS rest,
 SELECT * FROM (SELECT doc_id, domain, lang, source, n_tokens, CAST(full_epochs + CASE WHEN rest > 0 AND 2 * (rest - before) >= n_tokens THEN 1 ELSE 0 END AS BIGINT) AS copies FROM placed) WHERE copies > 0"""
 
 
+def merkle_sql() -> str:
+    """All levels of all trees by recursion, a row for each node; then each leaf climbs with its siblings."""
+    part = lambda c: f"COALESCE(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda chars: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", chars, "text")) + ")"
+    bit = "list_reduce(list_concat([xor(c, CAST(b AS BIGINT))], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    crc = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, b: {bit}), 4294967295)"
+    above = lambda t, key: f"SELECT {key}h + 1 AS h, p // 2 AS p, (n + 1) // 2 AS n, sha256(string_agg(d, '' ORDER BY p)) AS d FROM {t} WHERE n > 1 GROUP BY {key}h, p // 2, n"
+    return f"""WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, COUNT(*) OVER (PARTITION BY lang) AS total
+  FROM (SELECT doc_id, lang, {leaf('n_chars')} AS leaf, CASE WHEN {crc} % 7 = 0 THEN {leaf('CAST(n_chars AS HUGEINT) + 1')} END AS bad FROM documents) x),
+trees AS (SELECT lang, 0 AS h, place AS p, total AS n, leaf AS d FROM leaves
+  UNION ALL ({above('trees', 'lang, ')})),
+subroots AS MATERIALIZED (SELECT lang, d, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place, COUNT(*) OVER () AS total FROM trees WHERE n = 1),
+tops AS (SELECT 0 AS h, place AS p, total AS n, d FROM subroots UNION ALL ({above('tops', '')})),
+base AS MATERIALIZED (SELECT s.lang, s.d AS subroot, s.place, l.h FROM subroots s JOIN trees l ON l.n = 1 AND s.lang IS NOT DISTINCT FROM l.lang),
+others AS MATERIALIZED (SELECT lang, h, p, n, d FROM trees UNION ALL SELECT b.lang, t.h + b.h, t.p, t.n, t.d FROM tops t, base b),
+climb AS (SELECT v.doc_id, v.lang, v.leaf, b.subroot, v.place AS own, 0 AS h, b.h AS turn, b.place AS next, COALESCE(v.bad, v.leaf) AS d, '' AS proof, v.total AS n, v.place AS p, t.total AS tops
+  FROM leaves v JOIN base b ON v.lang IS NOT DISTINCT FROM b.lang, (SELECT COUNT(*) AS total FROM subroots) t
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.leaf, c.subroot, c.own, c.h + 1, c.turn, c.next,
+    CASE WHEN o.d IS NULL THEN sha256(c.d) WHEN c.p % 2 = 1 THEN sha256(o.d || c.d) ELSE sha256(c.d || o.d) END, c.proof || COALESCE(o.d, ''), (c.n + 1) // 2, c.p // 2, c.tops
+  FROM (SELECT * REPLACE (CASE WHEN h = turn THEN next ELSE p END AS p, CASE WHEN h = turn THEN tops ELSE n END AS n) FROM climb) c
+  LEFT JOIN others o ON o.lang IS NOT DISTINCT FROM c.lang AND o.h = c.h AND o.n = c.n AND o.p = xor(c.p, 1)
+  WHERE c.n > 1),
+root AS (SELECT d FROM tops WHERE n = 1),
+last AS (SELECT *, row_number() OVER (PARTITION BY lang, own ORDER BY h DESC) AS k FROM climb)
+SELECT doc_id, leaf, subroot, root.d AS root, sha256(proof) AS proof_sha256, last.d AS folded_root, last.d = root.d AS verified FROM last, root WHERE k = 1"""
+
+
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every distance of every round, in whole numbers."""
+    out = f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS q, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS k
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS MATERIALIZED (SELECT k, CAST((i - 1) // (n // {parts}) AS INTEGER) AS part, (i - 1) % (n // {parts}) AS pos, v FROM (SELECT k, len(q) AS n, unnest(q) AS v, generate_subscripts(q, 1) AS i FROM kept) x),
+book0 AS MATERIALIZED (SELECT part, CAST(k - 1 AS INTEGER) AS entry, pos, v AS c FROM cells WHERE k <= {entries})"""
+    for r in range(rounds + 1):
+        out += f""",
+near{r} AS MATERIALIZED (SELECT k, part, min(d) AS d, CAST(arg_min(entry, d * {entries} + entry) AS INTEGER) AS entry
+  FROM (SELECT k, part, entry, CAST(SUM((v - c) * (v - c)) AS BIGINT) AS d FROM cells JOIN book{r} USING (part, pos) GROUP BY k, part, entry) x GROUP BY k, part)"""
+        if r < rounds:
+            out += f""",
+book{r + 1} AS MATERIALIZED (SELECT part, entry, pos, CAST(COALESCE(m, c) AS BIGINT) AS c FROM book{r} LEFT JOIN
+  (SELECT part, entry, pos, (SUM(v) - (SUM(v) % COUNT(*) + COUNT(*)) % COUNT(*)) // COUNT(*) AS m FROM cells JOIN near{r} USING (k, part) GROUP BY part, entry, pos) x USING (part, entry, pos))"""
+    return out + f""",
+coded AS (SELECT k, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(SUM(d) AS BIGINT) AS error FROM near{rounds} GROUP BY k)
+SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(c, ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     norm = "regexp_replace(COALESCE(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')"
     escaped = "replace(replace(replace({0}, '\\', '\\\\'), '#', '\\#'), '</turn>', '<\\/turn>')"
@@ -175,6 +237,8 @@ SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(COALESCE(string_agg(text, '' {order}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(SUM(15 + length(replace(replace({escaped.format('role')}, chr(10), '\\n'), ':', '\\c')) + length({escaped.format('text')})) AS BIGINT) AS formatted_chars
 FROM rows_ GROUP BY conv_id""",
+        "op12_merkle": merkle_sql(),
+        "op13_vector_codes": codes_sql(),
         "op8_exact_dedup": f"""WITH d AS (SELECT doc_id, sha256({norm}) AS text_sha256 FROM documents)
 SELECT doc_id, MIN(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, COUNT(*) OVER (PARTITION BY text_sha256) AS group_size,
   doc_id = MIN(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256 FROM d""",
