@@ -18,8 +18,11 @@ Texts become sets of hashed word shingles; equal sets become one class. Then
    part of one component and block, stores the union of its members' first tokens (the
    bound needs no others): a row of the matrix for each token and group. A set joined
    with the matrix counts its tokens in each group of another component and block; only
-   groups that reach the bound are opened, and their members of fitting size are
-   compared whole. Tokens with many rows and groups are dealt over several tasks.
+   groups that reach the bound are opened. Tokens with many rows and groups are dealt
+   over several tasks. What is opened is one row for each pair of groups: of two
+   components the best pairs first, the others only if that doesn't join the two. A
+   task holds one group, the members of those that meet it pass by, whole, and only
+   links leave, so two large families that don't link make no table of their pairs.
 3. Links of all steps give components by repeated hooking to the smallest id.
 
 Nothing is dropped: pairs that step 1 doesn't compare are left to the matrix; order,
@@ -36,7 +39,8 @@ results; extra columns aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +68,10 @@ SCOUTS = 16
 COPIES = 2
 #: Sets of one component in a group of the matrix.
 MATRIX_GROUP = 64
-#: Pairs of two components that are compared before all others.
+#: Pairs of groups of two components that are compared before all others.
 TRY_FIRST = 4
+#: Sets that pass by a group in one task.
+PASSING = 4096
 
 
 def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -359,41 +365,36 @@ def tokens_needed(n: Column, low: Column, high: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), F.least(one, F.when(low == high, two).otherwise(least)))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """The pairs (q, s) that link, by their whole sets."""
-    ids = pairs.select(F.explode(F.array("q", "s")).alias("id"))
-    sets = ws.stage(scan_sets(docs, k, id_filter(ids, "id"), doc_id, text).select("doc_id", "tokens"), f"{name}-sets")
-    side = lambda c: sets.select(F.col("doc_id").alias(f"id_{c}"), F.col("tokens").alias(f"t_{c}"))
-    both = pairs.select("q", "s").join(side("q"), F.col("q") == F.col("id_q")).join(side("s"), F.col("s") == F.col("id_s")).select("q", "s", "t_q", "t_s")
+@dataclass
+class Families:
+    """Classes of equal sets, what links blocks of clusters, and one row for each class.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links = []
-            for x, y in zip(batch.column("t_q"), batch.column("t_s"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), _U) for v in (x, y))
-                o = len(np.intersect1d(x, y, assume_unique=True))
-                links.append(100 * o >= percent * (len(x) + len(y) - o))
-            keep = pa.array(links, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("q").filter(keep), batch.column("s").filter(keep)], names=["a", "b"])
-
-    out = ws.stage(both.mapInArrow(run, "a long, b long"), f"{name}-links")
-    ws.drop(f"{name}-sets")
-    return out
+    ``near`` has doc_id, n, comp, what it was compared with (``MARKS``), blocks and the payload columns of the table.
+    """
 
+    table: DataFrame
+    classes: DataFrame
+    edges: DataFrame
+    near: DataFrame
+    grouped: DataFrame
 
-def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``: 100 * overlap >= percent * union is a link."""
-    small_batches(docs.sparkSession)
-    table = ws.stage(shingle_table(docs, words, percent, doc_id, text), "table")
+
+MARKS = ["k1", "c1", "k2", "c2", "whole"]
+SAME = ["n", "f1", "f2"]
+
+
+def _meets() -> Column:
+    return (F.col("n") == F.col("c_n")) & (F.col("f1") == F.col("c_f1")) & (F.col("f2") == F.col("c_f2"))
+
+
+def families(docs: DataFrame, table: DataFrame, payload: list[str], ws: Workspace, words: int, percent: int, doc_id: str, text: str) -> Families:
+    """Step 1 of the join, over a staged table of doc_id, n, f1, f2, k1, k2 and the payload."""
     some = table.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    same = ["n", "f1", "f2"]
-    classes = ws.stage(some.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
-    cls = classes.select(*(F.col(c).alias(f"c_{c}") for c in same), "rep")
-    meets = (F.col("n") == F.col("c_n")) & (F.col("f1") == F.col("c_f1")) & (F.col("f2") == F.col("c_f2"))
-    member = ws.stage(some.select("doc_id", *same).join(cls, meets).select("doc_id", "rep").distinct(), "member")
-    reps = ws.stage(some.join(cls, meets & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", *same]).select("doc_id", "n", "k1", "k2", "keys"), "reps")
-
-    # 1. groups
+    classes = ws.stage(some.groupBy(*SAME).agg(F.min("doc_id").alias("rep")), "classes")
+    cls = classes.select(*(F.col(c).alias(f"c_{c}") for c in SAME), "rep")
+    member = ws.stage(some.select("doc_id", *SAME).join(cls, _meets()).select("doc_id", "rep").distinct(), "member")
+    reps = ws.stage(some.join(cls, _meets() & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", *SAME]).select("doc_id", "n", "k1", "k2", *payload), "reps")
+
     first, second = (ws.stage(clusters_of(reps, k, least), f"clusters_{k}") for k, least in (("k1", 2), ("k2", LARGE)))
     grouped, all1 = cluster_links(docs, reps, first, "k1", words, percent, ws, doc_id, text)
     all2 = None
@@ -407,7 +408,6 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     edges = edges.unionByName(member.join(twice, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     roots = components(edges, ws, "cc1")
 
-    # 2. matrix
     # c1 and c2 name the blocks of a set; k1 and k2 its clusters of several blocks; whole says with which of these (bits) it was compared
     near = reps.join(first.select(F.col("k1").alias("_k1"), F.col("blocks").alias("_b1")), F.col("k1") == F.col("_k1"), "left").join(second.select(F.col("k2").alias("_k2"), F.col("blocks").alias("_b2")), F.col("k2") == F.col("_k2"), "left")
     near = near.join(roots, F.col("doc_id") == F.col("node"), "left").withColumn("whole", F.lit(0))
@@ -415,72 +415,193 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
         if some is not None:
             near = near.join(some.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left").withColumn("whole", F.col("whole") + F.when(F.col("_id").isNotNull(), bit).otherwise(0)).drop("_id")
     b1 = F.coalesce("_b1", F.lit(1))
-    near = near.select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), F.when(F.col("_b1") > 1, F.col("k1")).alias("k1"), F.xxhash64("k1", block_of(b1)).alias("c1"), F.when(F.col("_b2") > 1, F.col("k2")).alias("k2"), F.when(F.col("_k2").isNotNull(), F.xxhash64("k2", block_of(F.col("_b2")))).alias("c2"), "whole", b1.alias("blocks"), "keys")
-    near = ws.stage(near, "near")
-
-    marks = ["k1", "c1", "k2", "c2", "whole"]
+    near = near.select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), F.when(F.col("_b1") > 1, F.col("k1")).alias("k1"), F.xxhash64("k1", block_of(b1)).alias("c1"), F.when(F.col("_b2") > 1, F.col("k2")).alias("k2"), F.when(F.col("_k2").isNotNull(), F.xxhash64("k2", block_of(F.col("_b2")))).alias("c2"), "whole", b1.alias("blocks"), *payload)
+    return Families(table, cls, edges, ws.stage(near, "near"), grouped)
 
-    def shared(rows: DataFrame, name: str) -> DataFrame:
-        tokens = rows.select("comp", F.explode("keys").alias("token"))
-        return ws.stage(tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo != hi").select("token", "rows"), name)
 
-    live = shared(near, "live1")
-    often = live.where(F.col("rows") > FREQUENT).unionByName(grouped.where("token IS NOT NULL").select("token", F.lit(1 << 40).alias("rows")))
-    often = often.groupBy("token").agg(F.max("rows").alias("rows")).orderBy(F.desc("rows"), "token").limit(FREQUENT_MOST)
-    frequent = np.array([r.token for r in often.select("token").collect()], np.int64).view(_U)
-    if len(frequent):
-        changed = reordered(docs, words, percent, frequent, doc_id, text)
-        changed = changed.select(F.col("doc_id").alias("id"), F.col("n").alias("m"), F.col("keys").alias("new")).dropDuplicates(["id", "m"])
-        near = ws.stage(near.join(changed, (F.col("doc_id") == F.col("id")) & (F.col("n") == F.col("m")), "left").select("doc_id", "n", "comp", *marks, "blocks", F.coalesce("new", "keys").alias("keys")), "near2")
-        live = shared(near, "live2")
+def in_groups(near: DataFrame) -> DataFrame:
+    """``near`` with ``gid``: a group is a part of one component and lies in one block of its cluster."""
     sizes = near.groupBy("comp").agg(F.count("*").alias("members")).select(F.col("comp").alias("c"), "members")
-    # a group lies in one block of its cluster: the number of parts is a multiple of that of blocks
+    # the number of parts is a multiple of that of blocks
     parts = F.ceil(F.col("members") / (MATRIX_GROUP * F.col("blocks"))) * F.col("blocks")
-    near = near.join(sizes, F.col("comp") == F.col("c")).withColumn("part", block_of(parts).cast("int"))
+    near = near.join(sizes, F.col("comp") == F.col("c")).withColumn("part", block_of(parts).cast("int")).drop("c", "members")
     # a group by its hash: if two had one, both would be opened together
-    near = near.withColumn("gid", F.xxhash64("comp", "part", *marks))
-    rows = near.select("doc_id", "n", "comp", "gid", *marks, F.explode("keys").alias("token")).join(live.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
-    rows = ws.stage(rows, "rows")
-    matrix = rows.groupBy(F.col("token").alias("g_token"), "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), *(F.first(c).alias(f"g_{c}") for c in ("comp", *marks)))
+    return near.withColumn("gid", F.xxhash64("comp", "part", *MARKS))
+
+
+def shared_tokens(near: DataFrame, column: str, ws: Workspace, name: str) -> DataFrame:
+    """token, rows: tokens that sets of several components have."""
+    tokens = near.select("comp", F.explode(column).alias("token"))
+    return ws.stage(tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo != hi").select("token", "rows"), name)
+
+
+def meeting(rows: DataFrame, percent: int, ws: Workspace) -> DataFrame:
+    """Rows (doc_id, n, comp, gid, marks, token) beside each group with their token that is of another component, wasn't compared with them and may fit by size.
+
+    The row's group is ``own``, the other ``gid`` with ``low`` and ``high``, the sizes of its members with the token.
+    """
+    matrix = rows.groupBy(F.col("token").alias("g_token"), "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), *(F.first(c).alias(f"g_{c}") for c in ("comp", *MARKS)))
     matrix = ws.stage(matrix, "matrix")
-    rows = rows.drop("gid")
+    rows = rows.withColumnRenamed("gid", "own")
     # a token with many rows and groups is dealt over tasks: its groups go to all of them, each row to one
     many = rows.groupBy(F.col("token").alias("h_token")).agg(F.count("*").alias("r")).where(F.col("r") > FREQUENT)
     many = many.join(matrix.groupBy(F.col("g_token").alias("h_g")).agg(F.count("*").alias("g")), F.col("h_token") == F.col("h_g")).where(F.col("r") * F.col("g") > TOKEN_PAIRS)
     hot = ws.stage(many.select("h_token", F.least(F.col("r"), F.ceil(F.col("r") * F.col("g") / TOKEN_PAIRS)).cast("int").alias("salts")), "hot")
     salted = rows.join(hot, F.col("token") == F.col("h_token"), "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")).drop("h_token", "salts")
     spread = matrix.join(hot, F.col("g_token") == F.col("h_token"), "left").withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("h_token", "salts")
-    n, low, high = F.col("n"), F.greatest("n", "low"), F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
     in_block = lambda i: F.coalesce(F.col(f"c{i}") == F.col(f"g_c{i}"), F.lit(False))
     in_cluster = lambda i: F.coalesce((F.col(f"k{i}") == F.col(f"g_k{i}")) & (F.col("whole").bitwiseOR(F.col("g_whole")).bitwiseAND(i) != 0), F.lit(False))
     compared = in_block(1) | in_block(2) | in_cluster(1) | in_cluster(2)
-    met = salted.join(spread, (F.col("token") == F.col("g_token")) & (F.col("salt") == F.col("g_salt")) & (F.col("comp") != F.col("g_comp")) & ~compared & (high >= n) & (F.col("low") * percent <= n * 100))
-    open_groups = met.groupBy("doc_id", "n", "comp", "gid").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
-    open_groups = open_groups.where(F.col("c") >= tokens_needed(n, low, high, percent))
-    inner = near.select(F.col("doc_id").alias("s"), F.col("n").alias("n_s"), F.col("comp").alias("g_comp"), F.col("gid").alias("m_gid"))
-    fits = (F.col("n_s") * percent <= F.col("n") * 100) & ((F.col("n_s") > F.col("n")) | ((F.col("n_s") == F.col("n")) & (F.col("s") > F.col("doc_id"))))
-    pairs = open_groups.join(inner, (F.col("gid") == F.col("m_gid")) & (F.col("comp") != F.col("g_comp")) & fits)
-    pairs = ws.stage(pairs.select(F.col("doc_id").alias("q"), "s", F.least("comp", "g_comp").alias("ca"), F.greatest("comp", "g_comp").alias("cb"), "c"), "pairs")
-    best = Window.partitionBy("ca", "cb").orderBy(F.desc("c"), "q", "s")
-    tried = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= TRY_FIRST)
-    tried = ws.stage(tried.select("q", "s"), "tried")
-    links = edges.unionByName(_verified(tried, docs, ws, "v1", words, percent, doc_id, text))
+    largest = F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
+    return salted.join(spread, (F.col("token") == F.col("g_token")) & (F.col("salt") == F.col("g_salt")) & (F.col("comp") != F.col("g_comp")) & ~compared & (largest >= F.col("n")) & (F.col("low") * percent <= F.col("n") * 100))
+
+
+def pairs_of_groups(met: DataFrame) -> DataFrame:
+    """ga, gb, ca, cb, c from rows of own, gid, comp, g_comp, c: a row for each pair of groups, whatever the number of their members."""
+    swap = F.col("own") > F.col("gid")
+    side = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    rows = met.select(side("own", "gid").alias("ga"), side("gid", "own").alias("gb"), side("comp", "g_comp").alias("ca"), side("g_comp", "comp").alias("cb"), "c")
+    return rows.groupBy("ga", "gb").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.max("c").alias("c"))
+
+
+def opened(pairs: DataFrame, members: DataFrame, sets: DataFrame, enough: Callable, ws: Workspace, name: str, confirm: bool) -> DataFrame:
+    """Compare the members of pairs of groups (ga, gb) whole.
+
+    ``members`` has gid, doc_id, comp; ``sets`` doc_id, tokens; ``enough(o, n, m)`` says
+    whether sets of n and m with o tokens in common link. The larger group is held by a
+    task, the members of all groups that meet it pass by, dealt over tasks where they are
+    many. With ``confirm`` links (a, b) leave, one for each component and held group; else
+    pairs (ga, gb, c) that have such members, c the most tokens in common.
+    """
+    size = members.groupBy("gid").agg(F.count("*").alias("m"))
+    of = lambda c: size.select(F.col("gid").alias(f"s_{c}"), F.col("m").alias(f"m_{c}"))
+    both = pairs.select("ga", "gb").join(of("ga"), F.col("ga") == F.col("s_ga")).join(of("gb"), F.col("gb") == F.col("s_gb"))
+    swap = F.col("m_ga") > F.col("m_gb")
+    both = ws.stage(both.select(F.when(swap, F.col("gb")).otherwise(F.col("ga")).alias("passes"), F.when(swap, F.col("ga")).otherwise(F.col("gb")).alias("held"), F.least("m_ga", "m_gb").alias("m")), f"{name}-ways")
+    load = ws.stage(both.groupBy(F.col("held").alias("l_held")).agg(F.ceil(F.sum("m") / PASSING).cast("int").alias("salts")), f"{name}-load")
+    dealt = both.join(load, F.col("held") == F.col("l_held")).select("passes", "held", F.pmod(F.xxhash64("passes"), F.col("salts").cast("long")).cast("int").alias("salt"))
+    passing = dealt.join(members, F.col("passes") == F.col("gid")).select("held", "salt", F.col("passes"), "doc_id", "comp")
+    holding = load.select(F.col("l_held").alias("held"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(members, F.col("held") == F.col("gid")).select("held", "salt", F.lit(None).cast("long").alias("passes"), "doc_id", "comp")
+    rows = passing.unionByName(holding).join(sets.select(F.col("doc_id").alias("t_id"), "tokens"), F.col("doc_id") == F.col("t_id")).drop("t_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, index, ids, sets, joined = None, None, [], [], set()
+        for batch in batches:
+            keys = list(zip(batch.column("held").to_pylist(), batch.column("salt").to_pylist(), strict=True))
+            passes, own, comps, blobs = (batch.column(c) for c in ("passes", "doc_id", "comp", "tokens"))
+            passes, own, comps = passes.to_pylist(), own.to_pylist(), comps.to_pylist()
+            out = []
+            for i in range(len(batch)):
+                if keys[i] != key:
+                    key, index, ids, sets, joined = keys[i], None, [], [], set()
+                x = np.frombuffer(blobs[i].as_buffer(), _U)
+                if passes[i] is None:
+                    ids.append(own[i])
+                    sets.append(x.copy())
+                    continue
+                if not sets or confirm and comps[i] in joined:
+                    continue
+                if index is None:
+                    index = Overlap(sets)
+                o = index.of(x)
+                fit = enough(o, len(x), index.size)
+                if fit.any():
+                    if confirm:
+                        joined.add(comps[i])
+                        out.append((own[i], ids[int(fit.argmax())], 0))
+                    else:
+                        out.append((min(passes[i], key[0]), max(passes[i], key[0]), int(o[fit].max())))
+            if out:
+                a, b, c = (pa.array(v, pa.int64()) for v in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([a, b, c], names=["a", "b", "c"])
+
+    # members of the held group first
+    rows = rows.repartition("held", "salt").sortWithinPartitions("held", "salt", F.col("passes").asc_nulls_first(), "doc_id").mapInArrow(run, "a long, b long, c long")
+    if confirm:
+        out = ws.stage(rows.select("a", "b"), f"{name}-links")
+    else:
+        out = ws.stage(rows.groupBy(F.col("a").alias("ga"), F.col("b").alias("gb")).agg(F.max("c").alias("c")), f"{name}-kept")
+    ws.drop(f"{name}-ways", f"{name}-load")
+    return out
+
+
+class Overlap:
+    """Tokens that a set shares with each of some sets, by the sets' joint vocabulary."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.words, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(self.words), np.int64)
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.words, s), len(self.words) - 1)
+        place = place[self.words[place] == s]
+        self.mark[place] = 1
+        o = np.add.reduceat(self.mark[self.flat], self.at)
+        self.mark[place] = 0
+        return o
+
+
+def settled(pairs: DataFrame, near: DataFrame, edges: DataFrame, docs: DataFrame, ws: Workspace, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """node, root of all links: the best pairs of groups of each two components first, then those whose components are still apart."""
+    pairs = ws.stage(pairs, "pairs")
+    near = near.select("gid", "doc_id", "comp")
+    similar = lambda o, n, m: 100 * o >= percent * (n + m - o)
+
+    def confirmed(some: DataFrame, name: str) -> DataFrame:
+        gids = some.select(F.explode(F.array("ga", "gb")).alias("g")).distinct()
+        members = ws.stage(near.join(gids, F.col("gid") == F.col("g"), "left_semi"), f"{name}-members")
+        sets = ws.stage(scan_sets(docs, words, id_filter(members, "doc_id"), doc_id, text).select("doc_id", "tokens"), f"{name}-sets")
+        out = opened(some, members, sets, similar, ws, name, True)
+        ws.drop(f"{name}-members", f"{name}-sets")
+        return out
+
+    best = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("c"), "ga", "gb")
+    tried = ws.stage(pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= TRY_FIRST).select("ga", "gb"), "tried")
+    links = edges.unionByName(confirmed(tried, "v1"))
     roots = components(links, ws, "cc2")
     root = lambda c: roots.select(F.col("node").alias(f"n_{c}"), F.col("root").alias(f"r_{c}"))
-    rest = pairs.join(root("q"), F.col("q") == F.col("n_q"), "left").join(root("s"), F.col("s") == F.col("n_s"), "left")
-    rest = rest.where(F.coalesce("r_q", "q") != F.coalesce("r_s", "s")).select("q", "s").join(tried, ["q", "s"], "left_anti")
+    rest = pairs.join(root("ca"), F.col("ca") == F.col("n_ca"), "left").join(root("cb"), F.col("cb") == F.col("n_cb"), "left")
+    rest = rest.where(F.coalesce("r_ca", "ca") != F.coalesce("r_cb", "cb")).select("ga", "gb").join(tried, ["ga", "gb"], "left_anti")
     rest = ws.stage(rest, "rest")
     if rest.head(1):
-        links = links.unionByName(_verified(rest, docs, ws, "v2", words, percent, doc_id, text))
-        roots = components(links, ws, "cc3")
-    ws.drop("near", "near2", "rows", "matrix", "hot", "live1", "live2", "reps")
+        roots = components(links.unionByName(confirmed(rest, "v2")), ws, "cc3")
+    return roots
 
-    # 3. every row
-    full = table.select("doc_id", "n", "f1", "f2").join(cls, meets, "left")
+
+def every_row(found: Families, roots: DataFrame) -> DataFrame:
+    full = found.table.select("doc_id", *SAME).join(found.classes, _meets(), "left")
     full = full.join(roots, F.col("rep") == F.col("node"), "left")
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
 
 
+def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs``: 100 * overlap >= percent * union is a link."""
+    small_batches(docs.sparkSession)
+    table = ws.stage(shingle_table(docs, words, percent, doc_id, text), "table")
+    found = families(docs, table, ["keys"], ws, words, percent, doc_id, text)
+    near = found.near
+    live = shared_tokens(near, "keys", ws, "live1")
+    often = live.where(F.col("rows") > FREQUENT).unionByName(found.grouped.where("token IS NOT NULL").select("token", F.lit(1 << 40).alias("rows")))
+    often = often.groupBy("token").agg(F.max("rows").alias("rows")).orderBy(F.desc("rows"), "token").limit(FREQUENT_MOST)
+    frequent = np.array([r.token for r in often.select("token").collect()], np.int64).view(_U)
+    if len(frequent):
+        changed = reordered(docs, words, percent, frequent, doc_id, text)
+        changed = changed.select(F.col("doc_id").alias("id"), F.col("n").alias("m"), F.col("keys").alias("new")).dropDuplicates(["id", "m"])
+        near = ws.stage(near.join(changed, (F.col("doc_id") == F.col("id")) & (F.col("n") == F.col("m")), "left").select("doc_id", "n", "comp", *MARKS, "blocks", F.coalesce("new", "keys").alias("keys")), "near2")
+        live = shared_tokens(near, "keys", ws, "live2")
+    near = in_groups(near)
+    rows = near.select("doc_id", "n", "comp", "gid", *MARKS, F.explode("keys").alias("token")).join(live.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
+    met = meeting(ws.stage(rows, "rows"), percent, ws)
+    met = met.groupBy("doc_id", "n", "comp", "own", "gid", "g_comp").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+    n, low, high = F.col("n"), F.greatest("n", "low"), F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
+    met = met.where(F.col("c") >= tokens_needed(n, low, high, percent))
+    roots = settled(pairs_of_groups(met), near, found.edges, docs, ws, words, percent, doc_id, text)
+    ws.drop("near", "near2", "rows", "matrix", "hot", "live1", "live2", "reps")
+    return every_row(found, roots)
+
+
 def reordered(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, doc_id: str, text: str) -> DataFrame:
     """New first tokens of texts whose first tokens hold frequent ones: doc_id, n, keys."""
     sent = docs.sparkSession.sparkContext.broadcast(Frequent(frequent))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard_groups, matroska, merkle, mixing, packing, pseudonyms, quality, token_counts, token_output, vector_codes
+from . import chat, coordinate_join, exact_dedup, jaccard_groups, matroska, merkle, mixing, packing, pseudonyms, quality, token_counts, token_output, vector_codes
 from .common import Workspace, small_batches, table, text_steps
 
 #: The score from which a text stays.
@@ -123,6 +123,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(token_output.read_tokens(spark, ws.path("tokens")))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coordinate_join.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op11"), words=5, percent=85)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # a decimal, as the largest long has a successor, too
@@ -136,7 +140,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality, op3_pseudonyms, op4_jaccard_join, op5_mixing, op6_chat, op7_matroska, op8_exact_dedup, op9_packing, op10_token_output, op12_merkle, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality, op3_pseudonyms, op4_jaccard_join, op5_mixing, op6_chat, op7_matroska, op8_exact_dedup, op9_packing, op10_token_output, op11_minhash, op12_merkle, op13_vector_codes)}
 
 
 def _share(inner: str, parent: str, path: str, level: str) -> str:
