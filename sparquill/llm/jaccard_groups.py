@@ -39,6 +39,7 @@ results; extra columns aren't read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -132,8 +133,17 @@ def first_tokens(s: np.ndarray, percent: int, frequent: Frequent | None = None)
     return np.concatenate([s[~last][: d + 1], s[last]])[: d + 1]
 
 
-def _second(s: np.ndarray) -> int:
-    return int(mix(s ^ _U(0xA5A5F00DCAFE1234)).min().view(np.int64))
+#: What a set is mixed with before its smallest hash is taken, for each cluster key after the first.
+_SALTS = (0xA5A5F00DCAFE1234, 0x3C6EF372FE94F82B, 0x510E527FADE682D1)
+
+
+def cluster_key(s: np.ndarray, i: int) -> int:
+    """The smallest hash of a set, for i = 1 and more under another hash."""
+    return int((mix(s ^ _U(_SALTS[i - 1])).min() if i else s[0]).view(np.int64))
+
+
+def cluster_keys(sets: list[np.ndarray], keys: int) -> list[pa.Array]:
+    return [pa.array([cluster_key(s, i) if len(s) else None for s in sets], pa.int64()) for i in range(keys)]
 
 
 def _i64(x: np.ndarray) -> np.ndarray:
@@ -152,11 +162,9 @@ def shingle_table(docs: DataFrame, k: int, percent: int, doc_id: str, text: str)
                 np.cumsum([len(x) for x in keys], out=at[1:])
                 f1 = np.array([s.sum(dtype=_U) for s in sets], _U)
                 f2 = np.array([mix(s + _U(77)).sum(dtype=_U) for s in sets], _U)
-                k1 = pa.array([int(s[0].view(np.int64)) if len(s) else None for s in sets], pa.int64())
-                k2 = pa.array([_second(s) if len(s) else None for s in sets], pa.int64())
                 n = pa.array([len(s) for s in sets], pa.int64())
                 flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array(_i64(f1)), pa.array(_i64(f2)), k1, k2, pa.ListArray.from_arrays(pa.array(at), flat)], names=["doc_id", "n", "f1", "f2", "k1", "k2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array(_i64(f1)), pa.array(_i64(f2)), *cluster_keys(sets, 2), pa.ListArray.from_arrays(pa.array(at), flat)], names=["doc_id", "n", "f1", "f2", "k1", "k2", "keys"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, k1 long, k2 long, keys array<long>")
@@ -185,8 +193,8 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def scan_sets(docs: DataFrame, k: int, keep: np.ndarray, doc_id: str, text: str) -> DataFrame:
-    """Whole sets of (at least) the texts whose ids are in a filter: doc_id, k1, k2, n, tokens (binary)."""
+def scan_sets(docs: DataFrame, k: int, keep: np.ndarray, doc_id: str, text: str, key: int = 0) -> DataFrame:
+    """Whole sets of (at least) the texts whose ids are in a filter: doc_id, key (the cluster key of that number), tokens (binary)."""
     sent = docs.sparkSession.sparkContext.broadcast(keep)
     bits = len(keep) * 8
 
@@ -202,13 +210,13 @@ def scan_sets(docs: DataFrame, k: int, keep: np.ndarray, doc_id: str, text: str)
                 sets = [s for s in sets if len(s)]
                 if sets:
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").filter(pa.array(full)), pa.array([int(s[0].view(np.int64)) for s in sets], pa.int64()), pa.array([_second(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                        names=["doc_id", "k1", "k2", "n", "tokens"],
+                        [part.column("doc_id").filter(pa.array(full)), pa.array([cluster_key(s, key) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                        names=["doc_id", "set_key", "tokens"],
                     )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
     rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, tokens binary")
+    return rows.mapInArrow(run, "doc_id long, set_key long, tokens binary")
 
 
 def group_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -271,8 +279,9 @@ def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, key: st
     """
     c = clusters.withColumnRenamed(key, "_key")
     own = reps.select("doc_id", F.col(key).alias("key")).join(c, F.col("key") == F.col("_key")).select("doc_id", "key", "blocks")
-    sets = scan_sets(docs, k, id_filter(own, "doc_id"), doc_id, text).join(c, F.col(key) == F.col("_key"))
-    out = ws.stage(linked(sets.select(F.col(key).alias("key"), block_of(F.col("blocks")).alias("pair"), "doc_id", "tokens"), percent), f"{key}-blocks")
+    number = int(key[1:]) - 1
+    sets = scan_sets(docs, k, id_filter(own, "doc_id"), doc_id, text, number).join(c, F.col("set_key") == F.col("_key"))
+    out = ws.stage(linked(sets.select(F.col("set_key").alias("key"), block_of(F.col("blocks")).alias("pair"), "doc_id", "tokens"), percent), f"{key}-blocks")
     if not clusters.where("blocks > 1").head(1):
         return out, None
     links = out.where("a IS NOT NULL").select("a", F.col("b").alias("root"))
@@ -289,8 +298,8 @@ def cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, key: st
         return out, None
     places = F.when(F.col("moves"), F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).otherwise(F.array("block"))
     at = chosen.select(F.col("doc_id").alias("id"), "key", F.explode(places).alias("pair"))
-    sets = scan_sets(docs, k, id_filter(chosen, "doc_id"), doc_id, text)
-    met = sets.join(at, (F.col("doc_id") == F.col("id")) & (F.col(key) == F.col("key"))).select("key", "pair", "doc_id", "tokens")
+    sets = scan_sets(docs, k, id_filter(chosen, "doc_id"), doc_id, text, number)
+    met = sets.join(at, (F.col("doc_id") == F.col("id")) & (F.col("set_key") == F.col("key"))).select("key", "pair", "doc_id", "tokens")
     return out.unionByName(ws.stage(linked(met, percent), f"{key}-across")), chosen.where("moves").select("doc_id").distinct()
 
 
@@ -369,7 +378,7 @@ def tokens_needed(n: Column, low: Column, high: Column, percent: int) -> Column:
 class Families:
     """Classes of equal sets, what links blocks of clusters, and one row for each class.
 
-    ``near`` has doc_id, n, comp, what it was compared with (``MARKS``), blocks and the payload columns of the table.
+    ``near`` has doc_id, n, comp, what it was compared with (``marks``), blocks and the payload columns of the table.
     """
 
     table: DataFrame
@@ -377,9 +386,9 @@ class Families:
     edges: DataFrame
     near: DataFrame
     grouped: DataFrame
+    marks: list[str]
 
 
-MARKS = ["k1", "c1", "k2", "c2", "whole"]
 SAME = ["n", "f1", "f2"]
 
 
@@ -387,20 +396,21 @@ def _meets() -> Column:
     return (F.col("n") == F.col("c_n")) & (F.col("f1") == F.col("c_f1")) & (F.col("f2") == F.col("c_f2"))
 
 
-def families(docs: DataFrame, table: DataFrame, payload: list[str], ws: Workspace, words: int, percent: int, doc_id: str, text: str) -> Families:
-    """Step 1 of the join, over a staged table of doc_id, n, f1, f2, k1, k2 and the payload."""
+def families(docs: DataFrame, table: DataFrame, payload: list[str], keys: int, ws: Workspace, words: int, percent: int, doc_id: str, text: str) -> Families:
+    """Step 1 of the join, over a staged table of doc_id, n, f1, f2, cluster keys (k1, k2, ...) and the payload."""
+    names = [f"k{i + 1}" for i in range(keys)]
     some = table.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = ws.stage(some.groupBy(*SAME).agg(F.min("doc_id").alias("rep")), "classes")
     cls = classes.select(*(F.col(c).alias(f"c_{c}") for c in SAME), "rep")
     member = ws.stage(some.select("doc_id", *SAME).join(cls, _meets()).select("doc_id", "rep").distinct(), "member")
-    reps = ws.stage(some.join(cls, _meets() & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", *SAME]).select("doc_id", "n", "k1", "k2", *payload), "reps")
-
-    first, second = (ws.stage(clusters_of(reps, k, least), f"clusters_{k}") for k, least in (("k1", 2), ("k2", LARGE)))
-    grouped, all1 = cluster_links(docs, reps, first, "k1", words, percent, ws, doc_id, text)
-    all2 = None
-    if second.head(1):
-        more, all2 = cluster_links(docs, reps, second, "k2", words, percent, ws, doc_id, text)
-        grouped = grouped.unionByName(more)
+    reps = ws.stage(some.join(cls, _meets() & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", *SAME]).select("doc_id", "n", *names, *payload), "reps")
+
+    clusters, grouped, all_of = {}, None, {}
+    for k in names:
+        clusters[k] = ws.stage(clusters_of(reps, k, LARGE if grouped else 2), f"clusters_{k}")
+        if grouped is None or clusters[k].head(1):
+            more, all_of[k] = cluster_links(docs, reps, clusters[k], k, words, percent, ws, doc_id, text)
+            grouped = grouped.unionByName(more) if grouped else more
     rep_of = lambda e: e.join(member.select(F.col("doc_id").alias("da"), F.col("rep").alias("ra")), F.col("a") == F.col("da")).join(member.select(F.col("doc_id").alias("db"), F.col("rep").alias("rb")), F.col("b") == F.col("db")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     edges = ws.stage(rep_of(grouped.where("a IS NOT NULL").select("a", "b")), "edges1")
     # rows with one id in several classes are one node
@@ -408,25 +418,26 @@ def families(docs: DataFrame, table: DataFrame, payload: list[str], ws: Workspac
     edges = edges.unionByName(member.join(twice, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     roots = components(edges, ws, "cc1")
 
-    # c1 and c2 name the blocks of a set; k1 and k2 its clusters of several blocks; whole says with which of these (bits) it was compared
-    near = reps.join(first.select(F.col("k1").alias("_k1"), F.col("blocks").alias("_b1")), F.col("k1") == F.col("_k1"), "left").join(second.select(F.col("k2").alias("_k2"), F.col("blocks").alias("_b2")), F.col("k2") == F.col("_k2"), "left")
-    near = near.join(roots, F.col("doc_id") == F.col("node"), "left").withColumn("whole", F.lit(0))
-    for bit, some in ((1, all1), (2, all2)):
-        if some is not None:
-            near = near.join(some.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left").withColumn("whole", F.col("whole") + F.when(F.col("_id").isNotNull(), bit).otherwise(0)).drop("_id")
-    b1 = F.coalesce("_b1", F.lit(1))
-    near = near.select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), F.when(F.col("_b1") > 1, F.col("k1")).alias("k1"), F.xxhash64("k1", block_of(b1)).alias("c1"), F.when(F.col("_b2") > 1, F.col("k2")).alias("k2"), F.when(F.col("_k2").isNotNull(), F.xxhash64("k2", block_of(F.col("_b2")))).alias("c2"), "whole", b1.alias("blocks"), *payload)
-    return Families(table, cls, edges, ws.stage(near, "near"), grouped)
+    # c1, c2, ... name the blocks of a set; k1, k2, ... its clusters of several blocks; whole says with which of these (bits) it was compared
+    near = reps.join(roots, F.col("doc_id") == F.col("node"), "left").withColumn("whole", F.lit(0))
+    marks = []
+    for bit, k in enumerate(names):
+        near = near.join(clusters[k].select(F.col(k).alias(f"_{k}"), F.col("blocks").alias(f"_b{k}")), F.col(k) == F.col(f"_{k}"), "left")
+        if all_of.get(k) is not None:
+            near = near.join(all_of[k].select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left").withColumn("whole", F.col("whole") + F.when(F.col("_id").isNotNull(), 1 << bit).otherwise(0)).drop("_id")
+        marks += [F.when(F.col(f"_b{k}") > 1, F.col(k)).alias(k), F.when(F.col(f"_{k}").isNotNull(), F.xxhash64(k, block_of(F.col(f"_b{k}")))).alias(f"c{k[1:]}")]
+    near = near.select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), *marks, "whole", F.coalesce("_bk1", F.lit(1)).alias("blocks"), *payload)
+    return Families(table, cls, edges, ws.stage(near, "near"), grouped, [*(c for k in names for c in (k, f"c{k[1:]}")), "whole"])
 
 
-def in_groups(near: DataFrame) -> DataFrame:
+def in_groups(near: DataFrame, marks: list[str]) -> DataFrame:
     """``near`` with ``gid``: a group is a part of one component and lies in one block of its cluster."""
     sizes = near.groupBy("comp").agg(F.count("*").alias("members")).select(F.col("comp").alias("c"), "members")
     # the number of parts is a multiple of that of blocks
     parts = F.ceil(F.col("members") / (MATRIX_GROUP * F.col("blocks"))) * F.col("blocks")
     near = near.join(sizes, F.col("comp") == F.col("c")).withColumn("part", block_of(parts).cast("int")).drop("c", "members")
     # a group by its hash: if two had one, both would be opened together
-    return near.withColumn("gid", F.xxhash64("comp", "part", *MARKS))
+    return near.withColumn("gid", F.xxhash64("comp", "part", *marks))
 
 
 def shared_tokens(near: DataFrame, column: str, ws: Workspace, name: str) -> DataFrame:
@@ -435,12 +446,12 @@ def shared_tokens(near: DataFrame, column: str, ws: Workspace, name: str) -> Dat
     return ws.stage(tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo != hi").select("token", "rows"), name)
 
 
-def meeting(rows: DataFrame, percent: int, ws: Workspace) -> DataFrame:
+def meeting(rows: DataFrame, marks: list[str], percent: int, ws: Workspace) -> DataFrame:
     """Rows (doc_id, n, comp, gid, marks, token) beside each group with their token that is of another component, wasn't compared with them and may fit by size.
 
     The row's group is ``own``, the other ``gid`` with ``low`` and ``high``, the sizes of its members with the token.
     """
-    matrix = rows.groupBy(F.col("token").alias("g_token"), "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), *(F.first(c).alias(f"g_{c}") for c in ("comp", *MARKS)))
+    matrix = rows.groupBy(F.col("token").alias("g_token"), "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), *(F.first(c).alias(f"g_{c}") for c in ("comp", *marks)))
     matrix = ws.stage(matrix, "matrix")
     rows = rows.withColumnRenamed("gid", "own")
     # a token with many rows and groups is dealt over tasks: its groups go to all of them, each row to one
@@ -450,8 +461,8 @@ def meeting(rows: DataFrame, percent: int, ws: Workspace) -> DataFrame:
     salted = rows.join(hot, F.col("token") == F.col("h_token"), "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")).drop("h_token", "salts")
     spread = matrix.join(hot, F.col("g_token") == F.col("h_token"), "left").withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("h_token", "salts")
     in_block = lambda i: F.coalesce(F.col(f"c{i}") == F.col(f"g_c{i}"), F.lit(False))
-    in_cluster = lambda i: F.coalesce((F.col(f"k{i}") == F.col(f"g_k{i}")) & (F.col("whole").bitwiseOR(F.col("g_whole")).bitwiseAND(i) != 0), F.lit(False))
-    compared = in_block(1) | in_block(2) | in_cluster(1) | in_cluster(2)
+    in_cluster = lambda i: F.coalesce((F.col(f"k{i}") == F.col(f"g_k{i}")) & (F.col("whole").bitwiseOR(F.col("g_whole")).bitwiseAND(1 << (i - 1)) != 0), F.lit(False))
+    compared = functools.reduce(Column.__or__, (f(i + 1) for i in range(len(marks) // 2) for f in (in_block, in_cluster)))
     largest = F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
     return salted.join(spread, (F.col("token") == F.col("g_token")) & (F.col("salt") == F.col("g_salt")) & (F.col("comp") != F.col("g_comp")) & ~compared & (largest >= F.col("n")) & (F.col("low") * percent <= F.col("n") * 100))
 
@@ -580,7 +591,7 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     """doc_id, n_shingles, component_id for each row of ``docs``: 100 * overlap >= percent * union is a link."""
     small_batches(docs.sparkSession)
     table = ws.stage(shingle_table(docs, words, percent, doc_id, text), "table")
-    found = families(docs, table, ["keys"], ws, words, percent, doc_id, text)
+    found = families(docs, table, ["keys"], 2, ws, words, percent, doc_id, text)
     near = found.near
     live = shared_tokens(near, "keys", ws, "live1")
     often = live.where(F.col("rows") > FREQUENT).unionByName(found.grouped.where("token IS NOT NULL").select("token", F.lit(1 << 40).alias("rows")))
@@ -589,11 +600,11 @@ def similar_components(docs: DataFrame, ws: Workspace, words: int = 5, percent:
     if len(frequent):
         changed = reordered(docs, words, percent, frequent, doc_id, text)
         changed = changed.select(F.col("doc_id").alias("id"), F.col("n").alias("m"), F.col("keys").alias("new")).dropDuplicates(["id", "m"])
-        near = ws.stage(near.join(changed, (F.col("doc_id") == F.col("id")) & (F.col("n") == F.col("m")), "left").select("doc_id", "n", "comp", *MARKS, "blocks", F.coalesce("new", "keys").alias("keys")), "near2")
+        near = ws.stage(near.join(changed, (F.col("doc_id") == F.col("id")) & (F.col("n") == F.col("m")), "left").select("doc_id", "n", "comp", *found.marks, "blocks", F.coalesce("new", "keys").alias("keys")), "near2")
         live = shared_tokens(near, "keys", ws, "live2")
-    near = in_groups(near)
-    rows = near.select("doc_id", "n", "comp", "gid", *MARKS, F.explode("keys").alias("token")).join(live.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
-    met = meeting(ws.stage(rows, "rows"), percent, ws)
+    near = in_groups(near, found.marks)
+    rows = near.select("doc_id", "n", "comp", "gid", *found.marks, F.explode("keys").alias("token")).join(live.select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_semi")
+    met = meeting(ws.stage(rows, "rows"), found.marks, percent, ws)
     met = met.groupBy("doc_id", "n", "comp", "own", "gid", "g_comp").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
     n, low, high = F.col("n"), F.greatest("n", "low"), F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
     met = met.where(F.col("c") >= tokens_needed(n, low, high, percent))
