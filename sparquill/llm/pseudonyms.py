@@ -12,11 +12,14 @@ computed anew. What is permuted is the bare value: separators take no part, so a
 card, an IBAN or a phone number has one pseudonym in all notations, with or without
 its country code, and a date one in all its forms.
 
-Candidates: mail addresses; phones after + or with a bracketed area code, and ten
-digits parted by - or . whose area is no less than 200 (a 1 may stand before them);
-IPv4; dates as year-month-day with - or /, day.month.year and day/month/year, or
-month/day/year where that is the only valid reading; social security numbers with
-hyphens; cards; IBANs in capitals; secrets of 32 to 64 hexadecimal digits of one case
+Candidates: mail addresses; phones after + (of the countries in ``NATIONAL`` as many
+digits as a number there has, the longest reading where lengths differ; what follows is
+no part of them) or with a bracketed area code, and ten digits parted by - or . whose
+area is no less than 200 (a 1 may stand before them); IPv4; IPv6 in eight groups or with
+a ``::`` inside, written in eight groups afterwards; dates as year-month-day with - or /,
+also before a time of day, which stays, day.month.year, day-month-year and
+day/month/year, or month/day/year where that is the only valid reading; social security
+numbers with hyphens; cards; IBANs in capitals, or in small letters without spaces; secrets of 32 to 64 hexadecimal digits of one case
 and keys with the prefixes in ``KEYS``. Digits without form (a bare ten-digit number,
 a social security number without hyphens) stay: nothing tells them from others.
 
@@ -40,20 +43,31 @@ DAYS = 270 * 270
 EPOCH = "1900-01-01"
 
 _STOP = r"(?![\p{L}\p{N}_])"
+#: A date may stand before the time of a timestamp.
+_TIME = r"(?<=(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2})(?=T[0-9]{2}:[0-9]{2})"
 #: Prefixes of keys, which stay, and the form of what follows (fixed values).
 KEYS = {"(?:AKIA|ASIA)": "[0-9A-Z]{16}", "gh[opsu]_": "[0-9A-Za-z]{36,}", "sk-": "[0-9A-Za-z_-]{20,}", "xox[abprs]-": "[0-9A-Za-z-]{10,}", "AIza": "[0-9A-Za-z_-]{35}", "glpat-": "[0-9A-Za-z_-]{20,}"}
 _HEX = r"[0-9a-f]{32,64}|[0-9A-F]{32,64}"
 #: Country codes of the international numbering plan: one digit, two, or any three (fixed values).
 _COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Digits of a whole number after the country code, least and most (fixed values of the national plans).
+NATIONAL = {
+    "1": (10, 10), "7": (10, 10), "20": (9, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9), "39": (8, 11), "40": (9, 9), "41": (9, 9), "43": (7, 13),
+    "44": (9, 10), "45": (8, 8), "46": (7, 9), "47": (8, 8), "48": (9, 9), "49": (7, 11), "51": (8, 9), "52": (10, 10), "54": (10, 11), "55": (10, 11), "56": (9, 9), "57": (10, 10), "58": (10, 10), "60": (8, 10),
+    "61": (9, 9), "62": (8, 12), "63": (10, 10), "64": (8, 10), "65": (8, 8), "66": (8, 9), "81": (9, 10), "82": (8, 11), "84": (9, 10), "86": (11, 11), "90": (10, 10), "91": (10, 10), "92": (10, 10), "94": (9, 9),
+    "98": (10, 10), "351": (9, 9), "353": (7, 9), "358": (6, 11), "380": (9, 9), "420": (9, 9), "421": (9, 9), "966": (8, 9), "971": (8, 9), "972": (8, 9),
+}
+_PLANNED = "|".join(rf"{c}(?:[ .-]?\d){{{a},{b}}}" for c, (a, b) in NATIONAL.items())
 #: Kind of value and the form of its candidates, in the order they are tried.
 FORMS = {
     "email": r"[\p{L}\p{N}._%+-]*[\p{L}\p{N}_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|(?:1-)?[2-9]\d{2}-\d{3}-\d{4}|(?:1\.)?[2-9]\d{2}\.\d{3}\.\d{4}",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+(?:" + _PLANNED + rf"){_STOP}|\+(?!(?:{'|'.join(NATIONAL)})[ .-]?\d)\d{{1,3}}" + r"(?:[ .-]?\d{2,4}){2,5}|(?:1-)?[2-9]\d{2}-\d{3}-\d{4}|(?:1\.)?[2-9]\d{2}\.\d{3}\.\d{4}",
     "ip": r"(?:\d{1,3}\.){3}\d{1,3}(?!\.\d)",
-    "date": r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./]\d{2}[./]\d{4}",
+    "ipv6": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?!:)|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?!:)",
+    "date": r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}[./-]\d{2}[./-]\d{4}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "card": r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19}",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?|[a-z]{2}\d{2}[a-z0-9]{11,30}",
     "secret": "|".join([_HEX, *(a + b for a, b in KEYS.items())]),
 }
 KINDS = tuple(FORMS)
@@ -62,7 +76,7 @@ KINDS = tuple(FORMS)
 def _pattern(kinds: tuple[str, ...]) -> str:
     forms = [FORMS[k] for k in kinds]
     # the card form has the pattern's only group
-    return f"(?:(?<![\\p{{L}}\\p{{N}}_+.-])|(?<=[.+-])(?<![\\p{{L}}\\p{{N}}_][.+-])){'(?:' + '|'.join(f'(?:{f})' for f in forms) + ')'}{_STOP}"
+    return f"(?:(?<![\\p{{L}}\\p{{N}}_+.-])|(?<=[.+-])(?<![\\p{{L}}\\p{{N}}_][.+-])){'(?:' + '|'.join(f'(?:{f})' for f in forms) + ')'}(?:{_STOP}|{_TIME})"
 
 
 def _chars(s: Column) -> Column:
@@ -86,11 +100,13 @@ def permute(values: Column, moduli: Column, key: str, tweak: Column) -> Column:
     def turn(now: Column, r: Column) -> Column:
         left = r % 2 == 0
         other = F.when(left, F.slice(now, half + 1, n - half)).otherwise(F.slice(now, F.lit(1), half))
-        word = F.sha2(F.concat_ws("|", F.lit(key), tweak, r.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ",")).cast("binary"), 256)
+        said = F.concat_ws("|", F.lit(key), tweak, r.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
+        # a hash has words for 16 places; longer values take more hashes, by a counter
+        hashes = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / 16).cast("int")), lambda c: F.sha2(F.when(c == 0, said).otherwise(F.concat_ws("|", said, c.cast("string"))).cast("binary"), 256))
+        word = F.array_join(hashes, "")
 
         def add(w: Column) -> Column:
-            # four hex digits of the hash for each place, from its start again after 16
-            part = lambda i: F.conv(F.substring(w, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            part = lambda i: F.conv(F.substring(w, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
             return F.transform(now, lambda v, i: F.when((i < half) == left, (v + part(i)) % F.element_at(moduli, i + 1)).otherwise(v))
 
         return _once(word, add)
@@ -178,21 +194,22 @@ def _mod97(s: Column) -> Column:
 
 
 def iban_valid(s: Column) -> Column:
-    bare = F.replace(s, F.lit(" "), F.lit(""))
+    bare = F.upper(F.replace(s, F.lit(" "), F.lit("")))
     return F.length(bare).between(15, 34) & (_mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, F.lit(1), F.lit(4)))) == 1)
 
 
 def _iban(s: Column, key: str) -> Column:
     """The country stays; all else of the bare value is permuted, then parted as it was."""
-    bare = F.replace(s, F.lit(" "), F.lit(""))
-    country = F.substring(s, F.lit(1), F.lit(2))
+    bare = F.upper(F.replace(s, F.lit(" "), F.lit("")))
+    country = F.substring(bare, F.lit(1), F.lit(2))
     rest = _letters(F.substring(bare, F.lit(5), F.length(bare)), key, "iban")
 
     def close(r: Column) -> Column:
         check = 98 - _mod97(F.concat(r, country, F.lit("00")))
         return F.concat(country, F.lpad(check.cast("string"), 2, "0"), r)
 
-    return _refill(s, _once(rest, close), "0-9A-Z")
+    new = _refill(F.upper(s), _once(rest, close), "0-9A-Z")
+    return F.when(F.lower(s) == s, F.lower(new)).otherwise(new)
 
 
 def ip_valid(s: Column) -> Column:
@@ -204,6 +221,25 @@ def _ip(s: Column, key: str) -> Column:
     return F.array_join(F.transform(permute(o, F.array(*[F.lit(256)] * 4), key, F.lit("ip")), lambda x: x.cast("string")), ".")
 
 
+def _groups(s: Column) -> Column:
+    """The eight groups of an address, with those that :: stands for."""
+    ends = F.transform(F.split(s, "::"), lambda x: F.filter(F.split(x, ":"), lambda g: g != ""))
+    left, right = F.element_at(ends, 1), F.coalesce(F.try_element_at(ends, F.lit(2)), F.array().cast("array<string>"))
+    return F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))), right)
+
+
+def ipv6_valid(s: Column) -> Column:
+    """Eight groups, or fewer around one ``::``; a digit tells it from names of code."""
+    colons = F.length(s) - F.length(F.replace(s, F.lit(":"), F.lit("")))
+    return s.rlike("[0-9]") & (F.size(_groups(s)) == 8) & F.when(s.contains("::"), (F.size(F.split(s, "::")) == 2) & (colons <= 7)).otherwise(colons == 7)
+
+
+def _ipv6(s: Column, key: str) -> Column:
+    new = permute(F.transform(_groups(s), lambda g: F.conv(g, 16, 10).cast("int")), F.array_repeat(F.lit(1 << 16), 8), key, F.lit("ipv6"))
+    text = F.lower(F.array_join(F.transform(new, lambda x: F.conv(x.cast("string"), 10, 16)), ":"))
+    return F.when(F.upper(s) == s, F.upper(text)).otherwise(text)
+
+
 def _parts(s: Column, *places: int) -> Column:
     """A date of its year, month and day, each where it stands in the text."""
     year, month, day = places
@@ -294,7 +330,7 @@ def _secret(s: Column, key: str) -> Column:
 
 def kind_of(s: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     """The kind of a candidate, null if it isn't valid."""
-    valid = {"email": F.lit(True), "phone": phone_valid(s), "ip": ip_valid(s), "date": date_valid(s), "ssn": ssn_valid(s), "card": card_valid(s), "iban": iban_valid(s), "secret": s.rlike("[0-9]") & s.rlike("[a-zA-Z]")}
+    valid = {"email": F.lit(True), "phone": phone_valid(s), "ip": ip_valid(s), "ipv6": ipv6_valid(s), "date": date_valid(s), "ssn": ssn_valid(s), "card": card_valid(s), "iban": iban_valid(s), "secret": s.rlike("[0-9]") & s.rlike("[a-zA-Z]")}
     out = F
     for k in kinds:
         test = s.rlike(f"^(?:{FORMS[k]})$")
@@ -303,7 +339,7 @@ def kind_of(s: Column, kinds: tuple[str, ...] = KINDS) -> Column:
 
 
 def pseudonym(s: Column, kind: Column, key: str, kinds: tuple[str, ...] = KINDS) -> Column:
-    make = {"email": _email, "phone": _phone, "ip": _ip, "date": _other_date, "ssn": _ssn, "card": _card, "iban": _iban, "secret": _secret}
+    make = {"email": _email, "phone": _phone, "ip": _ip, "ipv6": _ipv6, "date": _other_date, "ssn": _ssn, "card": _card, "iban": _iban, "secret": _secret}
     out = F
     for k in kinds:
         out = out.when(kind == k, make[k](s, key))

@@ -185,3 +185,40 @@ def test_column_names_and_no_rows(spark):
     r = pseudonyms.pseudonymise(d.withColumnRenamed("_kinds", "kinds"), KEY).first()
     assert (r.hits, r.kinds, r.found) == ("own", "mine", ["phone"]) and r.text != "call 555-223-4567"
     assert pseudonyms.pseudonymise(d.limit(0), KEY).collect() == []
+
+
+def changed(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.text, list(r.found)) for r in pseudonyms.pseudonymise(docs, "k").orderBy("doc_id").collect()]
+
+
+def test_long_values_keep_no_differences(spark):
+    """Places far apart get hash words of their own."""
+    pick = random.Random(4)
+    secrets = ["".join(pick.choice("0123456789abcdef") for _ in range(64)) for _ in range(6)]
+    kept = 0
+    for old, (new, found) in zip(secrets, changed(spark, secrets), strict=True):
+        assert found == ["secret"] and len(new) == 64 and new != old
+        a, b = [int(c, 16) for c in old], [int(c, 16) for c in new]
+        kept += sum((a[i] - a[i + 16]) % 16 == (b[i] - b[i + 16]) % 16 for i in (*range(16), *range(32, 48)))
+    assert kept < 6 * 32 / 4
+    (new, _), (again, _) = changed(spark, ["a" * 40 + "b" * 30 + "@mail.example", "a" * 40 + "b" * 30 + "@mail.example"])
+    assert new == again and len(set(new[:70])) > 10
+
+
+def test_what_follows_a_phone_is_no_part_of_it(spark):
+    got = changed(spark, ["call +44 20 7946 0958 12 items", "+44 20 7946 0958", "+442079460958 2024 0101", "+33 6 12 34 56 78 90 times", "+1 555 223 4567 8 left", "+353 1 234 5678", "+44 20 7946 09581"])
+    number = got[1][0]
+    assert number != "+44 20 7946 0958" and got[0][0] == f"call {number} 12 items" and got[2][0] == number.replace(" ", "") + " 2024 0101"
+    assert got[3][0].endswith(" 90 times") and got[3][1] == ["phone"] and got[4][0].endswith(" 8 left")
+    assert got[5][1] == ["phone"] and got[6] == ("+44 20 7946 09581", [])
+
+
+def test_timestamps_hyphens_and_addresses(spark):
+    got = changed(spark, ["at 2024-12-25T10:00:00Z", "2024-12-25", "25-12-2024", "25.12.2024", "2001:db8:0:0:0:0:0:1", "2001:DB8::1", "2001:db8::1", "std::vector, a::b, 10:00:00", "1:2:3:4:5:6:7::8:9", "gb82west12345698765432", "GB82 WEST 1234 5698 7654 32"])
+    day = got[1][0]
+    assert day != "2024-12-25" and got[0] == (f"at {day}T10:00:00Z", ["date"])
+    assert got[2][0] == "-".join(reversed(day.split("-"))) and got[3][0] == ".".join(reversed(day.split("-")))
+    assert got[4][1] == ["ipv6"] and got[4][0] == got[6][0] and got[5][0] == got[4][0].upper() and got[4][0] != "2001:db8:0:0:0:0:0:1"
+    assert got[7] == ("std::vector, a::b, 10:00:00", []) and got[8] == ("1:2:3:4:5:6:7::8:9", [])
+    assert got[9][1] == ["iban"] and got[9][0].upper() == got[10][0].replace(" ", "") != "GB82WEST12345698765432"
