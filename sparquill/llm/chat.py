@@ -17,7 +17,8 @@ its block and where its text is in it (code points).
 
 Defined results: null texts are empty; an unknown kind is read as ``delta``; a null
 role keeps the one before (empty if none); null conversation ids are one
-conversation; empty messages are rendered; a conversation without messages gives no
+conversation; in one ``seq`` the last of the resets by name wins (start, regenerate,
+edit, delete) and deltas follow it; empty messages are rendered; a conversation without messages gives no
 row; equal events count each; other columns aren't read.
 """
 
@@ -79,7 +80,8 @@ def events_of_rows(rows: DataFrame) -> DataFrame:
 
 def messages(events: DataFrame) -> DataFrame:
     """conv_id, slot, role, text: what each message says at the end of its log."""
-    event = F.struct("seq", F.coalesce("kind", F.lit("delta")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    kind = F.coalesce("kind", F.lit("delta"))
+    event = F.struct("seq", (~kind.isin(*RESETS)).alias("after"), kind.alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
     cleared = F.max(F.when(F.col("kind") == "regenerate", F.col("seq")))
     logs = events.groupBy("conv_id", "slot").agg(F.array_sort(F.collect_list(event)).alias("log"), cleared.alias("cleared"))
     # what a slot said before an earlier slot was regenerated is void
@@ -88,7 +90,7 @@ def messages(events: DataFrame) -> DataFrame:
     logs = logs.withColumn("log", F.when(F.col("bound").isNull(), F.col("log")).otherwise(F.filter("log", lambda x: x["seq"] >= F.col("bound")))).where(F.size("log") > 0)
     last = F.array_max(F.transform(F.filter("log", lambda x: x["kind"].isin(*RESETS)), lambda x: F.struct(x["seq"].alias("seq"), x["kind"].alias("kind"))))
     logs = logs.withColumn("last", last).where(F.coalesce(F.col("last.kind") != "delete", F.lit(True)))
-    live = F.filter("log", lambda x: F.col("last").isNull() | (x["seq"] > F.col("last.seq")) | ((x["seq"] == F.col("last.seq")) & x["kind"].isin("start", "edit")))
+    live = F.filter("log", lambda x: F.col("last").isNull() | (x["seq"] > F.col("last.seq")) | ((x["seq"] == F.col("last.seq")) & (x["after"] | (x["kind"].isin("start", "edit") & (x["kind"] == F.col("last.kind"))))))
     roles = F.transform(F.filter("log", lambda x: x["role"].isNotNull()), lambda x: x["role"])
     return logs.select("conv_id", "slot", F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), F.array_join(F.transform(live, lambda x: x["text"]), "").alias("text"))
 

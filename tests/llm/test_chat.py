@@ -63,3 +63,11 @@ def test_logs_of_rows_have_drafts_that_leave_no_trace(spark):
     assert {r.kind for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate"}
     got = {(r.conv_id, r.slot.turn): (r.role, r.text) for r in chat.messages(log).collect()}
     assert got == {(r.conv_id, r.turn): (r.role, r.text) for r in rows.collect()}
+
+
+def test_events_of_one_place(spark):
+    """In one ``seq`` resets come first, of unlike ones the last by name wins, and no delta is lost."""
+    assert said(spark, [(1, 0, 5, "delta", None, "b"), (1, 0, 5, "start", "user", "a"), (1, 0, 6, "delta", None, "c")]) == [(0, "user", "abc")]
+    assert said(spark, [(1, 0, 1, "start", "user", "x"), (1, 0, 5, "delta", None, "b"), (1, 0, 5, "edit", None, "a")]) == [(0, "user", "ab")]
+    assert said(spark, [(1, 0, 5, "start", "user", "s"), (1, 0, 5, "edit", None, "e")]) == [(0, "user", "s")]
+    assert said(spark, [(1, 0, 1, "start", "user", "x"), (1, 0, 5, "delta", None, "new"), (1, 0, 5, "regenerate", None, None)]) == [(0, "user", "new")]
