@@ -446,6 +446,13 @@ def shared_tokens(near: DataFrame, column: str, ws: Workspace, name: str) -> Dat
     return ws.stage(tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo != hi").select("token", "rows"), name)
 
 
+def uncompared(marks: list[str]) -> Column:
+    """Whether a row and one whose columns begin with g_ weren't compared in step 1."""
+    in_block = lambda i: F.coalesce(F.col(f"c{i}") == F.col(f"g_c{i}"), F.lit(False))
+    in_cluster = lambda i: F.coalesce((F.col(f"k{i}") == F.col(f"g_k{i}")) & (F.col("whole").bitwiseOR(F.col("g_whole")).bitwiseAND(1 << (i - 1)) != 0), F.lit(False))
+    return ~functools.reduce(Column.__or__, (f(i + 1) for i in range(len(marks) // 2) for f in (in_block, in_cluster)))
+
+
 def meeting(rows: DataFrame, marks: list[str], percent: int, ws: Workspace) -> DataFrame:
     """Rows (doc_id, n, comp, gid, marks, token) beside each group with their token that is of another component, wasn't compared with them and may fit by size.
 
@@ -460,11 +467,8 @@ def meeting(rows: DataFrame, marks: list[str], percent: int, ws: Workspace) -> D
     hot = ws.stage(many.select("h_token", F.least(F.col("r"), F.ceil(F.col("r") * F.col("g") / TOKEN_PAIRS)).cast("int").alias("salts")), "hot")
     salted = rows.join(hot, F.col("token") == F.col("h_token"), "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")).drop("h_token", "salts")
     spread = matrix.join(hot, F.col("g_token") == F.col("h_token"), "left").withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("h_token", "salts")
-    in_block = lambda i: F.coalesce(F.col(f"c{i}") == F.col(f"g_c{i}"), F.lit(False))
-    in_cluster = lambda i: F.coalesce((F.col(f"k{i}") == F.col(f"g_k{i}")) & (F.col("whole").bitwiseOR(F.col("g_whole")).bitwiseAND(1 << (i - 1)) != 0), F.lit(False))
-    compared = functools.reduce(Column.__or__, (f(i + 1) for i in range(len(marks) // 2) for f in (in_block, in_cluster)))
     largest = F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
-    return salted.join(spread, (F.col("token") == F.col("g_token")) & (F.col("salt") == F.col("g_salt")) & (F.col("comp") != F.col("g_comp")) & ~compared & (largest >= F.col("n")) & (F.col("low") * percent <= F.col("n") * 100))
+    return salted.join(spread, (F.col("token") == F.col("g_token")) & (F.col("salt") == F.col("g_salt")) & (F.col("comp") != F.col("g_comp")) & uncompared(marks) & (largest >= F.col("n")) & (F.col("low") * percent <= F.col("n") * 100))
 
 
 def pairs_of_groups(met: DataFrame) -> DataFrame:
