@@ -113,27 +113,38 @@ def _keys(refs: Column, taxa: Column, words: Column) -> Column:
     return F.array_distinct(F.concat(pair("r:", refs), pair("x:", taxa), pair("t:", words)))
 
 
-#: Items of one key from which it is dealt over several tasks.
-HOT_ITEMS = 50_000
+def _asked_keys() -> Column:
+    years = F.array_compact(F.array(F.when(F.length(F.col("year").cast("string")) > 1, F.col("year").cast("string"))))
+    return _keys(F.array_compact(F.array("q_ref")), F.col("q_tax"), F.concat("q_tok", "q_vehicle", years))
+
+
+def _held_keys() -> Column:
+    return _keys(F.col("i_refs"), F.col("taxonomies"), F.col("tokens"))
+
+
+#: Pairs of one key from which it is dealt over several tasks.
+HOT_PAIRS = 20_000_000
 
 
 def candidates(requests: DataFrame, items: DataFrame) -> DataFrame:
     """part_id, item_id: requests and items with a reference, taxonomy or token in common, each pair once.
 
-    Only ids and keys shuffle. A key with many items is split: its items are dealt by
-    their ids, and its requests go to each share. None is dropped, as that would
-    change the candidates.
+    Only ids and keys shuffle. A key with many pairs is split: its larger side is dealt by
+    ids, the smaller goes to each share. None is dropped, as that would change the
+    candidates.
     """
-    refs = F.array_compact(F.array("q_ref"))
-    years = F.array_compact(F.array(F.when(F.length(F.col("year").cast("string")) > 1, F.col("year").cast("string"))))
-    asked = requests.select("part_id", F.explode(_keys(refs, F.col("q_tax"), F.concat("q_tok", "q_vehicle", years))).alias("key"))
-    held = items.select("item_id", F.explode(_keys(F.col("i_refs"), F.col("taxonomies"), F.col("tokens"))).alias("key"))
-    hot = held.groupBy(F.col("key").alias("_hot")).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ITEMS)
-    hot = staged(hot.select("_hot", F.ceil(F.col("n") / HOT_ITEMS).alias("shares")), "hot_keys")
-    shares = F.coalesce("shares", F.lit(1))
+    asked = requests.select("part_id", F.explode(_asked_keys()).alias("key"))
+    held = items.select("item_id", F.explode(_held_keys()).alias("key"))
+    count = lambda d, n: d.groupBy(F.col("key").alias(f"_{n}")).agg(F.count("*").alias(n))
+    hot = count(asked, "a").join(count(held, "h"), F.col("_a") == F.col("_h")).where(F.col("a") * F.col("h") > HOT_PAIRS)
+    shares = F.least(F.ceil(F.col("a") * F.col("h") / HOT_PAIRS), F.greatest("a", "h")).cast("long")
+    hot = staged(hot.select(F.col("_a").alias("_hot"), shares.alias("shares"), (F.col("h") >= F.col("a")).alias("items_dealt")), "hot_keys")
     meets = F.col("key") == F.col("_hot")
-    asked = asked.join(hot, meets, "left").select("part_id", "key", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
-    held = held.join(hot, meets, "left").select("item_id", "key", F.pmod(F.xxhash64("item_id"), shares).alias("share"))
+    # a share of the own id, or all shares
+    every, own = F.sequence(F.lit(0).cast("long"), F.col("shares") - 1), lambda c: F.array(F.pmod(F.xxhash64(c), F.col("shares")))
+    at = lambda dealt, c: F.explode(F.when(F.col("shares").isNull(), F.array(F.lit(0).cast("long"))).when(dealt, own(c)).otherwise(every)).alias("share")
+    asked = asked.join(hot, meets, "left").select("part_id", "key", at(~F.col("items_dealt"), "part_id"))
+    held = held.join(hot, meets, "left").select("item_id", "key", at(F.col("items_dealt"), "item_id"))
     return asked.join(held, ["key", "share"]).select("part_id", "item_id").distinct()
 
 
@@ -303,20 +314,103 @@ def rank(scored: DataFrame, limit: int = 5) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= limit) & (F.col("rank") <= most)).drop("_n")
 
 
+#: What a request's scores depend on but for its own reference, and an item's but for its references.
+PROFILE = ["q_brand", "q_line", "q_version", "q_vehicle", "q_tax", "q_signal", "q_year", "year", "q_groups", *(f"prefs_{f}" for f in PREF_FIELDS)]
+KIND = ["tokens", "taxonomies", "i_brands", "i_scoped", "i_signal", "i_groups", "i_years", "i_provider", "i_brand", "provider_id", "provider_name", "provider_type", "title"]
+#: Entries with a request's own reference from which it is scored by itself.
+WIDE = 16
+
+
+def _digest(columns: list[str]) -> Column:
+    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+
+
+def _profiles(asked: DataFrame, held: DataFrame, title: bool) -> DataFrame:
+    """``asked`` with ``profile``, and q_tok and q_ref as all requests of the profile have them.
+
+    Tokens of the reference that no item has only count, and a reference that no item
+    has is only there: stand-ins that nothing equals take their places.
+    """
+    name = t.part_tokens(F.col("part_name"), F.lit(None).cast("string"))
+    odd = asked.select(F.col("part_id").alias("_id"), F.explode(F.array_except("q_tok", name)).alias("tok"))
+    known = held.select(F.explode("tokens").alias("_tok")).distinct()
+    odd = odd.join(known, F.col("tok") == F.col("_tok"), "left").where(F.col("_tok").isNull()).groupBy("_id").agg(F.collect_list("tok").alias("unknown"))
+    d = asked.join(odd, F.col("part_id") == F.col("_id"), "left").drop("_id")
+    unknown = F.coalesce("unknown", F.array().cast("array<string>"))
+    blanks = F.transform(unknown, lambda _, i: F.concat(F.lit("\u0001"), i.cast("string")))
+    d = d.withColumn("q_tok", F.array_sort(F.concat(F.array_except("q_tok", unknown), blanks))).withColumn("q_ref", F.when(F.col("q_ref").isNotNull(), "\u0001")).drop("unknown")
+    return d.withColumn("profile", _digest(["q_tok", "q_ref", *PROFILE, *(["q_title"] if title else [])]))
+
+
+def _own_references(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """part_id, i_same: entries that have a request's reference, or name it."""
+    # references are in capitals and tokens in small letters: only numbers can be both
+    refs = F.array_distinct(F.concat("i_refs", F.filter("tokens", lambda x: x.rlike("^[0-9]+$"))))
+    named = held.select(F.explode(refs).alias("ref"), "i_same").distinct()
+    return asked.where(F.col("q_ref").isNotNull()).select("part_id", "q_ref").join(named, F.col("q_ref") == F.col("ref")).select("part_id", "i_same").distinct()
+
+
+def best_pairs(asked: DataFrame, held: DataFrame, limit: int, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, title_similarity: bool = True) -> DataFrame:
+    """``rank`` over all candidates of prepared and staged sides, with each kind of pair scored once.
+
+    Requests that differ in their reference only are one *profile*, items that differ in
+    their references only are one *kind*: their scores are those of a reference that no
+    item has. Profiles rank kinds, and keep as many as the ``limit`` best entries of a
+    request can need. A request takes its profile's entries but for those that have or
+    name its own reference; these few are scored for the request itself. Requests with
+    more than ``WIDE`` of them are scored against all their candidates.
+    """
+    clash = [c for c in held.columns if c in asked.columns]
+    aside = lambda d: d.withColumnsRenamed({c: f"asked_{c}" for c in clash})
+    whole = lambda pairs, requests, items: pairs.join(aside(requests), "part_id").join(items, "item_id")
+    scored = lambda pairs, requests, items: score(whole(pairs, requests, items), policy, title_similarity, texts=False)
+    own = staged(_own_references(asked, held), "own_references")
+    counts = own.groupBy("part_id").agg(F.count("*").alias("n"))
+    wide = staged(counts.where(F.col("n") > WIDE).select("part_id"), "wide")
+    most = limit + (counts.where(F.col("n") <= WIDE).agg(F.max("n").alias("n")).first().n or 0)
+
+    requests = staged(_profiles(asked, held, title_similarity).join(wide, "part_id", "left_anti"), "profiled")
+    profiles = staged(requests.drop("part_id").withColumnRenamed("profile", "part_id").dropDuplicates(["part_id"]), "profiles")
+    kinds = held.withColumn("kind", _digest(KIND))
+    first = Window.partitionBy("kind", "i_same").orderBy("item_id")
+    entries = kinds.select("kind", "i_same", "item_id").withColumn("n", F.row_number().over(first)).where("n = 1")
+    place = Window.partitionBy("kind").orderBy("item_id")
+    entries = staged(entries.withColumn("n", F.row_number().over(place)).where(F.col("n") <= most), "entries")
+    # an entry may be of several kinds: then as many more kinds are kept
+    spread = kinds.select("i_same", "kind").distinct().groupBy("i_same").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 1
+    heads = entries.where("n = 1").select(F.col("item_id").alias("_item"), "kind")
+    heads = staged(held.join(heads, F.col("item_id") == F.col("_item"), "left_semi").withColumn("i_refs", F.array().cast("array<string>")), "kinds")
+    pairs = scored(candidates(profiles, heads), profiles, heads)
+    order = [F.desc("score"), F.desc("provider_name"), F.desc("title"), F.asc("item_id")]
+    top = pairs.withColumn("n", F.row_number().over(Window.partitionBy("part_id").orderBy(*order))).where(F.col("n") <= most * spread).drop("n", "i_same")
+    of = entries.where("n = 1").select(F.col("item_id").alias("_head"), F.col("kind").alias("_kind")).join(entries.select("kind", F.col("item_id").alias("_item"), "i_same"), F.col("_kind") == F.col("kind"))
+    top = top.join(of, F.col("item_id") == F.col("_head")).select(F.col("part_id").alias("profile"), F.col("_item").alias("item_id"), "score", "match_type", "provider_name", "title", "i_same")
+    once = top.withColumn("n", F.row_number().over(Window.partitionBy("profile", "i_same").orderBy(*order))).where("n = 1")
+    once = staged(once.withColumn("n", F.row_number().over(Window.partitionBy("profile").orderBy(*order))).where(F.col("n") <= most).drop("n"), "profile_ranks")
+
+    shared = requests.select("part_id", "profile", "prefs_max_options").join(once, "profile").join(own.select(F.col("part_id").alias("_p"), F.col("i_same").alias("_s")), (F.col("part_id") == F.col("_p")) & (F.col("i_same") == F.col("_s")), "left_anti")
+    # an item of such an entry may have no key of the request
+    few = own.join(wide, "part_id", "left_anti").join(held.select(F.col("i_same").alias("_s"), "item_id", _held_keys().alias("k")), F.col("i_same") == F.col("_s"))
+    few = few.join(asked.select(F.col("part_id").alias("_p"), _asked_keys().alias("q")), (F.col("part_id") == F.col("_p")) & F.arrays_overlap("k", "q")).select("part_id", "item_id")
+    pool = shared.select(*RANKED).unionByName(scored(few, asked, held))
+    if wide.head(1):
+        by_themselves = asked.join(wide, "part_id", "left_semi")
+        pool = pool.unionByName(scored(candidates(by_themselves, held), by_themselves, held))
+    return rank(pool, limit)
+
+
 def match(requests: DataFrame, items: DataFrame, limit: int = 5, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, title_similarity: bool = True) -> DataFrame:
     """Ranked matches of all requests; texts about a pair are made for ranked ones only.
 
     The prepared sides are staged: candidates and scores read them, each its own columns.
-    All pairs are scored for their ranks alone, which shuffles a few narrow columns; the
-    ranked ones are scored once more for all that is said about them.
+    Pairs are scored for their ranks alone, each kind once (``best_pairs``); the ranked
+    ones are scored once more for all that is said about them.
     """
     asked, held = staged(prepare_requests(requests), "asked"), staged(prepare_items(items), "held")
+    best = staged(best_pairs(asked, held, limit, policy, title_similarity).select("part_id", "item_id", "rank"), "ranked")
     clash = [c for c in held.columns if c in asked.columns]
-    asked = asked.withColumnsRenamed({c: f"asked_{c}" for c in clash})
-    found = candidates(asked.withColumnsRenamed({f"asked_{c}": c for c in clash}), held)
-    whole = lambda pairs: pairs.join(asked, "part_id").join(held, "item_id")
-    best = rank(score(whole(found), policy, title_similarity, texts=False), limit).select("part_id", "item_id", "rank")
-    return with_state(score(whole(staged(best, "ranked")), policy, title_similarity), policy)
+    pairs = best.join(asked.withColumnsRenamed({c: f"asked_{c}" for c in clash}), "part_id").join(held, "item_id")
+    return with_state(score(pairs, policy, title_similarity), policy)
 
 
 def report(requests: DataFrame, matches: DataFrame, by: str = "quote_id") -> DataFrame:

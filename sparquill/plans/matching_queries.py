@@ -67,9 +67,8 @@ def catalog(read):
 
 
 def requests(read):
-    """A request for each distinct name and type of the parts sold (equal requests have equal answers), in a quote for each type; every third asks by reference."""
-    sold_parts = read("part").join(read("lineitem").select("l_partkey").distinct(), F.col("p_partkey") == F.col("l_partkey"), "left_semi")
-    p = sold_parts.groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("k"))
+    """A request for each part sold, in a quote for each type; every third asks by reference."""
+    p = read("part").join(read("lineitem").select("l_partkey").distinct(), F.col("p_partkey") == F.col("l_partkey"), "left_semi").withColumn("k", F.col("p_partkey"))
     none = F.lit(None).cast("string")
     return p.select(
         F.col("p_type").alias("quote_id"), F.col("k").alias("part_id"), F.col("p_name").alias("part_name"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("ref "), F.col("k").cast("string"))).alias("reference"),
@@ -87,8 +86,8 @@ def scored_sql() -> str:
     generic = list(lx.GENERIC_PART)
     title = "p_name || ' ' || p_type"
     flags = ", ".join(f"CASE WHEN {_GROUP('q_words', g)} <> {_GROUP('i_words', g)} THEN '{f}' END" for f, g, _ in lx.CONFLICTS)
-    return f"""WITH req AS (SELECT p_type AS quote_id, MIN(p_partkey) AS part_id, p_name AS part_name, CASE WHEN MIN(p_partkey) % 3 = 0 THEN 'ref ' || MIN(p_partkey) END AS reference, p_type AS line
-  FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY p_name, p_type),
+    return f"""WITH req AS (SELECT p_type AS quote_id, p_partkey AS part_id, p_name AS part_name, CASE WHEN p_partkey % 3 = 0 THEN 'ref ' || p_partkey END AS reference, p_type AS line
+  FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)),
 q AS (SELECT *, NULLIF({ref.format('reference')}, '') AS q_ref, list_filter({words_sql("COALESCE(part_name, '') || ' ' || COALESCE(reference, '')")}, lambda w: NOT list_contains({generic}, w)) AS q_tok,
   {words_sql('part_name')} AS q_words, list_filter({words_sql('line')}, lambda w: NOT list_contains({list(lx.GENERIC_VEHICLE)}, w)) AS q_line, {_TAX("COALESCE(part_name, '') || ' ' || COALESCE(reference, '')")} AS q_tax FROM req),
 cat AS (SELECT p_partkey AS item_id, 'prov' || (p_size % 5) AS provider_id, 'Provider ' || (p_size % 5) AS provider_name, {title} AS title, p_type, p_brand AS brand, 'REF-' || p_partkey AS i_reference FROM part),

@@ -390,6 +390,29 @@ def test_entry_takes_what_is_there(monkeypatch):
     assert not [q for q in __spark_entry__.queries() if q.startswith("op")]
 
 
+@pytest.mark.parametrize("wide", [0, 2, 16])
+def test_best_pairs_are_those_of_all_pairs(spark, monkeypatch, wide):
+    """Profiles and kinds change no rank: own references, equal entries of several kinds, ties, preferences."""
+    import random
+
+    monkeypatch.setattr(matching, "WIDE", wide)
+    pick = random.Random(8)
+    words, sides, brands = ["farola", "bomper", "filtro aceite", "bujia", "pastilla freno", "espejo"], ["", "izquierda", "derecha", "negro", "kit"], ["Mazda", "Renault", "", None]
+    ref = lambda: pick.choice([None, None, f"R-{pick.randrange(12)}", str(pick.randrange(100, 106)), f"{pick.choice(words)} {pick.randrange(9)}"])
+    rows = [{"id": f"i{i:03d}", "title": f"{pick.choice(words)} {pick.choice(['Mazda CX5', 'Renault Logan', '100', '2012-2014'])} {pick.choice(sides)}", "provider": pick.choice(["p1", "p2"]), "brand": pick.choice(brands), "reference": ref(), "sku": ref(), "category": pick.choice(["Frenos", "Filtros", None])} for i in range(120)]
+    rows += [r | {"id": f"j{i}", "category": "Otra 101"} for i, r in enumerate(rows[:30])]
+    liked = {"preferred_providers": ["p2"], "avoided_providers": [], "preferred_brands": ["mazda"], "avoided_brands": [], "prefer_exact_reference": True, "year_tolerance": 0, "max_options": 2}
+    asks = [("q", f"a{i}", f"{pick.choice(words)} {pick.choice(sides)}", ref(), pick.choice(["Mazda", "Renault", None]), pick.choice(["CX5", "Logan"]), None, pick.choice([None, "2013"]), tuple(liked.values()) if i % 4 == 0 else None) for i in range(70)]
+    asked = matching.staged(matching.prepare_requests(spark.createDataFrame(asks, f"{ASK}, prefs {matching.PREFS}")), "a")
+    held = matching.staged(matching.prepare_items(items(spark, *rows)), "h")
+    clash = [c for c in held.columns if c in asked.columns]
+    pairs = matching.candidates(asked, held).join(asked.withColumnsRenamed({c: f"asked_{c}" for c in clash}), "part_id").join(held, "item_id")
+    key = lambda d: sorted(tuple(r) for r in d.select("part_id", "rank", "item_id", "score", "match_type").collect())
+    want = key(matching.rank(matching.score(pairs, title_similarity=False, texts=False), 3))
+    assert len(want) > 100 and {r[4] for r in want} >= {"exact_reference", matching.MANUAL}
+    assert key(matching.best_pairs(asked, held, 3, title_similarity=False)) == want
+
+
 def test_candidates_of_hot_keys_are_the_same(spark, monkeypatch):
     asks = [("q", str(i), f"Farola {'negra' if i % 2 else 'kit'} {i}", None, "Mazda", "CX5", None, "2015" if i % 3 else None) for i in range(12)]
     asked = matching.prepare_requests(spark.createDataFrame(asks, ASK))
@@ -397,6 +420,6 @@ def test_candidates_of_hot_keys_are_the_same(spark, monkeypatch):
     pairs = lambda: sorted(tuple(r) for r in matching.candidates(asked, held).collect())
     want = pairs()
     assert len(want) == 12 * 30
-    for least in (1, 3, 20):
-        monkeypatch.setattr(matching, "HOT_ITEMS", least)
+    for least in (1, 40, 250):
+        monkeypatch.setattr(matching, "HOT_PAIRS", least)
         assert pairs() == want
