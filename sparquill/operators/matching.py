@@ -221,9 +221,9 @@ def score(pairs: DataFrame, policy: lx.ProviderPolicy = lx.DEFAULT_POLICY, title
     if title_similarity:
         # a ratio is at most twice the shorter length over both: below a quarter it gives no points
         long_enough = 8 * F.least(F.length("q_title"), F.length("i_title")) >= F.length("q_title") + F.length("i_title")
-        texts = d.where(~direct & long_enough).select("q_title", "i_title").distinct().withColumn("ratio", similarity()("q_title", "i_title"))
-        texts = texts.select(F.col("q_title").alias("qt"), F.col("i_title").alias("it"), "ratio")
-        d = d.join(texts, (F.col("q_title") == F.col("qt")) & (F.col("i_title") == F.col("it")), "left").drop("qt", "it")
+        ratios = d.where(~direct & long_enough).select("q_title", "i_title").distinct().withColumn("ratio", similarity()("q_title", "i_title"))
+        ratios = ratios.select(F.col("q_title").alias("qt"), F.col("i_title").alias("it"), "ratio")
+        d = d.join(ratios, (F.col("q_title") == F.col("qt")) & (F.col("i_title") == F.col("it")), "left").drop("qt", "it")
     else:
         d = d.withColumn("ratio", F.lit(0.0))
     # half-even rounding of doubles

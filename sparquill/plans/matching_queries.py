@@ -131,6 +131,15 @@ def q_match_report(read, spark):
     return rep.withColumn("hits", hits).drop("provider_hits")
 
 
+@query()
+def q_title_report(read, spark):
+    """The report of quotes with the similarity of titles in the score; no SQL says it, tests hold it against all pairs."""
+    r = requests(read)
+    rep = matching.report(r, matching.match(r, catalog(read), 5))
+    hits = F.array_join(F.transform(F.map_entries("provider_hits"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return rep.withColumn("hits", hits).drop("provider_hits")
+
+
 @query()
 def q_title_similarity(read, spark):
     """Similarity of each pair of part names with a word in common."""

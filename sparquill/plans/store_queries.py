@@ -152,7 +152,7 @@ def q_console(read, spark):
 row_number() OVER (ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END DESC, o_orderkey) AS place, '{"brand":null,"extra":"x","price":"' || CAST(o_totalprice AS DECIMAL(18,2)) || '"}' AS payload FROM orders""")
 def q_quote_summaries(read, spark):
     """Summaries of quotes with their fallbacks, newest first, and raw documents under the columns of their rows."""
-    from pyspark.sql import Window
+    from ..operators import ranks
 
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     none = F.lit(None)
@@ -161,7 +161,7 @@ def q_quote_summaries(read, spark):
         none.cast("string").alias("load_status"), F.when(k % 4 != 0, F.col("o_custkey")).alias("parts_total"), none.alias("parts_with_matches"), none.alias("exact_reference_matches"), none.alias("parts_with_options"),
         none.cast("string").alias("brand"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.lit('{"brand":"raw","extra":"x","price":"0"}').alias("raw"),
     )
-    ordered = rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.coalesce("processed_at", "updated_at")), "quote_key")))
+    ordered = ranks.placed(rows.select("quote_key", F.coalesce("processed_at", "updated_at").alias("at")), [F.desc("at"), F.col("quote_key")])
     payload = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(store.match_payload(rows, ["brand", "price"])))), {"ignoreNullFields": "false"})
     one = rows.select(F.col("quote_key").alias("_k"), payload.alias("payload"))
     s = store.summaries(rows).select("quote_key", "path", "generated_at", F.col("parts_total").cast("long").alias("parts_total"))
@@ -178,7 +178,7 @@ def q_first_of(read, spark):
     u = p.select(F.col("p_size").alias("page"), F.concat_ws("/", "p_brand", (F.col("p_partkey") % 40).cast("string")).alias("url"), F.col("p_partkey").alias("k"))
     out = snapshots.first_new_pages(u, "page", "url").select("url").distinct().agg(F.count("*").alias("n")).select(F.lit("walked").alias("what"), "n")
     first = snapshots.first_of(u, ["url"], "k").agg(F.sum("k").alias("n")).select(F.lit("first of url").alias("what"), "n")
-    unique = p.groupBy().agg(F.collect_set("p_brand").alias("b")).select(F.lit("unique urls").alias("what"), F.size(F.array_distinct("b")).cast("long").alias("n"))
+    unique = p.agg(F.countDistinct("p_brand").alias("n")).select(F.lit("unique urls").alias("what"), "n")
     maps = p.select(F.create_map("p_brand", (F.col("p_size") % 3 + 1).cast("long")).alias("provider_hits"))
     hits = views.summed_hits(maps).agg(F.sum("hits").alias("n")).select(F.lit("hits").alias("what"), "n")
     top = views.provider_hits(p.withColumnRenamed("p_brand", "provider_id"), 1).select(F.lit("top").alias("what"), F.col("hits").alias("n"))
@@ -279,14 +279,14 @@ def q_incremental_pass(read, spark):
         return quotes.select("quote_key", F.lit("processed").alias("status"), F.lit(None).cast("string").alias("error"))
 
     rows = []
-    assert states.claim("pass") and not states.claim("pass")
+    assert states.claim("caller") and not states.claim("caller")
     for number, (some, process) in enumerate(((found.where("event_id % 2 = 0"), shaky), (found, steady), (found, steady)), 1):
         counters = state.process_once(some, states, process, valid)
         now = states.load()
         assert now.stage == state.IDLE and now.last_run == counters
         at = state.cursor(now).first()
         rows.append((number, *(counters[c] for c in ("messages_seen", "messages_with_quotes", "quotes_processed", "quotes_failed", "quotes_skipped")), int(at.message_id), now.messages.where("status = 'in_progress'").count()))
-    states.release("pass")
+    states.release("caller")
     return spark.createDataFrame(rows, "pass long, messages_seen long, messages_with_quotes long, quotes_processed long, quotes_failed long, quotes_skipped long, last_completed long, in_progress long")
 
 

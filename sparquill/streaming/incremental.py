@@ -9,10 +9,12 @@ runs again after a failure changes nothing.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shared import exists
 
@@ -88,8 +90,12 @@ def idempotent_append(spark: SparkSession, target: str, keys: list[str], stream:
     def process(batch: DataFrame, number: int) -> None:
         bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
         rows = batch.dropDuplicates(keys).withColumn("_bucket", bucket)
-        if exists(spark, target):
-            known = spark.read.option("basePath", target).parquet(target)
+        if not exists(spark, f"{target}/_columns"):
+            # what ``appended`` reads by, also if no batch has had a row yet
+            spark.createDataFrame([(batch.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/_columns")
+        else:
+            # an empty batch has left no file that tells a schema
+            known = _stored(spark, target, [batch.schema[k] for k in keys])
             known = known.where((F.col("_stream") != stream) | (F.col("_batch") != number))
             mine = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
             known = known.where(F.col("_bucket").isin(mine)).select(F.col("_bucket").alias("_known"), *(F.col(k).alias(f"_known_{k}") for k in keys))
@@ -102,9 +108,15 @@ def idempotent_append(spark: SparkSession, target: str, keys: list[str], stream:
     return process
 
 
+def _stored(spark: SparkSession, target: str, columns: list[T.StructField]) -> DataFrame:
+    own = [T.StructField("_stream", T.StringType()), T.StructField("_batch", T.LongType()), T.StructField("_bucket", T.IntegerType())]
+    return spark.read.schema(T.StructType([*columns, *own])).option("basePath", target).parquet(target)
+
+
 def appended(spark: SparkSession, target: str) -> DataFrame:
-    """What such a sink wrote, without its own columns."""
-    return spark.read.option("basePath", target).parquet(target).drop("_stream", "_batch", "_bucket")
+    """What such a sink wrote, without its own columns; no rows if all its batches were empty."""
+    columns = T.StructType.fromJson(json.loads(spark.read.text(f"{target}/_columns").first().value))
+    return _stored(spark, target, columns.fields).drop("_stream", "_batch", "_bucket")
 
 
 def poll_line(cursor_date: Column, processed: Column, failed: Column, seconds: int) -> Column:

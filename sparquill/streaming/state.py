@@ -1,13 +1,16 @@
 """The state of incremental processing as tables, and one pass over new messages.
 
 A state has a table of messages and one of quotes, the stage that the pass is in and
-the counters of the last run. Each save writes a new version aside and renames its
-folder into place, so a reader finds a whole state or the one before it.
+the counters of the last run. Each save writes a new version aside, claims its number
+and renames its folder into place, so a reader finds a whole state or the one before
+it. A number can be claimed once: of two writers that began with one version the
+second is told (``Conflict``) and changes nothing.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -23,6 +26,12 @@ MESSAGES = "message_id string, status string, internal_date_ms string, extractio
 QUOTES = "quote_key string, message_id string, url string, status string, error string"
 IDLE = "idle"
 KEPT_VERSIONS = 3
+#: Seconds after which a claim or a lock is taken for one of a writer that has died.
+STALE_SECONDS = 900
+
+
+class Conflict(RuntimeError):
+    """Another writer has changed the state since it was loaded."""
 
 
 @dataclass
@@ -58,22 +67,39 @@ class StateStore:
         return state
 
     def save(self, state: State) -> State:
-        """Write a version, take it into use, remove those that are no longer read; returns the stored state."""
+        """Write the version after the loaded one, take it into use, remove those that are no longer read; returns the stored state.
+
+        Raises ``Conflict`` if the newest version isn't the one that ``state`` was made from.
+        """
         aside = f"{self.root}/_{uuid.uuid4().hex}"
         state.messages.write.parquet(f"{aside}/messages")
         state.quotes.write.parquet(f"{aside}/quotes")
         self.spark.createDataFrame([(json.dumps({"stage": state.stage, "last_run": state.last_run}),)], "value string").coalesce(1).write.text(f"{aside}/about")
-        number = max([state.version, *self._versions()]) + 1
+        number = state.version + 1
+        # of several writers one gets the number; then no other can put a folder there
+        mine = self._versions()[-1:] in ([], [state.version]) and self.claim(f"v{number:012d}", STALE_SECONDS)
+        if not mine or self._versions()[-1:] not in ([], [state.version]):
+            self._fs.delete(self._path(aside), True)
+            raise Conflict(f"{self.root} has changed since version {state.version}")
         if not self._fs.rename(self._path(aside), self._path(f"{self.root}/v{number:012d}")):
+            self.release(f"v{number:012d}")
             raise RuntimeError(f"version {number} of {self.root} could not be stored")
         for old in self._versions()[:-KEPT_VERSIONS]:
             self._fs.delete(self._path(f"{self.root}/v{old:012d}"), True)
+            self.release(f"v{old:012d}")
         return self.load()
 
-    def claim(self, name: str) -> bool:
-        """Take a lock: whether nobody holds it; creation is atomic."""
+    def claim(self, name: str, stale_seconds: float | None = None) -> bool:
+        """Take a lock: whether nobody holds it; creation is atomic.
+
+        One older than ``stale_seconds`` whose version was never stored is removed first.
+        """
+        lock = self._path(f"{self.root}/_lock-{name}")
+        if stale_seconds is not None and self._fs.exists(lock) and not self._fs.exists(self._path(f"{self.root}/{name}")):
+            if time.time() * 1000 - self._fs.getFileStatus(lock).getModificationTime() > stale_seconds * 1000:
+                self._fs.delete(lock, False)
         try:
-            self._fs.create(self._path(f"{self.root}/_lock-{name}"), False).close()
+            self._fs.create(lock, False).close()
             return True
         except Exception as e:
             if "FileAlreadyExists" in str(e) or "already exists" in str(e):
@@ -95,8 +121,19 @@ def process_once(found: DataFrame, states: StateStore, process: Callable[[DataFr
     holds messages that are to be tried again, too. ``process`` takes new quotes
     (quote_key, message_id, url) and returns quote_key, status (processed or failed)
     and error. A message stays in progress, and is tried again, while a quote of it
-    failed; all else completes it. The state is saved before and after each step.
+    failed; all else completes it. The state is saved before and after each step. One
+    pass runs at a time: another one raises ``Conflict``, unless the lock is stale; then
+    the first of both that saves goes on.
     """
+    if not states.claim("pass", STALE_SECONDS):
+        raise Conflict(f"another pass runs over {states.root}")
+    try:
+        return _pass(found, states, process, valid, reprocess)
+    finally:
+        states.release("pass")
+
+
+def _pass(found: DataFrame, states: StateStore, process: Callable[[DataFrame], DataFrame], valid: Callable, reprocess: bool) -> dict[str, int]:
     state = states.load()
     todo = incremental.to_process(found.select("message_id", "internal_date_ms"), state.messages).select("message_id")
     new = found.join(todo, "message_id", "left_semi")

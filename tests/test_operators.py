@@ -390,6 +390,60 @@ def test_entry_takes_what_is_there(monkeypatch):
     assert not [q for q in __spark_entry__.queries() if q.startswith("op")]
 
 
+def test_sink_after_empty_batches(spark, tmp_path):
+    target = f"{tmp_path}/out"
+    rows = lambda *r: spark.createDataFrame(r, "a long, b string")
+    sink = incremental.idempotent_append(spark, target, ["a"], buckets=4)
+    sink(rows(), 0)
+    assert incremental.appended(spark, target).collect() == [] and incremental.appended(spark, target).columns == ["a", "b"]
+    sink(rows((1, "x"), (None, "n")), 1)
+    sink(rows(), 2)
+    sink(rows((1, "y"), (2, "z"), (None, "m")), 3)
+    assert sorted(map(repr, incremental.appended(spark, target).collect())) == ["Row(a=1, b='x')", "Row(a=2, b='z')", "Row(a=None, b='n')"]
+
+
+def test_second_writer_of_a_state_is_told(spark, tmp_path):
+    from sparquill.streaming import state
+
+    store_ = state.StateStore(spark, f"{tmp_path}/state")
+    message = lambda i: spark.createDataFrame([(i, "completed", "1", None)], state.MESSAGES)
+    first, second = store_.load(), store_.load()
+    saved = store_.save(state.State(first.messages.unionByName(message("a")), first.quotes))
+    with pytest.raises(state.Conflict):
+        store_.save(state.State(second.messages.unionByName(message("b")), second.quotes, version=second.version))
+    assert [r.message_id for r in store_.load().messages.collect()] == ["a"] and saved.version == 1
+    again = store_.save(state.State(saved.messages.unionByName(message("b")), saved.quotes, version=saved.version))
+    assert sorted(r.message_id for r in again.messages.collect()) == ["a", "b"]
+    # a writer that claimed a number and died blocks it for a while only
+    assert store_.claim("v000000000003")
+    with pytest.raises(state.Conflict):
+        store_.save(again)
+    store_._fs.setTimes(store_._path(f"{store_.root}/_lock-v000000000003"), 1000, 1000)
+    assert store_.save(again).version == 3
+    assert store_.claim("pass")
+    with pytest.raises(state.Conflict):
+        state.process_once(spark.createDataFrame([], "message_id string, internal_date_ms string, extraction_status string, quote_urls array<string>"), store_, lambda d: d, lambda u: u.isNotNull())
+
+
+def test_places_over_ranges(spark):
+    from sparquill.operators import ranks
+
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("v"), F.lit("x").alias("w"))
+    got = ranks.placed(rows, [F.desc("v")]).collect()
+    assert len(got) == 5000 and all(r.place == 5000 - r.v for r in got)
+    assert ranks.placed(rows.limit(0), [F.desc("v")]).collect() == []
+
+
+def test_title_similarity_of_best_pairs(spark):
+    asked = matching.staged(matching.prepare_requests(spark.createDataFrame([("q", str(i), n, r, None, "CX5", None, None) for i, (n, r) in enumerate([("Farola derecha led", None), ("Farola derecha led", "AB 1"), ("Espejo retrovisor", None), ("Farola dere led", "77")])], ASK)), "a")
+    held = matching.staged(matching.prepare_items(items(spark, *({"title": f"{n} CX5 {i % 3}", "reference": f"R{i}" if i % 2 else None} for i, n in enumerate(["Farola derecha led", "Farola led", "Farolas", "Retrovisor", "Espejo"] * 3)))), "h")
+    clash = [c for c in held.columns if c in asked.columns]
+    pairs = matching.candidates(asked, held).join(asked.withColumnsRenamed({c: f"asked_{c}" for c in clash}), "part_id").join(held, "item_id")
+    key = lambda d: sorted(tuple(r) for r in d.select("part_id", "rank", "item_id", "score").collect())
+    want = key(matching.rank(matching.score(pairs, texts=False)))
+    assert key(matching.best_pairs(asked, held, 5)) == want and want != key(matching.rank(matching.score(pairs, title_similarity=False, texts=False)))
+
+
 @pytest.mark.parametrize("wide", [0, 2, 16])
 def test_best_pairs_are_those_of_all_pairs(spark, monkeypatch, wide):
     """Profiles and kinds change no rank: own references, equal entries of several kinds, ties, preferences."""
