@@ -243,16 +243,17 @@ def merge_hits(text_hits: DataFrame, vector_hits: DataFrame, limit: int, keys: t
     return d.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).drop("_a", "_b", "_t", "_v")
 
 
-def search(chunks: DataFrame, queries: DataFrame, limit: int = 5, mode: str = "auto", vector_hits: DataFrame | None = None) -> DataFrame:
+def search(chunks, queries: DataFrame, limit: int = 5, mode: str = "auto", vector_hits: DataFrame | None = None) -> DataFrame:
     """Text, vector, hybrid or auto search: each side gives max(2 * limit, 8) hits.
 
-    In mode auto a query without vector hits is answered by text alone.
+    ``chunks`` is a table or a stored index of it (``TextIndex``). In mode auto a query
+    without vector hits is answered by text alone.
     """
     over = max(2 * limit, LEAST_CANDIDATES)
     keep = ["query_id", "document_id", "chunk_index", "score", "text_score", "vector_score", "retrieval_mode", "place"]
     if mode == "vector":
         return vector_hits.where(F.col("place") <= limit).withColumns({"text_score": F.lit(0.0), "vector_score": F.col("score"), "retrieval_mode": F.lit("vector")}).select(*keep)
-    found = text_search(chunks, queries, over)
+    found = text_search(chunks, queries, over) if isinstance(chunks, DataFrame) else chunks.search(queries, over)
     alone = found.where(F.col("place") <= limit).withColumns({"text_score": F.col("score"), "vector_score": F.lit(0.0), "retrieval_mode": F.lit("text")}).select(*keep)
     if mode == "text" or vector_hits is None:
         return alone

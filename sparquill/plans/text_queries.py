@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import retrieval, snapshots, store
+from ..operators.text_index import TextIndex
+from ..shared import exists, shared_folder
 from ..sources import pages
 from .matching_queries import norm_sql, words_sql
 from .registry import query
@@ -70,6 +74,20 @@ def _chunks(read):
     return d.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.lit(1).alias("page"), t.text("text").alias("content"))
 
 
+def _index(read, spark):
+    """The stored index of the documents: made once in a session for each state of their files."""
+    file = "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
+    files = read("documents").select(F.xxhash64(*file).alias("h")).distinct().agg(F.coalesce(F.bit_xor("h"), F.lit(0)).alias("h")).first().h
+    root = f"{shared_folder(spark)}/text-index-{spark.sparkContext.applicationId}-{files & (2**64 - 1):016x}"
+    if exists(spark, root) and (made := TextIndex(spark, root)).segments():
+        return made
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    made = TextIndex(spark, root)
+    made.ingest(_chunks(read))
+    return made
+
+
 def _searches(read):
     """A query for each benchmark item: its third, fifth and eighth word."""
     w = retrieval.terms(F.col("text"))
@@ -87,7 +105,22 @@ hits AS (SELECT item_id AS query_id, doc_id FROM p JOIN o USING (term) GROUP BY
 @query(f"{_HITS} SELECT query_id, doc_id FROM hits")
 def q_text_search(read, spark):
     """Documents with all terms of each query."""
-    return retrieval.text_matches(_chunks(read), _searches(read)).select("query_id", F.col("document_id").alias("doc_id"))
+    return _index(read, spark).matches(_searches(read)).select("query_id", F.col("document_id").alias("doc_id"))
+
+
+@query(f"""{_HITS.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN lang = 'fr' THEN source || ' ' || COALESCE(text, '') || ' ' || lang ELSE text END AS text FROM documents WHERE COALESCE(lang, '') <> 'de'))")} SELECT query_id, doc_id FROM hits""")
+def q_text_changes(read, spark):
+    """Documents with all terms of each query after French ones were replaced and German ones removed; later segments are merged."""
+    root = f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    index, docs = TextIndex(spark, root), read("documents")
+    index.ingest(_chunks(read))
+    new = docs.where("lang = 'fr'").withColumn("text", F.concat_ws(" ", "source", F.coalesce("text", F.lit("")), "lang"))
+    index.ingest(_chunks(lambda name: new))
+    index.remove(docs.where("lang = 'de'").select(F.col("doc_id").alias("document_id")))
+    index.merge(1)
+    return index.matches(_searches(read)).select("query_id", F.col("document_id").alias("doc_id"))
 
 
 #: Cover density of the matches: the last place of each of the (at most three) terms at each occurrence gives the covers.
@@ -103,7 +136,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 @query(f"{_RANK} SELECT query_id, doc_id, round(score, 6) AS score, CAST(place AS BIGINT) AS place FROM ranked WHERE place <= 5")
 def q_text_rank(read, spark):
     """The five best documents of each query by cover density."""
-    got = retrieval.text_search(_chunks(read), _searches(read), 5)
+    got = _index(read, spark).search(_searches(read), 5)
     return got.select("query_id", F.col("document_id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
@@ -133,7 +166,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, b
 SELECT query_id, id, round(score, 4) AS score, CASE WHEN t AND w THEN 'hybrid' WHEN t THEN 'text' ELSE 'vector' END AS retrieval_mode, CAST(place AS BIGINT) AS place FROM r WHERE place <= 5""")
 def q_hybrid(read, spark):
     """The ten best text hits of each query merged with vector hits of the vector that goes with it."""
-    found = retrieval.text_search(_chunks(read), _searches(read), 10)
+    found = _index(read, spark).search(_searches(read), 10)
     a = found.select((F.col("query_id") * 50).alias("query_id"), F.col("document_id").alias("id"), "score")
     b = retrieval.vector_search(read("embeddings"), _vector_queries(read), 10).select("query_id", F.col("vec_id").alias("id"), F.round("score", 6).alias("score"))
     got = retrieval.merge_hits(a, b, 5, keys=("id",))
@@ -148,7 +181,7 @@ m AS (SELECT query_id, place, CASE WHEN contains(content, ref) AND len(list_inte
 SELECT b.query_id, COALESCE(arg_max(v, place) FILTER (WHERE v IS NOT NULL AND v <> 'generic_support'), CASE WHEN bool_or(v = 'generic_support') THEN 'generic_support' ELSE 'no_evidence' END) AS verdict FROM b LEFT JOIN m USING (query_id) GROUP BY b.query_id""")
 def q_evidence(read, spark):
     """Verdicts of the three best documents of each query, folded in order."""
-    hits = retrieval.text_search(_chunks(read), _searches(read), 3)
+    hits = _index(read, spark).search(_searches(read), 3).drop("page").join(_chunks(read), ["document_id", "chunk_index"])
     hits = hits.select("query_id", "place", "content", "page", F.col("document_id").cast("string").alias("title"), "score", F.lit("text").alias("retrieval_mode"))
     w = retrieval.terms(F.col("text"))
     at = lambda i: F.try_element_at(w, F.lit(i))
