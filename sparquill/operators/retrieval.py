@@ -12,9 +12,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as t
 from ..shared import shared_folder
+from . import nearest
 
 MAX_CHARS, OVERLAP = 1400, 180
 BREAK = 0.65
@@ -150,7 +152,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, limit: int, key: str =
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
 
     def answers(some: list) -> DataFrame:
-        found = rows.mapInPandas(_nearest(spark.sparkContext.broadcast(some), limit, key), schema)
+        found = rows.mapInArrow(_nearest(spark.sparkContext.broadcast(some), limit, to_arrow_schema(schema)), schema)
         return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", key, "score", "place")
 
     asked = iter(queries.where(F.size("q") > 0).select("query_id", F.transform("q", lambda x: x.cast("double")).alias("q")).toLocalIterator())
@@ -165,65 +167,24 @@ def vector_search(vectors: DataFrame, queries: DataFrame, limit: int, key: str =
     return spark.read.parquet(at)
 
 
-def _nearest(sent, limit: int, key: str):
+def _nearest(sent, limit: int, schema):
     """The rows of a task that are among its nearest to each query of a block."""
 
-    def run(frames):
-        import numpy as np
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        by_length: dict = {}
-        for query_id, q in sent.value:
-            v = np.asarray(q, float)
-            n = np.sqrt((v * v).sum())
-            if len(v) and n > 0:
-                by_length.setdefault(len(v), []).append((query_id, v / n))
-        stacked = {k: ([i for i, _ in v], np.stack([x for _, x in v])) for k, v in by_length.items()}
-        best: dict = {}
-        for frame in frames:
-            length = frame["_v"].map(len)
-            for k, part in frame.groupby(length):
-                if k not in stacked:
-                    continue
-                names, q = stacked[k]
-                v = np.stack(part["_v"].to_numpy())
-                n = np.sqrt((v * v).sum(1))
-                keys, v = part["_k"].to_numpy()[n > 0], v[n > 0] / n[n > 0, None]
-                # scores to twelve places: the order of sums makes no ties
-                score = np.round(v @ q.T, 12)
-                for j, name in enumerate(names):
-                    own = pd.DataFrame({"query_id": name, key: keys, "score": score[:, j]})
-                    own = pd.concat([best[name], own]) if name in best else own
-                    best[name] = own.sort_values(["score", key], ascending=[False, True]).head(limit)
-        for own in best.values():
-            if len(own):
-                yield own
+        asked = nearest.by_length(sent.value)
+        best = nearest.Best(len(sent.value), limit)
+        for batch in batches:
+            for rows, v in nearest.matrices(batch.column("_v")):
+                if v.shape[1] in asked:
+                    which, q = asked[v.shape[1]]
+                    best.add(which, batch.column("_k").take(pa.array(rows)), nearest.scores(v, q))
+        yield from nearest.answers(best, [r[0] for r in sent.value], schema)
 
     return run
 
 
-def ivf_index(vectors: DataFrame, cells: int = 100, vector: str = "embedding", seed: int = 7, sample: int = 20_000):
-    """Centroids of k-means cells, from a bounded sample (smallest hashes); every vector gets its cell."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda d: d.withColumn("_f", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    some = vectors.orderBy(F.xxhash64(vector)).limit(sample)
-    model = KMeans(k=cells, seed=seed, featuresCol="_f", predictionCol="cell", distanceMeasure="cosine", maxIter=10).fit(unit(some))
-    return model, model.transform(unit(vectors)).drop("_f")
-
-
-def ivf_search(model, indexed: DataFrame, queries: DataFrame, limit: int, probes: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """As ``vector_search``, within the ``probes`` cells nearest to each query."""
-    spark = indexed.sparkSession
-    centers = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cell int, center array<double>")
-    near = vector_search(centers, queries, probes, "cell", "center").join(queries, "query_id")
-    met = indexed.join(near.select("query_id", "q", F.col("cell").cast("int").alias("cell")), "cell")
-    scored = met.withColumn("score", dot(F.col(vector), F.col("q")) / (norm(F.col(vector)) * norm(F.col("q"))))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("query_id", key, "score", "place")
-
-
 def merge_hits(text_hits: DataFrame, vector_hits: DataFrame, limit: int, keys: tuple[str, ...] = ("document_id", "chunk_index"), ties: tuple[str, ...] = ()) -> DataFrame:
     """Full outer merge of hits (query_id, keys, score): each side by its greatest score, weighted, a bonus for both.
 

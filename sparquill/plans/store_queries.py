@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import embedding, preferences, retention, retrieval, review, snapshots, store, views
-from ..shared import shared_folder
+from ..operators import embedding, preferences, retention, review, snapshots, store, views
+from ..operators.vector_index import VectorIndex
+from ..shared import passing_folder, shared_folder
 from ..sources import documents
 from ..streaming import incremental, state
 from . import vehicle_queries
@@ -244,12 +245,11 @@ def q_embed_chunks(read, spark):
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % 50 = 0),
 r AS (SELECT query_id, vec_id, list_cosine_similarity(e, q) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(e, q), 9) DESC, vec_id) AS place FROM v, q) SELECT query_id, vec_id, round(score, 6) AS score, CAST(place AS BIGINT) AS place FROM r WHERE place <= 3""")
 def q_ivf_all_cells(read, spark):
-    """The index of cells, all of them probed: equals the exact search."""
+    """The stored index of cells, all of them probed: equals the exact search."""
     v = read("embeddings")
-    model, indexed = retrieval.ivf_index(v, cells=4)
     asked = v.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    got = retrieval.ivf_search(model, indexed, asked, 3, probes=4)
-    return got.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+    got = VectorIndex.create(spark, passing_folder(spark, "vector-index"), v, cells=4).search(asked, 3, probes=4)
+    return got.select("query_id", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 _PASS_SQL = """WITH e AS (SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS d, event_type AS ty, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events), m AS (SELECT *, CASE WHEN ty = 'view' THEN 0 WHEN ty = 'click' THEN 2 ELSE 1 END AS urls, ty = 'error' AS invalid, k % 10 = 0 AND ty NOT IN ('view', 'error') AS fails FROM e)"""

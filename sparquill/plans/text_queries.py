@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import retrieval, snapshots, store
 from ..operators.text_index import TextIndex
-from ..shared import exists, shared_folder
+from ..operators.vector_index import VectorIndex
+from ..shared import exists, passing_folder, shared_folder
 from ..sources import pages
 from .matching_queries import norm_sql, words_sql
 from .registry import query
@@ -111,10 +110,7 @@ def q_text_search(read, spark):
 @query(f"""{_HITS.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN lang = 'fr' THEN source || ' ' || COALESCE(text, '') || ' ' || lang ELSE text END AS text FROM documents WHERE COALESCE(lang, '') <> 'de'))")} SELECT query_id, doc_id FROM hits""")
 def q_text_changes(read, spark):
     """Documents with all terms of each query after French ones were replaced and German ones removed; later segments are merged."""
-    root = f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    index, docs = TextIndex(spark, root), read("documents")
+    index, docs = TextIndex(spark, passing_folder(spark, "text-index")), read("documents")
     index.ingest(_chunks(read))
     new = docs.where("lang = 'fr'").withColumn("text", F.concat_ws(" ", "source", F.coalesce("text", F.lit("")), "lang"))
     index.ingest(_chunks(lambda name: new))
@@ -156,6 +152,21 @@ def q_vector_topk(read, spark):
     return got.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
+@query("""WITH v AS (SELECT vec_id, CASE WHEN label = 3 THEN list_reverse(embedding::DOUBLE[]) ELSE embedding::DOUBLE[] END AS e FROM embeddings WHERE label IS NULL OR label <> 5),
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+r AS (SELECT query_id, vec_id, list_cosine_similarity(e, q) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(e, q), 9) DESC, vec_id) AS place FROM v, q)
+SELECT query_id, vec_id, round(score, 6) AS score, CAST(place AS BIGINT) AS place FROM r WHERE place <= 5""")
+def q_vector_cells(read, spark):
+    """The five nearest of each query by the stored cells, proven exact, after the vectors of one label were replaced and those of another removed; later segments are merged."""
+    v = read("embeddings")
+    index = VectorIndex.create(spark, passing_folder(spark, "vector-index"), v)
+    index.ingest(v.where("label = 3").withColumn("embedding", F.reverse("embedding")))
+    index.remove(v.where("label = 5"))
+    index.merge(1)
+    got = index.search(_vector_queries(read), 5, exact=True)
+    return got.select("query_id", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
 @query(f"""{_RANK.replace('WITH', 'WITH ' + _COSINE + ',', 1)},
 tx AS (SELECT query_id * 50 AS query_id, doc_id AS id, score AS s FROM ranked WHERE place <= 10),
 vx AS (SELECT query_id, vec_id AS id, GREATEST(round(score, 6), 0.0) AS s FROM vr WHERE place <= 10),

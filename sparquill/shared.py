@@ -25,11 +25,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Hadoop removes it when the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = passing_folder(spark, name)
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder, removed when the session ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def exists(spark: SparkSession, path: str) -> bool:

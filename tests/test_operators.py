@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparquill.functions import lexicon as lx
 from sparquill.functions import text as t
 from sparquill.operators import matching, preferences, retention, retrieval, review, snapshots, store
+from sparquill.operators.vector_index import VectorIndex
 from sparquill.sources import catalogs, pages
 from sparquill.streaming import incremental
 
@@ -136,7 +137,7 @@ def test_chunks_and_searches(spark):
     assert {r.query_id for r in retrieval.search(chunks, q, 5).collect()} == {1}
 
 
-def test_vectors_and_cells(spark):
+def test_vectors_and_cells(spark, tmp_path):
     import random
 
     rng = random.Random(3)
@@ -144,9 +145,8 @@ def test_vectors_and_cells(spark):
     q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     exact = retrieval.vector_search(v, q, 5)
     assert all(r.vec_id == r.query_id and abs(r.score - 1) < 1e-9 for r in exact.where("place = 1").collect())
-    model, indexed = retrieval.ivf_index(v.where("embedding IS NOT NULL AND vec_id < 900"), cells=8)
-    near = retrieval.ivf_search(model, indexed, q, 5, probes=6)
-    a, b = ({(r.query_id, r.vec_id) for r in d.collect()} for d in (exact, near))
+    near = VectorIndex.create(spark, f"{tmp_path}/i", v, cells=8).search(q, 5, probes=6)
+    a, b = ({(r.query_id, r[1]) for r in d.collect()} for d in (exact, near))
     assert len(a & b) / len(a) >= 0.9
 
 
