@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..operators import snapshots, views
-from ..shared import shared_folder
+from ..operators.ranks import placed
+from ..shared import dealt, shared_folder, staged
 from ..sources import cards, catalogs, documents, pages, search
 from .registry import query
 
@@ -128,31 +129,41 @@ def q_card_lines(read, spark):
     return got.withColumn("description", F.when(F.col("card_id") % 5 == 2, F.regexp_extract("description", "^(KIA MOTORS)", 1)).otherwise(F.col("description")))
 
 
-@query("""WITH p AS (SELECT p_partkey AS k, p_name AS n, p_brand AS b, p_type AS ty, p_size AS s FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY k) - 1 AS i, COUNT(*) OVER (PARTITION BY b) AS total FROM p)
-SELECT b AS surface, (i // 10) * 10 AS "offset", n || ' ' || k AS product_name, 'https://shop.example.com/x' || k || '/p' AS detail_url, CASE k % 3 WHEN 0 THEN 'PR' || k WHEN 1 THEN 'RI' || k END AS reference, CASE WHEN k % 2 = 0 THEN 'I' || k ELSE 'P' || k END AS sku, 'http://i.example.com/' || CASE WHEN k % 2 = 0 THEN 'item' ELSE 'own' END || k AS image_url,
-CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN 'frenos de disco' ELSE lower(ty) END AS category_name, CASE WHEN k % 4 IN (2, 3) THEN 'talla ' || s END AS subcategory_name, 'Ficha Talla ' || s || ' cm' || CASE WHEN k % 3 = 2 AND k % 5 = 0 THEN ' Modelo 2015' ELSE '' END AS specification_text,
-CASE WHEN k % 3 < 2 THEN 'exact_reference' WHEN k % 5 = 0 THEN 'vehicle_compatible' ELSE 'category_only' END AS match_type, CASE WHEN k % 3 < 2 THEN 'high' ELSE 'medium' END AS confidence, k % 3 = 2 AS manual FROM r WHERE k % 7 <> 6""")
-def q_search_products(read, spark):
-    """Pages of a search API's answers, ten products each, as records; pages after the end and products without a name don't count."""
-    k, s = F.col("p_partkey"), _s("p_partkey")
+def _product(x):
+    """A product of the search API, made from a part."""
+    k, s = x["p_partkey"], x["p_partkey"].cast("string")
     none = F.lit(None).cast("string")
-    kind = T._parse_datatype_string(search.ANSWER)["products"].dataType.elementType
+    size = x["p_size"].cast("string")
     item = F.struct(F.when(k % 2 == 0, F.concat(F.lit("I"), s)).alias("itemId"), none.alias("ean"), F.when(k % 3 == 1, F.array(F.struct(F.lit("RefId").alias("Key"), F.concat(F.lit("RI"), s).alias("Value")))).alias("referenceId"), F.when(k % 2 == 0, F.array(F.struct(F.concat(F.lit("http://i.example.com/item"), s).alias("imageUrl")))).alias("images"))
     paths = (
         F.when(k % 4 == 0, F.array(F.lit("/otros/x/")))
         .when(k % 4 == 1, F.array(F.lit("/categorias/"), F.lit("/categorias/frenos-de-disco/")))
-        .otherwise(F.array(F.lit("/categorias/uno/"), F.concat(F.lit("/categorias/autos/"), F.lower("p_type"), F.lit("/talla-"), _s("p_size"), F.lit("/"))))
+        .otherwise(F.array(F.lit("/categorias/uno/"), F.concat(F.lit("/categorias/autos/"), F.lower(x["p_type"]), F.lit("/talla-"), size, F.lit("/"))))
     )
-    specs = F.array(F.struct(F.lit("Ficha").alias("name"), F.array(F.struct(F.lit("Talla").alias("name"), F.array(F.concat(_s("p_size"), F.lit(" cm"))).alias("values"))).alias("specifications")))
+    specs = F.array(F.struct(F.lit("Ficha").alias("name"), F.array(F.struct(F.lit("Talla").alias("name"), F.array(F.concat(size, F.lit(" cm"))).alias("values"))).alias("specifications")))
     more = F.when((k % 3 == 2) & (k % 5 == 0), F.array(F.struct(F.lit("Modelo").alias("name"), F.array(F.lit("2015")).alias("values"))))
-    product = F.struct(
-        F.concat(F.lit("P"), s).alias("productId"), F.when(k % 7 != 6, F.concat("p_name", F.lit(" "), s)).alias("productName"), F.when(k % 3 == 0, F.concat(F.lit(" PR"), s)).alias("productReference"), F.col("p_brand").alias("brand"), F.concat(F.lit("/x"), s, F.lit("/p#top")).alias("link"),
+    return F.struct(
+        F.concat(F.lit("P"), s).alias("productId"), F.when(k % 7 != 6, F.concat(x["p_name"], F.lit(" "), s)).alias("productName"), F.when(k % 3 == 0, F.concat(F.lit(" PR"), s)).alias("productReference"), x["p_brand"].alias("brand"), F.concat(F.lit("/x"), s, F.lit("/p#top")).alias("link"),
         F.lit("<p>Texto</p>").alias("description"), F.concat(F.lit("http://i.example.com/own"), s).alias("image"), paths.alias("categories"), F.array(item).alias("items"), specs.alias("specificationGroups"), more.alias("properties"),
-    ).cast(kind)
-    listed = read("part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), product.alias("p")))).alias("ps"))
+    )
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name AS n, p_brand AS b, p_type AS ty, p_size AS s FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY k) - 1 AS i, COUNT(*) OVER (PARTITION BY b) AS total FROM p)
+SELECT b AS surface, (i // 10) * 10 AS "offset", n || ' ' || k AS product_name, 'https://shop.example.com/x' || k || '/p' AS detail_url, CASE k % 3 WHEN 0 THEN 'PR' || k WHEN 1 THEN 'RI' || k END AS reference, CASE WHEN k % 2 = 0 THEN 'I' || k ELSE 'P' || k END AS sku, 'http://i.example.com/' || CASE WHEN k % 2 = 0 THEN 'item' ELSE 'own' END || k AS image_url,
+CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN 'frenos de disco' ELSE lower(ty) END AS category_name, CASE WHEN k % 4 IN (2, 3) THEN 'talla ' || s END AS subcategory_name, 'Ficha Talla ' || s || ' cm' || CASE WHEN k % 3 = 2 AND k % 5 = 0 THEN ' Modelo 2015' ELSE '' END AS specification_text,
+CASE WHEN k % 3 < 2 THEN 'exact_reference' WHEN k % 5 = 0 THEN 'vehicle_compatible' ELSE 'category_only' END AS match_type, CASE WHEN k % 3 < 2 THEN 'high' ELSE 'medium' END AS confidence, k % 3 = 2 AS manual FROM r WHERE k % 7 <> 6""")
+def q_search_products(read, spark):
+    """Pages of a search API's answers, ten products each, as records; pages after the end and products without a name don't count."""
+    kind = T._parse_datatype_string(search.ANSWER)["products"].dataType.elementType
+    rows = placed(read("part").select("p_brand", "p_partkey", "p_name", "p_type", "p_size"), [F.col("p_brand"), F.col("p_partkey")])
+    same = F.col("p_brand").eqNullSafe(F.col("_brand"))
+    totals = staged(rows.groupBy(F.col("p_brand").alias("_brand")).agg(F.min("place").alias("first"), F.count("*").alias("total")), "totals")
+    page = F.floor((F.col("place") - F.col("first")) / 10) * 10
+    pages_of = dealt(rows.join(totals, same).withColumn("offset", page), "p_brand", "offset").groupBy("p_brand", "offset", "total").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_brand", "p_type", "p_size"))).alias("ps"))
     # one page more than there is: an empty one
-    walked = listed.withColumn("offset", F.explode(F.sequence(F.lit(0), F.ceil(F.size("ps") / 10) * 10, F.lit(10))))
-    text = F.to_json(F.struct(F.size("ps").alias("recordsFiltered"), F.transform(F.slice("ps", F.col("offset").cast("int") + 1, 10), lambda x: x["p"]).alias("products"), F.lit("x").alias("other")))
+    last = totals.select(F.col("_brand").alias("p_brand"), (F.ceil(F.col("total") / 10) * 10).alias("offset"), "total", F.array().cast(pages_of.schema["ps"].dataType).alias("ps"))
+    walked = pages_of.unionByName(last)
+    text = F.to_json(F.struct(F.col("total").alias("recordsFiltered"), F.transform("ps", lambda x: _product(x).cast(kind)).alias("products"), F.lit("x").alias("other")))
     answers = walked.select(F.col("p_brand").alias("surface"), F.col("offset").cast("long").alias("offset"), F.from_json(text, search.ANSWER).alias("doc"))
     got = search.records(search.complete_pages(answers, 10), "https://shop.example.com/")
     return got.select("surface", "offset", "product_name", "detail_url", "reference", "sku", "image_url", "category_name", "subcategory_name", "specification_text", "match_type", F.col("match_confidence").alias("confidence"), F.col("requires_manual_confirmation").alias("manual"))
