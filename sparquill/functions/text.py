@@ -39,6 +39,11 @@ def text(x) -> Column:
     return F.coalesce((F.col(x) if isinstance(x, str) else x).cast("string"), F.lit(""))
 
 
+def bound(x: Column, f) -> Column:
+    """``f`` of a value that is computed once; else an expression is computed again at each use inside a function of arrays."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def fold(x: Column) -> Column:
     """Accents removed (compatibility decomposition without combining marks), Latin letters."""
     out = x
@@ -320,11 +325,8 @@ def same_host(url: Column, allowed: str) -> Column:
 
 
 def matches_any(x: Column, patterns) -> Column:
-    low = F.lower(text(x))
-    out = F.lit(False)
-    for p in patterns:
-        out = out | low.contains(p.lower())
-    return out
+    # one expression that computes the text once, whatever the number of patterns
+    return F.lower(text(x)).rlike("|".join(f"\\Q{p.lower()}\\E" for p in patterns)) if patterns else F.lit(False)
 
 
 # Parts of paths.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import store
+from ..shared import dealt
 from ..sources import documents, pages, search
 from .registry import query
 
@@ -50,7 +51,7 @@ def q_slugs(read, spark):
     slugs = pages.category_slugs(F.concat(F.lit("product product_cat-"), F.replace(F.lower(ty), F.lit(" "), F.lit("-")), F.lit(" product_cat-frenos x product_cat-frenos")))
     main, sub = pages.category_names(slugs, F.array(F.lit("frenos")), F.create_map(F.lit("frenos"), F.lit("Frenos")))
     kind = pages.catalog_match_type(F.when(k % 2 == 0, F.concat(F.lit("R"), k.cast("string"))), F.when(k % 3 == 0, "Compatible con varios").otherwise("otro"))
-    return read("part").select(
+    return dealt(read("part"), "p_partkey").select(
         k.alias("k"), t.slug_words(F.concat(slug, F.lit("/"), s.cast("string"))).alias("slug_words"), t.slug_name(slug).alias("slug_name"), F.array_join(F.array_sort(t.search_tokens(n, ty, F.lit(" "), b)), " ").alias("search_tokens"),
         pages.code_in_name(F.concat(n, F.when(k % 3 != 0, F.concat(F.lit(" (RX-"), k.cast("string"), F.lit(")"))).otherwise(" (?)"))).alias("code"), F.concat_ws("|", heading["brand"], heading["line"], heading["series"]).alias("heading"),
         F.concat_ws("|", attributes["MARCA"], attributes["TIPO REPUESTO"]).alias("attributes"), F.concat_ws("|", rows["Marca"], rows["Talla"]).alias("labelled"), F.concat_ws("|", main, sub).alias("categories"), pages.numeric_code(F.concat(F.lit(" "), k.cast("string"))).alias("numeric_code"),

@@ -186,7 +186,7 @@ def attributes(x: Column) -> Column:
 def _last_wins(entries: Column) -> Column:
     """Entries as a map; of equal keys the last one counts."""
     ordered = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))
-    kept = F.filter(ordered, lambda e: ~F.exists(ordered, lambda o: (o["key"] == e["key"]) & (o["i"] > e["i"])))
+    kept = t.bound(ordered, lambda x: F.filter(x, lambda e: ~F.exists(x, lambda o: (o["key"] == e["key"]) & (o["i"] > e["i"]))))
     return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
 
 
