@@ -123,7 +123,7 @@ def q_card_lines(read, spark):
     )
     links = F.when(k % 5 == 0, F.array(F.lit("/otra/1"), F.concat(F.lit("/producto/"), s), F.lit("/otra/2"))).when(k % 5 == 1, F.array(F.lit("/feed/x"), F.lit("/uno"), F.concat(F.lit("/otra/"), s))).when(k % 5 == 2, F.array(F.lit("https://elsewhere.example.com/producto/1")))
     images = F.when(k % 5 == 0, F.array(F.lit("data:x"), F.concat(F.lit(" https://i.example.com/"), s)))
-    d = read("part").select(k.alias("card_id"), F.lit("https://shop.example.com/list?groups=Frenos").alias("seed_url"), F.array_join(lines, "\r\n").alias("text"), links.alias("links"), images.alias("images"))
+    d = dealt(read("part"), "p_partkey").select(k.alias("card_id"), F.lit("https://shop.example.com/list?groups=Frenos").alias("seed_url"), F.array_join(lines, "\r\n").alias("text"), links.alias("links"), images.alias("images"))
     got = cards.card_records(d, "shop.example.com")
     # the whole text of a card that says a brand and a reference alone is its description
     return got.withColumn("description", F.when(F.col("card_id") % 5 == 2, F.regexp_extract("description", "^(KIA MOTORS)", 1)).otherwise(F.col("description")))

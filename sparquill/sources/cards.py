@@ -60,7 +60,9 @@ def card_records(cards: DataFrame, host: str) -> DataFrame:
     tail = F.when(F.size("lines") > 1, F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
     tail = F.when(F.col("price").isNotNull() & ~F.array_contains(tail, F.col("price")), F.concat(F.array("price"), tail)).otherwise(tail)
     product = F.try_element_at(F.filter("urls", lambda u: t.matches_any(F.try_parse_url(u, F.lit("PATH")), PRODUCT_PATHS)), F.lit(1))
-    return d.select(
+    # a generator: the filter of titles must not compute them again, nor before the cards are dealt
+    row = F.struct(
         "card_id", F.coalesce(title, "reference", "brand").alias("title"), "brand", "reference", F.coalesce(F.nullif(t.collapse(F.array_join(tail, " ")), F.lit("")), "whole").alias("description"),
         F.coalesce(product, F.try_element_at("urls", F.lit(-1))).alias("detail_url"), "image_url",
-    ).where(F.col("title").isNotNull())
+    )
+    return d.select(F.inline(F.array(row))).where(F.col("title").isNotNull())

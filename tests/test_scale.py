@@ -18,3 +18,21 @@ def test_pages_of_answers_never_hold_a_whole_surface(spark, tmp_path):
     # products without a name (6 of each 7 have one) are on their pages and give no record
     want = [("B" if k < 30 else None, (k if k < 30 else k - 30) // 10 * 10, f"bolt {k}") for k in range(35) if k % 7 != 6]
     assert sorted((tuple(r) for r in got.select("surface", "offset", "product_name").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_dear_expressions_over_one_small_file_are_dealt_over_tasks(spark, tmp_path):
+    parts(spark, tmp_path, [(k, "bolt nut", "B", "STEEL", 3, 1.0) for k in range(50)])
+    for name in ("q_slugs", "q_card_lines"):
+        got = catalogue.queries()[name](spark, str(tmp_path))
+        above, below = plan_of(got).split("RepartitionByExpression")
+        # nothing is computed before, not by a filter that was pushed down either
+        assert "regexp" in above and "regexp" not in below
+        assert got.count() == (50 if name == "q_slugs" else 40)
+
+
+def test_texts_are_normalised_once_for_all_families(spark, tmp_path):
+    rows = [(1, "Filtros y bombas de FRENO"), (2, "guía lateral, kit distribución"), (3, None), (4, "nada")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["q_taxonomy"](spark, str(tmp_path))
+    assert plan_of(got).count("[^a-z0-9]+") == 1
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "brake_system,filters"), (2, "accessories_misc,belts_tensioners,body_panels"), (3, ""), (4, "")]
