@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as t
-from ..shared import staged
+from ..shared import dealt, staged
 
 MANUAL = "manual_confirmation_required"
 PREFS = "struct<preferred_providers:array<string>,avoided_providers:array<string>,preferred_brands:array<string>,avoided_brands:array<string>,prefer_exact_reference:boolean,year_tolerance:int,max_options:int>"
@@ -370,7 +370,8 @@ def best_pairs(asked: DataFrame, held: DataFrame, limit: int, policy: lx.Provide
     """
     clash = [c for c in held.columns if c in asked.columns]
     aside = lambda d: d.withColumnsRenamed({c: f"asked_{c}" for c in clash})
-    whole = lambda pairs, requests, items: pairs.join(aside(requests), "part_id").join(items, "item_id")
+    # staged items are small as files and large as rows: they aren't for a broadcast. Pairs are few bytes and much work
+    whole = lambda pairs, requests, items: dealt(pairs, "item_id").join(items.hint("merge"), "item_id").join(aside(requests), "part_id")
     scored = lambda pairs, requests, items: score(whole(pairs, requests, items), policy, title_similarity, texts=False)
     own = staged(_own_references(asked, held), "own_references")
     counts = own.groupBy("part_id").agg(F.count("*").alias("n"))
@@ -387,18 +388,18 @@ def best_pairs(asked: DataFrame, held: DataFrame, limit: int, policy: lx.Provide
     # an entry may be of several kinds: then as many more kinds are kept
     spread = kinds.select("i_same", "kind").distinct().groupBy("i_same").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 1
     heads = entries.where("n = 1").select(F.col("item_id").alias("_item"), "kind")
-    heads = staged(held.join(heads, F.col("item_id") == F.col("_item"), "left_semi").withColumn("i_refs", F.array().cast("array<string>")), "kinds")
+    heads = staged(held.join(heads.hint("merge"), F.col("item_id") == F.col("_item"), "left_semi").withColumn("i_refs", F.array().cast("array<string>")), "kinds")
     pairs = scored(candidates(profiles, heads), profiles, heads)
     order = [F.desc("score"), F.desc("provider_name"), F.desc("title"), F.asc("item_id")]
     top = pairs.withColumn("n", F.row_number().over(Window.partitionBy("part_id").orderBy(*order))).where(F.col("n") <= most * spread).drop("n", "i_same")
-    of = entries.where("n = 1").select(F.col("item_id").alias("_head"), F.col("kind").alias("_kind")).join(entries.select("kind", F.col("item_id").alias("_item"), "i_same"), F.col("_kind") == F.col("kind"))
-    top = top.join(of, F.col("item_id") == F.col("_head")).select(F.col("part_id").alias("profile"), F.col("_item").alias("item_id"), "score", "match_type", "provider_name", "title", "i_same")
+    of = entries.where("n = 1").select(F.col("item_id").alias("_head"), F.col("kind").alias("_kind")).join(entries.select("kind", F.col("item_id").alias("_item"), "i_same").hint("merge"), F.col("_kind") == F.col("kind"))
+    top = top.join(of.hint("merge"), F.col("item_id") == F.col("_head")).select(F.col("part_id").alias("profile"), F.col("_item").alias("item_id"), "score", "match_type", "provider_name", "title", "i_same")
     once = top.withColumn("n", F.row_number().over(Window.partitionBy("profile", "i_same").orderBy(*order))).where("n = 1")
     once = staged(once.withColumn("n", F.row_number().over(Window.partitionBy("profile").orderBy(*order))).where(F.col("n") <= most).drop("n"), "profile_ranks")
 
     shared = requests.select("part_id", "profile", "prefs_max_options").join(once, "profile").join(own.select(F.col("part_id").alias("_p"), F.col("i_same").alias("_s")), (F.col("part_id") == F.col("_p")) & (F.col("i_same") == F.col("_s")), "left_anti")
     # an item of such an entry may have no key of the request
-    few = own.join(wide, "part_id", "left_anti").join(held.select(F.col("i_same").alias("_s"), "item_id", _held_keys().alias("k")), F.col("i_same") == F.col("_s"))
+    few = own.join(wide, "part_id", "left_anti").join(held.select(F.col("i_same").alias("_s"), "item_id", _held_keys().alias("k")).hint("merge"), F.col("i_same") == F.col("_s"))
     few = few.join(asked.select(F.col("part_id").alias("_p"), _asked_keys().alias("q")), (F.col("part_id") == F.col("_p")) & F.arrays_overlap("k", "q")).select("part_id", "item_id")
     pool = shared.select(*RANKED).unionByName(scored(few, asked, held))
     if wide.head(1):
@@ -414,10 +415,10 @@ def match(requests: DataFrame, items: DataFrame, limit: int = 5, policy: lx.Prov
     Pairs are scored for their ranks alone, each kind once (``best_pairs``); the ranked
     ones are scored once more for all that is said about them.
     """
-    asked, held = staged(prepare_requests(requests), "asked"), staged(prepare_items(items), "held")
+    asked, held = staged(prepare_requests(dealt(requests, "part_id")), "asked"), staged(prepare_items(items), "held")
     best = staged(best_pairs(asked, held, limit, policy, title_similarity).select("part_id", "item_id", "rank"), "ranked")
     clash = [c for c in held.columns if c in asked.columns]
-    pairs = best.join(asked.withColumnsRenamed({c: f"asked_{c}" for c in clash}), "part_id").join(held, "item_id")
+    pairs = best.join(held.hint("merge"), "item_id").join(asked.withColumnsRenamed({c: f"asked_{c}" for c in clash}), "part_id")
     return with_state(score(pairs, policy, title_similarity), policy)
 
 

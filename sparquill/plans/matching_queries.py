@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as t
 from ..operators import matching, preferences, review
+from ..shared import dealt
 from .registry import query
 
 
@@ -56,7 +57,7 @@ def matching_share():
 
 def catalog(read):
     """Every part is an item, from a provider named by its size."""
-    p = read("part").select("p_name", "p_brand", "p_type", F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))
+    p = dealt(read("part"), "p_partkey").select("p_name", "p_brand", "p_type", F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))
     title = F.concat_ws(" ", "p_name", "p_type")
     return p.select(
         F.col("k").alias("item_id"), F.concat(F.lit("prov"), (F.col("size") % 5).cast("string")).alias("provider_id"), F.concat(F.lit("Provider "), (F.col("size") % 5).cast("string")).alias("provider_name"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as t
 from ..operators import matching, review
+from ..shared import dealt
 from .matching_queries import _GROUP, _TAX, norm_sql, words_sql
 from .registry import query
 
@@ -44,7 +45,7 @@ def items(read):
     years = F.when(k % 3 == 1, "2010-2015").when(k % 3 == 2, "2018")
     title = F.concat_ws(" ", _of(KINDS, k % 8), _of(TRAITS, s % 11), F.when(k % 5 != 2, brand), line, years)
     none = F.lit(None).cast("string")
-    d = read("part").select(
+    d = dealt(read("part"), "p_partkey").select(
         k.alias("item_id"), F.concat(F.lit("prov"), (s % 5).cast("string")).alias("provider_id"), F.concat(F.lit("Provider "), (s % 5).cast("string")).alias("provider_name"), F.when(s % 5 == 4, "category_only").otherwise("product_catalog").alias("provider_type"), title.alias("title"),
         _of(KINDS, (k + F.when(k % 11 == 0, 1).otherwise(0)) % 8).alias("category_name"), none.alias("subcategory_name"), F.when(k % 4 == 0, brand).alias("brand"), F.when(k % 2 == 0, F.concat(F.lit("ZQ-9"), k.cast("string"), F.lit("7"))).alias("reference"), none.alias("sku"), none.alias("code"), none.alias("detail_url"),
         F.lit(False).alias("manual"),

@@ -36,3 +36,9 @@ def test_texts_are_normalised_once_for_all_families(spark, tmp_path):
     got = catalogue.queries()["q_taxonomy"](spark, str(tmp_path))
     assert plan_of(got).count("[^a-z0-9]+") == 1
     assert sorted(tuple(r) for r in got.collect()) == [(1, "brake_system,filters"), (2, "accessories_misc,belts_tensioners,body_panels"), (3, ""), (4, "")]
+
+
+def test_staged_items_are_merged_with_pairs_not_broadcast(spark):
+    got = catalogue.queries()["q_rule_score"](spark, "/root/testdata/sf0.001")
+    assert "strategy=merge" in plan_of(got)
+    assert "BroadcastHashJoin [item_id" not in got._jdf.queryExecution().executedPlan().toString()
