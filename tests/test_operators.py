@@ -2,6 +2,7 @@
 
 import base64
 import json
+import os
 import unicodedata
 
 import pytest
@@ -425,6 +426,65 @@ def test_second_writer_of_a_state_is_told(spark, tmp_path):
         state.process_once(spark.createDataFrame([], "message_id string, internal_date_ms string, extraction_status string, quote_urls array<string>"), store_, lambda d: d, lambda u: u.isNotNull())
 
 
+def test_passes_write_only_tables_that_change(spark, tmp_path):
+    from sparquill.streaming import state
+
+    root = f"{tmp_path}/state"
+    store_ = state.StateStore(spark, root)
+    schema = "message_id string, internal_date_ms string, extraction_status string, quote_urls array<string>"
+    # m1 comes twice; m2 has an address that fails at first, m3 one that is refused; a message without an id is none
+    found = spark.createDataFrame([("m1", "1", "extracted", ["https://q/1?t=s", None]), ("m1", "2", "extracted", ["https://q/1?t=s"]), ("m2", "3", "extracted", ["https://q/2", "https://q/3"]), ("m3", "4", "extracted", ["ftp://x"]), (None, "5", "extracted", ["https://q/5"])], schema)
+    valid = lambda u: F.col("url").startswith("https://q/")
+    asked = []
+
+    def process(fails):
+        def run(q):
+            asked.append(sorted(r.url for r in q.collect()))
+            bad = F.col("url") == fails
+            return q.select("quote_key", F.when(bad, "failed").otherwise("processed").alias("status"), F.when(bad, "no").alias("error"))
+
+        return run
+
+    counters = state.process_once(found, store_, process("https://q/3"), valid)
+    assert counters == {"messages_seen": 4, "messages_with_quotes": 4, "quotes_processed": 2, "quotes_failed": 1, "quotes_skipped": 2}
+    now = store_.load()
+    assert now.messages.columns == ["message_id", "status", "internal_date_ms", "extraction_status"] and now.quotes.columns == ["quote_key", "message_id", "url", "status", "error"]
+    assert sorted(tuple(r) for r in now.messages.collect()) == [("m1", "completed", "2", "extracted"), ("m2", "in_progress", "3", "extracted"), ("m3", "completed", "4", "extracted")]
+    want = [("m1", "https://q/1?[redacted]", "processed", None), ("m2", "https://q/2", "processed", None), ("m2", "https://q/3", "failed", "no"), ("m3", "ftp://x", "invalid_quote_url", "no address of a quote")]
+    assert sorted(tuple(r)[1:] for r in now.quotes.collect()) == want
+    counters = state.process_once(found, store_, process(None), valid)
+    assert counters == {"messages_seen": 1, "messages_with_quotes": 1, "quotes_processed": 1, "quotes_failed": 0, "quotes_skipped": 1}
+    assert asked == [["https://q/1?t=s", "https://q/1?t=s", "https://q/2", "https://q/3"], ["https://q/3"]]
+    before = store_.load()
+    files = lambda s: sorted(s.messages.inputFiles() + s.quotes.inputFiles())
+    assert state.process_once(found, store_, process(None), valid)["messages_seen"] == 0
+    after = store_.load()
+    # nothing came: new versions, no new tables; old tables went, nothing of a pass stays
+    assert after.version == before.version + 4 and files(after) == files(before) and len(asked) == 2
+    assert sorted(x.split("-")[0] for x in os.listdir(root) if not x.startswith((".", "_", "v"))) == ["messages", "quotes"] and not [x for x in os.listdir(root) if x.startswith("_pass")]
+    assert {r.status for r in after.messages.collect()} == {"completed"}
+    # tables are dealt by their keys before they are grouped, or each task would sort all that it reads
+    plan = state._newest(after.quotes, after.quotes, "quote_key", "message_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [quote_key" in plan
+
+
+def test_state_of_versions_with_their_own_tables_is_read(spark, tmp_path):
+    from sparquill.streaming import state
+
+    root = f"{tmp_path}/state"
+    spark.createDataFrame([("a", "completed", "1", None)], state.MESSAGES).write.parquet(f"{root}/v000000000001/messages")
+    spark.createDataFrame([], state.QUOTES).write.parquet(f"{root}/v000000000001/quotes")
+    spark.createDataFrame([(json.dumps({"stage": "idle", "last_run": {}}),)], "value string").write.text(f"{root}/v000000000001/about")
+    store_ = state.StateStore(spark, root)
+    now = store_.load()
+    for _ in range(4):
+        now = store_.save(now, ())
+    assert now.version == 5 and [r.message_id for r in now.messages.collect()] == ["a"]
+    for _ in range(3):
+        now = store_.save(state.State(now.messages, now.quotes, version=now.version))
+    assert [r.message_id for r in now.messages.collect()] == ["a"] and not os.path.exists(f"{root}/v000000000001")
+
+
 def test_places_over_ranges(spark):
     from sparquill.operators import ranks
 
