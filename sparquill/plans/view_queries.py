@@ -209,11 +209,10 @@ def q_stream_dedupe(read, spark):
 
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     e = read("events").select("event_id", "user_id", "ts")
-    # three files, each of which comes in a batch of its own; the second repeats half of the first, the third all
-    for name, part in (("a", e.where("event_id % 2 = 0")), ("b", e.where("event_id % 4 <> 2")), ("c", e)):
-        part.coalesce(1).write.parquet(f"{root}/in/{name}")
     sink = incremental.idempotent_append(spark, f"{root}/out", ["event_id"], buckets=8)
-    q = incremental.run_stream(spark, f"{root}/in/*", e.schema, sink, f"{root}/checkpoint", ["event_id"], None, files_per_batch=1)
-    q.awaitTermination()
+    # three arrivals, each of which comes in a batch of its own; the second repeats half of the first, the third all
+    for name, part in (("a", e.where("event_id % 2 = 0")), ("b", e.where("event_id % 4 <> 2")), ("c", e)):
+        part.write.parquet(f"{root}/in/{name}")
+        incremental.run_stream(spark, f"{root}/in/*", e.schema, sink, f"{root}/checkpoint", ["event_id"]).awaitTermination()
     got = incremental.appended(spark, f"{root}/out")
     return got.groupBy("user_id").agg(F.min("event_id").alias("first_event"), F.count("*").alias("events"))

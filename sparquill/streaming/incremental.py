@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,8 +88,8 @@ def idempotent_append(spark: SparkSession, target: str, keys: list[str], stream:
     """
 
     def process(batch: DataFrame, number: int) -> None:
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        rows = batch.dropDuplicates(keys).withColumn("_bucket", bucket)
+        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        known = None
         if not exists(spark, f"{target}/_columns"):
             # what ``appended`` reads by, also if no batch has had a row yet
             spark.createDataFrame([(batch.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/_columns")
@@ -97,17 +97,29 @@ def idempotent_append(spark: SparkSession, target: str, keys: list[str], stream:
             # an empty batch has left no file that tells a schema
             known = _stored(spark, target, [batch.schema[k] for k in keys])
             known = known.where((F.col("_stream") != stream) | (F.col("_batch") != number))
-            mine = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
-            known = known.where(F.col("_bucket").isin(mine)).select(F.col("_bucket").alias("_known"), *(F.col(k).alias(f"_known_{k}") for k in keys))
-            same = F.col("_bucket") == F.col("_known")
-            for k in keys:
-                same &= F.col(k).eqNullSafe(F.col(f"_known_{k}"))
-            rows = rows.join(known, same, "left_anti")
+            mine = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most ``buckets``
+            known = known.where(F.col("_bucket").isin(mine)).select(*keys, "_bucket")
+        rows = _lacking(rows, known, keys)
         rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{target}/_stream={stream}/_batch={number}")
 
     return process
 
 
+def _lacking(rows: DataFrame, known: DataFrame | None, keys: list[str]) -> DataFrame:
+    """One row of each key that ``known`` lacks; both have ``_bucket``.
+
+    Rows and known keys are dealt by key once, then sorted: a sort holds what a task gets of the shuffle and can
+    spill, while a partial removal of copies would hold all keys of an input split, nearly all of which differ.
+    """
+    every = rows.withColumn("_known", F.lit(0))
+    if known is not None:
+        other = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in (*keys, "_bucket")]
+        every = every.unionByName(known.select(*keys, "_bucket", *other, F.lit(1).alias("_known")))
+    by = ["_bucket", *keys]
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_known")))
+    return every.repartition(*by).withColumn("_place", place).where("_place = 1").where("_known = 0").drop("_place", "_known")
+
+
 def _stored(spark: SparkSession, target: str, columns: list[T.StructField]) -> DataFrame:
     own = [T.StructField("_stream", T.StringType()), T.StructField("_batch", T.LongType()), T.StructField("_bucket", T.IntegerType())]
     return spark.read.schema(T.StructType([*columns, *own])).option("basePath", target).parquet(target)

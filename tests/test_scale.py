@@ -42,3 +42,33 @@ def test_staged_items_are_merged_with_pairs_not_broadcast(spark):
     got = catalogue.queries()["q_rule_score"](spark, "/root/testdata/sf0.001")
     assert "strategy=merge" in plan_of(got)
     assert "BroadcastHashJoin [item_id" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arrivals_of_a_stream_keep_the_parts_of_their_table(spark, tmp_path, monkeypatch):
+    from sparquill.plans import view_queries
+
+    monkeypatch.setattr(view_queries, "shared_folder", lambda spark: f"{tmp_path}/shared")
+    # the event without an id comes with the last arrival only
+    rows = [(k, k % 3, None) for k in range(40)] + [(None, 7, None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.queries()["q_stream_dedupe"](spark, str(tmp_path))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == [(0, 0, 14), (1, 1, 13), (2, 2, 13), (7, None, 1)]
+    assert all(len(list(tmp_path.glob(f"shared/stream-*/in/{part}/*.parquet"))) == 4 for part in "abc")
+    # a batch for each arrival
+    assert len(list(tmp_path.glob("shared/stream-*/out/_stream=stream/_batch=*"))) == 3
+
+
+def test_sink_holds_no_keys_of_a_whole_split(spark, tmp_path, monkeypatch):
+    from sparquill.streaming import incremental
+
+    seen = []
+    lacking = incremental._lacking
+    monkeypatch.setattr(incremental, "_lacking", lambda *a: seen.append(lacking(*a)) or seen[-1])
+    sink = incremental.idempotent_append(spark, f"{tmp_path}/out", ["a"], buckets=2)
+    for number, rows in enumerate(([(1, "x"), (1, "x"), (None, "n")], [(1, "y"), (2, "z"), (2, "z"), (None, "m")])):
+        sink(spark.createDataFrame(rows, "a long, b string"), number)
+    assert sorted(map(repr, incremental.appended(spark, f"{tmp_path}/out").collect())) == ["Row(a=1, b='x')", "Row(a=2, b='z')", "Row(a=None, b='n')"]
+    for df in seen:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # one deal by keys, which rows and known keys share; no partial results before it
+        assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "Join" not in plan
